@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrid.llm import contamination, sequences, tokens
+from proofgrid.llm import bpe, contamination, secrets, sequences, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,19 @@ def op3_token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.sequence_digests(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+@register
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 @register
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
