@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrid.llm import bpe, contamination, secrets, sequences, sharding, tokens, urls
+from proofgrid.llm import bpe, contamination, fingerprints, secrets, sequences, sharding, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@register
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(_table(spark, sf_dir, "documents"))
+
+
 @register
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
