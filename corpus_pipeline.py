@@ -1,12 +1,76 @@
-"""A corpus pipeline over `documents`: each stage calls one operator, and its decisions take effect."""
+"""A corpus pipeline over `documents`: each stage applies one operator to all its predecessor kept.
+
+STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from proofgrid.llm import bpe, contamination, neardup, quality, secrets
+from proofgrid.llm.common import new_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: What stands in place of a secret.
+MARK = "[SECRET]"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the classifier takes for good ones; learns from the labels of the documents given."""
+    judged = quality.classify(docs, _table(spark, sf_dir, "labels"))
+    good = judged.where("predicted = 1").select("doc_id").distinct()
+    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near copies, the one of the least doc_id."""
+    kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a window of a benchmark item."""
+    found = contamination.find_contamination(docs, _table(spark, sf_dir, "benchmark"))
+    dirty = found.where("n_hit > 0").select("doc_id")
+    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret, plain or wrapped, by a mark; keeps every document, with n_chars of its new text."""
+    scanned = secrets.rewrite(docs, MARK)
+    return scanned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes every text: doc_id, source, n_tokens, ids."""
+    import public_tokenizers
+
+    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("source",))
+    return encoded.select("doc_id", "source", "n_tokens", "ids")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", neardup_stage),
+    ("benchmark decontamination", contamination_stage),
+    ("secret scans", secrets_stage),
+    ("byte-level BPE", bpe_stage),
+]
+#: SQL can express neither the classifier nor the alignment; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Applies the stages to documents; each result is written to the shared folder and read again."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, f"stage-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

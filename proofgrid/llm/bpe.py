@@ -319,7 +319,8 @@ def encode_in_tasks(path: str, pattern: str) -> Callable:
             packed = [b"".join(b"".join(r) for r in runs) for runs in coder.texts(batch.column("text").to_pylist())]
             ends = np.cumsum([0] + [len(p) // 4 for p in packed])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), ids], names=["doc_id", "n_tokens", "ids"])
+            kept = [name for name in batch.schema.names if name != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(np.diff(ends), pa.int64()), ids], names=[*kept, "n_tokens", "ids"])
 
     return run
 
@@ -359,14 +360,15 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str
     return narrow, narrow.schema["doc_id"].dataType.simpleString()
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns doc_id, n_tokens, ids (array of int) for every row of docs.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Returns doc_id, the columns to keep, n_tokens and ids (array of int) for every row of docs.
 
     A null or empty text has no ids; repeated rows are each encoded; an empty table gives no rows; other columns are
     not read. Narrow: no shuffle; a task holds one Arrow batch, one block of units and the memo.
     """
-    narrow, kind = _narrow(docs, id_col, text_col)
-    return in_arrow(narrow, encode_in_tasks(ranks_path, pattern), f"doc_id {kind}, n_tokens long, ids array<int>")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "text")
+    return in_arrow(narrow, encode_in_tasks(ranks_path, pattern), f"{kept}, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

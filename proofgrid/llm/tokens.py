@@ -8,6 +8,7 @@ encoded together by the library, and a bounded memo answers for the rest. Long t
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from proofgrid.llm.common import Memo, in_arrow, segments
 
 BATCH_BYTES = 4 << 20
+#: Marks that the pre-tokenizer cuts from the letters before them.
+MARKS = (".", ",", "!", "?", ";", ":")
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -38,8 +41,8 @@ class WordEncoder:
         if not any(s.get("behavior") == "Removed" and s.get("invert") for s in steps):
             raise ValueError("this vocabulary keeps white space, so words cannot be encoded on their own")
         self.width = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
-        self.counts = Memo(lambda w: len(self.ids(w)))
-        self.packed = Memo(lambda w: np.array(self.ids(w), self.width).tobytes(), 200_000)
+        self.counts = Memo(self._count)
+        self.packed = Memo(self._pack)
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -47,12 +50,29 @@ class WordEncoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
+    @staticmethod
+    def simpler(word: str) -> tuple[str, ...] | None:
+        """Words that together have the same ids and are likelier known: without a closing mark, in lower case."""
+        if word.isascii() and word.isalpha():
+            return None if word.islower() else (word.lower(),)
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return word[:-1], word[-1]
+        return None
+
+    def _count(self, word: str) -> int:
+        parts = self.simpler(word)
+        return len(self.ids(word)) if parts is None else sum(self.counts[p] for p in parts)
+
+    def _pack(self, word: str) -> bytes:
+        parts = self.simpler(word)
+        return array(self.width.char, self.ids(word)).tobytes() if parts is None else b"".join([self.packed[p] for p in parts])
+
     def ids(self, word: str) -> list[int]:
         """The library's ids of one word, without special tokens added around it."""
-        if any(t in word for t in self.added):
-            return self.full.encode(word, add_special_tokens=False).ids
         if word.isascii() and word.isalpha():  # one piece of the pre-tokenizer, its own byte alphabet
             return [t.id for t in self.model.tokenize(word.lower())]
+        if any(t in word for t in self.added):
+            return self.full.encode(word, add_special_tokens=False).ids
         out: list[int] = []
         for piece, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(word)):
             out += [t.id for t in self.model.tokenize(piece)]
