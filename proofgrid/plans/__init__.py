@@ -1 +1,3 @@
-"""Part of proofgrid: plans."""
+"""The registered queries; importing a module of this package registers its queries."""
+
+from proofgrid.plans import logs, metrics, publish, quality, ranking, retrieval, texts  # noqa: F401
