@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofgrid.functions.columns import row_hash, strict_date
+from proofgrid.operators.order import hash_tree
 
 
 def inner_fact_dim(facts: DataFrame, dimension: DataFrame, key: str, *keep: str) -> DataFrame:
@@ -64,7 +65,7 @@ def profile(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
         F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"{c}_null") for c in df.columns],
         *[F.count_if(F.trim(c) == "").alias(f"{c}_empty") for c in df.columns if c in texts],
     )
-    repeated = df.groupBy(*keys).agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("repeated"))
+    repeated = df.groupBy(*keys).agg(F.count("*").alias("_k")).agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("repeated"))
     rows = F.array(*[F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.col("n").alias("row_count"), F.col(f"{c}_null").alias("null_count"), (F.col(f"{c}_empty") if c in texts else F.lit(0).cast("long")).alias("empty_count"), F.col("repeated").alias("repeated_keys")) for c in df.columns])
     return counts.crossJoin(repeated).select(F.inline(rows))  # two rows of totals
 
@@ -159,16 +160,10 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: str =
     return marked.orderBy(F.desc("mandatory"), "_h", key).limit(n).select(key, stratum, "mandatory")
 
 
-def fingerprint(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str, buckets: int = 64) -> DataFrame:
-    """table_name, n, digest of a whole table, the same for any partitioning and row order.
-
-    Row hashes are listed in hash order within buckets of their first two digits, then the buckets' digests in
-    order: no list outgrows a bucket, and more buckets (up to 256) keep them small.
-    """
-    hashed = df.select(row_hash(*columns).alias("h"))
-    bucket = F.floor(F.conv(F.substring("h", 1, 2), 16, 10).cast("int") * buckets / 256).cast("int")
-    parts = hashed.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return parts.agg(F.lit(name).alias("table_name"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest")).select("table_name", "n", "digest")
+def fingerprint(df: DataFrame, columns: Sequence[str], name: str, depth: int | None = None) -> DataFrame:
+    """table_name, n, digest of a whole table, the same for any partitioning and row order."""
+    found = hash_tree(df.select(row_hash(*columns).alias("h")), "h", depth)
+    return found.select(F.lit(name).alias("table_name"), "n", "digest")
 
 
 def roll_up(checks: DataFrame) -> DataFrame:

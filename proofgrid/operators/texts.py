@@ -146,7 +146,7 @@ def html_text(html: Column) -> Column:
         out = F.regexp_replace(out, pattern, to)
     for entity, to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(to))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n\s*\n+", "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n\s*\n+", "\n"), F.lit(" \n"))
 
 
 def plain_text(html: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions.columns import confidence, exact, ratio
 from proofgrid.operators import metrics
+from proofgrid.operators.order import global_rank
 from proofgrid.plans.registry import query
 from proofgrid.session import table
 
@@ -151,7 +152,7 @@ def densified_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def league_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = supplier_table(spark, sf_dir).select(F.col("s_suppkey").alias("supplier"), F.round("quantity", 4).alias("quantity"))
-    return metrics.league_rank(suppliers, "quantity")
+    return global_rank(suppliers, "quantity").select("supplier", "quantity", "rank", "of")
 
 
 @query(

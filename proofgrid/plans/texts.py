@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions.columns import first_sentence, slug, snippet
 from proofgrid.operators import texts
+from proofgrid.operators.order import positions
 from proofgrid.plans.registry import query
 from proofgrid.session import table
 
@@ -127,11 +128,9 @@ def snippets_and_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT s_suppkey, s_name, s_acctbal, row_number() OVER (ORDER BY s_acctbal ASC NULLS LAST, s_suppkey) AS place FROM supplier WHERE contains(lower(s_name), '7')""",
 )
 def dashboard_filter_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Case-insensitive substring filter, then places by a column where lower is better; the filter and the rank run distributed, as names are filtered first."""
-    from pyspark.sql import Window
-
-    kept = table(spark, sf_dir, "supplier").where(F.contains(F.lower("s_name"), F.lit("7")))
-    return kept.select("s_suppkey", "s_name", "s_acctbal", F.row_number().over(Window.orderBy(F.asc_nulls_last("s_acctbal"), "s_suppkey")).cast("long").alias("place"))
+    """Case-insensitive substring filter, then places by a column where lower is better."""
+    kept = table(spark, sf_dir, "supplier").where(F.contains(F.lower("s_name"), F.lit("7"))).select("s_suppkey", "s_name", "s_acctbal")
+    return positions(kept, [F.asc_nulls_last("s_acctbal"), F.asc("s_suppkey")]).select("s_suppkey", "s_name", "s_acctbal", (F.col("position") + 1).alias("place"))
 
 
 @query(

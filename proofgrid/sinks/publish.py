@@ -11,28 +11,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from proofgrid.operators.order import chain_digest, hash_tree, positions
+
 ROWS, GZIP_BYTES = 2000, 512_000
 
 
 def in_shards(df: DataFrame, keys: Sequence[str], rows: int = ROWS) -> DataFrame:
-    """Adds shard: the order by keys cut into runs of `rows`.
-
-    Range partitions give the order and their counts the offsets, so no task ranks the whole table; the counts that reach the driver
-    are a row a partition.
-    """
-    from proofgrid.sinks.storage import staged
-
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    placed = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    placed = staged(placed, "shards")
-    counts = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())
-    base, at = {}, 0
-    for part, k in counts:
-        base[part], at = at, at + k
-    offset = F.create_map(*[F.lit(x) for part in base for x in (part, base[part])])[F.col("_part")] if base else F.lit(0)
-    return placed.withColumn("shard", F.floor((offset + F.col("_pos")) / rows).cast("long")).drop("_part", "_pos")
+    """Adds shard: the order by keys cut into runs of `rows`."""
+    return positions(df, list(keys), "_at").withColumn("shard", F.floor(F.col("_at") / rows).cast("long")).drop("_at")
 
 
 def shard_manifest(df: DataFrame, name: str, keys: Sequence[str], columns: Sequence[str], rows: int = ROWS) -> DataFrame:
@@ -49,19 +35,13 @@ def shard_manifest(df: DataFrame, name: str, keys: Sequence[str], columns: Seque
 
 
 def version_of(manifest: DataFrame, prefix: str = "v1-") -> DataFrame:
-    """One row, version: the prefix and 16 digits of the SHA-256 over all shard hashes in order of dataset and shard.
-
-    A row a shard of 2000 or more rows: the list is a thousandth of the data's rows, and the hash must see it in order.
-    """
-    order = F.array_sort(F.collect_list(F.struct("dataset", "shard", "sha256")))
-    return manifest.agg(F.concat(F.lit(prefix), F.substring(F.sha2(F.array_join(F.transform(order, lambda x: x["sha256"]), ""), 256), 1, 16)).alias("version"))
+    """One row, version: the prefix and 16 digits of the SHA-256 over one dataset's shard hashes in order."""
+    return chain_digest(manifest, "shard", "sha256").select(F.concat(F.lit(prefix), F.substring("digest", 1, 16)).alias("version"))
 
 
-def merkle_root(lines: DataFrame, line: str, buckets: int = 256) -> DataFrame:
-    """root, n: a hash that does not depend on row order: lines sorted within hash buckets, bucket digests in order."""
-    hashed = lines.select(F.sha2(line, 256).alias("h"))
-    parts = hashed.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("root"), F.sum("n").alias("n"))
+def merkle_root(lines: DataFrame, line: str, depth: int | None = None) -> DataFrame:
+    """root, n: a hash of all lines that does not depend on their order."""
+    return hash_tree(lines.select(F.sha2(line, 256).alias("h")), "h", depth).select(F.col("digest").alias("root"), "n")
 
 
 def detail_index(sharded: DataFrame, name: str, fields: Sequence[str]) -> DataFrame:

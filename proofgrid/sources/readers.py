@@ -36,7 +36,7 @@ def markdown(spark: SparkSession, root: str, skip: Sequence[str] = ("node_module
     for name in skip:
         kept = kept.where(~F.concat(F.lit("/"), "rel").contains(f"/{name}/"))
     layer = F.when(F.contains("rel", F.lit("/")), F.substring_index("rel", "/", 1)).otherwise("root")
-    return kept.select(F.col("rel").alias("path"), layer.alias("layer"), F.col("modificationTime").alias("mtime"), F.decode("content", F.lit("utf-8")).alias("text"))
+    return kept.select(F.col("rel").alias("path"), layer.alias("layer"), F.col("modificationTime").alias("mtime"), F.decode("content", "utf-8").alias("text"))
 
 
 def front_matter(text: Column) -> Column:
@@ -70,9 +70,11 @@ def blobs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
-def request_plan(keys: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Every key against every endpoint template (name, path with {id}): the requests of a crawl, which is what is asked for."""
-    return endpoints.crossJoin(keys.select(F.col("id").cast("string").alias("id")).distinct()).select("name", "id", F.replace("path", F.lit("{id}"), F.url_encode("id")).alias("path"))
+def request_plan(keys: DataFrame, endpoints: Sequence[tuple[str, str]]) -> DataFrame:
+    """name, id, path: a request for every key (id) at every endpoint (name, path with {id}); the templates are a given list."""
+    templates = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(path).alias("template")) for name, path in endpoints])
+    each = keys.select(F.col("id").cast("string").alias("id")).distinct().select("id", F.inline(templates))
+    return each.select("name", "id", F.replace("template", F.lit("{id}"), F.url_encode("id")).alias("path"))
 
 
 def published(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
@@ -96,5 +98,5 @@ def eval_cases(files: DataFrame) -> DataFrame:
     """path, fields (front matter), sections (map of `# Name` to its body) of Markdown eval cases (path, text)."""
     parsed = files.select("path", front_matter(F.col("text")).alias("m"))
     parts = F.slice(F.split(F.concat(F.lit("\n"), "m.body"), r"\n# "), F.lit(2), F.lit(1 << 30))
-    entry = lambda p: F.struct(F.trim(F.substring_index(p, "\n", 1)).alias("key"), F.trim(F.when(F.contains(p, F.lit("\n")), F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise("")).alias("value"))
+    entry = lambda p: F.struct(F.trim(F.regexp_extract(p, r"^([^\n]*)", 1)).alias("key"), F.btrim(F.when(F.contains(p, F.lit("\n")), F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise(""), F.lit(" \t\r\n")).alias("value"))
     return parsed.select("path", "m.fields", F.map_from_entries(F.transform(parts, entry)).alias("sections"))
