@@ -51,7 +51,8 @@ class SequenceWriter:
         pad = -len(ids) % self.length
         mask = np.ones(len(ids) + pad, bool)
         if pad:
-            ids, mask[len(ids) :] = np.concatenate([ids, np.zeros(pad, self.dtype)]), False
+            mask[len(ids) :] = False
+            ids = np.concatenate([ids, np.zeros(pad, self.dtype)])
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids, mask), self.schema)]
         self.out.write_batch(pa.record_batch(columns, schema=self.schema))
 
