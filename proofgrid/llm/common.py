@@ -59,6 +59,22 @@ def bucket_of(column: Column, cuts: list) -> Column:
     return tree(0, len(cuts)).cast("int")
 
 
+def likely_members(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str, bits: int = 24) -> DataFrame:
+    """Rows of df whose (integer) column may be among the wanted values: all that are, and some others; nulls go.
+
+    A bitmap of 2**bits positions of hashed values, kept as a table of 64-bit words: at most 2**(bits - 6) rows of two longs
+    whatever the input's size, so it is safe to broadcast and the rows of df are not shuffled.
+    """
+    place = lambda c: F.xxhash64(F.col(c).cast("bigint"))
+    word = lambda c: F.shiftrightunsigned(place(c), 70 - bits)
+    bit = lambda c: F.pmod(place(c), F.lit(64)).cast("int")
+    one = F.lit(1).cast("bigint")
+    marked = wanted.where(F.col(wanted_column).isNotNull()).select(word(wanted_column).alias("_word"), F.call_function("shiftleft", one, bit(wanted_column)).alias("_bit"))
+    words = marked.groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
+    kept = df.where(F.col(column).isNotNull()).withColumn("_word", word(column)).join(F.broadcast(words), "_word")
+    return kept.where(F.col("_mask").bitwiseAND(F.call_function("shiftleft", one, bit(column))) != 0).select(*df.columns)
+
+
 def segments(text: str, limit: int = 1 << 20) -> Iterator[str]:
     """Cuts a long text at ASCII spaces into runs of about `limit` characters; joining them with a space gives the text back."""
     start, n = 0, len(text)

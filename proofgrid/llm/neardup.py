@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import Memo, in_arrow, materialize
+from proofgrid.llm.common import Memo, in_arrow, likely_members, materialize
 from proofgrid.llm.components import connected_components
 
 WORDS, PICKS, SKETCHES, THRESHOLD = 5, 2, 40, 0.8
-#: Word-count sketch: bins of one byte; members of a bucket that a task compares at once.
-BINS, CHUNK = 128, 4096
+#: Word-count sketch: bins of one byte, which also fold into fewer for a first look; members of a bucket that a task compares at once.
+BINS, COARSE, CHUNK = 1024, 128, 4096
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _WORDS: list[Memo] = []
 
@@ -86,19 +86,29 @@ def sketch_in_tasks(k: int, picks: int, sketches: int) -> Callable:
         import xxhash
 
         for batch in batches:
-            counts, digests, bags, keys = [], [], [], []
+            counts, digests, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 words = text.lower().split()
                 hashes = hashed_words(words)
                 counts.append(len(words))
                 digests.append(xxhash.xxh128_hexdigest(" ".join(words).encode("utf-8", "replace")))
-                bags.append(np.minimum(np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                 keys.append(order_sketches(hashes, k, picks, sketches).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(bags, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_words", "digest", "bag", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_words", "digest", "keys"])
 
     return run
 
 
+def count_words_in_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word-count sketches: each word adds one to the bin of its hash, up to 255."""
+    for batch in batches:
+        counts, bags = [], []
+        for text in batch.column("text").to_pylist():
+            hashes = hashed_words(text.lower().split())
+            counts.append(len(hashes))
+            bags.append(np.minimum(np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(bags, pa.binary())], names=["rep", "n_words", "bag"])
+
+
 def banded_distance(a: list, b: list, most: int) -> int | None:
     """The edit distance of two sequences if it is at most `most`, else None: bit-parallel over a diagonal band.
 
@@ -173,16 +183,24 @@ def sift(rows: list[dict], threshold: float, low: int, high: int) -> Iterator[tu
     part = np.array([r["part"] for r in rows])
     ids, group = np.array([r["rep"] for r in rows]), np.array([r["c"] for r in rows])
     bags = np.frombuffer(b"".join(r["bag"] for r in rows), np.uint8).reshape(len(rows), BINS).astype(np.int16)
+    folded = bags.reshape(len(rows), -1, COARSE).sum(axis=1, dtype=np.int16)
     left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
     for i in left:
         others = right[right > i] if low == high else right
         others = others[group[others] != group[i]]
-        longer = np.maximum(n[others], n[i])
-        others = others[np.abs(n[others] - n[i]) <= (1 - threshold) * longer + 1e-9]
-        if len(others):
-            apart = np.abs(bags[others] - bags[i]).sum(axis=1)
-            for k in others[apart <= 2 * ((1 - threshold) * np.maximum(n[others], n[i]) + 1e-9)]:
-                yield min(ids[i], ids[k]), max(ids[i], ids[k])
+        most = (1 - threshold) * np.maximum(n[others], n[i]) + 1e-9
+        # words that one text has beyond the other's: at least as many must go as come in excess on the larger side
+        for sketch in (None, folded, bags):
+            if not len(others):
+                break
+            if sketch is None:
+                near = np.abs(n[others] - n[i]) <= most
+            else:
+                apart = np.abs(sketch[others] - sketch[i]).sum(axis=1, dtype=np.int32)
+                near = (apart + np.abs(n[others] - n[i])) / 2 <= most
+            others, most = others[near], most[near]
+        for k in others:
+            yield min(ids[i], ids[k]), max(ids[i], ids[k])
 
 
 def sift_in_tasks(threshold: float) -> Callable:
@@ -224,19 +242,18 @@ def near_duplicates(
     Words are lower-cased and cut at white space. Null texts and texts without words are equal texts of one class;
     texts of fewer than k words are one k-mer, so only equal ones meet; rows that repeat a doc_id share a class and one of them is kept; a
     null doc_id gets its class but no link of its own and is kept only if the whole class has none; an empty table gives no rows.
-    Ids are integers. Shuffled: sketch keys (8 bytes a sketch), narrow rows of colliding texts, and the texts once to find the colliding ones.
+    Ids are integers; of rows that repeat a doc_id any text may link it. Shuffled: sketch keys (8 bytes a sketch), and the texts of colliding rows;
+    a filter of fixed size picks these where the texts lie.
     """
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketched = materialize(in_arrow(narrow, sketch_in_tasks(k, picks, sketches), "doc_id bigint, n_words bigint, digest string, bag binary, keys array<bigint>"), "sketches")
-    reps = sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("bag").alias("bag"), F.first("keys").alias("keys"))
-    reps = materialize(reps, "representatives")
+    sketched = materialize(in_arrow(narrow, sketch_in_tasks(k, picks, sketches), "doc_id bigint, n_words bigint, digest string, keys array<bigint>"), "sketches")
+    reps = materialize(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "representatives")
     rows = reps.where("rep IS NOT NULL").select(F.explode("keys").alias("key"), "rep")
     bucket = Window.partitionBy("key")
     met = rows.withColumns({"leader": F.min("rep").over(bucket), "size": F.count("*").over(bucket)}).where("size > 1")
     met = materialize(met, "buckets")
     stars = materialize(met.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialize(narrow.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    texts = materialize(likely_members(narrow, "doc_id", met.select("rep").distinct(), "rep"), "texts")
     links = materialize(verified(stars, texts, threshold), "links")
     classes = connected_components(links)
 
@@ -246,7 +263,7 @@ def near_duplicates(
     parts = grouped.join(mixed, "key", "left_semi").withColumn("part", F.floor((F.row_number().over(order) - 1) / CHUNK).cast("int"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / CHUNK).cast("int"))))
     parts = parts.select("key", "rep", "c", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    counted = parts.join(reps.select("rep", "n_words", "bag"), "rep")
+    counted = parts.join(in_arrow(texts, count_words_in_tasks, "rep bigint, n_words bigint, bag binary"), "rep")
     dealt = counted.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     more = in_arrow(dealt.select("key", "rep", "c", "part", "low", "high", "n_words", "bag"), sift_in_tasks(threshold), "a bigint, b bigint")
     more = materialize(more.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
