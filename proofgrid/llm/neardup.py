@@ -268,9 +268,14 @@ def near_duplicates(
     more = in_arrow(dealt.select("key", "rep", "c", "part", "low", "high", "n_words", "bag"), sift_in_tasks(threshold), "a bigint, b bigint")
     more = materialize(more.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     again = materialize(verified(more, texts, threshold), "links")
-    classes = connected_components(links.unionByName(again))
-
-    named = reps.join(classes.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("c", "rep").alias("class_id"))
+    # the second links join classes, not texts
+    first = classes.withColumnRenamed("c", "class")
+    of = lambda end: F.coalesce("class", end)
+    bridges = again.join(first.withColumnRenamed("v", "a"), "a", "left").select(of("a").alias("s"), "b").join(first.withColumnRenamed("v", "b"), "b", "left").select("s", of("b").alias("t"))
+    merged = connected_components(bridges, "s", "t").select(F.col("v").alias("class"), F.col("c").alias("whole"))
+
+    known = reps.select("digest", "rep").join(first.withColumnRenamed("v", "rep"), "rep", "left").select("digest", of("rep").alias("class"))
+    named = known.join(merged, "class", "left").select("digest", F.coalesce("whole", "class").alias("class_id"))
     copies = sketched.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
     first = F.row_number().over(Window.partitionBy("class_id", "doc_id").orderBy(F.lit(0))) == 1
     single = copies.withColumn("first", first)
