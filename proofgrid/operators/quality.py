@@ -171,6 +171,31 @@ def roll_up(checks: DataFrame) -> DataFrame:
     return checks.agg(F.count("*").alias("checks"), F.count_if(F.col("n_failed") > 0).alias("failed"), F.when(F.count_if(F.col("n_failed") > 0) == 0, "complete").otherwise("incomplete").alias("state"))
 
 
+def set_difference_counts(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: missing (keys of left only), unexpected (of right only), equal (neither). Both sides are grouped together once."""
+    tagged = left.select(*keys, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(*keys, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    both = tagged.groupBy(*keys).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    found = both.agg(F.count_if(F.col("r") == 0).alias("missing"), F.count_if(F.col("l") == 0).alias("unexpected"))
+    return found.withColumn("equal", (F.col("missing") == 0) & (F.col("unexpected") == 0))
+
+
+def malformed_ids(df: DataFrame, key: str, json: str, name: str = "[A-Za-z]*[sS]teamids?", form: str = "[0-9]{17}") -> DataFrame:
+    """key, value of every id in a JSON text, at any depth, alone or in a list, that has not the form; numbers never have it."""
+    single = F.regexp_extract_all(json, F.lit(rf'"{name}"\s*:\s*("[^"]*"|-?[0-9.eE+]+|true|false)'), 1)
+    lists = F.regexp_extract_all(json, F.lit(rf'"{name}"\s*:\s*\[([^\]]*)\]'), 1)
+    each = F.flatten(F.transform(lists, lambda s: F.regexp_extract_all(s, F.lit(r'("[^"]*"|[^,\s"]+)'), 1)))
+    values = df.where(F.col(json).isNotNull()).select(key, F.explode(F.concat(single, each)).alias("value"))
+    return values.where(~F.col("value").rlike(f'^"{form}"$'))
+
+
+def merged_payload(df: DataFrame, payload: str, schema: str, drop: Sequence[str] = ()) -> DataFrame:
+    """The fields of a JSON column beside the table's own, which win; the payload column and dropped fields go."""
+    parsed = df.withColumn("_p", F.from_json(payload, schema))
+    own = [c for c in df.columns if c != payload]
+    extra = [f for f in parsed.schema["_p"].dataType.names if f not in own and f not in drop]
+    return parsed.select(*own, *[F.col(f"_p.{f}").alias(f) for f in extra])
+
+
 def json_leaves(df: DataFrame, key: str, json: str) -> DataFrame:
     """key, path, type, value of every leaf of flat or nested JSON objects, down to three levels, with JVM functions only."""
     level = df.select(key, F.explode(F.from_json(json, "map<string,string>")).alias("path", "value"))

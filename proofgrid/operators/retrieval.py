@@ -76,80 +76,107 @@ def phrase_hits(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return places.select("qid", "id", n.alias("n")).where("n > 0")
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int | None = 10, keep: Column | None = None, digits: int = 6) -> DataFrame:
+def best_of(qids, cosines, ids, k: int | None):
+    """The k best columns of each row of a block of cosines, ties by id, as columns qid, id, cosine."""
+    import numpy as np
+
+    picked = [np.lexsort((ids, -row))[:k] for row in cosines]
+    at = np.concatenate(picked) if picked else np.zeros(0, int)
+    rows = np.repeat(np.arange(len(picked)), [len(p) for p in picked])
+    return {"qid": qids[rows], "id": ids[at], "cosine": cosines[rows, at]}
+
+
+def matrix_of(column):
+    """An Arrow list column of equal lengths as a matrix of doubles."""
+    import numpy as np
+
+    data = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return data.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(data), -1)
+
+
+def block_products(left: DataFrame, right: DataFrame, multiply, schema: str, block: int, itself: bool = False) -> DataFrame:
+    """multiply(ids, matrix, ids, matrix, same block) for every pair of blocks of two tables (id, vector); columns as in schema.
+
+    Rows are dealt into blocks of about `block` by their hash, and each task gets two blocks, however many rows there are; with
+    itself, blocks of one table meet once. All pairs of rows are what is asked for, so the work is their number.
+    """
+    ship_package(left.sparkSession)
+    n_left, n_right = (max(1, -(-df.count() // block)) for df in (left, right))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    one = left.withColumn("i", part(n_left)).withColumn("j", F.explode(F.sequence(F.col("i") if itself else F.lit(0), F.lit(n_right - 1)))).withColumn("side", F.lit(0))
+    two = right.withColumn("j", part(n_right)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if itself else F.lit(n_left - 1)))).withColumn("side", F.lit(1))
+
+    def run(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sides = [table.filter(pc.equal(table.column("side"), k)) for k in (0, 1)]
+        if not all(t.num_rows for t in sides):
+            return pa.table({name: pa.array([], kind) for name, kind in (("a", pa.int64()), ("b", pa.int64()), ("c", pa.float64()))}).rename_columns([c.split()[0] for c in schema.split(", ")])
+        same = itself and table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        (a, x), (b, y) = [(t.column("id").to_numpy(), matrix_of(t.column("vector"))) for t in sides]
+        return pa.table(multiply(a, x, b, y, same))
+
+    return one.unionByName(two).groupBy("i", "j").applyInArrow(run, schema)
+
+
+def plain_vectors(df: DataFrame, name: str = "id") -> DataFrame:
+    return df.where("vector IS NOT NULL").select(F.col(name).cast("long").alias("id"), "vector")
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int | None = 10, keep: Column | None = None, digits: int = 6, small: int = SMALL) -> DataFrame:
     """qid, id, cosine, similarity, rank: exact nearest vectors of queries (qid, vector) among vectors (id, vector), all unit length.
 
-    A stated query set against all rows: each task holds the queries as one matrix and multiplies blocks of rows by it,
-    keeping k of each query from every block. The matrix is broadcast behind a check of its size; more queries run in slices.
+    Up to `small` queries go to every task as one matrix, and each batch of rows keeps its k best of each query; more queries
+    meet the rows block by block instead, so no matrix outgrows a task.
     """
     import numpy as np
 
-    rows = vectors if keep is None else vectors.where(keep)
+    rows = plain_vectors(vectors if keep is None else vectors.where(keep))
     spark = vectors.sparkSession
-    ship_package(spark)
-    asked = queries.select("qid", "vector").limit(SMALL + 1).collect()
-    if len(asked) > SMALL:
-        raise ValueError(f"more than {SMALL} queries at once; use similar_pairs for an all-pairs search")
-    if not asked:
-        return spark.createDataFrame([], "qid long, id long, cosine double, similarity double, rank long")
-    held = spark.sparkContext.broadcast((np.array([r.qid for r in asked], np.int64), np.array([r.vector for r in asked], np.float64)))
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        qids, matrix = held.value
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            block = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-            cosines = np.round(matrix @ block.T, digits)
-            for i, qid in enumerate(qids):
-                best = np.lexsort((ids, -cosines[i]))[: k or n]
-                yield pa.RecordBatch.from_pydict({"qid": np.full(len(best), qid), "id": ids[best], "cosine": cosines[i, best]})
-
-    hits = rows.select(F.col("id").cast("long").alias("id"), "vector").where("vector IS NOT NULL").mapInArrow(run, "qid long, id long, cosine double")
+    asked = plain_vectors(queries, "qid")
+    few = asked.limit(small + 1).collect()
+    if len(few) > small:
+        multiply = lambda a, x, b, y, same: best_of(a, np.round(x @ y.T, digits), b, k)
+        hits = block_products(asked, rows, multiply, "qid long, id long, cosine double", BLOCK)
+    elif not few:
+        hits = spark.createDataFrame([], "qid long, id long, cosine double")
+    else:
+        ship_package(spark)
+        held = spark.sparkContext.broadcast((np.array([r.id for r in few], np.int64), np.array([r.vector for r in few], np.float64)))
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            qids, matrix = held.value
+            for batch in batches:
+                if batch.num_rows:
+                    cosines = np.round(matrix @ matrix_of(batch.column("vector")).T, digits)
+                    yield pa.RecordBatch.from_pydict(best_of(qids, cosines, batch.column("id").to_numpy(), k))
+
+        hits = rows.mapInArrow(run, "qid long, id long, cosine double")
     hits = hits.withColumn("similarity", F.round(l2_similarity(F.col("cosine")), digits))
     return hits if k is None else top_k(hits, "cosine", k)
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, others: DataFrame | None = None, block: int = BLOCK, digits: int = 6) -> DataFrame:
-    """a, b, cosine for all pairs (a < b) of vectors (id, vector) with a cosine of threshold or more; of vectors and others if given.
-
-    Rows are dealt into blocks of about `block`; each task multiplies one block by one other, so memory is two blocks however
-    many rows there are. Exact: the work is the square of the rows by nature, spread over all pairs of blocks.
-    """
+    """a, b, cosine for all pairs of vectors (id, vector) with a cosine of threshold or more: a < b, or a of vectors and b of others if given."""
     import numpy as np
 
-    ship_package(vectors.sparkSession)
-    left = vectors.where("vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), "vector")
-    right = left if others is None else others.where("vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), "vector")
-    n_left, n_right = (max(1, -(-df.count() // block)) for df in (left, right))
     itself = others is None
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    one = left.withColumn("i", part(n_left)).withColumn("j", F.explode(F.sequence(F.col("i") if itself else F.lit(0), F.lit(n_right - 1)))).withColumn("side", F.lit(0))
-    two = right.withColumn("j", part(n_right)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if itself else F.lit(n_left - 1)))).withColumn("side", F.lit(1))
-    dealt = one.unionByName(two)
-
-    def multiply(table):
-        import pyarrow as pa
 
-        side = table.column("side").to_numpy()
-        ids = table.column("id").to_numpy()
-        data = np.array(table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        cosines = np.round(data[a] @ data[b].T, digits)
-        x, y = np.nonzero(cosines >= threshold)
-        low, high, value = ids[a[x]], ids[b[y]], cosines[x, y]
+    def multiply(a, x, b, y, same):
+        cosines = np.round(x @ y.T, digits)
+        p, q = np.nonzero(cosines >= threshold)
+        low, high, value = a[p], b[q], cosines[p, q]
         if itself:  # within one block every pair comes up twice
-            same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
             keep = low < high if same else low != high
             low, high, value = low[keep], high[keep], value[keep]
             low, high = np.minimum(low, high), np.maximum(low, high)
-        return pa.table({"a": low, "b": high, "cosine": value})
+        return {"a": low, "b": high, "cosine": value}
 
-    return dealt.groupBy("i", "j").applyInArrow(multiply, "a long, b long, cosine double")
+    left = plain_vectors(vectors)
+    return block_products(left, left if itself else plain_vectors(others), multiply, "a long, b long, cosine double", block, itself)
 
 
 def fuse(lists: Sequence[tuple[str, DataFrame, float]], k: int = 60, top: int | None = 10, digits: int = 9) -> DataFrame:
@@ -257,6 +284,37 @@ def hybrid(queries: DataFrame, docs: DataFrame, links: DataFrame | None = None,
     return fused if rerank is None else rerank(fused)
 
 
+def context(hits: DataFrame, docs: DataFrame, day: str, asof: str, k: int = 12, stale: int = 90) -> DataFrame:
+    """qid, files, least_age, all_stale over the k best hits (qid, id, rank) of each query; docs: id, file, day. Undated files are not stale."""
+    best = hits.where(F.col("rank") <= k).join(docs.select("id", "file", day), "id")
+    age = F.datediff(F.lit(asof).cast("date"), F.col(day))
+    return best.groupBy("qid").agg(F.countDistinct("file").alias("files"), F.min(age).alias("least_age"), F.coalesce(F.bool_and(F.coalesce(age >= stale, F.lit(False))), F.lit(False)).alias("all_stale"))
+
+
+def collective_pass(hits: DataFrame, expected: DataFrame, k: int = 3) -> DataFrame:
+    """qid, category_hit, provider_hit, passed: whether the k best hits (qid, rank, category, provider) hold the probe's category and provider, on any cards."""
+    best = hits.where(F.col("rank") <= k).select("qid", "category", "provider")
+    judged = expected.withColumnsRenamed({"category": "want_category", "provider": "want_provider"}).join(best, "qid", "left")
+    found = judged.groupBy("qid").agg(F.coalesce(F.bool_or(F.col("category") == F.col("want_category")), F.lit(False)).alias("category_hit"), F.coalesce(F.bool_or(F.col("provider") == F.col("want_provider")), F.lit(False)).alias("provider_hit"))
+    return found.withColumn("passed", F.col("category_hit") & F.col("provider_hit"))
+
+
+def closure_with_paths(roots: DataFrame, links: DataFrame, rounds: int = 32) -> DataFrame:
+    """node, path (array from a root) of every reachable node: a shortest path, the least by text among these."""
+    links = links.select("src", "dst").distinct()
+    seen = roots.select("node").distinct().withColumn("path", F.array("node"))
+    sc = roots.sparkSession.sparkContext
+    cut = (lambda df: df.checkpoint()) if sc.getCheckpointDir() else (lambda df: df.persist())
+    seen = fresh = cut(seen)
+    for _ in range(rounds):
+        step = fresh.select(F.col("node").alias("src"), "path").join(links, "src").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
+        fresh = cut(step.groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path")))
+        if fresh.isEmpty():
+            break
+        seen = cut(seen.unionByName(fresh))
+    return seen
+
+
 def evaluate(ranked: DataFrame, relevant: DataFrame, probes: DataFrame, ks: Sequence[int] = (3, 5)) -> DataFrame:
     """A row a category and one for all ('overall'): probes, recall_at_k, mrr over probes (qid, category).
 

@@ -160,6 +160,21 @@ def hrefs(pages: DataFrame) -> DataFrame:
     return pages.select("id", F.posexplode(F.coalesce(found, F.array().cast("array<string>"))).alias("place", "target"))
 
 
+def page_edges(pages: DataFrame, id_col: str = "id") -> DataFrame:
+    """id, kind (href, src, import), target of every reference in HTML or scripts; other sites' (with a scheme) are left out."""
+    patterns = {"href": r'href="([^"]*)"', "src": r'src="([^"]*)"', "import": r"import\s*(?:\(|[^'\"();]*from)?\s*['\"]([^'\"]+)['\"]"}
+    none = F.array().cast("array<string>")
+    found = F.array(*[F.struct(F.lit(kind).alias("kind"), F.coalesce(F.regexp_extract_all("html", F.lit(p), 1), none).alias("targets")) for kind, p in patterns.items()])
+    each = pages.select(id_col, F.inline(found)).select(id_col, "kind", F.explode("targets").alias("target"))
+    return each.where(~F.col("target").rlike("^([a-zA-Z][a-zA-Z0-9+.-]*:|//)"))
+
+
+def meta_hint(fields: Column, keys: Sequence[str]) -> Column:
+    """[meta: k=v; ...] of the listed keys that a map has, in the list's order; empty if it has none. It goes into what is embedded, not into what is stored."""
+    parts = F.concat_ws("; ", *[F.when(F.try_element_at(fields, F.lit(k)).isNotNull(), F.concat(F.lit(f"{k}="), F.try_element_at(fields, F.lit(k)))) for k in keys])
+    return F.when(parts == "", "").otherwise(F.concat(F.lit("[meta: "), parts, F.lit("] ")))
+
+
 def categorized(df: DataFrame, column: str, drops: Sequence[str], exact: dict[str, str], prefixes: Sequence[tuple[str, str]]) -> DataFrame:
     """Adds category: DROP for dropped names, then the exact map, then the first prefix that fits, else DROP."""
     c = F.col(column)

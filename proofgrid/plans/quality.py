@@ -294,3 +294,26 @@ def ignored_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def last_order_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(order).alias("k")).where("k = 1").drop("k")
+
+
+@query("set_equality", "SELECT (SELECT count(*) FROM (SELECT DISTINCT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)) AS missing, (SELECT count(*) FROM (SELECT DISTINCT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer)) AS unexpected, (SELECT count(*) FROM (SELECT DISTINCT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)) + (SELECT count(*) FROM (SELECT DISTINCT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer)) = 0 AS equal")
+def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
+    return quality.set_difference_counts(a, b, ["k"])
+
+
+@query(
+    "malformed_ids",
+    """WITH e AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN CAST(user_id AS VARCHAR) ELSE concat('"', lpad(CAST(user_id AS VARCHAR), CASE WHEN event_id % 7 = 0 THEN 16 ELSE 17 END, '7'), '"') END AS value FROM events) SELECT event_id, value FROM e WHERE NOT regexp_full_match(value, '"[0-9]{17}"')""",
+)
+def malformed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids built from the user id: every fifth a number, every seventh a digit short."""
+    value = F.when(F.col("event_id") % 5 == 0, F.col("user_id").cast("string")).otherwise(F.concat(F.lit('"'), F.call_function("lpad", F.col("user_id").cast("string"), F.when(F.col("event_id") % 7 == 0, 16).otherwise(17), F.lit("7")), F.lit('"')))
+    json = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a": {"steamid": '), value, F.lit("}}"))).otherwise(F.concat(F.lit('{"ctSteamids": ['), value, F.lit("]}")))
+    return quality.malformed_ids(table(spark, sf_dir, "events").select("event_id", json.alias("j")), "event_id", "j")
+
+
+@query("payload_merge", "SELECT event_id, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def payload_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.concat(F.lit('{"kind": "lost", "n": [1], '), F.substring("props", 2, 1000)).alias("props"))
+    return quality.merged_payload(events, "props", "kind string, k bigint, n array<int>", drop=["n"])

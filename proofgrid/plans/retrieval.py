@@ -232,3 +232,26 @@ def eval_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def baseline_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     baseline = spark.createDataFrame([("overall", 5, 0.9, 1.0, 0.7), ("even", 3, 0.5, 0.5, 0.5)], "category string, probes long, recall_at_3 double, recall_at_5 double, mrr double")
     return retrieval.regression(evaluation(spark, sf_dir), baseline, ["recall_at_3", "recall_at_5", "mrr"])
+
+
+@query(
+    "context_builder",
+    f"""WITH {PLAIN_KNN}, d AS (SELECT vec_id AS id, vec_id // 10 AS file, CASE WHEN vec_id % 3 <> 0 THEN DATE '2024-01-01' + CAST(vec_id AS INTEGER) END AS day FROM embeddings)
+    SELECT qid, count(DISTINCT file) AS files, CAST(min(date_diff('day', day, DATE '2024-12-01')) AS INTEGER) AS least_age, bool_and(coalesce(date_diff('day', day, DATE '2024-12-01') >= 90, false)) AS all_stale FROM knn JOIN d USING (id) WHERE rank <= 12 GROUP BY qid""",
+)
+def context_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve nearest chunks of each query; days follow from the ids, every third is undated."""
+    docs = vectors(spark, sf_dir).select("id", F.expr("id div 10").alias("file"), F.when(F.col("id") % 3 != 0, F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int"))).alias("day"))
+    return retrieval.context(retrieval.knn(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 12), docs, "day", "2024-12-01")
+
+
+@query(
+    "collective_verdict",
+    f"""WITH {PLAIN_KNN}, h AS (SELECT qid, label % 3 AS category, id % 4 AS provider FROM knn JOIN embeddings ON vec_id = id WHERE rank BETWEEN 2 AND 4)
+    SELECT qid, bool_or(category = 1) AS category_hit, bool_or(provider = qid % 3) AS provider_hit, bool_or(category = 1) AND bool_or(provider = qid % 3) AS passed FROM h GROUP BY qid""",
+)
+def collective_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.knn(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 4).join(vectors(spark, sf_dir).select("id", "label"), "id")
+    hits = hits.where("rank >= 2").select("qid", (F.col("rank") - 1).alias("rank"), (F.col("label") % 3).alias("category"), (F.col("id") % 4).alias("provider"))
+    expected = vector_queries(spark, sf_dir).select("qid", F.lit(1).alias("category"), (F.col("qid") % 3).alias("provider"))
+    return retrieval.collective_pass(hits, expected)

@@ -142,3 +142,20 @@ def claim_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with 'The' read as claims and 'and' as citations, as the texts have neither; each line is a paragraph."""
     line = F.transform(F.split("text", "\n"), lambda s: F.concat(F.when(F.contains(s, F.lit("The")), "FACT").otherwise(""), F.when(F.contains(s, F.lit("and")), " [source: x]").otherwise("")))
     return texts.claim_coverage(documents(spark, sf_dir).select("id", F.array_join(line, "\n\n").alias("text")))
+
+
+@query(
+    "page_edges",
+    """WITH r AS (SELECT page_id, 'href' AS kind, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages UNION ALL SELECT page_id, 'src', unnest(regexp_extract_all(html, 'src="([^"]*)"', 1)) FROM pages)
+    SELECT * FROM r WHERE NOT regexp_matches(target, '^([a-zA-Z][a-zA-Z0-9+.-]*:|//)')""",
+)
+def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No page has import statements, so the SQL has no branch for them."""
+    return texts.page_edges(table(spark, sf_dir, "pages"), "page_id")
+
+
+@query("meta_hints", "SELECT doc_id, concat('[meta: lang=', lang, CASE WHEN n_chars > 1000 THEN concat('; size=', n_chars) ELSE '' END, '] ') AS hint FROM documents WHERE lang IS NOT NULL")
+def meta_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("lang IS NOT NULL")
+    fields = F.map_filter(F.create_map(F.lit("size"), F.when(F.col("n_chars") > 1000, F.col("n_chars").cast("string")), F.lit("other"), F.lit("x"), F.lit("lang"), F.col("lang")), lambda k, v: v.isNotNull())
+    return docs.select("doc_id", texts.meta_hint(fields, ["lang", "date", "size"]).alias("hint"))
