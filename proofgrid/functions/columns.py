@@ -87,7 +87,8 @@ def citation_target(c: Column) -> Column:
 
 
 def citation_line(c: Column) -> Column:
-    return F.expr("int(null)") if c is None else F.try_to_number(F.nullif(F.regexp_extract(c, r":([0-9]{1,9})(-[0-9]+)?$", 1), F.lit("")), F.lit("999999999")).cast("int")
+    """The (first) line that a citation names, or null."""
+    return F.nullif(F.regexp_extract(c, r":([0-9]{1,9})(-[0-9]+)?$", 1), F.lit("")).cast("int")
 
 
 def snippet(c: Column, most: int = 240) -> Column:
