@@ -177,12 +177,14 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def sift(rows: list[dict], threshold: float, low: int, high: int) -> Iterator[tuple[int, int]]:
     """Pairs of a bucket's members that differ in component and may be similar by length and word counts.
 
-    low and high are the two chunks that meet; within one chunk each pair is met once.
+    low and high are the two chunks that meet; within one chunk each pair is met once. A pair that shares several buckets
+    comes out of the first of them only.
     """
     n = np.array([r["n_words"] for r in rows], np.int64)
     part = np.array([r["part"] for r in rows])
     ids, group = np.array([r["rep"] for r in rows]), np.array([r["c"] for r in rows])
     bags = np.frombuffer(b"".join(r["bag"] for r in rows), np.uint8).reshape(len(rows), BINS).astype(np.int16)
+    keys, here = np.array([r["keys"] for r in rows], np.int64), rows[0]["key"]
     folded = bags.reshape(len(rows), -1, COARSE).sum(axis=1, dtype=np.int16)
     left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
     for i in left:
@@ -199,6 +201,9 @@ def sift(rows: list[dict], threshold: float, low: int, high: int) -> Iterator[tu
                 apart = np.abs(sketch[others] - sketch[i]).sum(axis=1, dtype=np.int32)
                 near = (apart + np.abs(n[others] - n[i])) / 2 <= most
             others, most = others[near], most[near]
+        if len(others):
+            first = (keys[others] == keys[i]).argmax(axis=1)
+            others = others[keys[i, first] == here]
         for k in others:
             yield min(ids[i], ids[k]), max(ids[i], ids[k])
 
@@ -262,10 +267,12 @@ def near_duplicates(
     order = Window.partitionBy("key").orderBy("rep")
     parts = grouped.join(mixed, "key", "left_semi").withColumn("part", F.floor((F.row_number().over(order) - 1) / CHUNK).cast("int"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / CHUNK).cast("int"))))
-    parts = parts.select("key", "rep", "c", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    counted = parts.join(in_arrow(texts, count_words_in_tasks, "rep bigint, n_words bigint, bag binary"), "rep")
+    parts = materialize(parts.select("key", "rep", "c", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")), "meetings")
+    members = parts.select("rep").distinct()
+    bags = in_arrow(likely_members(texts, "doc_id", members, "rep"), count_words_in_tasks, "rep bigint, n_words bigint, bag binary")
+    counted = parts.join(bags, "rep").join(likely_members(reps.select("rep", "keys"), "rep", members, "rep"), "rep").where(F.array_contains("keys", F.col("key")))
     dealt = counted.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    more = in_arrow(dealt.select("key", "rep", "c", "part", "low", "high", "n_words", "bag"), sift_in_tasks(threshold), "a bigint, b bigint")
+    more = in_arrow(dealt.select("key", "rep", "c", "part", "low", "high", "n_words", "bag", "keys"), sift_in_tasks(threshold), "a bigint, b bigint")
     more = materialize(more.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     again = materialize(verified(more, texts, threshold), "links")
     # the second links join classes, not texts
