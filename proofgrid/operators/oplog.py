@@ -14,13 +14,13 @@ def weekly(log: DataFrame, at: str, kind: str, timing: str, passed: Column, empt
     """week, kind, n, pass_rate, empty_rate (three decimals, half up), mean_timing; rates are null where nothing was judged."""
     rows = log.select(iso_week(F.col(at).cast("date")).alias("week"), F.col(kind).alias("kind"), F.col(timing).cast("decimal(18,4)").alias("t"), passed.alias("p"), empty.alias("e"))
     found = rows.groupBy("week", "kind").agg(F.count("*").alias("n"), F.count("p").alias("judged"), F.count_if("p").alias("passed"), F.count("e").alias("searched"), F.count_if("e").alias("empty"), F.sum("t").cast("double").alias("t"), F.count("t").alias("timed"))
-    return found.select("week", "kind", "n", half_up(ratio("passed", "judged"), 3).alias("pass_rate"), half_up(ratio("empty", "searched"), 3).alias("empty_rate"), F.round(ratio("t", "timed"), 4).alias("mean_timing"))
+    return found.select("week", "kind", "n", half_up(ratio("passed", "judged"), 3).alias("pass_rate"), half_up(ratio("empty", "searched"), 3).alias("empty_rate"), F.round(ratio("t", "timed"), 9).alias("mean_timing"))
 
 
 def kind_summary(log: DataFrame, kind: str, timing: str) -> DataFrame:
     """kind, n, mean_timing over rows that have one."""
     found = log.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.col(timing).cast("decimal(18,4)")).cast("double").alias("t"), F.count(timing).alias("timed"))
-    return found.select("kind", "n", F.round(ratio("t", "timed"), 4).alias("mean_timing"))
+    return found.select("kind", "n", F.round(ratio("t", "timed"), 9).alias("mean_timing"))
 
 
 def top_values(log: DataFrame, column: str, k: int = 20) -> DataFrame:

@@ -14,14 +14,14 @@ from proofgrid.session import table
 @query(
     "weekly_ops_metrics",
     """WITH r AS (SELECT concat(isoyear(ts), '-W', lpad(CAST(weekofyear(ts) AS VARCHAR), 2, '0')) AS week, event_type AS kind, CAST(value AS DECIMAL(18,4)) AS t, CASE WHEN event_type = 'purchase' THEN value >= 20 END AS p, CASE WHEN event_type = 'view' THEN value < 5 END AS e FROM events)
-    SELECT week, kind, count(*) AS n, floor(CAST(count(CASE WHEN p THEN 1 END) AS DOUBLE) / nullif(count(p), 0) * 1000 + 0.5::DOUBLE) / 1000 AS pass_rate, floor(CAST(count(CASE WHEN e THEN 1 END) AS DOUBLE) / nullif(count(e), 0) * 1000 + 0.5::DOUBLE) / 1000 AS empty_rate, round(CAST(sum(t) AS DOUBLE) / count(t), 4) AS mean_timing FROM r GROUP BY ALL""",
+    SELECT week, kind, count(*) AS n, floor(CAST(count(CASE WHEN p THEN 1 END) AS DOUBLE) / nullif(count(p), 0) * 1000 + 0.5::DOUBLE) / 1000 AS pass_rate, floor(CAST(count(CASE WHEN e THEN 1 END) AS DOUBLE) / nullif(count(e), 0) * 1000 + 0.5::DOUBLE) / 1000 AS empty_rate, round(CAST(sum(t) AS DOUBLE) / count(t), 9) AS mean_timing FROM r GROUP BY ALL""",
 )
 def weekly_ops_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     return oplog.weekly(table(spark, sf_dir, "events"), "ts", "event_type", "value", F.when(kind == "purchase", F.col("value") >= 20), F.when(kind == "view", F.col("value") < 5))
 
 
-@query("kind_summary", "SELECT event_type AS kind, count(*) AS n, round(CAST(sum(CAST(CASE WHEN value >= 1 THEN value END AS DECIMAL(18,4))) AS DOUBLE) / count(CASE WHEN value >= 1 THEN 1 END), 4) AS mean_timing FROM events GROUP BY 1")
+@query("kind_summary", "SELECT event_type AS kind, count(*) AS n, round(CAST(sum(CAST(CASE WHEN value >= 1 THEN value END AS DECIMAL(18,4))) AS DOUBLE) / count(CASE WHEN value >= 1 THEN 1 END), 9) AS mean_timing FROM events GROUP BY 1")
 def kind_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values under 1 read as missing timings."""
     events = table(spark, sf_dir, "events").withColumn("value", F.when(F.col("value") >= 1, F.col("value")))

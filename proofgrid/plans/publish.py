@@ -76,7 +76,7 @@ def distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "streamed_kinds",
-    """WITH e AS (SELECT date_trunc('day', ts) AS start, event_type AS kind, CAST(value AS DECIMAL(18,4)) AS v FROM events), g AS (SELECT CAST(start AS TIMESTAMP) AS start, kind, count(*) AS n, round(CAST(sum(v) AS DOUBLE) / count(*), 4) AS mean_timing FROM e GROUP BY start, kind)
+    """WITH e AS (SELECT date_trunc('day', ts) AS start, event_type AS kind, CAST(value AS DECIMAL(18,4)) AS v FROM events), g AS (SELECT CAST(start AS TIMESTAMP) AS start, kind, count(*) AS n, round(CAST(sum(v) AS DOUBLE) / count(*), 9) AS mean_timing FROM e GROUP BY start, kind)
     SELECT * FROM g WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
 )
 def streamed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FUSED_SQL = """fused AS (SELECT coalesce(v.qid, b.qid) AS qid, coalesce(v.id, b.id) AS id, v.rank AS vec_rank, b.rank AS bm25_rank, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS fused
-  FROM (SELECT * FROM knn WHERE rank <= 50) v FULL JOIN (SELECT * FROM bm_ranked WHERE rank <= 50) b ON v.qid = b.qid AND v.id = b.id),
+  FROM (SELECT * FROM knn WHERE rank <= 50 AND qid IN (SELECT qid FROM asked)) v FULL JOIN (SELECT * FROM bm_ranked WHERE rank <= 50) b ON v.qid = b.qid AND v.id = b.id),
 fused_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, vec_rank NULLS LAST, bm25_rank NULLS LAST, id) AS rank FROM fused)"""
 DOC_QUERIES_SQL = "asked AS (SELECT doc_id AS qid, (" + WORDS_SQL.format("text") + ")[1:6] AS w FROM documents JOIN embeddings ON vec_id = doc_id WHERE vec_id % 100 = 0), corpus AS (SELECT doc_id AS id, text FROM documents),"
 DOC_BM25 = BM25_SQL.format(q=DOC_QUERIES_SQL, words=WORDS_SQL.format("text"))

@@ -23,7 +23,7 @@ def windowed_kinds(events: DataFrame, at: str, kind: str, timing: str, size: str
     """start, kind, n, mean_timing of tumbling windows; a window is final once the watermark has passed it."""
     rows = timed(events, at).withWatermark(at, late).groupBy(F.window(at, size).alias("w"), F.col(kind).alias("kind"))
     found = rows.agg(F.count("*").alias("n"), F.sum(F.col(timing).cast("decimal(18,4)")).alias("t"), F.count(timing).alias("timed"))
-    return found.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "kind", "n", F.round(F.try_divide(F.col("t").cast("double"), F.col("timed").cast("double")), 4).alias("mean_timing"))
+    return found.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "kind", "n", F.round(F.try_divide(F.col("t").cast("double"), F.col("timed").cast("double")), 9).alias("mean_timing"))
 
 
 def sessions(events: DataFrame, at: str, entity: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
