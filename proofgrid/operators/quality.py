@@ -156,7 +156,7 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: str =
     """The row of the least hash of every stratum, then rows by hash up to n in all: keys with `mandatory`."""
     hashed = df.select(key, stratum, F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256).alias("_h"))
     firsts = hashed.groupBy(stratum).agg(F.min(F.struct("_h", key)).alias("f")).select(F.col(f"f.{key}").alias(key), F.lit(True).alias("mandatory"))
-    marked = hashed.join(F.broadcast(firsts) if n <= 100_000 else firsts, key, "left").withColumn("mandatory", F.coalesce("mandatory", F.lit(False)))
+    marked = hashed.join(firsts, key, "left").withColumn("mandatory", F.coalesce("mandatory", F.lit(False)))
     return marked.orderBy(F.desc("mandatory"), "_h", key).limit(n).select(key, stratum, "mandatory")
 
 

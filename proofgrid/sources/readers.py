@@ -87,11 +87,12 @@ def published(spark: SparkSession, folder: str, schema: str | None = None) -> Da
 
 
 def published_keys(spark: SparkSession, folder: str, index: DataFrame, field: str, key: str, schema: str | None = None) -> DataFrame:
-    """Rows of one key: the index names the shards, and only their files are read."""
-    paths = [r.path for r in index.where((F.col("field") == field) & (F.col("key") == str(key))).select("path").distinct().limit(10_000).collect()]
+    """Rows of one key: the index names the shards, and only their files are read; a key of more than 1000 shards is a filter only."""
+    paths = [r.path for r in index.where((F.col("field") == field) & (F.col("key") == str(key))).select("path").distinct().limit(1001).collect()]
     shards = sorted({int(p.rsplit("-", 1)[1].split(".")[0]) for p in paths})
     data = published(spark, folder, schema)
-    return data.where(F.col("shard").isin(shards) & (F.col(field).cast("string") == str(key))) if shards else data.limit(0)
+    found = data.where(F.col(field).cast("string") == str(key)) if shards else data.limit(0)
+    return found.where(F.col("shard").isin(shards)) if len(shards) <= 1000 else found
 
 
 def eval_cases(files: DataFrame) -> DataFrame:
