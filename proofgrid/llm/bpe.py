@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import in_arrow
+from proofgrid.llm.common import in_arrow, kept
 
 BLOCK_CHARS = 4 << 20
 #: Bytes of the longest piece that waves take, and the mark of a pair that makes no token.
 LONG, NONE = 64, np.int32(2**31 - 1)
-_CODERS: dict[tuple, "Coder"] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -182,7 +181,7 @@ class Replay:
 class Coder:
     """Units of text to values made of their ids, with a memo of two generations of at most about `cap` units each."""
 
-    def __init__(self, path: str, pattern: str, form: Callable[[Replay, list[int]], object], cap: int = 300_000):
+    def __init__(self, path: str, pattern: str, form: Callable[[Replay, list[int]], object], cap: int = 200_000):
         import regex
 
         self.replay, self.find, self.safe, self.form, self.cap = Replay(load_ranks(path)), regex.compile(pattern).findall, regex.compile(r"(?<=\S) (?=\S)"), form, cap
@@ -194,9 +193,10 @@ class Coder:
     @classmethod
     def of(cls, path: str, pattern: str, form) -> "Coder":
         key = path, pattern, form.__name__
-        if key not in _CODERS:
-            _CODERS[key] = cls(path, pattern, form)
-        return _CODERS[key]
+        mine = kept(__name__)
+        if key not in mine:
+            mine[key] = cls(path, pattern, form)
+        return mine[key]
 
     def units(self, text: str, careful: bool = False) -> list[list]:
         """Runs of units that join to the text. A unit is a word with the space before it; a tuple has no space before it.

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +92,7 @@ def segments(text: str, limit: int = 1 << 20) -> Iterator[str]:
 class Memo(dict):
     """A dict of at most 2 * cap entries that fills itself by `make`; entries unused for a whole generation go first."""
 
-    def __init__(self, make, cap: int = 300_000):
+    def __init__(self, make, cap: int = 200_000):
         super().__init__()
         self.make, self.cap, self.old = make, cap, {}
 
@@ -105,7 +107,35 @@ class Memo(dict):
         return value
 
 
-def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """df.mapInArrow, with this package at hand on the executors."""
+#: What a Python worker keeps from task to task, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """The memos and models that a worker keeps for one operator."""
+    return _KEPT.setdefault(owner, {})
+
+
+def let_go(owner: str) -> None:
+    """Frees what other operators have kept in this worker, which Spark uses again for any task that comes."""
+    others = [k for k in _KEPT if k != owner]
+    for k in others:
+        del _KEPT[k]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def in_arrow(df: DataFrame, fn, schema: str, owner: str | None = None) -> DataFrame:
+    """df.mapInArrow, with this package at hand on the executors; a task first frees what other operators keep there.
+
+    owner names the module whose memos the function uses, if that is not its own.
+    """
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    owner = owner or fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(owner)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)

@@ -20,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import Memo, in_arrow, likely_members, materialize
+from proofgrid.llm.common import Memo, in_arrow, kept, likely_members, materialize
 from proofgrid.llm.components import connected_components
 
 WORDS, PICKS, SKETCHES, THRESHOLD = 5, 2, 40, 0.8
 #: Word-count sketch: bins of one byte, which also fold into fewer for a first look; members of a bucket that a task compares at once.
 BINS, COARSE, CHUNK = 1024, 128, 4096
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_WORDS: list[Memo] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,11 +36,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hashed_words(words: list[str]) -> np.ndarray:
-    if not _WORDS:
+    mine = kept(__name__)
+    if "words" not in mine:
         import xxhash
 
-        _WORDS.append(Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))))
-    return np.fromiter(map(_WORDS[0].__getitem__, words), np.uint64, len(words))
+        mine["words"] = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")))
+    return np.fromiter(map(mine["words"].__getitem__, words), np.uint64, len(words))
 
 
 def order_sketches(hashes: np.ndarray, k: int = WORDS, picks: int = PICKS, sketches: int = SKETCHES) -> np.ndarray:

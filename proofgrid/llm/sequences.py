@@ -150,7 +150,7 @@ def write_sequences(docs: DataFrame, tokenizer_path: str, folder: str, end_id: i
     cuts = cut_points(narrow.select("doc_id"), "doc_id", n)
     ordered = narrow.withColumn("run", bucket_of(F.col("doc_id"), cuts)).repartitionById(len(cuts) + 1, "run").sortWithinPartitions("doc_id")
     schema = "run int, seq string, index string, n_docs long, n_tokens long"
-    found = sorted(map(tuple, in_arrow(ordered, write_in_tasks(tokenizer_path, folder, end_id, length), schema).collect()))
+    found = sorted(map(tuple, in_arrow(ordered, write_in_tasks(tokenizer_path, folder, end_id, length), schema, owner="proofgrid.llm.tokens").collect()))
     out, base = [], 0
     for run, seq, index, n_docs, n_tokens in found:
         out.append((run, base, seq, index, n_docs, n_tokens))

@@ -16,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import Memo, in_arrow, segments
+from proofgrid.llm.common import Memo, in_arrow, kept, segments
 
 BATCH_BYTES = 4 << 20
 #: Marks that the pre-tokenizer cuts from the letters before them.
 MARKS = (".", ",", "!", "?", ";", ":")
-_ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
@@ -46,9 +45,10 @@ class WordEncoder:
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
+        mine = kept(__name__)
+        if path not in mine:
+            mine[path] = cls(path)
+        return mine[path]
 
     @staticmethod
     def simpler(word: str) -> tuple[str, ...] | None:
