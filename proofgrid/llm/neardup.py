@@ -8,6 +8,10 @@ distance is at most (1 - threshold) of the longer text. Classes are the componen
 Equal texts are merged first. Candidates come in two steps, so that a group of thousands of copies never yields all of
 its pairs: every bucket's members meet its least member; then, only in buckets that still hold several components,
 members of different components meet, sifted by a bound on the edit distance from word-count sketches.
+
+Edits spread over a text can leave no k-mer whole, but never few word pairs: a link at 0.8 of n words keeps at least 0.6 n - 1
+of its n - 1 pairs wherever the edits lie. So a third step sketches word pairs (`PAIR_SKETCHES`; one pick, not three, where
+the texts are short) and lets those of different components meet in the same way.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from proofgrid.llm.components import connected_components
 WORDS, PICKS, SKETCHES, THRESHOLD = 5, 2, 40, 0.8
 #: Word-count sketch: bins of one byte, which also fold into fewer for a first look; members of a bucket that a task compares at once.
 BINS, COARSE, CHUNK = 1024, 128, 4096
+#: Sketches of word pairs: (pairs picked, sketches) for texts of FEW words and more, and for shorter ones.
+PAIR_SKETCHES, FEW_SKETCHES, FEW = (3, 96), (1, 24), 40
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -81,19 +87,32 @@ def order_sketches(hashes: np.ndarray, k: int = WORDS, picks: int = PICKS, sketc
     return out
 
 
-def sketch_in_tasks(k: int, picks: int, sketches: int) -> Callable:
+def pair_sketches(hashes: np.ndarray, k: int, threshold: float) -> np.ndarray:
+    """The word-pair sketches of a text of k words or more: two texts that may be linked have those of short texts both, or those of long ones."""
+    n, out = len(hashes), [np.zeros(0, np.uint64)]
+    if n >= max(k, FEW):
+        out.append(order_sketches(hashes, 2, *PAIR_SKETCHES))
+    if k <= n and n * threshold <= FEW:
+        out.append(mix(order_sketches(hashes, 2, *FEW_SKETCHES)))
+    return np.concatenate(out)
+
+
+def sketch_in_tasks(k: int, picks: int, sketches: int, threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            counts, digests, keys = [], [], []
+            counts, digests, keys, pair_keys = [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = text.lower().split()
                 hashes = hashed_words(words)
                 counts.append(len(words))
                 digests.append(xxhash.xxh128_hexdigest(" ".join(words).encode("utf-8", "replace")))
                 keys.append(order_sketches(hashes, k, picks, sketches).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_words", "digest", "keys"])
+                pair_keys.append(pair_sketches(hashes, k, threshold).view(np.int64))
+            longs = pa.list_(pa.int64())
+            arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(keys, longs), pa.array(pair_keys, longs)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "digest", "keys", "pair_keys"])
 
     return run
 
@@ -239,6 +258,20 @@ def pairs_batch(found: set) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
+def meetings(grouped: DataFrame) -> DataFrame:
+    """Members of buckets (key, rep, c, size) dealt to the meetings of chunks: with part, low and high."""
+    order = Window.partitionBy("key").orderBy("rep")
+    parts = grouped.withColumn("part", F.floor((F.row_number().over(order) - 1) / CHUNK).cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / CHUNK).cast("int"))))
+    return materialize(parts.select("key", "rep", "c", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")), "meetings")
+
+
+def sifted(counted: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of the members that meet and may be similar; counted: what meetings() gives with n_words, bag, keys."""
+    dealt = counted.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return in_arrow(dealt.select("key", "rep", "c", "part", "low", "high", "n_words", "bag", "keys"), sift_in_tasks(threshold), "a bigint, b bigint").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, picks: int = PICKS, sketches: int = SKETCHES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -248,11 +281,13 @@ def near_duplicates(
     texts of fewer than k words are one k-mer, so only equal ones meet; rows that repeat a doc_id share a class and one of them is kept; a
     null doc_id gets its class but no link of its own and is kept only if the whole class has none; an empty table gives no rows.
     Ids are integers; of rows that repeat a doc_id any text may link it. Shuffled: sketch keys (8 bytes a sketch), and the texts of colliding rows;
-    a filter of fixed size picks these where the texts lie.
+    a filter of fixed size picks these where the texts lie. Of word pairs only the buckets travel on in which texts of different classes
+    and like lengths meet.
     """
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketched = materialize(in_arrow(narrow, sketch_in_tasks(k, picks, sketches), "doc_id bigint, n_words bigint, digest string, keys array<bigint>"), "sketches")
-    reps = materialize(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "representatives")
+    sketched = materialize(in_arrow(narrow, sketch_in_tasks(k, picks, sketches, threshold), "doc_id bigint, n_words bigint, digest string, keys array<bigint>, pair_keys array<bigint>"), "sketches")
+    firsts = [F.first(c).alias(c) for c in ("n_words", "keys", "pair_keys")]
+    reps = materialize(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), *firsts), "representatives")
     rows = reps.where("rep IS NOT NULL").select(F.explode("keys").alias("key"), "rep")
     bucket = Window.partitionBy("key")
     met = rows.withColumns({"leader": F.min("rep").over(bucket), "size": F.count("*").over(bucket)}).where("size > 1")
@@ -264,16 +299,11 @@ def near_duplicates(
 
     grouped = met.join(classes.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     mixed = grouped.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
-    order = Window.partitionBy("key").orderBy("rep")
-    parts = grouped.join(mixed, "key", "left_semi").withColumn("part", F.floor((F.row_number().over(order) - 1) / CHUNK).cast("int"))
-    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / CHUNK).cast("int"))))
-    parts = materialize(parts.select("key", "rep", "c", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")), "meetings")
+    parts = meetings(grouped.join(mixed, "key", "left_semi"))
     members = parts.select("rep").distinct()
     bags = in_arrow(likely_members(texts, "doc_id", members, "rep"), count_words_in_tasks, "rep bigint, n_words bigint, bag binary")
     counted = parts.join(bags, "rep").join(likely_members(reps.select("rep", "keys"), "rep", members, "rep"), "rep").where(F.array_contains("keys", F.col("key")))
-    dealt = counted.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    more = in_arrow(dealt.select("key", "rep", "c", "part", "low", "high", "n_words", "bag", "keys"), sift_in_tasks(threshold), "a bigint, b bigint")
-    more = materialize(more.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(sifted(counted, threshold).join(stars, ["a", "b"], "left_anti"), "pairs")
     again = materialize(verified(more, texts, threshold), "links")
     # the second links join classes, not texts
     first = classes.withColumnRenamed("c", "class")
@@ -281,8 +311,24 @@ def near_duplicates(
     bridges = again.join(first.withColumnRenamed("v", "a"), "a", "left").select(of("a").alias("s"), "b").join(first.withColumnRenamed("v", "b"), "b", "left").select("s", of("b").alias("t"))
     merged = connected_components(bridges, "s", "t").select(F.col("v").alias("class"), F.col("c").alias("whole"))
 
-    known = reps.select("digest", "rep").join(first.withColumnRenamed("v", "rep"), "rep", "left").select("digest", of("rep").alias("class"))
-    named = known.join(merged, "class", "left").select("digest", F.coalesce("whole", "class").alias("class_id"))
+    known = reps.join(first.withColumnRenamed("v", "rep"), "rep", "left").select(*reps.columns, of("rep").alias("class"))
+    known = materialize(known.join(merged, "class", "left").select(*reps.columns, F.coalesce("whole", "class").alias("c")), "classes")
+
+    # word pairs: only buckets in which classes meet, and only members that have another of like length beside them
+    rows = known.where("rep IS NOT NULL").select(F.explode("pair_keys").alias("key"), "rep", "c", "n_words")
+    by_length = Window.partitionBy("key").orderBy("n_words")
+    like = lambda less, n: less >= n * threshold - 1e-6
+    beside = F.coalesce(like(F.lag("n_words").over(by_length), F.col("n_words")), F.lit(False)) | F.coalesce(like(F.col("n_words"), F.lead("n_words").over(by_length)), F.lit(False))
+    rows = rows.withColumns({"beside": beside, "least": F.min("c").over(bucket), "most": F.max("c").over(bucket)}).where("beside AND least <> most")
+    parts = meetings(rows.select("key", "rep", "c").withColumn("size", F.count("*").over(bucket)))
+    bags = in_arrow(likely_members(narrow, "doc_id", parts.select("rep").distinct(), "rep"), count_words_in_tasks, "rep bigint, n_words bigint, bag binary")
+    counted = parts.join(bags, "rep").withColumn("keys", F.array("key"))
+    last = materialize(sifted(counted, threshold).join(stars.unionByName(more), ["a", "b"], "left_anti"), "pairs")
+    ends = last.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    late = materialize(verified(last, likely_members(narrow, "doc_id", ends, "rep"), threshold), "links")
+    in_class = lambda end, name: known.where("rep IS NOT NULL").select(F.col("rep").alias(end), F.col("c").alias(name)).distinct()
+    merged = connected_components(late.join(in_class("a", "s"), "a").join(in_class("b", "t"), "b"), "s", "t").select(F.col("v").alias("c"), F.col("c").alias("whole"))
+    named = known.join(merged, "c", "left").select("digest", F.coalesce("whole", "c").alias("class_id"))
     copies = sketched.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
     first = F.row_number().over(Window.partitionBy("class_id", "doc_id").orderBy(F.lit(0))) == 1
     single = copies.withColumn("first", first)

@@ -514,6 +514,26 @@ def test_texts_that_share_a_long_repeat_are_sifted(spark):
     assert got == brute_classes(rows)
 
 
+def spread(n, gap, start):
+    """Places of edits in a text of n words, one in every `gap`."""
+    return list(range(start, n, gap))
+
+
+def test_spread_edits_down_to_five_words_are_found(spark):
+    """Pairs whose edits leave no 5 words, or one run of 5, whole; each pair is linked and no two pairs are."""
+    from proofgrid.llm import neardup
+
+    random.seed(21)
+    cases = [(5, [2]), (6, [3]), (7, [3]), (10, [4]), (10, [3, 7]), (11, [5]), (20, [6, 13]), (20, spread(20, 5, 4)), (45, spread(45, 5, 4)), (100, spread(100, 5, 4)), (400, spread(400, 5, 4)), (400, spread(400, 7, 3))]
+    rows = []
+    for n, places in cases * 4:
+        words = [f"w{random.randrange(10**6)}" for _ in range(n)]
+        changed = [f"v{random.randrange(10**6)}" if k in places else w for k, w in enumerate(words)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(changed))]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 # --- components, filters, pipeline
 
 
