@@ -1,7 +1,8 @@
 """A corpus pipeline over `documents`: each stage applies one operator to all its predecessor kept.
 
 STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next one's docs. All but the last return the columns of documents.
+and read again as the next one's docs. All but the last return the columns of docs. Stages decide on every row by itself,
+also on rows without a doc_id and rows that repeat one: a number of the row's own goes to the operator and comes back.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofgrid.llm import bpe, contamination, neardup, quality, secrets
-from proofgrid.llm.common import new_path
+from proofgrid.llm.common import materialize, new_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: What stands in place of a secret.
@@ -21,24 +22,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number that no two rows share; written, so that every scan sees the same ones. Rows that have it keep it."""
+    return docs if "_row" in docs.columns else materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier takes for good ones; learns from the labels of the documents given."""
-    judged = quality.classify(docs, _table(spark, sf_dir, "labels"))
-    good = judged.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    rows = numbered(docs)
+    judged = quality.classify(rows, _table(spark, sf_dir, "labels"), keep=("_row",))
+    return rows.join(judged.where("predicted = 1").select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies, the one of the least doc_id."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one row of each class of near copies, one of the least doc_id; a row without doc_id only if the class has no other."""
+    rows = numbered(docs)
+    classes = neardup.near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = rows.select("_row", "doc_id").join(classes, "_row").groupBy("class_id").agg(first.alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
-    found = contamination.find_contamination(docs, _table(spark, sf_dir, "benchmark"))
-    dirty = found.where("n_hit > 0").select("doc_id")
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = contamination.find_contamination(rows, _table(spark, sf_dir, "benchmark"), id_col="_row")
+    dirty = found.where("n_hit > 0").select(F.col("doc_id").alias("_row"))
+    return rows.join(dirty, "_row", "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +78,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written to the shared folder and read again."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = numbered(_table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)

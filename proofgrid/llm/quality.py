@@ -8,7 +8,7 @@ equations, the shares are summed by rows of the matrix across the cluster, and t
 from __future__ import annotations
 
 import operator
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
 
@@ -47,13 +47,19 @@ def measure_in_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         found = np.array([statistics(t) for t in batch.column("text").to_pylist()], float).reshape(-1)
         ends = pa.array(np.arange(batch.num_rows + 1) * len(STATISTICS), pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(found))], names=["doc_id", "statistics"])
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.ListArray.from_arrays(ends, pa.array(found))], names=[*names, "statistics"])
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the array of statistics of every row; a null text is empty."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return in_arrow(narrow, measure_in_tasks, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, statistics array<double>")
+def columns_of(df: DataFrame, but: str) -> str:
+    """The columns of df but one, as a schema."""
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != but)
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns to keep and the array of statistics of every row; a null text is empty."""
+    narrow = docs.select(F.col(id_col).alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return in_arrow(narrow, measure_in_tasks, f"{columns_of(narrow, 'text')}, statistics array<double>")
 
 
 @dataclass
@@ -118,7 +124,8 @@ def score_in_tasks(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = model.score(stacked(batch)) if batch.num_rows else np.array([], float)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            names = [c for c in batch.schema.names if c != "statistics"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(scores, pa.float64())], names=[*names, "score"])
 
     return run
 
@@ -159,8 +166,8 @@ def fit(labelled: DataFrame, n_features: int = 128, width: float = 3.0, ridge: f
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Returns doc_id, held_out, score, predicted for every row of docs.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: Sequence[str] = ()) -> DataFrame:
+    """Returns doc_id, held_out, score, predicted and the columns to keep for every row of docs.
 
     Learns from labels whose crc32(doc_id as text) leaves another remainder than 1 by 3; the others are held out. Only
     statistics of the text enter a score. Null and empty texts are scored like others; null labels and labels of
@@ -168,10 +175,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     give no rows, or scores of 0.5. The statistics are counted in one pass and kept as a narrow table; the one shuffle is that of
     narrow rows to their labels.
     """
-    measured = materialize(measure(docs, id_col, text_col), "statistics")
+    measured = materialize(measure(docs, id_col, text_col, keep), "statistics")
     remainder = lambda c: F.crc32(c.cast("string").cast("binary")) % 3
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (remainder(F.col("doc_id")) != 1))
     labelled = materialize(measured.join(known, "doc_id").select("statistics", "label"), "labelled")
-    scored = in_arrow(measured, score_in_tasks(fit(labelled)), f"doc_id {measured.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = in_arrow(measured, score_in_tasks(fit(labelled)), f"{columns_of(measured, 'statistics')}, score double")
     held_out = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *keep)

@@ -593,6 +593,33 @@ def test_pipeline_stage_by_stage(spark, docs, byte_tokenizer):
     assert [n for n, _ in C.STAGES] == ["quality classifier", "MinHash near-dedup", "benchmark decontamination", "secret scans", "byte-level BPE"]
 
 
+def test_stages_decide_row_by_row(spark, tmp_path):
+    """Rows without a doc_id and rows that repeat one, each stage alone against a loop; empty tables give no rows."""
+    import corpus_pipeline as C
+
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    prose = lambda k: " ".join(f"w{k}_{j}" for j in range(30))
+    junk = "!!! $$$ ### " * 30
+    texts = [(1, prose(1)), (1, prose(1)), (None, prose(2)), (None, prose(3)), (None, prose(3)), (2, prose(4)), (2, passage), (None, passage), (None, prose(1)), (3, junk), (3, prose(5)), (None, junk), (None, None)]
+    texts += [(100 + i, prose(100 + i) if i % 2 else junk + str(i)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], SCHEMA)
+    spark.createDataFrame([(100 + i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ordered = lambda rows: sorted(rows, key=str)
+    run = lambda stage, df=docs: ordered((r.doc_id, r.text) for r in stage(spark, df, str(tmp_path)).collect())
+    assert run(C.contamination_stage) == ordered(x for x in texts if x[1] != passage)
+    marked = ordered(x for x in texts if x[1] is None or "w" in x[1])
+    assert [x for x in run(C.quality_stage) if x[1] is not None and x[1] != passage] == [x for x in marked if x[1] is not None and x[1] != passage]
+    few = texts[:9]
+    best = {}
+    for i, t in few:
+        best[t] = min(best.get(t, (True, 0)), (i is None, i or 0))
+    assert run(C.neardup_stage, docs.limit(9)) == ordered((None if none else i, t) for t, (none, i) in best.items())
+    for _, stage in C.STAGES[:4]:
+        out = stage(spark, docs.limit(0), str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0
+
+
 def test_every_operator_has_one_query():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
