@@ -197,12 +197,20 @@ def merged_payload(df: DataFrame, payload: str, schema: str, drop: Sequence[str]
 
 
 def json_leaves(df: DataFrame, key: str, json: str) -> DataFrame:
-    """key, path, type, value of every leaf of flat or nested JSON objects, down to three levels, with JVM functions only."""
+    """key, path, type, value of every leaf of JSON objects at any depth, with JVM functions only; an array's items have their index from 0 as name.
+
+    A level is opened a round; only whether any object or array is left is asked. Empty ones have no leaves.
+    """
     level = df.select(key, F.explode(F.from_json(json, "map<string,string>")).alias("path", "value"))
-    for _ in range(2):
-        inner = F.from_json(F.when(F.col("value").startswith("{"), F.col("value")), "map<string,string>")
+    while True:
+        items = F.from_json(F.when(F.col("value").startswith("["), F.col("value")), "array<string>")
+        named = F.map_from_entries(F.transform(items, lambda x, i: F.struct(i.cast("string").alias("name"), x.alias("v"))))
+        inner = F.coalesce(F.from_json(F.when(F.col("value").startswith("{"), F.col("value")), "map<string,string>"), named)
         nested = level.withColumn("inner", inner)
-        deeper = nested.where("inner IS NOT NULL").select(key, "path", F.explode("inner").alias("name", "v")).select(key, F.concat("path", F.lit("."), "name").alias("path"), F.col("v").alias("value"))
+        opened = nested.where("inner IS NOT NULL")
+        if opened.isEmpty():
+            break
+        deeper = opened.select(key, "path", F.explode("inner").alias("name", "v")).select(key, F.concat("path", F.lit("."), "name").alias("path"), F.col("v").alias("value"))
         level = nested.where("inner IS NULL").select(key, "path", "value").unionByName(deeper)
     kind = F.when(F.col("value").isNull(), "null").when(F.col("value").rlike("^-?[0-9]+$"), "integer").when(F.col("value").try_cast("double").isNotNull(), "number").when(F.col("value").isin("true", "false"), "boolean").otherwise("string")
     return level.select(key, "path", kind.alias("type"), "value")

@@ -7,6 +7,7 @@ side is the one that is sent to the executors, behind a check of its size; top-k
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -214,21 +215,23 @@ def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(counts, "node", "left").select("node", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out"), F.col("n_in").isNull().alias("orphan"))
 
 
-def reachable(roots: DataFrame, links: DataFrame, rounds: int = 64) -> DataFrame:
+def reachable(roots: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, depth: every node that the roots lead to. Each round joins only the newest nodes; only whether any came up is asked.
 
-    Rounds are cut by checkpoint() where a checkpoint folder is set, so plans stay short and survive lost executors.
+    Rounds go on until none came up; if some still come up after a stated number of rounds, a ValueError says so. Rounds are cut by checkpoint() where a checkpoint folder is set, so plans stay short and survive lost executors.
     """
     sc = roots.sparkSession.sparkContext
     cut = (lambda df: df.checkpoint()) if sc.getCheckpointDir() else (lambda df: df.persist())
     links = links.select("src", "dst").distinct()
     seen = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     fresh = seen
-    for depth in range(1, rounds + 1):
+    for depth in count(1):
         step = fresh.select(F.col("node").alias("src")).join(links, "src").select(F.col("dst").alias("node")).distinct()
         fresh = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
             break
+        if rounds is not None and depth > rounds:
+            raise ValueError(f"nodes still come up after {rounds} rounds")
         seen = cut(seen.unionByName(fresh))
     return seen
 
@@ -299,18 +302,23 @@ def collective_pass(hits: DataFrame, expected: DataFrame, k: int = 3) -> DataFra
     return found.withColumn("passed", F.col("category_hit") & F.col("provider_hit"))
 
 
-def closure_with_paths(roots: DataFrame, links: DataFrame, rounds: int = 32) -> DataFrame:
-    """node, path (array from a root) of every reachable node: a shortest path, the least by text among these."""
+def closure_with_paths(roots: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """node, path (array from a root) of every reachable node: a shortest path, the least by text among these.
+
+    Rounds go on until no node comes up; if some still come up after a stated number of rounds, a ValueError says so.
+    """
     links = links.select("src", "dst").distinct()
     seen = roots.select("node").distinct().withColumn("path", F.array("node"))
     sc = roots.sparkSession.sparkContext
     cut = (lambda df: df.checkpoint()) if sc.getCheckpointDir() else (lambda df: df.persist())
     seen = fresh = cut(seen)
-    for _ in range(rounds):
+    for depth in count(1):
         step = fresh.select(F.col("node").alias("src"), "path").join(links, "src").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
         fresh = cut(step.groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path")))
         if fresh.isEmpty():
             break
+        if rounds is not None and depth > rounds:
+            raise ValueError(f"nodes still come up after {rounds} rounds")
         seen = cut(seen.unionByName(fresh))
     return seen
 

@@ -75,6 +75,11 @@ def test_nested_json_leaves(spark, rows):
     assert rows(quality.json_leaves(df, "id", "j")) == [(1, "a", "integer", "1"), (1, "b.c", "boolean", "true"), (1, "b.d.e", "string", "x"), (1, "f", "null", None)]
 
 
+def test_json_leaves_of_any_depth_and_in_arrays(spark, rows):
+    df = spark.createDataFrame([(1, '{"a": {"b": {"c": {"d": {"e": 5}}}}, "l": [1, {"x": [true]}], "s": "[no list", "o": {}}')], "id int, j string")
+    assert rows(quality.json_leaves(df, "id", "j")) == [(1, "a.b.c.d.e", "integer", "5"), (1, "l.0", "integer", "1"), (1, "l.1.x.0", "boolean", "true"), (1, "s", "string", "[no list")]
+
+
 def test_roll_up(spark):
     assert tuple(quality.roll_up(spark.createDataFrame([("a", 0), ("b", 2)], "check string, n_failed int")).first()) == (2, 1, "incomplete")
 
