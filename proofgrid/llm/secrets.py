@@ -29,7 +29,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 PERCENT = re.compile(r"%[0-7][0-9A-Fa-f]|(?:%[89A-Fa-f][0-9A-Fa-f])+")
 ESCAPE = re.compile(r"(?:\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})|\\u[0-9a-fA-F]{4}|\\x[0-7][0-9a-fA-F]|&#[xX][0-9a-fA-F]{1,6};|&#[0-9]{1,7};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Bytes one text may unwrap to in all; what goes beyond is not unwrapped and the row says so (a guard against bombs).
+#: Bytes decompression may add to one text in all; what goes beyond is not unwrapped and the row says so (a guard against bombs). Other
+#: layers are no longer than what they come from and cost nothing.
 MOST = 64 << 20
 
 Span = tuple[int, int, int]  # start, place of the kind, end
@@ -139,8 +140,8 @@ def readable(raw: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.95 * len(text) else None
 
 
-def unwrapped(layer: Layer, left: int) -> tuple[list[Layer], bool]:
-    """The layers one step inside this one, and whether one was left wrapped for its size."""
+def unwrapped(layer: Layer, left: int) -> tuple[list[Layer], bool, int]:
+    """The layers one step inside this one, whether one was left wrapped for its size, and the bytes that decompression may still add."""
     text, out, beyond = layer.text, [], False
     if "%" in text and (found := replaced(layer, PERCENT, percent)):
         out.append(found)
@@ -162,7 +163,7 @@ def unwrapped(layer: Layer, left: int) -> tuple[list[Layer], bool]:
             raw, left = opened, left - len(opened)
         if (inner := readable(raw)) is not None:
             out.append(Layer(inner, layer, [(0, m.start(), m.end() - m.start(), False)]))
-    return out, beyond
+    return out, beyond, left
 
 
 def scan(text: str, most: int = MOST) -> tuple[list[Span], list[Span], int, bool]:
@@ -172,16 +173,12 @@ def scan(text: str, most: int = MOST) -> tuple[list[Span], list[Span], int, bool
     todo, met, left, n, beyond = [Layer(text)], set(), most, 0, False
     while todo:
         layer = todo.pop()
-        inner, big = unwrapped(layer, left)
+        inner, big, left = unwrapped(layer, left)
         beyond |= big
         for found in inner:
             mark = (hashlib.blake2b(found.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *found.back(0, len(found.text)))
-            left -= len(found.text)
             if mark in met:
                 continue  # this text has been met at this place: a cycle, or two ways to one layer
-            if left < 0:
-                beyond = True
-                continue
             met.add(mark)
             n += 1
             for start, kind, end in base_spans(found.text):
@@ -229,8 +226,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Counts and base_sha256 tell of the base hits; spans lists those and what decoding adds, in code points of the text;
     redacted is the text with every span replaced by `redact` (null if that is None). A null text is empty; repeated rows
-    are each scanned; an empty table gives no rows; other columns are not read. Narrow: no shuffle; a text unwraps to at most 64 MB
-    at a time, and too_large marks the rows where more was wrapped.
+    are each scanned; an empty table gives no rows; other columns are not read. Narrow: no shuffle; decompression adds at most 64 MB
+    to a text, and too_large marks the rows where more was wrapped.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()

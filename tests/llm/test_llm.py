@@ -341,6 +341,15 @@ def test_layers_end_on_cycles_and_bombs():
     assert secrets.scan(text, most=1 << 16)[3] and not secrets.scan("plain text")[3]
 
 
+def test_copies_and_repeats_use_up_no_budget():
+    from proofgrid.llm import secrets
+
+    hidden = base64.b64encode(b"token=abcdefghijklmnop and more").decode()
+    text = "a%20b \\u0041 " + "some words " * 300 + hidden
+    base, every, _, beyond = secrets.scan(text, most=1000)
+    assert not beyond and any(a == text.index(hidden) for a, _, _ in set(every) - set(base))
+
+
 def test_secrets_are_replaced(spark, edges):
     from proofgrid.llm import secrets
 
