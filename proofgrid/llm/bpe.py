@@ -1,8 +1,10 @@
 """Byte-level BPE by merge replay over the words of a block of the corpus, and its exact inverse.
 
 A block of texts is cut at places no token can span. The distinct pieces it holds that the worker has not met yet
-form one table of symbols; an index from each mergeable pair, named by the token it makes, to the positions where it
-stands is replayed in rank order, every merge applied at all its places, touching only the two neighbours of each.
+form one table of symbols; an inverted index from each mergeable pair, named by the token it makes, to the positions where it
+stands in these pieces is replayed in rank order, every merge applied at all its places, touching only the two neighbours of
+each. The table is that of a block, not of the whole corpus: pieces do not touch each other, so the ids are the same, and
+neither the pieces nor their ids have to be shuffled back to the texts that hold them.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from proofgrid.llm.common import in_arrow, kept
 
 BLOCK_CHARS = 4 << 20
-#: Bytes of the longest piece that waves take, and the mark of a pair that makes no token.
-LONG, NONE = 64, np.int32(2**31 - 1)
+#: Characters of the longest unit that a memo keeps after its block, so that the memos are bounded in bytes.
+KEEP = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,8 +46,6 @@ class Replay:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = rank
-        self.keys = np.array(sorted(self.pairs))
-        self.values = np.array([self.pairs[k] for k in self.keys.tolist()], np.int32)
         self.first = np.full((256, 256), -1)
         for token, rank in ranks.items():
             if len(token) == 2:
@@ -70,63 +70,14 @@ class Replay:
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece: at every step the lowest-ranked pair of a piece merges, its leftmost place first."""
         out: list[list[int] | None] = [[r] if (r := self.ranks.get(p)) is not None else None if p else [] for p in pieces]
-        for many, replay in ((True, self.in_waves), (False, self.in_order)):
-            todo = [k for k, ids in enumerate(out) if ids is None and (not many or len(pieces[k]) <= LONG)]
-            if todo:
-                for k, ids in zip(todo, replay([pieces[k] for k in todo])):
-                    out[k] = ids
-        return out
-
-    def made(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The tokens that pairs make, NONE where they make none."""
-        key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NONE)
-
-    def in_waves(self, pieces: list[bytes]) -> list[list[int]]:
-        """Replay of many short pieces: the index holds each place's rank, and a wave merges the lowest of every piece.
-
-        Pieces do not touch each other, so this applies to each the same merges in the same order as rank by rank would.
-        """
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
-        sizes = np.array([len(p) for p in pieces])
-        owner = np.repeat(np.arange(len(pieces)), sizes)
-        ids = np.arange(len(pieces))
-        symbol = self.single[raw].astype(np.int32)
-        rank = np.full(len(raw), NONE, np.int32)
-        pair = self.first[raw[:-1], raw[1:]]
-        rank[:-1] = np.where((owner[1:] == owner[:-1]) & (pair >= 0), pair, NONE)
-        out: list[list[int]] = [[]] * len(pieces)
-        while len(ids):
-            starts = np.cumsum(sizes) - sizes
-            least = np.minimum.reduceat(rank, starts)
-            done = least == NONE
-            if done.any():
-                for k, at, n in zip(ids[done].tolist(), starts[done].tolist(), sizes[done].tolist()):
-                    out[k] = symbol[at : at + n].tolist()
-                going = np.repeat(~done, sizes)
-                symbol, rank = symbol[going], rank[going]
-                ids, sizes, least = ids[~done], sizes[~done], least[~done]
-                if not len(ids):
-                    break
-                starts = np.cumsum(sizes) - sizes
-            owner = np.repeat(np.arange(len(ids)), sizes)
-            hits = np.flatnonzero(rank == least[owner])
-            at = hits[np.flatnonzero(np.diff(owner[hits], prepend=-1))]
-            symbol[at] = least
-            keep = np.ones(len(symbol), bool)
-            keep[at + 1] = False
-            symbol, rank = symbol[keep], rank[keep]
-            at -= np.arange(len(at))
-            sizes = sizes - 1
-            starts = np.cumsum(sizes) - sizes
-            rank[at] = NONE
-            for places in (at[at < starts + sizes - 1], at[at > starts] - 1):
-                rank[places] = self.made(symbol[places], symbol[places + 1])
+        todo = [k for k, ids in enumerate(out) if ids is None]
+        if todo:
+            for k, ids in zip(todo, self.in_order([pieces[k] for k in todo])):
+                out[k] = ids
         return out
 
     def in_order(self, pieces: list[bytes]) -> list[list[int]]:
-        """Replay rank by rank over the index of pairs, each at all its places; for pieces of any length."""
+        """Replay rank by rank over the index of pairs, each at all its places."""
         symbol, after, before, starts, places = self.index(pieces)
         made, push = self.pairs.get, heapq.heappush
         heap = sorted(places)
@@ -179,12 +130,17 @@ class Replay:
 
 
 class Coder:
-    """Units of text to values made of their ids, with a memo of two generations of at most about `cap` units each."""
+    """Units of text to values made of their ids, with a memo of two generations of at most about `cap` units each.
+
+    Units and pieces of over KEEP characters are kept for their block only.
+    """
 
     def __init__(self, path: str, pattern: str, form: Callable[[Replay, list[int]], object], cap: int = 200_000):
         import regex
 
         self.replay, self.find, self.safe, self.form, self.cap = Replay(load_ranks(path)), regex.compile(pattern).findall, regex.compile(r"(?<=\S) (?=\S)"), form, cap
+        self.passing: list = []
+        self.passing_pieces: list[str] = []
         self.memo: dict = {}
         self.old: dict = {}
         self.known: dict[str, list[int]] = {}
@@ -248,6 +204,7 @@ class Coder:
                     new.append(u)
         if not new:
             return
+        self.passing = [u for u in new if len(u[0] if isinstance(u, tuple) else u) > KEEP]
         cut = [self.cut(u) for u in new]
         ids = self.pieces({p for c in cut for p in c})
         for u, c in zip(new, cut):
@@ -264,6 +221,7 @@ class Coder:
                     known[p] = v
                 else:
                     new.append(p)
+        self.passing_pieces = [p for p in new if len(p) > KEEP]
         for p, ids in zip(new, self.replay.encode([p.encode("utf-8", "replace") for p in new])):
             known[p] = ids
         return known
@@ -301,6 +259,10 @@ class Coder:
         self.learn(wanted)
         for _, runs in held:
             yield [list(map(self.memo.__getitem__, r)) for r in runs]
+        for memo, passing in ((self.memo, self.passing), (self.known, self.passing_pieces)):
+            for u in passing:
+                memo.pop(u, None)
+        self.passing, self.passing_pieces = [], []
 
 
 def as_ids(replay: Replay, ids: list[int]) -> bytes:
@@ -364,7 +326,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """Returns doc_id, the columns to keep, n_tokens and ids (array of int) for every row of docs.
 
     A null or empty text has no ids; repeated rows are each encoded; an empty table gives no rows; other columns are
-    not read. Narrow: no shuffle; a task holds one Arrow batch, one block of units and the memo.
+    not read, so their names do not matter. Narrow: no shuffle; a task holds one Arrow batch, one block of units and the memo.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "text")
@@ -378,6 +340,10 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes in one pass: doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256."""
+    """Encodes and decodes in one pass: doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256.
+
+    A null text is empty, and an empty text has no ids, so both digests are those of no bytes; null ids stay, repeated rows are
+    each encoded, an empty table gives no rows, other columns are not read. Narrow: no shuffle.
+    """
     narrow, kind = _narrow(docs, id_col, text_col)
     return in_arrow(narrow, digest_in_tasks(ranks_path, pattern), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
