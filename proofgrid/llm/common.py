@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,26 +78,36 @@ def likely_members(df: DataFrame, column: str, wanted: DataFrame, wanted_column:
     return kept.where(F.col("_mask").bitwiseAND(F.call_function("shiftleft", one, bit(column))) != 0).select(*df.columns)
 
 
+#: Places where no token of a vocabulary that drops white space can span: before white space, and before a mark of full width
+#: after a letter, for texts that use no spaces.
+SAFE = regex.compile(r"[ \t\n\r\u3000]|(?<=\p{L})[。、，．！？；：]")
+
+
 def segments(text: str, limit: int = 1 << 20) -> Iterator[str]:
-    """Cuts a long text at ASCII spaces into runs of about `limit` characters; joining them with a space gives the text back."""
+    """Cuts a long text at safe places into runs of about `limit` characters; joined they give the text back."""
     start, n = 0, len(text)
     while n - start > limit:
-        cut = text.find(" ", start + limit)
-        if cut < 0:
+        cut = SAFE.search(text, start + limit)
+        if cut is None:
             break
-        yield text[start:cut]
-        start = cut + 1
+        yield text[start : cut.start()]
+        start = cut.start()
     yield text[start:] if start else text
 
 
 class Memo(dict):
-    """A dict of at most 2 * cap entries that fills itself by `make`; entries unused for a whole generation go first."""
+    """A dict of at most 2 * cap entries that fills itself by `make`; entries unused for a whole generation go first.
+
+    Values of texts longer than `longest` are made anew each time, so the memo is bounded in bytes too.
+    """
 
-    def __init__(self, make, cap: int = 200_000):
+    def __init__(self, make, cap: int = 200_000, longest: int = 64):
         super().__init__()
-        self.make, self.cap, self.old = make, cap, {}
+        self.make, self.cap, self.longest, self.old = make, cap, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.cap:
             self.old = dict(self)
             self.clear()
