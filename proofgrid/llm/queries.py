@@ -72,7 +72,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "too_large")
 
 
 @register

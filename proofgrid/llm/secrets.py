@@ -1,20 +1,24 @@
 """Secret scans with a recursive decoding worklist.
 
-Each text is scanned by the base patterns; then every wrapped part (percent and Unicode escapes, base64, and
-compressed data within it) is unwrapped into a layer of its own, which is scanned and unwrapped in turn until nothing
-new comes up. A layer knows its places in the text it came from, so each hit leads back to a span of the original.
+Each text is scanned by the base patterns; then every wrapped part (percent and Unicode escapes, base64 at any of its four
+alignments and over line breaks, and compressed data within it) is unwrapped into a layer of its own, which is scanned and
+unwrapped in turn until nothing new comes up. A layer knows its places in the text it came from, so each hit leads back to a
+span of the original. Decompressed data is never held whole: it is scanned in overlapping windows as it comes.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
+import io
+import lzma
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import chain
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +32,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 PERCENT = re.compile(r"%[0-7][0-9A-Fa-f]|(?:%[89A-Fa-f][0-9A-Fa-f])+")
 ESCAPE = re.compile(r"(?:\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})|\\u[0-9a-fA-F]{4}|\\x[0-7][0-9a-fA-F]|&#[xX][0-9a-fA-F]{1,6};|&#[0-9]{1,7};")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Bytes decompression may add to one text in all; what goes beyond is not unwrapped and the row says so (a guard against bombs). Other
-#: layers are no longer than what they come from and cost nothing.
-MOST = 64 << 20
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:\r?\n[A-Za-z0-9+/_-]+)*")
+PERCENT_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~-]){8,}")
+#: What a layer must hold for a hit or an inner layer to be possible.
+PROMISING = re.compile(rb"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{16}|[a-z0-9+/_-]{20}|%[0-9a-f]{2}|\\[ux]|&#")
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY|\x28\xb5\x2f\xfd|\xfd7zXZ\x00")
+#: Characters of a window of decompressed data, and what it shares with the next one. More than the overlap is carried over where a
+#: run of RUN characters would be cut, up to LONGEST of them.
+WINDOW, OVERLAP, LONGEST = 1 << 20, 1 << 12, 32 << 20
+RUN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\&#;\r\n"
+SPACES = re.compile(r" {256,}")
+#: Bytes that decompression may yield for one text in all: a guard of time against bombs, as memory is bounded by the window. A row that
+#: goes beyond it (or beyond LONGEST, or needs a larger decoder) says so and is not taken for clean.
+MOST = 1 << 30
 
 Span = tuple[int, int, int]  # start, place of the kind, end
 
@@ -101,6 +114,14 @@ def percent(escaped: str) -> str | None:
         return None
 
 
+def is_text(raw: bytes) -> bool:
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def escape(escaped: str) -> str | None:
     try:
         if escaped.startswith("&#"):
@@ -113,79 +134,166 @@ def escape(escaped: str) -> str | None:
         return None
 
 
-def unpack(raw: bytes, most: int) -> tuple[bytes | None, bool]:
-    """Decompressed bytes of gzip, zlib, bzip2 or zstandard data (None: it is none), and whether they go beyond `most`."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            machine = zlib.decompressobj(47)
-            out = machine.decompress(raw, most + 1)
-        elif raw[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(raw, most + 1)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            out = zstandard.ZstdDecompressor().decompressobj().decompress(raw) if zstandard.frame_content_size(raw) <= most else b"\0" * (most + 1)
-        else:
-            return None, False
-    except Exception:  # the libraries raise kinds of their own; damaged data is no layer
-        return None, False
-    return (None, True) if len(out) > most else (out, False)
-
-
-def readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.95 * len(text) else None
+class Budget:
+    """Bytes that decompression may still yield, and whether something was left wrapped."""
+
+    __slots__ = ("left", "beyond")
+
+    def __init__(self, most: int):
+        self.left, self.beyond = most, False
 
 
-def unwrapped(layer: Layer, left: int) -> tuple[list[Layer], bool, int]:
-    """The layers one step inside this one, whether one was left wrapped for its size, and the bytes that decompression may still add."""
-    text, out, beyond = layer.text, [], False
+def decompressed(chunks: Iterator[bytes], budget: Budget) -> Iterator[bytes]:
+    """The data of a stream that starts with the mark of gzip, zlib, bzip2, xz or zstandard, a window at a time; it ends where the data is damaged."""
+    first = next(chunks)
+    rest = chain([first], chunks)
+    if first[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        reader = zstandard.ZstdDecompressor(max_window_size=LONGEST).stream_reader(io.BufferedReader(Chunks(rest)))
+        out = iter(lambda: reader.read(WINDOW), b"")
+    else:
+        out = inflated(first, rest)
+    try:
+        for data in out:
+            if len(data) > budget.left:
+                budget.beyond = True
+                return
+            budget.left -= len(data)
+            yield data
+    except Exception as e:  # the libraries raise kinds of their own; damaged data ends a layer
+        budget.beyond |= "memory" in str(e).lower()
+
+
+class Chunks(io.RawIOBase):
+    """Chunks of bytes as a raw stream."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held = chunks, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not self.held:
+            if (more := next(self.chunks, None)) is None:
+                return 0
+            self.held = more
+        n = min(len(out), len(self.held))
+        out[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
+def inflated(first: bytes, chunks: Iterator[bytes]) -> Iterator[bytes]:
+    zipped = first[:1] in b"\x1f\x78"
+    machine = zlib.decompressobj(47) if zipped else bz2.BZ2Decompressor() if first[:3] == b"BZh" else lzma.LZMADecompressor(memlimit=2 * LONGEST)
+    for chunk in chunks:
+        data = machine.decompress(chunk, WINDOW)
+        while True:
+            if data:
+                yield data
+            if machine.eof or (not machine.unconsumed_tail if zipped else machine.needs_input):
+                break
+            data = machine.decompress(machine.unconsumed_tail if zipped else b"", WINDOW)
+        if machine.eof:
+            return
+
+
+def windows(chunks: Iterator[bytes], budget: Budget) -> Iterator[str]:
+    """A stream of bytes as overlapping windows of text, a character a byte, long runs of spaces shortened and NULs (of UTF-16) left out."""
+    held = ""
+    for chunk in chunks:
+        for at in range(0, len(chunk), WINDOW):
+            held = SPACES.sub(" " * 256, held + chunk[at : at + WINDOW].replace(b"\0", b"").decode("latin-1"))
+            if len(held) >= WINDOW:
+                yield held
+                cut = min(len(held) - OVERLAP, len(held.rstrip(RUN)))
+                if len(held) - cut > LONGEST:
+                    budget.beyond, cut = True, len(held) - OVERLAP
+                held = held[cut:]
+    if held:
+        yield held
+
+
+def opened(chunks: Iterator[bytes], budget: Budget) -> Iterator[str]:
+    """Windows of a stream of bytes, decompressed as often as it is compressed; a stream that unpacks to itself ends."""
+    met: set[bytes] = set()
+    while True:
+        first = next(chunks, None)
+        if first is None:
+            return
+        mark = hashlib.blake2b(first, digest_size=16).digest()
+        if mark in met:
+            return
+        chunks = chain([first], chunks)
+        if not MAGIC.match(first):
+            yield from windows(chunks, budget)
+            return
+        met.add(mark)
+        if len(met) > 200:  # each step is a generator within a generator
+            budget.beyond = True
+            return
+        chunks = decompressed(chunks, budget)
+
+
+def texts_in(raw: bytes, budget: Budget) -> Iterator[str]:
+    """The texts that bytes hold: themselves, and what is compressed from any place in them on."""
+    if PROMISING.search(raw) or b"\0" in raw:
+        yield from windows(iter([raw]), budget)
+    for m in MAGIC.finditer(raw):
+        yield from opened(iter([raw[m.start() :]]), budget)
+
+
+def aligned(run: str) -> Iterator[bytes]:
+    """The bytes of a run of base64 characters, read from each of its first four."""
+    packed = run.encode("ascii").translate(bytes.maketrans(b"-_", b"+/"), b"\r\n")
+    for start in range(4):
+        part = packed[start:]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        yield binascii.a2b_base64(part + b"=" * (-len(part) % 4))
+
+
+def unwrapped(layer: Layer, budget: Budget) -> Iterator[Layer]:
+    """The layers one step inside this one, one at a time."""
+    text = layer.text
     if "%" in text and (found := replaced(layer, PERCENT, percent)):
-        out.append(found)
+        yield found
     if ("\\" in text or "&#" in text) and (found := replaced(layer, ESCAPE, escape)):
-        out.append(found)
+        yield found
     for m in BASE64.finditer(text):
-        run = m.group().rstrip("=").translate({45: "+", 95: "/"})
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        while True:  # compressed data may hold compressed data
-            opened, big = unpack(raw, left)
-            beyond |= big
-            if opened is None or opened == raw:
-                break
-            raw, left = opened, left - len(opened)
-        if (inner := readable(raw)) is not None:
-            out.append(Layer(inner, layer, [(0, m.start(), m.end() - m.start(), False)]))
-    return out, beyond, left
+        for raw in aligned(m.group()):
+            for inner in texts_in(raw, budget):
+                yield Layer(inner, layer, [(0, m.start(), m.end() - m.start(), False)])
+    if "%" in text:
+        for m in PERCENT_BYTES.finditer(text):
+            if "%" not in m.group():
+                continue
+            raw = unquote_to_bytes(m.group())
+            if not is_text(raw):
+                for inner in texts_in(raw, budget):
+                    yield Layer(inner, layer, [(0, m.start(), m.end() - m.start(), False)])
 
 
 def scan(text: str, most: int = MOST) -> tuple[list[Span], list[Span], int, bool]:
-    """(base spans, all spans, layers met, whether something was too large to unwrap), in code points of the text."""
+    """(base spans, all spans, layers met, whether something was left wrapped), in code points of the text."""
     base = base_spans(text)
-    every = set(base)
-    todo, met, left, n, beyond = [Layer(text)], set(), most, 0, False
+    every, budget = set(base), Budget(most)
+    met: set[tuple[bytes, int, int]] = set()
+    todo = [unwrapped(Layer(text), budget)]
     while todo:
-        layer = todo.pop()
-        inner, big, left = unwrapped(layer, left)
-        beyond |= big
-        for found in inner:
-            mark = (hashlib.blake2b(found.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *found.back(0, len(found.text)))
-            if mark in met:
-                continue  # this text has been met at this place: a cycle, or two ways to one layer
-            met.add(mark)
-            n += 1
-            for start, kind, end in base_spans(found.text):
-                first, last = found.back(start, end)
-                every.add((first, kind, last))
-            todo.append(found)
-    return base, sorted(every), n, beyond
+        layer = next(todo[-1], None)
+        if layer is None:
+            todo.pop()
+            continue
+        mark = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *layer.back(0, len(layer.text)))
+        if mark in met:
+            continue  # this text has been met at this place: a cycle, or two ways to one layer
+        met.add(mark)
+        for start, kind, end in base_spans(layer.text):
+            first, last = layer.back(start, end)
+            every.add((first, kind, last))
+        todo.append(unwrapped(layer, budget))
+    return base, sorted(every), len(met), budget.beyond
 
 
 def written(spans: list[Span]) -> str:
@@ -226,8 +334,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Counts and base_sha256 tell of the base hits; spans lists those and what decoding adds, in code points of the text;
     redacted is the text with every span replaced by `redact` (null if that is None). A null text is empty; repeated rows
-    are each scanned; an empty table gives no rows; other columns are not read. Narrow: no shuffle; decompression adds at most 64 MB
-    to a text, and too_large marks the rows where more was wrapped.
+    are each scanned; an empty table gives no rows; other columns are not read. Whole texts of any length are scanned. Narrow: no
+    shuffle; a task holds a batch and a window a layer. too_large marks rows of which something was left wrapped: over 1 GB of
+    decompressed data, or a wrapped run of over 32 MB within it.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
@@ -237,12 +346,19 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def rewrite_in_tasks(mark: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = [None if t is None else redacted(t, scan(t)[1], mark) for t in batch.column("text").to_pylist()]
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(clean, pa.string()))
+            clean, whole = [], []
+            for text in batch.column("text").to_pylist():
+                _, every, _, beyond = ([], [], 0, False) if text is None else scan(text)
+                clean.append(text if text is None else redacted(text, every, mark))
+                whole.append(not beyond)
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(clean, pa.string())).filter(pa.array(whole, pa.bool_()))
 
     return run
 
 
 def rewrite(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret of its `text` replaced by the mark; all rows and columns stay, null texts stay null."""
+    """docs with every secret of its `text` replaced by the mark; columns stay, null texts stay null, repeated rows are each rewritten.
+
+    All rows stay but those that find_secrets marks as too_large: what they wrap was not seen in full, so they are held back.
+    """
     return in_arrow(docs, rewrite_in_tasks(mark), docs.schema.simpleString().removeprefix("struct<").removesuffix(">"))
