@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from proofgrid.llm import bpe, contamination, fingerprints, neardup, quality, secrets, sequences, sharding, tokens, urls
 
@@ -54,7 +55,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_digest(_table(spark, sf_dir, "documents"))
+    place = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
+    return sharding.shard_digest(_table(spark, sf_dir, "documents"), row_key=place)
 
 
 @register
