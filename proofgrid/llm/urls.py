@@ -12,6 +12,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofgrid.llm.common import materialize
+
 #: (verdict, host and path of the rule)
 RULES = (
     ("block", "com/en/"),
@@ -22,6 +24,8 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLOTS = 4096
+#: Folds of labelled URLs: a URL's own fold does not count in its suffix statistics.
+FOLDS = 5
 FEATURES = ("f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_hyphens", "f_entropy", "f_params", "f_query_length", "f_fragment", "f_secure", "f_suffix_rate", "f_suffix_share", "f_first_rate", "f_first_share", "f_last_number")
 
 
@@ -90,56 +94,71 @@ def with_lexical_features(urls: DataFrame) -> DataFrame:
 
 
 def slot_statistics(judged: DataFrame) -> DataFrame:
-    """For each kind and slot: the smoothed share of blocked URLs among the labelled ones, and the log share of all URLs.
+    """For each kind and slot: how many URLs, and by fold how many labelled and blocked ones.
 
-    At most 2 * SLOTS rows by construction, whatever the input's size; counted with map-side sums.
+    At most 2 * SLOTS rows of fixed width by construction, whatever the input's size; counted with map-side sums.
     """
-    both = judged.select(F.explode(F.array(F.struct(F.lit("suffix").alias("kind"), F.col("suffix_slot").alias("slot")), F.struct(F.lit("first").alias("kind"), F.col("first_slot").alias("slot")))).alias("s"), "label")
-    counts = both.groupBy("s.kind", "s.slot").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
-    return counts.select("kind", "slot", ((F.col("blocked") + 1.0) / (F.col("labelled") + 2.0)).alias("rate"), F.log1p(F.col("n").cast("double")).alias("share"))
+    both = judged.select(F.explode(F.array(F.struct(F.lit("suffix").alias("kind"), F.col("suffix_slot").alias("slot")), F.struct(F.lit("first").alias("kind"), F.col("first_slot").alias("slot")))).alias("s"), "label", "fold")
+    sums = [F.coalesce(F.sum(F.when(F.col("fold") == k, v)), F.lit(0)).alias(f"{name}{k}") for name, v in (("l", F.col("label").isNotNull().cast("bigint")), ("b", F.col("label"))) for k in range(FOLDS)]
+    counts = both.groupBy("s.kind", "s.slot").agg(F.count("*").alias("n"), *sums)
+    return counts.select("kind", "slot", "n", F.array(*[f"l{k}" for k in range(FOLDS)]).alias("labelled"), F.array(*[f"b{k}" for k in range(FOLDS)]).alias("blocked"))
 
 
 def with_statistics(judged: DataFrame, statistics: DataFrame) -> DataFrame:
-    """Joins the slot table, which its number of slots bounds, so it is safe to send to every executor."""
+    """Adds the smoothed share of blocked URLs of a slot, the row's own fold left out if it is labelled, and the log count of the slot's URLs.
+
+    The slot table is bounded by its number of slots, so it is safe to send to every executor.
+    """
     for kind in ("suffix", "first"):
-        side = statistics.where(F.col("kind") == kind).select(F.col("slot").alias(f"{kind}_slot"), F.col("rate").alias(f"f_{kind}_rate"), F.col("share").alias(f"f_{kind}_share"))
+        side = statistics.where(F.col("kind") == kind).select(F.col("slot").alias(f"{kind}_slot"), F.col("n").alias("_n"), F.col("labelled").alias("_l"), F.col("blocked").alias("_b"))
         judged = judged.join(F.broadcast(side), f"{kind}_slot", "left")
-    return judged.fillna({"f_suffix_rate": 0.5, "f_suffix_share": 0.0, "f_first_rate": 0.5, "f_first_share": 0.0})
+        total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
+        own = lambda c: F.when(F.col("label").isNotNull(), F.get(c, F.col("fold"))).otherwise(0)
+        rate = (total("_b") - own("_b") + 1.0) / (total("_l") - own("_l") + 2.0)
+        judged = judged.withColumns({f"f_{kind}_rate": F.coalesce(rate, F.lit(0.5)), f"f_{kind}_share": F.coalesce(F.log1p(F.col("_n").cast("double")), F.lit(0.0))}).drop("_n", "_l", "_b")
+    return judged
 
 
-def fit(labelled: DataFrame, most: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 7):
-    """Fits boosted trees to rows with features and a label of 0 or 1; a bounded sample of at most about `most` rows, by hash of the URL.
+def fit(labelled: DataFrame, kinds: dict[int, int], most: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 7):
+    """Fits boosted trees to rows with features and a label of 0 or 1; kinds: how many rows have each label.
 
-    Returns None if the labels have fewer than two kinds.
+    Learns from a bounded sample of about `most` rows, by hash of the URL, written once; every tree level reads only that. Returns
+    None if the labels have fewer than two kinds.
     """
-    counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
-    if len(counts) < 2:
+    if not all(kinds.get(k) for k in (0, 1)):
         return None
-    share = min(1.0, most / sum(counts.values()))
+    share = min(1.0, most / sum(kinds.values()))
     sample = labelled if share == 1.0 else labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = materialize(sample.select(*FEATURES, F.col("label").cast("double").alias("label")), "url-sample")
+    if sample.select("label").distinct().count() < 2:
+        return None
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
-    rows = assembler.transform(sample).select("features", F.col("label").cast("double").alias("label")).coalesce(4)
+    rows = assembler.transform(sample).select("features", "label").coalesce(4)  # of about `most` rows
     trained = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32, stepSize=0.2, cacheNodeIds=False).fit(rows)
     return PipelineModel([assembler, trained])
 
 
-def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", most: int = 20_000) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", label_col: str | None = None, most: int = 20_000) -> DataFrame:
     """Returns page_id, host, path, rule, verdict, block_score for every row of pages.
 
-    Null URLs and URLs without :// have an empty host and path, fit no rule, and are judged by the trees like others. Of rules
-    that fit the longest wins; repeated rows get the same verdict; an empty table gives no rows; if the rules label URLs
-    of one kind only (or none), the rest get that kind (or allow). Only the id and URL columns are read; the trees
-    learn from at most about `most` labelled rows; scoring is a map with two joins to tables of bounded size.
+    Null URLs and URLs without :// have an empty host and path, fit no rule, and are judged by the trees like others; URLs of any length
+    are read whole. Of rules that fit the longest wins; repeated rows get the same verdict; an empty table gives no rows. The trees learn
+    from label_col (1: block, 0: allow, null: unknown) or, without it, from the rules' verdicts; if these are of one kind only
+    (or none), the rest get that kind (or allow). Only the id, URL and label columns are read, so other names do not matter. Three scans: slot
+    counts, a sample of at most about `most` labelled rows, and scores, a map with two joins to tables of bounded size.
     """
-    narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    given = F.lit(None).cast("int") if label_col is None else F.col(label_col).cast("int")
+    narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), given.alias("given"))
     judged = with_lexical_features(narrow).withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
-    judged = judged.withColumn("label", (F.col("fit.verdict") == "block").cast("int"))
-    full = with_statistics(judged, slot_statistics(judged))
-    labelled = full.where(F.col("label").isNotNull())
-    model = fit(labelled, most)
+    label = (F.col("fit.verdict") == "block").cast("int") if label_col is None else F.col("given")
+    judged = judged.withColumn("label", label).withColumn("fold", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(FOLDS)).cast("int"))
+    statistics = materialize(slot_statistics(judged), "slots")
+    full = with_statistics(judged, statistics)
+    sums = statistics.where("kind = 'suffix'").agg(*[F.sum(F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)).alias(c) for c in ("labelled", "blocked")]).first()
+    n, blocked = sums.labelled or 0, sums.blocked or 0
+    model = fit(full.where(F.col("label").isNotNull()), {0: n - blocked, 1: blocked}, most)
     if model is None:
-        only = labelled.select("label").first()
-        scored = full.withColumn("block_score", F.lit(float(only.label) if only else 0.0))
+        scored = full.withColumn("block_score", F.lit(float(2 * blocked > n)))
     else:
         from pyspark.ml.functions import vector_to_array
 
