@@ -2,7 +2,7 @@
 
 Layout of an output folder, one pair of files for each run of documents in ascending doc_id order:
   seq-<run>-<attempt>.arrow    Arrow IPC file; each batch holds up to ROWS sequences: `ids` fixed_size_list<uint16|uint32>[L]
-                               and `mask` fixed_size_list<bool>[L] (false where the last sequence is padded)
+                               and `mask` fixed_size_list<uint8>[L] (1 for an id, 0 where the last sequence is padded), so both are views of the file
   index-<run>-<attempt>.arrow  Arrow IPC file; one row a document: doc_id, start (within the run), n_tokens
 Only the files that a finished task reported count, so failed or repeated attempts leave no trace in a result.
 """
@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import bucket_of, cut_points, in_arrow, new_path, segments, shuffle_partitions
+from proofgrid.llm.common import bucket_of, cut_points, in_arrow, new_path, segments
 from proofgrid.llm.tokens import WordEncoder, words
 
 LENGTH, ROWS = 2048, 64
+#: Bytes of text of a run of documents, and how many finer ranges of ids each is put together from.
+RUN_BYTES, FINER = 32 << 20, 4
 
 
 def _store(uri: str):
@@ -37,7 +39,7 @@ class SequenceWriter:
     def __init__(self, sink, dtype: np.dtype, length: int = LENGTH, rows: int = ROWS):
         self.dtype, self.length, self.full = dtype, length, rows * length * dtype.itemsize
         item = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([pa.field("ids", pa.list_(pa.field("item", item, False), length), False), pa.field("mask", pa.list_(pa.field("item", pa.bool_(), False), length), False)])
+        self.schema = pa.schema([pa.field("ids", pa.list_(pa.field("item", item, False), length), False), pa.field("mask", pa.list_(pa.field("item", pa.uint8(), False), length), False)])
         self.out, self.buffer = pa.ipc.new_file(sink, self.schema), bytearray()
 
     def add(self, packed: bytes) -> None:
@@ -49,9 +51,9 @@ class SequenceWriter:
     def _batch(self, packed: bytes) -> None:
         ids = np.frombuffer(packed, self.dtype)
         pad = -len(ids) % self.length
-        mask = np.ones(len(ids) + pad, bool)
+        mask = np.ones(len(ids) + pad, np.uint8)
         if pad:
-            mask[len(ids) :] = False
+            mask[len(ids) :] = 0
             ids = np.concatenate([ids, np.zeros(pad, self.dtype)])
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids, mask), self.schema)]
         self.out.write_batch(pa.record_batch(columns, schema=self.schema))
@@ -78,10 +80,11 @@ class SequenceFile:
         return self._ids
 
     def sequence(self, i: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence i of the file and its mask; the ids are a view of the file."""
+        """Sequence i of the file and its mask, both views of the file."""
         batch, row = self.reader.get_batch(i // rows), i % rows
         at = slice(row * self.length, (row + 1) * self.length)
-        return batch.column("ids").flatten().to_numpy(zero_copy_only=True)[at], batch.column("mask").flatten().slice(at.start, self.length).to_numpy(zero_copy_only=False)
+        ids, mask = (batch.column(c).flatten().to_numpy(zero_copy_only=True)[at] for c in ("ids", "mask"))
+        return ids, mask
 
     def tokens(self, start: int, n: int, rows: int = ROWS) -> Iterator[np.ndarray]:
         """The ids from start to start + n, as views of the batches that hold them."""
@@ -137,17 +140,35 @@ def index_schema(batch: pa.RecordBatch) -> pa.Schema:
     return pa.schema([("doc_id", batch.schema.field("doc_id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def write_sequences(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
+def run_cuts(narrow: DataFrame, run_bytes: int) -> list:
+    """Values of doc_id that cut the documents into runs of about run_bytes of text: ranges of about equal counts, put together by their bytes.
+
+    The driver sees a number a range, and there is a range for every run_bytes / FINER of text.
+    """
+    sized = narrow.select("doc_id", (F.octet_length("text") + 64).alias("bytes"))
+    total = sized.agg(F.sum("bytes")).first()[0] or 0
+    cuts = cut_points(sized, "doc_id", FINER * max(1, -(-total // run_bytes)))
+    sizes = dict(map(tuple, sized.groupBy(bucket_of(F.col("doc_id"), cuts)).agg(F.sum("bytes")).collect()))
+    chosen, held = [], sizes.get(0, 0)
+    for k, cut in enumerate(cuts, 1):
+        if held and held + sizes.get(k, 0) > run_bytes:
+            chosen.append(cut)
+            held = 0
+        held += sizes.get(k, 0)
+    return chosen
+
+
+def write_sequences(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES) -> list[tuple]:
     """Encodes every whole text, ends it with end_id and writes the files; returns the manifest, one entry a run of documents.
 
     Entries are (run, base, seq file, index file, n_docs, n_tokens) in ascending doc_id order; base is the position of the
     run's first id among all ids. A null text is empty (it has only the end id); a null doc_id comes first; rows that
-    repeat a doc_id follow each other; an empty table gives an empty manifest. One shuffle of the texts by doc_id range
-    (no more than one run a task, streamed), and a manifest of one small row a task on the driver.
+    repeat a doc_id follow each other in one run; an empty table gives an empty manifest; other columns are not read. One shuffle of the
+    texts by doc_id range (a run of about run_bytes a task, streamed; a very long text or a doc_id of very many rows makes a longer one),
+    and a manifest of one small row a run on the driver.
     """
-    n = shuffle_partitions(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = cut_points(narrow.select("doc_id"), "doc_id", n)
+    cuts = run_cuts(narrow, run_bytes)
     ordered = narrow.withColumn("run", bucket_of(F.col("doc_id"), cuts)).repartitionById(len(cuts) + 1, "run").sortWithinPartitions("doc_id")
     schema = "run int, seq string, index string, n_docs long, n_tokens long"
     found = sorted(map(tuple, in_arrow(ordered, write_in_tasks(tokenizer_path, folder, end_id, length), schema, owner="proofgrid.llm.tokens").collect()))
@@ -188,7 +209,10 @@ def read_digests(spark: SparkSession, folder: str, manifest: list[tuple], id_typ
 
 
 def sequence_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:
-    """Writes the files of docs into the shared folder and returns what they hold for each document."""
+    """Writes the files of docs into the shared folder and returns what they hold for each document: doc_id, start, n_tokens, ids_crc32.
+
+    Nulls, empty texts, repeats and empty tables are as in write_sequences; an empty table gives no rows.
+    """
     folder = new_path(docs.sparkSession, "sequences")
     manifest = write_sequences(docs, tokenizer_path, folder, end_id, length)
     return read_digests(docs.sparkSession, folder, manifest, docs.schema["doc_id"].dataType.simpleString())
