@@ -2,22 +2,23 @@
 
 Statistics of every text are counted once, in Arrow batches, and kept as a narrow table. The features approximate a
 Gaussian kernel over the standardised statistics; each partition of labelled rows adds up its share of the normal
-equations, the shares are summed by rows of the matrix across the cluster, and the driver solves one system of fixed size.
+equations of its fold, the shares are summed by rows of the matrix across the cluster, and the driver solves systems of fixed
+size: one a fold, whose scores of the other fold calibrate, and one of all rows, which scores.
 """
 
 from __future__ import annotations
 
 import operator
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import in_arrow, materialize
+from proofgrid.llm.common import in_arrow, likely_members, materialize
 
 STATISTICS = ("words", "chars_per_word", "distinct", "repeats", "lines", "distinct_lines", "upper", "digits", "symbols", "marks", "breaks", "wide", "entropy", "longest_run")
 _BYTES = np.arange(256)
@@ -92,30 +93,37 @@ def stacked(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def sum_in_tasks(model: Model) -> Callable:
-    """Each partition's share of the normal equations: row i of Z'Z, followed by Z'y."""
+    """Each partition's share of the normal equations of either fold: row i of Z'Z, followed by Z'y."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            z = model.features(stacked(batch))
-            y = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
-            share = z.T @ np.concatenate([z, y[:, None]], axis=1)
-            total = share if total is None else total + share
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(total)), pa.int32()), "sums": pa.array(list(total), pa.list_(pa.float64()))})
+            z, y, folds = model.features(stacked(batch)), batch.column("label").to_numpy(zero_copy_only=False).astype(float), batch.column("fold").to_numpy(zero_copy_only=False)
+            for fold in (0, 1):
+                rows = z[folds == fold]
+                if len(rows):
+                    totals[fold] = totals.get(fold, 0) + rows.T @ np.concatenate([rows, y[folds == fold, None]], axis=1)
+        for fold, total in totals.items():
+            at = pa.array(range(len(total)), pa.int32())
+            yield pa.RecordBatch.from_pydict({"fold": pa.array([fold] * len(total), pa.int32()), "i": at, "sums": pa.array(list(total), pa.list_(pa.float64()))})
 
     return run
 
 
 def add_up(table: pa.Table) -> pa.Table:
-    sums = np.sum(np.stack(table.column("sums").to_numpy()), axis=0)
-    return pa.table({"i": table.column("i").slice(0, 1).combine_chunks(), "sums": pa.array([sums], pa.list_(pa.float64()))})
+    shares = np.stack(table.column("sums").to_numpy())
+    sums = shares[np.lexsort(shares.T)].sum(axis=0)  # in an order of their own, not of arrival
+    return pa.table({"fold": table.column("fold").slice(0, 1).combine_chunks(), "i": table.column("i").slice(0, 1).combine_chunks(), "sums": pa.array([sums], pa.list_(pa.float64()))})
 
 
-def raw_in_tasks(model: Model) -> Callable:
+def raw_in_tasks(models: Sequence[Model]) -> Callable:
+    """The raw score of each row by the model of the fold that it is not in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"raw": pa.array(model.raw(stacked(batch)), pa.float64()), "label": batch.column("label")})
+            found, folds = stacked(batch), batch.column("fold").to_numpy(zero_copy_only=False)
+            raw = np.where(folds == 0, models[1].raw(found), models[0].raw(found))
+            yield pa.RecordBatch.from_pydict({"raw": pa.array(raw, pa.float64()), "label": batch.column("label")})
 
     return run
 
@@ -123,7 +131,7 @@ def raw_in_tasks(model: Model) -> Callable:
 def score_in_tasks(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.score(stacked(batch)) if batch.num_rows else np.array([], float)
+            scores = np.round(model.score(stacked(batch)), 9) if batch.num_rows else np.array([], float)
             names = [c for c in batch.schema.names if c != "statistics"]
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(scores, pa.float64())], names=[*names, "score"])
 
@@ -142,9 +150,10 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
 
 
 def fit(labelled: DataFrame, n_features: int = 128, width: float = 3.0, ridge: float = 1e-3, bins: int = 1024, seed: int = 11) -> Model:
-    """Fits to rows (statistics, label 0 or 1), all of them; what reaches the driver has a fixed size (moments, D x D sums, bins).
+    """Fits to rows (statistics, label 0 or 1, fold 0 or 1), all of them; what reaches the driver has a fixed size (moments, D x D sums, bins).
 
-    Without rows of both labels the model scores everything at the only label seen, or at 0.5.
+    The ridge weights come from all rows; the calibration from scores of each fold by the weights of the other, so no row calibrates a
+    score that it has shaped (a fold without rows lends the weights of all). Without rows of both labels the model scores everything at the only label seen, or at 0.5.
     """
     at = range(len(STATISTICS))
     moments = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones"), *[f(F.col("statistics")[i]).alias(f"{name}{i}") for name, f in (("m", F.avg), ("s", F.stddev_pop)) for i in at]).first()
@@ -154,18 +163,35 @@ def fit(labelled: DataFrame, n_features: int = 128, width: float = 3.0, ridge: f
         level = 0.5 if not moments.n else float(moments.ones > 0)
         return Model(np.zeros(len(at)), np.ones(len(at)), waves, phases, levels=np.array([level]))
     model = Model(np.array([moments[f"m{i}"] for i in at]), np.maximum(np.array([moments[f"s{i}"] for i in at]), 1e-6), waves, phases)
-    shares = in_arrow(labelled.select("statistics", "label"), sum_in_tasks(model), "i int, sums array<double>")
-    summed = sorted((r.i, r.sums) for r in shares.groupBy("i").applyInArrow(add_up, "i int, sums array<double>").collect())
-    system = np.array([s for _, s in summed])
-    zz, zy = system[:, :-1], system[:, -1]
-    model.weights = np.linalg.solve(zz + ridge * moments.n * np.eye(len(zz)) / n_features, zy)
-    raw = in_arrow(labelled.select("statistics", "label"), raw_in_tasks(model), "raw double, label int")
+    shares = in_arrow(labelled.select("statistics", "label", "fold"), sum_in_tasks(model), "fold int, i int, sums array<double>")
+    summed = {(r.fold, r.i): np.array(r.sums) for r in shares.groupBy("fold", "i").applyInArrow(add_up, "fold int, i int, sums array<double>").collect()}
+    size = n_features + 1
+    folds = [np.array([summed[f, i] for i in range(size)]) if (f, 0) in summed else np.zeros((size, size + 1)) for f in (0, 1)]
+
+    def solved(system: np.ndarray) -> np.ndarray:
+        n = system[-1, -2]  # the constant feature's square adds up to the number of rows
+        return np.linalg.solve(system[:, :-1] + ridge * n * np.eye(size) / n_features, system[:, -1])
+
+    model.weights = solved(folds[0] + folds[1])
+    models = [replace(model, weights=solved(f)) if f[-1, -2] else model for f in folds]
+    raw = in_arrow(labelled.select("statistics", "label", "fold"), raw_in_tasks(models), "raw double, label int")
     bin_ = F.least(F.greatest(F.floor((F.col("raw") + 1) * (bins / 3)), F.lit(0)), F.lit(bins - 1))
     binned = sorted((r.m, r.y, r.n) for r in raw.groupBy(bin_.alias("bin")).agg(F.avg("raw").alias("m"), F.avg("label").alias("y"), F.count("*").alias("n")).collect())
     model.knots, model.levels = isotonic(*(np.array(c, float) for c in zip(*binned)))
     return model
 
 
+def learnt(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Model:
+    """The model of the labels whose rows are not held out; measured: doc_id, statistics."""
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (remainder(F.col("doc_id")) != 1))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(2)).cast("int")
+    return fit(materialize(measured.join(known, "doc_id").select("statistics", "label", fold.alias("fold")), "labelled"))
+
+
+def remainder(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: Sequence[str] = ()) -> DataFrame:
     """Returns doc_id, held_out, score, predicted and the columns to keep for every row of docs.
 
@@ -176,9 +202,29 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     narrow rows to their labels.
     """
     measured = materialize(measure(docs, id_col, text_col, keep), "statistics")
-    remainder = lambda c: F.crc32(c.cast("string").cast("binary")) % 3
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (remainder(F.col("doc_id")) != 1))
-    labelled = materialize(measured.join(known, "doc_id").select("statistics", "label"), "labelled")
-    scored = in_arrow(measured, score_in_tasks(fit(labelled)), f"{columns_of(measured, 'statistics')}, score double")
+    model = learnt(measured.select("doc_id", "statistics"), labels, id_col, label_col)
+    scored = in_arrow(measured, score_in_tasks(model), f"{columns_of(measured, 'statistics')}, score double")
     held_out = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *keep)
+
+
+def select_in_tasks(model: Model, text_col: str, least: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = np.array([statistics(t or "") for t in batch.column(text_col).to_pylist()], float)
+                yield batch.filter(pa.array(np.round(model.score(found), 9) >= least, pa.bool_()))
+
+    return run
+
+
+def good_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
+    """The rows of docs that classify() predicts as 1, with all their columns; each row is judged where it stands, with or without an id.
+
+    The statistics of labelled documents are found in one scan, all texts are scored in another: counting twice costs less than a
+    shuffle of whole texts to their scores. Nulls, repeats and empty tables are as in classify.
+    """
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 1))
+    wanted = labels.where(F.col(label_col).cast("int").isin(0, 1)).select(F.col(id_col).cast("bigint").alias("_id"))
+    model = learnt(measure(likely_members(narrow, "doc_id", wanted, "_id")), labels, id_col, label_col)
+    return in_arrow(docs, select_in_tasks(model, text_col, least), columns_of(docs, ""))
