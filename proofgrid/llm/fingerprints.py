@@ -15,7 +15,9 @@ from proofgrid.llm.common import bucket_of, cut_points, materialize, shuffle_par
 
 PAIR = (1 << 32) | 1
 LOW = (1 << 32) - 1
-BREAKS = r"[\s\p{Punct}]+"
+BREAKS = r"[\s\p{Punct}\p{IsPunctuation}]+"
+#: Scripts written without spaces: each of their letters is a word of its own.
+SCRIPTS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def _long(value: int) -> Column:
@@ -41,8 +43,9 @@ def signed_bits() -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words; never empty, as a text without words gives one of length (and weight) zero."""
-    return F.split(F.lower(text), BREAKS)
+    """Lower-cased words, and single letters of scripts without spaces; never empty, as a text without words gives one of length (and weight) zero."""
+    low = F.lower(text)
+    return F.split(F.when(low.rlike(SCRIPTS), F.regexp_replace(low, f"({SCRIPTS})", " $1 ")).otherwise(low), BREAKS)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,8 +129,8 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def edit_report(docs: DataFrame, radius: int = 3, every: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited form, their likeness, and that to the next document's.
 
-    Null texts are empty, and empty texts have fingerprint 0; equal texts have equal fingerprints; repeated rows are kept,
-    each with a next row of its own; an empty table gives no rows. n_near counts, for ids divisible by `every`, the other rows
+    Null texts are empty, and empty texts have fingerprint 0; equal texts have equal fingerprints; texts of any length count whole;
+    repeated rows are kept, each with a next row of its own; an empty table gives no rows; other columns are not read. n_near counts, for ids divisible by `every`, the other rows
     within `radius` bits (null for other ids). One shuffle of the texts by id range; the votes are counted where the
     texts lie, and all that follows is narrow.
     """
