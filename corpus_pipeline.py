@@ -2,7 +2,8 @@
 
 STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of docs. Stages decide on every row by itself,
-also on rows without a doc_id and rows that repeat one: a number of the row's own goes to the operator and comes back.
+also on rows without a doc_id and rows that repeat one: the operator filters or rewrites the row where it stands, or, in
+near-dedup, a number of the row's own goes to the operator and comes back.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from proofgrid.llm import bpe, contamination, neardup, quality, secrets
 from proofgrid.llm.common import materialize, new_path
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: What stands in place of a secret.
 MARK = "[SECRET]"
 
@@ -28,14 +28,20 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier takes for good ones; learns from the labels of the documents given."""
-    rows = numbered(docs)
-    judged = quality.classify(rows, _table(spark, sf_dir, "labels"), keep=("_row",))
-    return rows.join(judged.where("predicted = 1").select("_row"), "_row", "left_semi").select(*docs.columns)
+    """Keeps the documents that the classifier takes for good ones; learns from the labels of the documents given.
+
+    Every row is judged by its own text where it stands: null and empty texts are scored like others, rows without a doc_id or with a
+    repeated one too, texts of any length are measured whole; an empty table gives no rows.
+    """
+    return quality.good_rows(docs, _table(spark, sf_dir, "labels")).select(*docs.columns)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each class of near copies, one of the least doc_id; a row without doc_id only if the class has no other."""
+    """Keeps one row of each class of near copies, one of the least doc_id; a row without doc_id only if the class has no other.
+
+    Rows are numbered, so rows that repeat a doc_id are judged one by one; null texts and texts without words are one class; an
+    empty table gives no rows.
+    """
     rows = numbered(docs)
     classes = neardup.near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "class_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
@@ -44,21 +50,29 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of a benchmark item."""
-    rows = numbered(docs)
-    found = contamination.find_contamination(rows, _table(spark, sf_dir, "benchmark"), id_col="_row")
-    dirty = found.where("n_hit > 0").select(F.col("doc_id").alias("_row"))
-    return rows.join(dirty, "_row", "left_anti").select(*docs.columns)
+    """Drops the documents that hold a window of a benchmark item.
+
+    Every row is judged by its own text where it stands: null and empty texts stay, rows without a doc_id or with a repeated one are
+    judged like others; an empty table gives no rows.
+    """
+    return contamination.without_contamination(docs, _table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret, plain or wrapped, by a mark; keeps every document, with n_chars of its new text."""
+    """Replaces every secret, plain or wrapped, by a mark, with n_chars of the new text; every document stays.
+
+    Held back are only rows that wrap more than can be unwrapped (see secrets.find_secrets: too_large). Null texts stay null with a null
+    n_chars; rows without a doc_id or with a repeated one are rewritten like others; an empty table gives no rows.
+    """
     scanned = secrets.rewrite(docs, MARK)
     return scanned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes every text: doc_id, source, n_tokens, ids."""
+    """Encodes every text: doc_id, source, n_tokens, ids.
+
+    Null and empty texts have no ids; rows without a doc_id or with a repeated one are encoded like others; an empty table gives no rows.
+    """
     import public_tokenizers
 
     encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("source",))
@@ -78,7 +92,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written to the shared folder and read again."""
-    docs = numbered(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
