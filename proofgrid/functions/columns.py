@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +13,11 @@ from pyspark.sql.functions import pandas_udf
 CONFIDENT, KNOWN = 500, 200
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def exact(c: Column | str) -> Column:
     """A double as a decimal, so that its sums do not depend on the order of rows."""
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(18,4)")
@@ -140,6 +148,71 @@ def resolved(path: Column) -> Column:
     return F.struct(F.array_join(end["at"], "/").alias("path"), F.array_contains(steps, "..").alias("traversal"), end["escapes"].alias("escapes"))
 
 
+def alternation(alternatives: Column) -> Column:
+    """A pattern for texts that contain one of the alternatives `a|b|c` as they stand, in any case; null for null or none."""
+    each = F.filter(F.transform(F.split(alternatives, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
+    escaped = F.transform(each, lambda p: F.regexp_replace(p, r"([\\.\[\]{}()*+?^$])", r"\\$1"))
+    return F.when(F.size(escaped) > 0, F.concat(F.lit("(?i)"), F.array_join(escaped, "|")))
+
+
+def globbed(path: Column, glob: str) -> Column:
+    """Whether the whole path fits a pattern of * (any run, / too), ? (one character) and [sets]."""
+    out, at = "", 0
+    while at < len(glob):
+        end = glob.find("]", at + 2) if glob[at] == "[" else -1
+        if end > 0:
+            out, at = out + "[" + glob[at + 1 : end].replace("\\", r"\\") + "]", end + 1
+        else:
+            out, at = out + {"*": "(?s:.*)", "?": "(?s:.)"}.get(glob[at], re.escape(glob[at])), at + 1
+    return path.rlike(f"^{out}$")
+
+
+def visible(status: Column, hidden: tuple[str, ...] = ("stub", "deprecated")) -> Column:
+    """Whether a status is none of the hidden ones; a missing status is visible."""
+    return status.isNull() | ~status.isin(*hidden)
+
+
+def eligible(rounds: Column, floor: int = KNOWN) -> Column:
+    """Whether a sample reaches the floor; a missing one does not."""
+    return F.coalesce(rounds >= floor, F.lit(False))
+
+
+def signed(c: Column, digits: int) -> Column:
+    """A number with its sign (a minus sign, not a hyphen) and a fixed number of digits."""
+    return F.concat(F.when(c >= 0, "+").otherwise("\u2212"), F.abs(F.round(c, digits)).cast(f"decimal(30,{digits})").cast("string"))
+
+
+def typed_order(c: Column) -> list[Column]:
+    """Sort keys of a text column that hold numbers and texts: numbers by value first, then texts; null counts as an empty text."""
+    text = F.coalesce(c, F.lit(""))
+    number = F.when(text.rlike(r"^\s*-?[0-9]+(\.[0-9]+)?\s*$"), text.try_cast("double"))
+    return [number.isNull().asc(), number.asc(), text.asc()]
+
+
+def strict_timestamp(c: Column) -> Column:
+    """A text of the form YYYY-MM-DDThh:mm:ss[.fraction]Z as a timestamp; null if that is no time of the calendar."""
+    form = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]{1,6})?Z$"
+    return F.when(c.rlike(form) & strict_date(F.substring(c, 1, 10)).isNotNull(), c.try_cast("timestamp"))
+
+
+def canonical_json(c: Column) -> Column:
+    """JSON text with the keys of all objects sorted and no white space, arrays as they are; null for what is no JSON. Arrow batches."""
+
+    @pandas_udf("string")
+    def canonical(texts: pd.Series) -> pd.Series:
+        import json
+
+        def one(text):
+            try:
+                return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            except (TypeError, ValueError):
+                return None
+
+        return texts.map(one)
+
+    return canonical(c)
+
+
 def strict_date(c: Column) -> Column:
     """A text of the form YYYY-MM-DD as a date; null if that is no day of the calendar."""
     return F.when(c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), c.try_cast("date"))

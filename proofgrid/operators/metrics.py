@@ -49,13 +49,6 @@ def densified(summed: DataFrame, entities: DataFrame, contexts: DataFrame) -> Da
     return entities.distinct().crossJoin(contexts.distinct()).join(summed, keys, "left").fillna(0, numbers)
 
 
-def league_rank(table: DataFrame, metric: str, within: Sequence[str] = (), lower_better: bool = False) -> DataFrame:
-    """Adds rank (1 + how many are strictly better; null for null) and of (how many have a value)."""
-    better = F.col(metric).asc_nulls_last() if lower_better else F.col(metric).desc_nulls_last()
-    whole = Window.partitionBy(*within)
-    return table.withColumns({"rank": F.when(F.col(metric).isNotNull(), F.rank().over(whole.orderBy(better))).cast("long"), "of": F.count(metric).over(whole)})
-
-
 def top_per_group(table: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each group in an order that the caller makes total; adds place (from 1)."""
     return table.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")).where(F.col("place") <= n)
@@ -135,3 +128,32 @@ def headline(parts: Sequence[tuple[Column, str]]) -> Column:
     """The texts of all conditions that hold, comma-joined, with a capital first letter; empty if none does."""
     joined = F.concat_ws(", ", *[F.when(condition, F.lit(text)) for condition, text in parts])
     return F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 1 << 20))
+
+
+def mean_across(ranking: DataFrame, context: str, score: str = "score") -> DataFrame:
+    """context, mean (over the opponents that have a score), place: the best mean first, contexts without any score last, ties by name.
+
+    A row a context, so the places are of a short list.
+    """
+    means = ranking.groupBy(context).agg(F.round(F.avg(score), 6).alias("mean"))
+    return means.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("mean"), context)).cast("long"))
+
+
+def targets(table: DataFrame, group: Sequence[str], key: str, main: str, others: Sequence[str]) -> DataFrame:
+    """group, key, kind (focus or soft), reason, place: whom an opponent would aim at.
+
+    Focus: the two best by `main` and the best by each of the others; soft: the last by `main` and by the first of the others. One member
+    may be named for several reasons. Ties by key.
+    """
+    picks = [("focus", main, 2, False), *[("focus", m, 1, False) for m in others], ("soft", main, 1, True), *[("soft", m, 1, True) for m in others[:1]]]
+    placed = table
+    for m in (main, *others):
+        for last, order in ((False, F.desc_nulls_last(m)), (True, F.asc_nulls_last(m))):
+            placed = placed.withColumn(f"_{m}_{last}", F.row_number().over(Window.partitionBy(*group).orderBy(order, F.asc(key))))
+    rows = F.array_compact(F.array(*[F.when(F.col(f"_{m}_{last}") <= n, F.struct(F.lit(kind).alias("kind"), F.lit(m).alias("reason"), F.col(f"_{m}_{last}").cast("long").alias("place"))) for kind, m, n, last in picks]))
+    return placed.select(*group, key, F.inline(rows))
+
+
+def profile_ratios(df: DataFrame, key: str, parts: dict[str, tuple[str, str]], digits: int = 6) -> DataFrame:
+    """key and a null-safe ratio of two columns for each name."""
+    return df.select(key, *[F.round(ratio(n, d), digits).alias(name) for name, (n, d) in parts.items()])

@@ -41,6 +41,24 @@ def global_rank(table: DataFrame, metric: str, lower_better: bool = False) -> Da
     return table.join(ranks, metric, "left").crossJoin(known.agg(F.count("*").alias("of")))  # one row
 
 
+def whole_median(table: DataFrame, metric: str) -> DataFrame:
+    """One row, middle: the exact median of a column without nulls; its values are sorted across the cluster and one or two of them looked up."""
+    known = staged(table.where(F.col(metric).isNotNull()).select(metric), "values")
+    n = known.count()
+    return positions(known, [metric], "_at").where(F.col("_at").isin((n - 1) // 2, n // 2)).agg(F.avg(metric).alias("middle"))
+
+
+def paired(left: DataFrame, right: DataFrame, left_order: Sequence, right_order: Sequence) -> DataFrame:
+    """The rows of two tables side by side by their places in an order; a longer table's last rows have nulls beside them."""
+    a, b = positions(left, left_order, "_at"), positions(right, right_order, "_at")
+    return a.join(b, "_at", "full").withColumnRenamed("_at", "position")
+
+
+def page(df: DataFrame, order: Sequence, skip: int, size: int) -> DataFrame:
+    """Rows skip to skip + size of an order that the caller makes total: what a reader of pages asks for."""
+    return df.orderBy(*order).offset(skip).limit(size)
+
+
 def chain_digest(df: DataFrame, at: str, digest: str, fan: int = LEAF) -> DataFrame:
     """One row, digest: the SHA-256 over digests in order of their gapless places, in groups of `fan` and groups of groups."""
     level = df.select(F.col(at).cast("long").alias("at"), F.col(digest).alias("d"))

@@ -6,12 +6,14 @@ Rules are columns of one scan: however many are asked for, a table is read once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofgrid.functions.columns import row_hash, strict_date
 from proofgrid.operators.order import hash_tree
+from proofgrid.sinks.storage import staged
 
 
 def inner_fact_dim(facts: DataFrame, dimension: DataFrame, key: str, *keep: str) -> DataFrame:
@@ -59,14 +61,18 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def profile(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
-    """A row for each column: rows, nulls, empty texts, distinct values (exact), and how many rows repeat a key."""
+    """A row for each column: rows, nulls, empty texts, whether it is of the key, and how many rows repeat a key or lack a part of it.
+
+    grain says what a row stands for.
+    """
     texts = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
     counts = df.agg(
         F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"{c}_null") for c in df.columns],
         *[F.count_if(F.trim(c) == "").alias(f"{c}_empty") for c in df.columns if c in texts],
     )
-    repeated = df.groupBy(*keys).agg(F.count("*").alias("_k")).agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("repeated"))
-    rows = F.array(*[F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.col("n").alias("row_count"), F.col(f"{c}_null").alias("null_count"), (F.col(f"{c}_empty") if c in texts else F.lit(0).cast("long")).alias("empty_count"), F.col("repeated").alias("repeated_keys")) for c in df.columns])
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() | (F.trim(F.col(k).cast("string")) == "") for k in keys])
+    repeated = df.groupBy(*keys).agg(F.count("*").alias("_k"), F.count_if(no_key).alias("_e")).agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("repeated"), F.coalesce(F.sum("_e"), F.lit(0)).alias("keyless"))
+    rows = F.array(*[F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.col("n").alias("row_count"), F.col(f"{c}_null").alias("null_count"), (F.col(f"{c}_empty") if c in texts else F.lit(0).cast("long")).alias("empty_count"), F.col("repeated").alias("repeated_keys"), F.col("keyless").alias("empty_keys"), F.lit(c in keys).alias("in_key"), F.lit(f"one row a {', '.join(keys)}").alias("grain")) for c in df.columns])
     return counts.crossJoin(repeated).select(F.inline(rows))  # two rows of totals
 
 
@@ -160,12 +166,55 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: str =
     return marked.orderBy(F.desc("mandatory"), "_h", key).limit(n).select(key, stratum, "mandatory")
 
 
+def audit_sample(df: DataFrame, key: str, stratum: str, day: str, seed: str = "", least: int = 30, share: float = 0.01) -> DataFrame:
+    """key, stratum, mandatory: max(least, share of the rows) rows by hash, among them the least hash of each stratum and both ends by day and by key."""
+    n = max(least, -(-df.count() * round(share * 10_000) // 10_000))
+    hashed = df.select(key, stratum, day, F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256).alias("_h"))
+    firsts = hashed.groupBy(stratum).agg(F.min(F.struct("_h", key))[key].alias(key)).select(key)
+    text = F.col(key).cast("string")
+    ends = hashed.agg(F.min_by(key, F.struct(day, key)).alias("a"), F.max_by(key, F.struct(day, key)).alias("b"), F.min_by(key, F.struct(text, key)).alias("c"), F.max_by(key, F.struct(text, key)).alias("d"))
+    chosen = firsts.unionByName(ends.select(F.explode(F.array("a", "b", "c", "d")).alias(key))).distinct().withColumn("mandatory", F.lit(True))
+    marked = hashed.join(chosen, key, "left").withColumn("mandatory", F.coalesce("mandatory", F.lit(False)))
+    return marked.orderBy(F.desc("mandatory"), "_h", key).limit(n).select(key, stratum, "mandatory")
+
+
+def first_known(df: DataFrame, key: Sequence[str], columns: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Of each key the first value of each column that is not null, in an order that the caller makes total."""
+    at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    return df.groupBy(*key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns])
+
+
+def base_health(docs: DataFrame, links: DataFrame, required: Sequence[str], day: str, asof: str, stale: int = 90) -> DataFrame:
+    """rule, n over a linked set of documents (node and fields): missing-field, broken-link, orphan, stale, ghost.
+
+    A ghost is an unknown node that links point to; a broken link is a link to one.
+    """
+    known = docs.select("node").distinct()
+    missing = reduce(lambda a, b: a + b, [F.coalesce((F.trim(F.col(c).cast("string")) == "").cast("int"), F.lit(1)) for c in required])
+    old = F.datediff(F.lit(asof).cast("date"), F.col(day)) >= stale
+    own = docs.agg(F.coalesce(F.sum(missing), F.lit(0)).alias("missing-field"), F.count_if(old).alias("stale"))
+    broken = links.join(known.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    lost = broken.agg(F.count("*").alias("broken-link"), F.countDistinct("dst").alias("ghost"))
+    inside = links.where("src <> dst").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    ends = inside.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    alone = known.join(ends, "node", "left_anti").agg(F.count("*").alias("orphan"))
+    totals = own.crossJoin(lost).crossJoin(alone)  # a row each
+    return totals.select(F.inline(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(f"`{c}`").cast("long").alias("n")) for c in ("missing-field", "broken-link", "orphan", "stale", "ghost")])))
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str], name: str, depth: int | None = None) -> DataFrame:
     """table_name, n, digest of a whole table, the same for any partitioning and row order."""
     found = hash_tree(df.select(row_hash(*columns).alias("h")), "h", depth)
     return found.select(F.lit(name).alias("table_name"), "n", "digest")
 
 
+def dataset_fingerprint(fingerprints: Sequence[DataFrame]) -> DataFrame:
+    """The fingerprints of tables and one row more, `*`: the sum of the rows and a digest over the tables in order of name, a row a table."""
+    each = reduce(DataFrame.unionByName, fingerprints)
+    listed = F.array_sort(F.collect_list(F.concat("table_name", F.lit(":"), "digest")))
+    return each.unionByName(each.agg(F.lit("*").alias("table_name"), F.sum("n").alias("n"), F.sha2(F.array_join(listed, ""), 256).alias("digest")))
+
+
 def roll_up(checks: DataFrame) -> DataFrame:
     """checks (check, n_failed) to one row: checks, failed, state (complete or incomplete)."""
     return checks.agg(F.count("*").alias("checks"), F.count_if(F.col("n_failed") > 0).alias("failed"), F.when(F.count_if(F.col("n_failed") > 0) == 0, "complete").otherwise("incomplete").alias("state"))
@@ -179,7 +228,7 @@ def set_difference_counts(left: DataFrame, right: DataFrame, keys: Sequence[str]
     return found.withColumn("equal", (F.col("missing") == 0) & (F.col("unexpected") == 0))
 
 
-def malformed_ids(df: DataFrame, key: str, json: str, name: str = "[A-Za-z]*[sS]teamids?", form: str = "[0-9]{17}") -> DataFrame:
+def malformed_ids(df: DataFrame, key: str, json: str, name: str, form: str) -> DataFrame:
     """key, value of every id in a JSON text, at any depth, alone or in a list, that has not the form; numbers never have it."""
     single = F.regexp_extract_all(json, F.lit(rf'"{name}"\s*:\s*("[^"]*"|-?[0-9.eE+]+|true|false)'), 1)
     lists = F.regexp_extract_all(json, F.lit(rf'"{name}"\s*:\s*\[([^\]]*)\]'), 1)
@@ -196,21 +245,47 @@ def merged_payload(df: DataFrame, payload: str, schema: str, drop: Sequence[str]
     return parsed.select(*own, *[F.col(f"_p.{f}").alias(f) for f in extra])
 
 
-def json_leaves(df: DataFrame, key: str, json: str) -> DataFrame:
-    """key, path, type, value of every leaf of JSON objects at any depth, with JVM functions only; an array's items have their index from 0 as name.
+def _opened(value: Column) -> Column:
+    """The members of a JSON object or the numbered items of an array as a map; null for anything else."""
+    text = F.ltrim(value)
+    items = F.from_json(F.when(text.startswith("["), value), "array<string>")
+    named = F.map_from_entries(F.transform(items, lambda x, i: F.struct(i.cast("string").alias("name"), x.alias("v"))))
+    return F.coalesce(F.from_json(F.when(text.startswith("{"), value), "map<string,string>"), named)
+
 
-    A level is opened a round; only whether any object or array is left is asked. Empty ones have no leaves.
+def json_nodes(df: DataFrame, key: str, json: str) -> DataFrame:
+    """key, path, kind (object, array or leaf), value of every node of JSON texts at any depth but the roots, with JVM functions only.
+
+    An array's items have their index from 0 as name; a text that is itself an object or array is opened like one. A level is opened a
+    round and written once, so no round opens the levels above it again; only whether any object or array is left reaches the driver.
     """
-    level = df.select(key, F.explode(F.from_json(json, "map<string,string>")).alias("path", "value"))
+    level, levels = df.select(key, F.lit("").alias("path"), F.col(json).alias("value")), []
     while True:
-        items = F.from_json(F.when(F.col("value").startswith("["), F.col("value")), "array<string>")
-        named = F.map_from_entries(F.transform(items, lambda x, i: F.struct(i.cast("string").alias("name"), x.alias("v"))))
-        inner = F.coalesce(F.from_json(F.when(F.col("value").startswith("{"), F.col("value")), "map<string,string>"), named)
-        nested = level.withColumn("inner", inner)
-        opened = nested.where("inner IS NOT NULL")
-        if opened.isEmpty():
-            break
-        deeper = opened.select(key, "path", F.explode("inner").alias("name", "v")).select(key, F.concat("path", F.lit("."), "name").alias("path"), F.col("v").alias("value"))
-        level = nested.where("inner IS NULL").select(key, "path", "value").unionByName(deeper)
+        at = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
+        found = level.select(key, at.alias("at"), F.explode(_opened(F.col("value"))).alias("name", "v")).select(key, F.concat("at", "name").alias("path"), F.col("v").alias("value"))
+        open_ = _opened(F.col("value")).isNotNull()
+        kind = F.when(open_ & F.ltrim("value").startswith("{"), "object").when(open_, "array").otherwise("leaf")
+        levels.append(staged(found.select(key, "path", kind.alias("kind"), "value"), "json"))
+        level = levels[-1].where("kind <> 'leaf'")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+
+
+def json_leaves(df: DataFrame, key: str, json: str) -> DataFrame:
+    """key, path, type, value of every leaf of JSON texts at any depth; empty objects and arrays have none."""
     kind = F.when(F.col("value").isNull(), "null").when(F.col("value").rlike("^-?[0-9]+$"), "integer").when(F.col("value").try_cast("double").isNotNull(), "number").when(F.col("value").isin("true", "false"), "boolean").otherwise("string")
-    return level.select(key, "path", kind.alias("type"), "value")
+    return json_nodes(df, key, json).where("kind = 'leaf'").select(key, "path", kind.alias("type"), "value")
+
+
+def json_assertions(df: DataFrame, key: str, json: str, ids: str, form: str) -> DataFrame:
+    """key, fullness, not_finite, bad_ids of every row: nodes with the root, numbers beyond a double, ids that are no text of the form.
+
+    An id is a leaf under a member whose name matches `ids`, or an item of a list under it.
+    """
+    nodes = json_nodes(df, key, json)
+    leaf, value = F.col("kind") == "leaf", F.col("value")
+    number = leaf & value.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
+    is_id = leaf & F.col("path").rlike(rf"(^|\.)({ids})(\.[0-9]+)?$")
+    counts = nodes.groupBy(key).agg(F.count("*").alias("n"), F.count_if(leaf & value.isin("Infinity", "-Infinity", "NaN") | number & (F.abs(value.try_cast("double")) == float("inf"))).alias("not_finite"), F.count_if(is_id & ~value.rlike(f"^{form}$")).alias("bad_ids"))
+    zero = F.lit(0).cast("bigint")
+    return df.select(key).join(counts, key, "left").select(key, (F.coalesce("n", zero) + 1).alias("fullness"), F.coalesce("not_finite", zero).alias("not_finite"), F.coalesce("bad_ids", zero).alias("bad_ids"))

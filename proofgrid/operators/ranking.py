@@ -36,25 +36,38 @@ def adjusted(summed: DataFrame, entity: str, context: str, prior: float = PRIOR)
     )
 
 
-def signal_edges(table: DataFrame, entity: str, context: str, ours) -> DataFrame:
-    """Our signals against each opponent's in each context; null where either has no rounds.
+def paired_edges(us: DataFrame, them: DataFrame, entity: str, context: str) -> DataFrame:
+    """Signals of every row of us (as `side`) against every row of them (as `opponent`) in the same context; null where either has no rounds.
 
     The side edge is the mean of what we expect on either side against what they hold on the other, less a half.
     """
-    us = table.where(F.col(entity) == ours)
-    us = us.select(context, *[F.col(c).alias(f"us_{c}") for c in ("rounds", "adj_rating", "adj_win", "adj_t", "adj_ct")])
-    both = table.where(F.col(entity) != ours).join(us, context)
+    us = us.select(context, F.col(entity).alias("side"), *[F.col(c).alias(f"us_{c}") for c in ("rounds", "adj_rating", "adj_win", "adj_t", "adj_ct")])
+    both = them.join(us, context)
     known = (F.col("rounds") > 0) & (F.col("us_rounds") > 0)
     expected_t = (F.col("us_adj_t") + 1 - F.col("adj_ct")) / 2
     expected_ct = (F.col("us_adj_ct") + 1 - F.col("adj_t")) / 2
     return both.select(
-        F.col(entity).alias("opponent"), context, "us_rounds", F.col("rounds").alias("opp_rounds"),
+        "side", F.col(entity).alias("opponent"), context, "us_rounds", F.col("rounds").alias("opp_rounds"),
         F.when(known, F.col("us_adj_rating") - F.col("adj_rating")).alias("rating_edge"),
         F.when(known, F.col("us_adj_win") - F.col("adj_win")).alias("win_edge"),
         F.when(known, (expected_t + expected_ct) / 2 - 0.5).alias("side_edge"),
     )
 
 
+def signal_edges(table: DataFrame, entity: str, context: str, ours) -> DataFrame:
+    """Our signals against each opponent's in each context; ours is one entity, a value or a scalar subquery."""
+    return paired_edges(table.where(F.col(entity) == ours), table.where(F.col(entity) != ours), entity, context).drop("side")
+
+
+def asymmetries(table: DataFrame, entity: str, context: str, ours, tolerance: float = 1e-9) -> DataFrame:
+    """One row, pairs and broken: the ranking is done once more with each opponent as us; where the scores do not add up to 0, a pair is broken."""
+    mine, theirs = table.where(F.col(entity) == ours), table.where(F.col(entity) != ours)
+    forth = scored(paired_edges(mine, theirs, entity, context)).select("opponent", context, F.col("score").alias("ours"))
+    back = scored(paired_edges(theirs, mine, entity, context)).select(F.col("side").alias("opponent"), context, F.col("score").alias("theirs"))
+    agree = F.coalesce(F.abs(F.col("ours") + F.col("theirs")) <= tolerance, F.col("ours").isNull() & F.col("theirs").isNull())
+    return forth.join(back, ["opponent", context], "full").agg(F.count("*").alias("pairs"), F.count_if(~agree).alias("broken"))
+
+
 def scored(edges: DataFrame, prior: float = PRIOR) -> DataFrame:
     """Adds score and band: the weighted edges over their noise floors, damped by the smaller sample."""
     least = F.least("us_rounds", "opp_rounds")

@@ -1,7 +1,8 @@
 """Hybrid retrieval as batches of queries: BM25, vectors, link graph and dates, fused by reciprocal rank, and its evaluation.
 
-Every operator takes a table of queries (`qid`), never a loop over them. Queries are a stated, small set beside the corpus, so their
-side is the one that is sent to the executors, behind a check of its size; top-k lists are cut per query before anything is sorted.
+Every operator takes a table of queries (`qid`), never a loop over them. What queries ask for is written once, so it is computed once
+and Spark knows its bytes: below the broadcast threshold it goes to the executors, beyond it the join shuffles. Top-k lists are cut
+per query before anything is sorted.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofgrid.functions.columns import decay, dot, l2_similarity, ratio, reciprocal_rank
+from proofgrid.functions.columns import alternation, decay, dot, l2_similarity, ratio, reciprocal_rank
 from proofgrid.session import ship_package
+from proofgrid.sinks.storage import staged
 
 K1, B = 1.2, 0.75
 #: Rows of a block of vectors in an all-pairs search, and the most query rows that are sent to every executor.
 BLOCK, SMALL = 2048, 10_000
+#: Cosines that a task holds at once.
+TILE = 4_000_000
 BREAKS = r"[^\p{L}\p{N}]+"
 
 
@@ -26,16 +30,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAKS), lambda t: t != "")
 
 
-def query_terms(text: Column) -> Column:
-    """Distinct tokens of a query; those of one character only if there are no others."""
-    found = F.array_distinct(tokens(text))
+def query_terms(text: Column, phrases: bool = True) -> Column:
+    """Distinct terms of a query; those of one character only if there are no others.
+
+    A term is a token or, with phrases, what stands between white space as a phrase: its tokens one after another, joined by a space.
+    """
+    phrase = lambda t: F.array_join(F.filter(F.split(F.lower(t), BREAKS), lambda w: w != ""), " ")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), phrase), lambda p: p != "") if phrases else tokens(text)
+    found = F.array_distinct(parts)
     long = F.filter(found, lambda t: F.length(t) >= 2)
     return F.when(F.size(long) > 0, long).otherwise(found)
 
 
-def small_side(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df marked for broadcast if it has at most `most` rows, else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def grams(words: str, n: int) -> Column:
+    """The runs of n words of an array, joined by a space."""
+    if n == 1:
+        return F.col(words)
+    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
 
 def top_k(hits: DataFrame, score: str, k: int, key: str = "id", rank: str = "rank") -> DataFrame:
@@ -44,22 +56,26 @@ def top_k(hits: DataFrame, score: str, k: int, key: str = "id", rank: str = "ran
     return hits.withColumn(rank, F.row_number().over(order).cast("long")).where(F.col(rank) <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 10, k1: float = K1, b: float = B, keep: Column | None = None) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 10, k1: float = K1, b: float = B, keep: Column | None = None, phrases: bool = True) -> DataFrame:
     """qid, id, score (rounded to 9 digits), rank: Okapi BM25 of queries (qid, text) over docs (id, text), any term matching.
 
-    Only terms of the queries are counted, so postings shrink to these before the shuffle. `keep` filters documents
-    before ranking, so a filtered query still fills its k places. Statistics are those of all documents.
+    One scan of the texts: only terms of the queries leave it, counted before the shuffle, with a mark a document for the statistics, which
+    are those of all documents. `keep` filters documents before ranking, so a filtered query still fills its k places.
     """
-    terms = queries.select("qid", F.explode(query_terms(F.col("text"))).alias("term"))
-    corpus = docs.withColumn("_kept", F.lit(True) if keep is None else F.coalesce(keep, F.lit(False)))
-    words = corpus.select("id", "_kept", tokens(F.col("text")).alias("words"))
-    stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("mean_words"))
-    wanted = small_side(terms.select("term").distinct())
-    postings = words.select("id", "_kept", F.size("words").alias("n_words"), F.explode("words").alias("term")).join(wanted, "term").groupBy("id", "_kept", "n_words", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    asked = staged(queries.select("qid", F.explode(query_terms(F.col("text"), phrases)).alias("term")), "terms")
+    lengths = sorted(r.n for r in asked.select(F.size(F.split("term", " ")).alias("n")).distinct().collect()) if phrases else [1]  # a row a length
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    words = docs.select("id", kept.alias("_kept"), tokens(F.col("text")).alias("words"))
+    each = words.select("id", "_kept", F.size("words").alias("n_words"), F.explode(F.concat(F.array(F.lit("")), *[grams("words", n) for n in lengths])).alias("term"))
+    wanted = asked.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    postings = staged(each.join(wanted, "term").groupBy("id", "_kept", "n_words", "term").agg(F.count("*").alias("tf")), "postings")
+    stats = postings.where("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("n_words") * F.col("tf")) / F.sum("tf")).alias("mean_words"))
+    postings = postings.where("term <> ''")
+    df = postings.groupBy("term").agg(F.sum(F.lit(1)).alias("df"))
     idf = df.crossJoin(stats).select("term", "mean_words", F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"))  # one row of statistics
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_words") / F.col("mean_words")))
-    scored = postings.where("_kept").join(small_side(terms), "term").join(idf, "term").groupBy("qid", "id").agg(F.sum(weight.cast("decimal(24,12)")).alias("s"))
+    weighed = postings.where("_kept").join(idf, "term").select("id", "term", weight.cast("decimal(24,12)").alias("w"))
+    scored = weighed.join(asked, "term").groupBy("qid", "id").agg(F.sum("w").alias("s"))
     scored = scored.select("qid", "id", F.round(F.col("s").cast("double"), 9).alias("score"))
     return scored if k is None else top_k(scored, "score", k)
 
@@ -71,7 +87,7 @@ def phrase_hits(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """
     asked = queries.select("qid", tokens(F.col("text")).alias("q")).where(F.size("q") > 0).withColumn("term", F.get("q", F.lit(0)))
     words = docs.select("id", tokens(F.col("text")).alias("words"))
-    firsts = words.select("id", F.explode(F.array_distinct("words")).alias("term")).join(small_side(asked), "term")
+    firsts = words.select("id", F.explode(F.array_distinct("words")).alias("term")).join(asked, "term")
     places = firsts.join(words, "id")
     n = F.size(F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, F.size("q")) == F.col("q")))
     return places.select("qid", "id", n.alias("n")).where("n > 0")
@@ -150,10 +166,12 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int | None = 10, keep: Column
             import pyarrow as pa
 
             qids, matrix = held.value
+            tile = max(1, TILE // len(qids))  # rows at a time, so that no matrix of cosines outgrows TILE
             for batch in batches:
-                if batch.num_rows:
-                    cosines = np.round(matrix @ matrix_of(batch.column("vector")).T, digits)
-                    yield pa.RecordBatch.from_pydict(best_of(qids, cosines, batch.column("id").to_numpy(), k))
+                for at in range(0, batch.num_rows, tile):
+                    part = batch.slice(at, tile)
+                    cosines = matrix @ matrix_of(part.column("vector")).T
+                    yield pa.RecordBatch.from_pydict(best_of(qids, np.round(cosines, digits, out=cosines), part.column("id").to_numpy(), k))
 
         hits = rows.mapInArrow(run, "qid long, id long, cosine double")
     hits = hits.withColumn("similarity", F.round(l2_similarity(F.col("cosine")), digits))
@@ -200,12 +218,22 @@ def fuse(lists: Sequence[tuple[str, DataFrame, float]], k: int = 60, top: int |
 
 
 def one_hop(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """qid, node, weight: neighbours of the seeds (qid, node) in either direction, without the seeds, and from how many seeds they are reached."""
+    """qid, node, weight: neighbours of the seeds (qid, node) in either direction, without the seeds, and from how many seeds they are reached.
+
+    Links meet the seeds before repeated ones are dropped, so only what the seeds touch is shuffled.
+    """
+    seeds = staged(seeds.select("qid", "node").distinct(), "seeds")
     there = links.select(F.col("src").alias("node"), F.col("dst").alias("other"))
     back = links.select(F.col("dst").alias("node"), F.col("src").alias("other"))
-    both = there.unionByName(back).where("node <> other").distinct()
-    found = both.join(small_side(seeds.distinct()), "node").groupBy("qid", F.col("other").alias("node")).agg(F.count("*").alias("weight"))
-    return found.join(seeds.distinct(), ["qid", "node"], "left_anti")
+    met = there.unionByName(back).where("node <> other").join(seeds, "node").select("qid", "node", "other").distinct()
+    found = met.groupBy("qid", F.col("other").alias("node")).agg(F.count("*").alias("weight"))
+    return found.join(seeds, ["qid", "node"], "left_anti")
+
+
+def known_edges(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The links both of whose ends are nodes, each once: the edges of an exported graph."""
+    ids = nodes.select("node").distinct()
+    return links.distinct().join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
 def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -218,11 +246,10 @@ def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def reachable(roots: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, depth: every node that the roots lead to. Each round joins only the newest nodes; only whether any came up is asked.
 
-    Rounds go on until none came up; if some still come up after a stated number of rounds, a ValueError says so. Rounds are cut by checkpoint() where a checkpoint folder is set, so plans stay short and survive lost executors.
+    Rounds go on until none came up; if some still come up after a stated number of rounds, a ValueError says so. Rounds are written to the shared folder, so plans stay short and survive lost executors.
     """
-    sc = roots.sparkSession.sparkContext
-    cut = (lambda df: df.checkpoint()) if sc.getCheckpointDir() else (lambda df: df.persist())
-    links = links.select("src", "dst").distinct()
+    cut = lambda df: staged(df, "reached")
+    links = cut(links.select("src", "dst").distinct())
     seen = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     fresh = seen
     for depth in count(1):
@@ -265,20 +292,29 @@ def distinct_files(hits: DataFrame, file: str, most: int = 5, rank: str = "rank"
     return firsts.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("_r", file)).cast("long")).where(F.col("place") <= most).select("qid", file, "place")
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, links: DataFrame | None = None, k: int = 10, channels: int = 50, seeds: int = 5, graph_weight: float = 0.5, keep: Column | None = None, recency: tuple[str, str] | None = None, rerank=None) -> DataFrame:
+def hybrid(
+    queries: DataFrame, docs: DataFrame, links: DataFrame | None = None, k: int = 10, channels: int = 50, seeds: int = 5, graph_weight: float = 0.5, keep: Column | None = None,
+    recency: tuple[str, str] | None = None, rerank=None, file: str = "id", line: str = "id", phrases: bool = True,
+) -> DataFrame:
     """qid, id, fused, vec_rank, bm25_rank, graph_rank, rank of queries (qid, text, vector) over docs (id, text, vector).
 
-    Filters act before ranking. The graph channel seeds from the best `seeds` of a first fusion and ranks their neighbours
-    by how many seeds reach them. recency is (date column, as-of day); rerank, if given, maps the fused table to a reordered one.
+    Filters act before ranking; documents without a vector are found by their words. The graph channel seeds from the first `seeds` files of
+    a first fusion and ranks the files that links join to them by how many seeds reach them, each as its first chunk by `line`. recency is
+    (date column, as-of day); rerank, if given, maps the fused table to a reordered one. Each channel runs once.
     """
+    queries = staged(queries.select("qid", "text", "vector"), "queries")
     kept = docs if keep is None else docs.where(keep)
-    vec = knn(queries, kept, channels)
-    lexical = bm25(queries, docs, channels, keep=keep)
+    vec = staged(knn(queries, kept, channels), "channel")
+    lexical = staged(bm25(queries, docs, channels, keep=keep, phrases=phrases), "channel")
     lists = [("vec", vec, 1.0), ("bm25", lexical, 1.0)]
     if links is not None:
-        first = fuse(lists, top=seeds).select("qid", F.col("id").alias("node"))
-        reached = one_hop(first, links).join(kept.select(F.col("id").alias("node")), "node", "left_semi").select("qid", F.col("node").alias("id"), "weight")
-        lists.append(("graph", top_k(reached, "weight", channels), graph_weight))
+        first = fuse(lists, top=None).select("qid", "id", "rank")
+        first = first.withColumn("node", F.col("id")) if file == "id" else first.join(docs.select("id", F.col(file).alias("node")), "id")
+        reached = one_hop(distinct_files(first, "node", seeds).select("qid", "node"), links)
+        chunk = kept.groupBy(F.col(file).alias("node")).agg(F.min_by("id", F.struct(line, "id")).alias("id"))
+        order = Window.partitionBy("qid").orderBy(F.desc("weight"), "node")
+        graph = reached.join(chunk, "node").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= channels)
+        lists.append(("graph", graph.select("qid", "id", "rank"), graph_weight))
     fused = fuse(lists, top=None if recency else k)
     if recency:
         day, asof = recency
@@ -287,6 +323,49 @@ def hybrid(queries: DataFrame, docs: DataFrame, links: DataFrame | None = None,
     return fused if rerank is None else rerank(fused)
 
 
+def reranked(fused: DataFrame, queries: DataFrame, docs: DataFrame, score, head: int = 20, passage: int = 512) -> DataFrame:
+    """fused with new ranks: the first `head` of each query by score(query text, first `passage` characters of the document), the tail as it was.
+
+    score maps two columns to one, so any model that Spark can call stands in; without one (None) the order stays.
+    """
+    if score is None:
+        return fused
+    texts = docs.select("id", F.substring("text", 1, passage).alias("_p"))
+    both = fused.join(queries.select("qid", F.col("text").alias("_q")), "qid").join(texts, "id", "left")
+    judged = both.withColumn("_s", F.when(F.col("rank") <= head, score(F.col("_q"), F.col("_p"))))
+    order = Window.partitionBy("qid").orderBy(F.col("rank") > head, F.desc_nulls_last("_s"), "rank")
+    return judged.withColumn("rank", F.row_number().over(order).cast("long")).select(fused.columns)
+
+
+def compacted(hits: DataFrame, file: str = "id", most: int = 5) -> DataFrame:
+    """qid, place, file, fused (6 digits), vec_rank, bm25_rank of the first hits of each query: what a journal keeps."""
+    return hits.where(F.col("rank") <= most).select("qid", F.col("rank").alias("place"), F.col(file).alias("file"), F.round("fused", 6).alias("fused"), "vec_rank", "bm25_rank")
+
+
+def consolidated(pairs: DataFrame, chunks: DataFrame, threshold: float = 0.9, most: int | None = 40) -> DataFrame:
+    """a, b, cosine (3 digits), file_a, file_b, fresher of near-duplicate chunks of different files, the most alike first.
+
+    pairs: a, b, cosine; chunks: id, file, day. fresher is A or B where both have a date and these differ: the newer may have
+    overwritten the older. most is the length of the report; None gives all pairs.
+    """
+    side = lambda name: chunks.select(F.col("id").alias(name), F.col("file").alias(f"file_{name}"), F.col("day").alias(f"day_{name}"))
+    both = pairs.where(F.col("cosine") >= threshold).join(side("a"), "a").join(side("b"), "b").where(F.col("file_a") != F.col("file_b"))
+    fresher = F.when(F.col("day_a") > F.col("day_b"), "A").when(F.col("day_a") < F.col("day_b"), "B")
+    found = both.select("a", "b", F.round("cosine", 3).alias("cosine"), "file_a", "file_b", fresher.alias("fresher"))
+    return found if most is None else found.orderBy(F.desc("cosine"), "a", "b").limit(most)
+
+
+def first_relevant(hits: DataFrame, probes: DataFrame) -> DataFrame:
+    """qid, first: the first place of a relevant card for every probe, null without one.
+
+    hits: qid, place, file, category, provider; probes: qid, expect_file, expect_category, expect_provider, each alternatives such as `a|b`
+    or null. A card is relevant by its file, or by category and provider both on the same card.
+    """
+    fits = lambda c, p: F.coalesce(F.rlike(c, alternation(F.col(p))), F.lit(False))
+    relevant = F.when(F.col("expect_file").isNotNull(), fits("file", "expect_file")).otherwise(fits("category", "expect_category") & fits("provider", "expect_provider"))
+    return probes.join(hits, "qid", "left").groupBy("qid").agg(F.min(F.when(relevant, F.col("place"))).alias("first"))
+
+
 def context(hits: DataFrame, docs: DataFrame, day: str, asof: str, k: int = 12, stale: int = 90) -> DataFrame:
     """qid, files, least_age, all_stale over the k best hits (qid, id, rank) of each query; docs: id, file, day. Undated files are not stale."""
     best = hits.where(F.col("rank") <= k).join(docs.select("id", "file", day), "id")
@@ -307,10 +386,9 @@ def closure_with_paths(roots: DataFrame, links: DataFrame, rounds: int | None =
 
     Rounds go on until no node comes up; if some still come up after a stated number of rounds, a ValueError says so.
     """
-    links = links.select("src", "dst").distinct()
+    cut = lambda df: staged(df, "reached")
+    links = cut(links.select("src", "dst").distinct())
     seen = roots.select("node").distinct().withColumn("path", F.array("node"))
-    sc = roots.sparkSession.sparkContext
-    cut = (lambda df: df.checkpoint()) if sc.getCheckpointDir() else (lambda df: df.persist())
     seen = fresh = cut(seen)
     for depth in count(1):
         step = fresh.select(F.col("node").alias("src"), "path").join(links, "src").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from proofgrid.functions.columns import citation_line, citation_target, ratio
+from proofgrid.functions.columns import citation_line, citation_target, let, ratio
 from proofgrid.session import ship_package
 
 MOST, LEAST = 1200, 80
@@ -88,10 +88,19 @@ def chunks(docs: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, chunk int, heading string, line int, text string")
 
 
+def blanked(text: Column, pattern: str) -> Column:
+    """Text with every match of a pattern replaced by spaces, line breaks kept, so that all places stay what they were."""
+    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    blank = F.transform(F.concat(matches, F.array(F.lit(""))), lambda m: F.regexp_replace(m, r"[^\n]", " "))
+    return F.array_join(F.zip_with(gaps, blank, lambda gap, m: F.concat(gap, m)), "")
+
+
 def masked(text: Column) -> Column:
-    """Text without HTML comments, code fences and inline code, so that citations in them do not count."""
-    plain = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
-    return F.regexp_replace(F.regexp_replace(plain, r"(?s)```.*?```", " "), r"`[^`\n]*`", " ")
+    """Text whose HTML comments, code fences and inline code are blank, so that citations in them do not count and all others keep their places."""
+    out = text
+    for pattern in (r"(?s)<!--.*?-->", r"(?s)```.*?```", r"(?s)~~~.*?~~~", r"`[^`\n]+`"):
+        out = let(out, lambda t: F.when(t.rlike(pattern), blanked(t, pattern)).otherwise(t))  # noqa: B023
+    return out
 
 
 def citations(docs: DataFrame, pattern: str = CITATION, group: int = 1) -> DataFrame:
@@ -101,15 +110,40 @@ def citations(docs: DataFrame, pattern: str = CITATION, group: int = 1) -> DataF
     return each.select("id", "place", "citation", citation_target(F.col("citation")).alias("target"), citation_line(F.trim("citation")).alias("line"))
 
 
+LABELS = ("FACT", "INFERENCE", "ASSUMPTION", "DECISION")
+
+
+def citation_spans(docs: DataFrame, pattern: str = CITATION, labels: Sequence[str] = LABELS) -> DataFrame:
+    """id, place, citation, start, end, label, claim of every citation: offsets from 0 and what stands before it, after the citation before.
+
+    label is the last `NAME:` there; claim is its last line without a leading label, at most 200 characters.
+    """
+    text = docs.select("id", "text", masked(F.col("text")).alias("m"))
+    found = text.select("id", "text", F.regexp_extract_all("m", F.lit(pattern), 0).alias("whole"), F.regexp_extract_all("m", F.lit(pattern), 1).alias("inner"), F.split("m", pattern, -1).alias("gaps"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    last = lambda spans: F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0))
+    both = F.zip_with(F.slice("gaps", F.lit(1), F.size("whole")), F.col("whole"), lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+    spans = F.aggregate(both, none, lambda done, x: F.concat(done, F.array(F.struct((last(done) + x["g"]).alias("start"), (last(done) + x["g"] + x["m"]).alias("end")))))
+    placed = found.where(F.size("whole") > 0).withColumn("spans", spans)
+    each = placed.select("id", "text", "spans", F.posexplode("inner").alias("place", "citation"))
+    at = F.get("spans", F.col("place"))
+    before = F.coalesce(F.get("spans", F.col("place") - 1)["end"], F.lit(0))
+    each = each.select("id", "place", "citation", at["start"].alias("start"), at["end"].alias("end"), F.substring(F.col("text"), before + 1, at["start"] - before).alias("span"))
+    names = "|".join(labels)
+    label = F.try_element_at(F.regexp_extract_all("span", F.lit(rf"\b({names})\s*:"), 1), F.lit(-1))
+    claim = F.trim(F.regexp_replace(F.substring_index("span", "\n", -1), rf"(?i)^\s*({names})\s*:\s*", ""))
+    return each.select("id", "place", F.trim("citation").alias("citation"), "start", "end", label.alias("label"), F.substring(claim, 1, 200).alias("claim"))
+
+
 def gated(cited: DataFrame, files: DataFrame, layers: Sequence[str], external: Sequence[str] = ()) -> DataFrame:
-    """Adds reason: the first rule that a citation breaks, or null. files: target, layer, n_lines."""
+    """Adds reason: the first rule that a citation breaks, or null. files: target, layer, n_lines, and, if known, blank_lines (numbers)."""
     both = cited.join(files, "target", "left")
     reason = (
         F.when(F.array_contains(F.split("target", "/"), "..") | F.col("citation").startswith(".."), "path-traversal")
         .when(F.col("layer").isNull(), "missing-file")
         .when(F.col("layer").isin(*external), "external-corpus-not-citable")
         .when(~F.col("layer").isin(*layers), "layer-not-allowed")
-        .when((F.col("line") < 1) | (F.col("line") > F.col("n_lines")), "line-empty-or-out-of-range")
+        .when((F.col("line") < 1) | (F.col("line") > F.col("n_lines")) | (F.array_contains("blank_lines", F.col("line")) if "blank_lines" in files.columns else F.lit(False)), "line-empty-or-out-of-range")
     )
     return both.withColumn("reason", reason).select(*cited.columns, "layer", "reason")
 
@@ -128,24 +162,74 @@ def support(pairs: DataFrame, strong: float = 0.82, weak: float = 0.74) -> DataF
     return best.withColumn("band", F.when(F.col("best") >= strong, "strong").when(F.col("best") >= weak, "weak").otherwise("none"))
 
 
+#: What to do about a reason.
+ACTIONS = {"path-traversal": "fix-path", "missing-file": "fix-path", "layer-not-allowed": "re-cite", "external-corpus-not-citable": "re-cite", "line-empty-or-out-of-range": "fix-line"}
+
+
+def critique(judged: DataFrame, uncovered: DataFrame | None = None) -> DataFrame:
+    """id, severity, reason, action, citation of all that is to be mended.
+
+    judged: id, citation, reason (of gated) and, where known, label and band (of support): a broken citation is an error, a FACT with weak or
+    no support a warning. uncovered: id, n of claims without a citation: one error a document.
+    """
+    reason = F.col("reason")
+    action = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv]), reason), F.lit("re-cite"))
+    errors = judged.where(reason.isNotNull()).select("id", F.lit("error").alias("severity"), "reason", action.alias("action"), "citation")
+    out = errors
+    if {"label", "band"} <= set(judged.columns):
+        weak = judged.where(reason.isNull() & (F.col("label") == "FACT") & F.col("band").isin("weak", "none"))
+        out = out.unionByName(weak.select("id", F.lit("warn").alias("severity"), F.concat(F.lit("weak-support-"), "band").alias("reason"), F.lit("downgrade-or-recite").alias("action"), "citation"))
+    if uncovered is not None:
+        out = out.unionByName(uncovered.where("n > 0").select("id", F.lit("error").alias("severity"), F.lit("uncited-claim").alias("reason"), F.lit("add-citation").alias("action"), F.lit(None).cast("string").alias("citation")))
+    return out
+
+
+def corpus_scan(docs: DataFrame, items: DataFrame, exempt: Column) -> DataFrame:
+    """One row: files, failed (with errors), errors, warns, exempt. docs: id; items: of critique; exempt: which documents are not judged."""
+    counts = items.groupBy("id").agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warn").alias("w"))
+    both = docs.withColumn("_x", F.coalesce(exempt, F.lit(False))).join(counts, "id", "left")
+    seen = ~F.col("_x")
+    zero = F.lit(0).cast("bigint")
+    total = lambda c: F.coalesce(F.sum(F.when(seen, F.col(c))), zero)
+    return both.agg(F.count_if(seen).alias("files"), F.count_if(seen & (F.col("e") > 0)).alias("failed"), total("e").alias("errors"), total("w").alias("warns"), F.count_if(F.col("_x")).alias("exempt"))
+
+
 def layer_violations(cited: DataFrame, ranks: DataFrame) -> DataFrame:
     """src, dst, src_rank, dst_rank where a document cites one whose layer is not strictly lower. cited: src, dst; ranks: node, rank."""
     a, b = ranks.select(F.col("node").alias("src"), F.col("rank").alias("src_rank")), ranks.select(F.col("node").alias("dst"), F.col("rank").alias("dst_rank"))
     return cited.join(a, "src").join(b, "dst").where(F.col("dst_rank") >= F.col("src_rank")).select("src", "dst", "src_rank", "dst_rank")
 
 
+#: Inline tags and the mark that stands on both sides of their text; block tags and what stands before their text.
+INLINE = {"**": "strong|b", "*": "em|i", "`": "code|tt|kbd"}
+BLOCKS = {**{f"\n{'#' * k} ": f"h{k}" for k in range(1, 7)}, "\n- ": "li", "\n> ": "blockquote"}
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "\u2014", "ndash": "\u2013", "hellip": "\u2026", "laquo": "\u00ab", "raquo": "\u00bb", "copy": "\u00a9"}
+
+
 def html_text(html: Column) -> Column:
-    """Readable text of HTML: scripts, styles and comments gone, headings, list items and links as Markdown, tags stripped, entities decoded."""
-    steps = [
-        (r"(?is)<!--.*?-->", ""), (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"(?is)<(strong|b)>(.*?)</(strong|b)>", "**$2**"), (r"(?is)<(em|i)>(.*?)</(em|i)>", "*$2*"), (r"(?is)<code>(.*?)</code>", "`$1`"),
-        (r'(?is)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"), (r"(?is)<h1[^>]*>(.*?)</h1>", "\n# $1\n"), (r"(?is)<h2[^>]*>(.*?)</h2>", "\n## $1\n"), (r"(?is)<h3[^>]*>(.*?)</h3>", "\n### $1\n"),
-        (r"(?is)<li[^>]*>", "\n- "), (r"(?is)<br[^>]*>|</p>|</div>|</li>|</tr>", "\n"), (r"(?s)<[^>]+>", ""),
-    ]
-    out = html
-    for pattern, to in steps:
-        out = F.regexp_replace(out, pattern, to)
-    for entity, to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(to))
+    """Readable text of HTML as Markdown: marks for emphasis, code, links, headings, items and quotes, tags stripped, entities decoded.
+
+    Tags may have attributes and any case; an ordered list's items are numbered 1. as Markdown counts them; code blocks keep their lines.
+    """
+    tag = lambda names: rf"(?is)<(?:{names})(?:\s[^>]*)?>"
+    end = lambda names: rf"(?is)</(?:{names})\s*>"
+    out = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "")
+    out = F.regexp_replace(F.regexp_replace(out, tag("pre"), "\n```\n"), end("pre"), "\n```\n")
+    items = F.split(out, r"(?is)(?=<ol[\s>])|(?<=</ol>)", -1)
+    out = F.array_join(F.transform(items, lambda part: F.when(part.rlike(r"(?is)^<ol[\s>]"), F.regexp_replace(part, tag("li"), "\n1. ")).otherwise(part)), "")
+    out = F.regexp_replace(out, r"""(?is)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""", "[$2]($1)")
+    for mark, names in INLINE.items():
+        out = F.regexp_replace(F.regexp_replace(out, tag(names), mark), end(names), mark)
+    for mark, names in BLOCKS.items():
+        out = F.regexp_replace(F.regexp_replace(out, tag(names), mark), end(names), "\n")
+    out = F.regexp_replace(F.regexp_replace(out, tag("br|hr"), "\n"), end("p|div|tr|ul|ol|table|section"), "\n")
+    out = F.regexp_replace(out, r"(?s)<[^>]+>", "")
+    for name, to in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(to))
+    character = lambda c: F.when(c.cast("int").between(32, 126), F.chr(c.cast("int"))).otherwise(F.concat(F.lit("&#"), c, F.lit(";")))
+    found = lambda t: F.concat(F.transform(F.regexp_extract_all(t, F.lit("&#([0-9]{1,6});"), 1), character), F.array(F.lit("")))
+    out = let(out, lambda t: F.array_join(F.zip_with(F.split(t, "&#[0-9]{1,6};", -1), found(t), lambda gap, c: F.concat(gap, c)), ""))
+    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
     return F.btrim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n\s*\n+", "\n"), F.lit(" \n"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofgrid.functions.columns import confidence, exact, ratio
 from proofgrid.operators import metrics
-from proofgrid.operators.order import global_rank
+from proofgrid.operators.order import global_rank, whole_median
 from proofgrid.plans.registry import query
 from proofgrid.session import table
 
@@ -48,6 +48,12 @@ def nation_brand_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.sums(facts(spark, sf_dir), ["nation", "brand"], measures())
 
 
+def ours(spark: SparkSession, sf_dir: str) -> Column:
+    """The least nation that has facts, as a scalar subquery over keys only."""
+    items, suppliers = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    return suppliers.join(items.select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_semi").agg(F.min("s_nationkey")).scalar()
+
+
 def supplier_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a supplier: means of its line items. Sums are built before the join, by supplier, so the join is small."""
     items = table(spark, sf_dir, "lineitem")
@@ -194,7 +200,7 @@ def median_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def strengths_and_weaknesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = supplier_table(spark, sf_dir)
-    middle = one.agg(F.median("quantity").alias("middle"))  # one row: a scalar beside the table, not a window over all of it
+    middle = whole_median(one, "quantity")  # one row: a scalar beside the table, not a window over all of it
     deltas = one.crossJoin(middle).select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("supplier"), F.round(F.col("quantity") - F.col("middle"), 6).alias("delta")).where("delta <> 0")
     kinds = deltas.withColumn("kind", F.when(F.col("delta") > 0, "risk").otherwise("exploit"))
     return metrics.top_per_group(kinds, ["nation", "kind"], [F.abs("delta").desc(), F.asc("supplier")], 3)
@@ -202,12 +208,12 @@ def strengths_and_weaknesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "percentile_bands",
-    f"""WITH {SUPPLIER_SQL}, p AS (SELECT s_nationkey AS nation, round(quantity, 4) AS q, row_number() OVER (PARTITION BY s_nationkey ORDER BY round(quantity, 4), s_suppkey) - 1 AS p, count(*) OVER (PARTITION BY s_nationkey) AS n FROM perf)
+    """WITH p AS (SELECT c_nationkey AS nation, c_acctbal AS q, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) - 1 AS p, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
     SELECT nation, max(n) AS n, max(CASE WHEN p = floor(n * 0.2::DOUBLE) THEN q END) AS low, max(CASE WHEN p = floor(n * 0.8::DOUBLE) THEN q END) AS high FROM p WHERE n >= 5 GROUP BY nation""",
 )
 def percentile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suppliers = supplier_table(spark, sf_dir).select(F.col("s_nationkey").alias("nation"), "s_suppkey", F.round("quantity", 4).alias("quantity"))
-    return metrics.percentile_bands(suppliers, "quantity", ["nation"], "s_suppkey")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
+    return metrics.percentile_bands(customers, "c_acctbal", ["nation"], "c_custkey")
 
 
 @query(
@@ -234,11 +240,11 @@ def vs_field_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "edge_vs_opponents",
     f"""WITH {SUMS_SQL}, r AS (SELECT nation, brand, wins / rounds AS rate FROM sums)
-    SELECT o.brand, o.nation, round(u.rate, 6) AS ours, round(o.rate, 6) AS theirs, round(u.rate - o.rate, 6) AS edge FROM r o JOIN r u ON u.brand = o.brand AND u.nation = 0 WHERE o.nation <> 0""",
+    SELECT o.brand, o.nation, round(u.rate, 6) AS ours, round(o.rate, 6) AS theirs, round(u.rate - o.rate, 6) AS edge FROM r o JOIN r u ON u.brand = o.brand AND u.nation = (SELECT min(nation) FROM sums) WHERE o.nation <> (SELECT min(nation) FROM sums)""",
 )
 def edge_vs_opponents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = nation_brand_sums(spark, sf_dir).select("nation", "brand", ratio("wins", "rounds").alias("rate"))
-    found = metrics.edges(rates, "nation", 0, ["brand"], "rate")
+    found = metrics.edges(rates, "nation", ours(spark, sf_dir), ["brand"], "rate")
     return found.select("brand", "nation", *[F.round(c, 6).alias(c) for c in ("ours", "theirs", "edge")])
 
 
@@ -246,13 +252,13 @@ def edge_vs_opponents(spark: SparkSession, sf_dir: str) -> DataFrame:
     "unpivot_metric_edges",
     f"""WITH {SUMS_SQL}, n AS (SELECT nation, sum(rating) / sum(rounds) AS rating, sum(wins) / sum(rounds) AS win, sum(t_wins) / sum(t_rounds) AS t_win, sum(ct_wins) / sum(ct_rounds) AS ct_win FROM sums GROUP BY nation),
     u AS (SELECT nation, 'rating' AS metric, rating AS value FROM n UNION ALL SELECT nation, 'win', win FROM n UNION ALL SELECT nation, 't_win', t_win FROM n UNION ALL SELECT nation, 'ct_win', ct_win FROM n)
-    SELECT o.nation, o.metric, round(us.value - o.value, 6) AS edge FROM u o JOIN u us ON us.metric = o.metric AND us.nation = 0 WHERE o.nation <> 0""",
+    SELECT o.nation, o.metric, round(us.value - o.value, 6) AS edge FROM u o JOIN u us ON us.metric = o.metric AND us.nation = (SELECT min(nation) FROM n) WHERE o.nation <> (SELECT min(nation) FROM n)""",
 )
 def unpivot_metric_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_nation = metrics.fold(nation_brand_sums(spark, sf_dir), ["nation"])
     rates = by_nation.select("nation", ratio("rating", "rounds").alias("rating"), ratio("wins", "rounds").alias("win"), ratio("t_wins", "t_rounds").alias("t_win"), ratio("ct_wins", "ct_rounds").alias("ct_win"))
     long = metrics.unpivoted(rates, ["nation"], ["rating", "win", "t_win", "ct_win"])
-    return metrics.edges(long, "nation", 0, ["metric"], "value").select("nation", "metric", F.round("edge", 6).alias("edge"))
+    return metrics.edges(long, "nation", ours(spark, sf_dir), ["metric"], "value").select("nation", "metric", F.round("edge", 6).alias("edge"))
 
 
 @query(
@@ -310,3 +316,38 @@ def weakest_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = nation_brand_sums(spark, sf_dir).select("nation", "brand", ratio("t_wins", "t_rounds").alias("t"), ratio("ct_wins", "ct_rounds").alias("ct"))
     found = metrics.weakest_side(rates, "nation", "brand", "ct", "t")
     return found.select("nation", "brand", F.round("rate", 6).alias("rate"), F.round("gap", 6).alias("gap"))
+
+
+@query(
+    "scouting_targets",
+    f"""WITH {SUPPLIER_SQL}, r AS (SELECT s_nationkey AS nation, s_suppkey AS supplier, round(quantity, 6) AS q, round(accepted, 6) AS a, round(discount, 6) AS d FROM perf),
+    p AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY q DESC, supplier) AS q1, row_number() OVER (PARTITION BY nation ORDER BY a DESC, supplier) AS a1, row_number() OVER (PARTITION BY nation ORDER BY d DESC, supplier) AS d1, row_number() OVER (PARTITION BY nation ORDER BY q, supplier) AS q2, row_number() OVER (PARTITION BY nation ORDER BY a, supplier) AS a2 FROM r)
+    SELECT nation, supplier, 'focus' AS kind, 'quantity' AS reason, q1 AS place FROM p WHERE q1 <= 2 UNION ALL SELECT nation, supplier, 'focus', 'accepted', 1 FROM p WHERE a1 = 1 UNION ALL SELECT nation, supplier, 'focus', 'discount', 1 FROM p WHERE d1 = 1
+    UNION ALL SELECT nation, supplier, 'soft', 'quantity', 1 FROM p WHERE q2 = 1 UNION ALL SELECT nation, supplier, 'soft', 'accepted', 1 FROM p WHERE a2 = 1""",
+)
+def scouting_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["quantity", "accepted", "discount"]
+    suppliers = supplier_table(spark, sf_dir).select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("supplier"), *[F.round(c, 6).alias(c) for c in names])
+    return metrics.targets(suppliers, ["nation"], "supplier", names[0], names[1:])
+
+
+@query(
+    "profile_ratios",
+    """WITH s AS (SELECT l_suppkey AS supplier, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS q, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS p, CAST(sum(CAST(l_discount AS DECIMAL(18,4))) AS DOUBLE) AS d,
+      CAST(count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS DOUBLE) AS a, CAST(count(CASE WHEN l_linestatus = 'O' THEN 1 END) AS DOUBLE) AS o, CAST(count(CASE WHEN l_linestatus = 'O' AND l_returnflag = 'A' THEN 1 END) AS DOUBLE) AS oa, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT supplier, round(a / n, 6) AS accepted_share, round(p / q, 6) AS unit_price, round(d / n, 6) AS mean_discount, round(oa / nullif(o, 0), 6) AS open_accepted, round(q / n, 6) AS mean_quantity FROM s""",
+)
+def profile_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accepted, open_ = F.col("l_returnflag") == "A", F.col("l_linestatus") == "O"
+    measures_ = {"q": "l_quantity", "p": "l_extendedprice", "d": "l_discount", "a": F.when(accepted, 1.0), "o": F.when(open_, 1.0), "oa": F.when(open_ & accepted, 1.0)}
+    summed = metrics.sums(table(spark, sf_dir, "lineitem"), ["l_suppkey"], measures_).withColumnRenamed("l_suppkey", "supplier")
+    return metrics.profile_ratios(summed, "supplier", {"accepted_share": ("a", "rounds"), "unit_price": ("p", "q"), "mean_discount": ("d", "rounds"), "open_accepted": ("oa", "o"), "mean_quantity": ("q", "rounds")})
+
+
+@query("catalogue", "SELECT p_type AS category, p_partkey AS item, count(*) OVER (PARTITION BY p_type) AS n, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS place FROM part")
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every category's items in order, and how many they are; rows rather than lists, so that no list grows with the table."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_type").alias("category"), F.col("p_partkey").alias("item"))
+    counts = parts.groupBy("category").agg(F.count("*").alias("n"))
+    placed = metrics.top_per_group(parts, ["category"], [F.asc("item")], 1 << 62)
+    return placed.join(counts, "category").select("category", "item", "n", "place")

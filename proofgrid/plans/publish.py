@@ -36,12 +36,13 @@ def dataset_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "merkle_root",
-    """WITH h AS (SELECT sha256(concat(o_orderkey, '|', o_orderstatus)) AS h FROM orders), b AS (SELECT h[1:2] AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1),
-    c AS (SELECT b[1:1] AS c, sum(n) AS n, sha256(string_agg(d, '' ORDER BY b)) AS d FROM b GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY c)) AS root, CAST(sum(n) AS BIGINT) AS n FROM c""",
+    """WITH h AS (SELECT sha256(concat(o_orderkey, '|', o_orderstatus)) AS h FROM orders), l4 AS (SELECT h[1:4] AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1), l3 AS (SELECT l4.p[1:3] AS p, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(n) AS n FROM l4 GROUP BY 1),
+    l2 AS (SELECT l3.p[1:2] AS p, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(n) AS n FROM l3 GROUP BY 1), l1 AS (SELECT l2.p[1:1] AS p, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(n) AS n FROM l2 GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY p)) AS root, CAST(sum(n) AS BIGINT) AS n FROM l1""",
 )
 def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A depth of four digits: 65,536 lists, of a thousand hashes each up to 65 million rows; beyond, a depth that fits is chosen by None."""
     lines = table(spark, sf_dir, "orders").select(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("line"))
-    return publish.merkle_root(lines, "line", depth=2)
+    return publish.merkle_root(lines, "line", depth=4)
 
 
 @query(
@@ -54,6 +55,50 @@ def detail_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.detail_index(publish.in_shards(orders, ["o_orderkey"]), "orders", ["o_orderstatus", "o_orderpriority"])
 
 
+INDEX_SQL = """r AS (SELECT o_orderkey, o_orderstatus, concat('orders-', lpad(CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 2000 AS VARCHAR), 3, '0'), '.json') AS path FROM orders), i AS (SELECT DISTINCT o_orderstatus AS key, path FROM r)"""
+
+
+@query(
+    "index_differences",
+    f"""WITH {INDEX_SQL} SELECT 'orders' AS dataset, 'o_orderstatus' AS field, key, path, 'data' AS side FROM i WHERE key = 'P'
+    UNION ALL SELECT DISTINCT 'orders', 'o_orderstatus', 'Q', path, 'index' FROM i""",
+)
+def index_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that has lost one status and has another that no order has, held to the data."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    sharded = publish.in_shards(orders, ["o_orderkey"])
+    right = publish.detail_index(sharded, "orders", ["o_orderstatus"])
+    wrong = right.where("key <> 'P'").unionByName(right.select("dataset", "field", F.lit("Q").alias("key"), "path").distinct())
+    return publish.index_differences(wrong, sharded, "orders", ["o_orderstatus"])
+
+
+@query(
+    "manifest_contract",
+    """WITH m AS (SELECT DISTINCT concat('orders-', lpad(CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS VARCHAR), 3, '0'), '.json') AS path, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS shard FROM orders)
+    SELECT 'unsafe-path' AS rule, concat('../', path) AS item FROM m WHERE shard % 4 = 1 UNION ALL SELECT 'bad-count', path FROM m WHERE shard % 4 = 2 UNION ALL SELECT 'bad-sha256', path FROM m WHERE shard % 4 = 3
+    UNION ALL SELECT 'repeated-path', path FROM m WHERE shard = 0 UNION ALL SELECT 'unknown-field', 'secret:F' UNION ALL SELECT 'bad-key', 'o_orderstatus:a b' UNION ALL SELECT 'unknown-path', 'orders-999999.json'""",
+)
+def manifest_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest damaged shard by shard, and an index with three wrong entries."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    plain = publish.shard_manifest(orders, "orders", ["o_orderkey"], orders.columns, 100)
+    kind = F.col("shard") % 4
+    damaged = plain.select("dataset", F.when(kind == 1, F.concat(F.lit("../"), "path")).otherwise(F.col("path")).alias("path"), F.when(kind == 2, -F.col("count")).otherwise(F.col("count")).alias("count"), F.when(kind == 3, "00").otherwise(F.col("sha256")).alias("sha256"), "shard")
+    manifest = damaged.unionByName(damaged.where("shard = 0")).drop("shard")
+    entries = [("orders", "o_orderstatus", "F", "orders-000.json"), ("orders", "secret", "F", "orders-000.json"), ("orders", "o_orderstatus", "a b", "orders-000.json"), ("orders", "o_orderstatus", "O", "orders-999999.json")]
+    index = spark.createDataFrame(entries, "dataset string, field string, key string, path string")
+    return publish.contract_faults(manifest, index, ["o_orderstatus"])
+
+
+@query("rebuild_gate", "SELECT count(*) AS n_left, count(*) AS n_right, false AS same FROM orders")
+def rebuild_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published table held to one built again in which one order has another customer."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    first = orders.agg(F.min("o_orderkey")).scalar()
+    other = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") == first, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    return publish.same_content(orders, other, orders.columns)
+
+
 @query(
     "upsert_rows",
     "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderstatus END AS state FROM orders UNION ALL SELECT o_orderkey + 100000000, 'new' FROM orders WHERE o_orderkey % 1000 = 0",

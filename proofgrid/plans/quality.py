@@ -23,15 +23,14 @@ def join_inner_fact_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "coalesce_full_outer",
-    """WITH i AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 <> 0), d AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS s FROM orders WHERE o_orderkey % 2 = 0)
-    SELECT coalesce(i.k, d.k) AS o_orderkey, coalesce(d.s, i.s) AS state, d.k IS NOT NULL AS has_detail FROM i FULL JOIN d ON i.k = d.k""",
+    """WITH i AS (SELECT c_custkey AS k, c_mktsegment AS s FROM customer), d AS (SELECT user_id AS k, max(CASE WHEN event_type = 'purchase' THEN 'buyer' END) AS s FROM events GROUP BY 1)
+    SELECT coalesce(i.k, d.k) AS c_custkey, coalesce(d.s, i.s) AS state, d.k IS NOT NULL AS has_detail FROM i FULL JOIN d ON i.k = d.k""",
 )
 def coalesce_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of two thirds of the orders and details of half of them, some of which have no value."""
-    orders = table(spark, sf_dir, "orders")
-    index = orders.where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_orderstatus").alias("state"))
-    detail = orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("state"))
-    return quality.prefer_detail(index, detail, "o_orderkey")
+    """All customers as the index, all users of the event log as the details; a user without a purchase has a detail without a value."""
+    index = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("state"))
+    detail = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max(F.when(F.col("event_type") == "purchase", "buyer")).alias("state"))
+    return quality.prefer_detail(index, detail, "c_custkey")
 
 
 @query(
@@ -71,7 +70,7 @@ CUSTOMER_COLUMNS = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktseg
     "profile_table",
     "WITH c AS (SELECT c_custkey, c_name, c_nationkey, nullif(c_acctbal, 0) AS c_acctbal, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_mktsegment END AS c_mktsegment FROM customer) "
     + " UNION ALL ".join(
-        f"SELECT 'customer' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(CASE WHEN {c} IS NULL THEN 1 END) AS null_count, count(CASE WHEN trim(CAST({c} AS VARCHAR)) = '' THEN 1 END) AS empty_count, CAST(0 AS BIGINT) AS repeated_keys FROM c"
+        f"SELECT 'customer' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(CASE WHEN {c} IS NULL THEN 1 END) AS null_count, count(CASE WHEN trim(CAST({c} AS VARCHAR)) = '' THEN 1 END) AS empty_count, CAST(0 AS BIGINT) AS repeated_keys, CAST(0 AS BIGINT) AS empty_keys, {str(c == 'c_custkey').lower()} AS in_key, 'one row a c_custkey' AS grain FROM c"
         for c in CUSTOMER_COLUMNS
     ),
 )
@@ -160,12 +159,32 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.try_parse_json("props").isNotNull().alias("valid"))
 
 
-@query("json_leaf_audit", """SELECT 'k' AS path, 'integer' AS type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events""")
+@query(
+    "json_leaf_audit",
+    """WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type, user_id FROM events), l AS (
+      SELECT 'props.k' AS path, CAST(k AS VARCHAR) AS value FROM e UNION ALL SELECT 'kind', event_type FROM e UNION ALL SELECT 'seen.0', CAST(user_id AS VARCHAR) FROM e UNION ALL SELECT 'seen.1.a.b', CAST(event_id AS VARCHAR) FROM e
+      UNION ALL SELECT 'seen.1.a.c.0', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END FROM e)
+    SELECT path, CASE WHEN regexp_full_match(value, '-?[0-9]+') THEN 'integer' WHEN value IN ('true', 'false') THEN 'boolean' ELSE 'string' END AS type, count(*) AS n, CAST(sum(TRY_CAST(value AS BIGINT)) AS BIGINT) AS total FROM l GROUP BY ALL""",
+)
 def json_leaf_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = quality.json_leaves(table(spark, sf_dir, "events"), "event_id", "props")
+    """Every event wrapped in a document five levels deep, lists among them; all leaves are counted and their numbers added up."""
+    inner = F.format_string('{"kind": "%s", "props": %s, "seen": [%d, {"a": {"b": %d, "c": [%s], "d": {}}}]}', "event_type", "props", "user_id", "event_id", F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"))
+    leaves = quality.json_leaves(table(spark, sf_dir, "events").select("event_id", inner.alias("j")), "event_id", "j")
     return leaves.groupBy("path", "type").agg(F.count("*").alias("n"), F.sum(F.col("value").try_cast("bigint")).alias("total"))
 
 
+@query(
+    "json_assertions",
+    """WITH e AS (SELECT event_id, value FROM events) SELECT event_id, 5 AS fullness, CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS not_finite, CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS bad_ids FROM e""",
+)
+def json_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of two members, one a list of two items: five nodes besides the root's braces; some numbers overflow and some ids are short."""
+    number = F.when(F.col("event_id") % 13 == 0, "1e999").otherwise(F.col("event_id").cast("string"))
+    id_ = F.when(F.col("event_id") % 17 == 0, "123").otherwise("76561198000000001")
+    json = F.format_string('{"list": [%s, 2], "steamid": "%s"}', number, id_)
+    return quality.json_assertions(table(spark, sf_dir, "events").select("event_id", json.alias("j")), "event_id", "j", ids="steamid", form="[0-9]{17}")
+
+
 @query(
     "aggregate_reconciliation",
     """WITH i AS (SELECT o_orderkey, CAST(o_orderkey % 8 AS DOUBLE) AS n_items, floor(o_totalprice) AS price FROM orders),
@@ -193,11 +212,13 @@ def page_overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "boundary_stability",
-    """WITH e AS (SELECT user_id, event_id % 2 AS half, event_type, event_id FROM events WHERE event_id < 300), o AS (SELECT user_id, CASE half WHEN 0 THEN 'start' ELSE 'end' END AS role, event_id AS moment, event_type AS d FROM e)
+    """WITH o AS (SELECT user_id, 'start' AS role, min(event_id) AS moment, arg_min(event_type, event_id) AS d FROM events GROUP BY 1 UNION ALL SELECT user_id, 'end', max(event_id), arg_max(event_type, event_id) FROM events GROUP BY 1)
     SELECT user_id, count(CASE WHEN role = 'start' THEN 1 END) = 1 AND count(CASE WHEN role = 'end' THEN 1 END) = 1 AND coalesce(max(CASE WHEN role = 'start' THEN moment END) <= min(CASE WHEN role = 'end' THEN moment END), false) AND min(d) = max(d) AS stable FROM o GROUP BY user_id""",
 )
 def boundary_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    observed = table(spark, sf_dir, "events").where("event_id < 300").select("user_id", F.when(F.col("event_id") % 2 == 0, "start").otherwise("end").alias("role"), "event_id", "event_type")
+    """A user's first and last event as the observations at start and end; stable if both are of one type."""
+    ends = table(spark, sf_dir, "events").groupBy("user_id").agg(*[f("event_type", "event_id").alias(f"{r}_type") for r, f in (("start", F.min_by), ("end", F.max_by))], F.min("event_id").alias("start"), F.max("event_id").alias("end"))
+    observed = ends.select("user_id", F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("event_id"), F.col(f"{r}_type").alias("event_type")) for r in ("start", "end")])))
     return quality.boundary_stability(observed, ["user_id"], "role", "event_id", "event_type")
 
 
@@ -268,13 +289,29 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.stratified_sample(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderpriority", 60, "s1:")
 
 
+#: Tables of the dataset fingerprint with their columns in order of name.
+FINGERPRINTED = {
+    "customer": ("c_custkey", "c_mktsegment", "c_name", "c_nationkey"), "events": ("event_id", "event_type", "user_id"), "nation": ("n_name", "n_nationkey", "n_regionkey"),
+    "orders": ("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"), "part": ("p_brand", "p_partkey", "p_type"), "region": ("r_name", "r_regionkey"), "supplier": ("s_nationkey", "s_suppkey"),
+}
+
+
+def _json_sql(columns: tuple[str, ...]) -> str:
+    texts = {"c_mktsegment", "c_name", "event_type", "n_name", "o_orderpriority", "o_orderstatus", "p_brand", "p_type", "r_name"}
+    return " || ',' || ".join(f"'\"{c}\":' || " + (f"to_json({c})" if c in texts else c) for c in columns)
+
+
 @query(
     "table_fingerprint",
-    """WITH h AS (SELECT sha256(concat('{"n_name":"', n_name, '","n_nationkey":', n_nationkey, ',"n_regionkey":', n_regionkey, '}')) AS h FROM nation)
-    SELECT 'nation' AS table_name, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM h""",
+    "WITH h AS (" + " UNION ALL ".join(f"SELECT '{t}' AS t, sha256('{{' || {_json_sql(c)} || '}}') AS h FROM {t}" for t, c in FINGERPRINTED.items()) + """), l AS (SELECT t, h[1:4] AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY ALL),
+    l3 AS (SELECT t, p[1:3] AS p, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(n) AS n FROM l GROUP BY ALL), l2 AS (SELECT t, l3.p[1:2] AS p, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(n) AS n FROM l3 GROUP BY ALL),
+    l1 AS (SELECT t, l2.p[1:1] AS p, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(n) AS n FROM l2 GROUP BY ALL), one AS (SELECT t, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(n) AS n FROM l1 GROUP BY t)
+    SELECT t AS table_name, CAST(n AS BIGINT) AS n, d AS digest FROM one UNION ALL SELECT '*', CAST(sum(n) AS BIGINT), sha256(string_agg(t || ':' || d, '' ORDER BY t)) FROM one""",
 )
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.fingerprint(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"], "nation")
+    """Every table of the dataset and the dataset as a whole, at a depth of four digits, which leaves about a thousand hashes a list up to 65 million rows."""
+    parts = [quality.fingerprint(table(spark, sf_dir, t), list(c), t, depth=4) for t, c in FINGERPRINTED.items()]
+    return quality.dataset_fingerprint(parts)
 
 
 @query(
@@ -310,10 +347,47 @@ def malformed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids built from the user id: every fifth a number, every seventh a digit short."""
     value = F.when(F.col("event_id") % 5 == 0, F.col("user_id").cast("string")).otherwise(F.concat(F.lit('"'), F.call_function("lpad", F.col("user_id").cast("string"), F.when(F.col("event_id") % 7 == 0, 16).otherwise(17), F.lit("7")), F.lit('"')))
     json = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a": {"steamid": '), value, F.lit("}}"))).otherwise(F.concat(F.lit('{"ctSteamids": ['), value, F.lit("]}")))
-    return quality.malformed_ids(table(spark, sf_dir, "events").select("event_id", json.alias("j")), "event_id", "j")
+    return quality.malformed_ids(table(spark, sf_dir, "events").select("event_id", json.alias("j")), "event_id", "j", name="[A-Za-z]*[sS]teamids?", form="[0-9]{17}")
 
 
 @query("payload_merge", "SELECT event_id, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def payload_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.concat(F.lit('{"kind": "lost", "n": [1], '), F.substring("props", 2, 1000)).alias("props"))
     return quality.merged_payload(events, "props", "kind string, k bigint, n array<int>", drop=["n"])
+
+
+@query(
+    "audit_sample",
+    """WITH h AS (SELECT o_orderkey, o_orderpriority, o_orderdate, sha256(concat('a1:', o_orderkey)) AS h FROM orders), f AS (SELECT arg_min(o_orderkey, (h, o_orderkey)) AS k FROM h GROUP BY o_orderpriority),
+    e AS (SELECT arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM h UNION SELECT arg_max(o_orderkey, (o_orderdate, o_orderkey)) FROM h UNION SELECT arg_min(o_orderkey, (CAST(o_orderkey AS VARCHAR), o_orderkey)) FROM h UNION SELECT arg_max(o_orderkey, (CAST(o_orderkey AS VARCHAR), o_orderkey)) FROM h UNION SELECT k FROM f)
+    SELECT o_orderkey, o_orderpriority, o_orderkey IN (SELECT k FROM e) AS mandatory FROM h QUALIFY row_number() OVER (ORDER BY o_orderkey IN (SELECT k FROM e) DESC, h, o_orderkey) <= (SELECT greatest(30, ceil(count(*) * 0.01)) FROM orders)""",
+)
+def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One in a hundred orders, with each priority's first by hash and the ends by date and by key."""
+    return quality.audit_sample(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderpriority", "o_orderdate", "a1:")
+
+
+@query(
+    "first_known",
+    """WITH e AS (SELECT user_id, event_id, CASE WHEN event_type <> 'view' THEN event_type END AS kind, CASE WHEN value >= 100 THEN value END AS large FROM events)
+    SELECT user_id, arg_min(kind, event_id) FILTER (kind IS NOT NULL) AS kind, arg_min(large, event_id) FILTER (large IS NOT NULL) AS large FROM e GROUP BY 1""",
+)
+def first_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each user the first kind of event that is no view, and the first large value."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("kind"), F.when(F.col("value") >= 100, F.col("value")).alias("large"))
+    return quality.first_known(events, ["user_id"], ["kind", "large"], [F.col("event_id")])
+
+
+@query(
+    "base_health",
+    """WITH d AS (SELECT concat('c', c_custkey) AS node, CASE WHEN c_custkey % 20 = 0 THEN ' ' ELSE c_name END AS title, CASE WHEN c_custkey % 3 <> 0 THEN DATE '2024-01-01' + CAST(c_custkey % 200 AS INTEGER) END AS day FROM customer),
+    l AS (SELECT concat('c', o_custkey) AS src, concat('c', o_custkey * 2) AS dst FROM orders), i AS (SELECT * FROM l WHERE src <> dst AND dst IN (SELECT node FROM d))
+    SELECT 'missing-field' AS rule, count(CASE WHEN trim(title) = '' THEN 1 END) + count(CASE WHEN day IS NULL THEN 1 END) AS n FROM d UNION ALL SELECT 'broken-link', count(*) FROM l WHERE dst NOT IN (SELECT node FROM d) UNION ALL SELECT 'ghost', count(DISTINCT dst) FROM l WHERE dst NOT IN (SELECT node FROM d)
+    UNION ALL SELECT 'orphan', count(*) FROM d WHERE node NOT IN (SELECT src FROM i UNION SELECT dst FROM i) UNION ALL SELECT 'stale', count(*) FROM d WHERE date_diff('day', day, DATE '2024-07-01') >= 90""",
+)
+def base_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as documents, each order a link from its customer to the one of twice the number."""
+    key = F.col("c_custkey")
+    docs = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), key).alias("node"), F.when(key % 20 == 0, " ").otherwise(F.col("c_name")).alias("title"), F.when(key % 3 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (key % 200).cast("int"))).alias("day"))
+    links = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("c"), F.col("o_custkey") * 2).alias("dst"))
+    return quality.base_health(docs, links, ["title", "day"], "day", "2024-07-01")

@@ -1,15 +1,17 @@
-"""Ranking queries: nation 0 is us, every other nation an opponent, brands are the contexts to pick and ban."""
+"""Ranking queries: the least nation with facts is us, every other one an opponent, brands are the contexts to pick and ban."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.operators import ranking
-from proofgrid.plans.metrics import SUMS_SQL, nation_brand_sums
+from proofgrid.operators import metrics, ranking
+from proofgrid.plans.metrics import SUMS_SQL, nation_brand_sums, ours
 from proofgrid.plans.registry import query
 from proofgrid.session import table
 
+#: SQL of a score from two samples and three edges.
+SCORE_SQL = "least({us}, {opp}) / (least({us}, {opp}) + 250.0::DOUBLE) * (0.5::DOUBLE * {rating} / 0.03::DOUBLE + 0.3::DOUBLE * {win} / 0.05::DOUBLE + 0.2::DOUBLE * {side} / 0.05::DOUBLE)"
 #: SQL of the rounded ranking that the later choices build on, so both sides order the same values.
 RANKING_SQL = f"""{SUMS_SQL}, o AS (
   SELECT nation, sum(rating) / sum(rounds) AS r, sum(wins) / sum(rounds) AS w, sum(t_wins) / sum(t_rounds) AS t, sum(ct_wins) / sum(ct_rounds) AS ct FROM sums GROUP BY nation
@@ -20,10 +22,10 @@ RANKING_SQL = f"""{SUMS_SQL}, o AS (
 ), edges AS (
   SELECT b.nation AS opponent, brand, a.rounds AS us_rounds, b.rounds AS opp_rounds, a.ar - b.ar AS rating_edge, a.aw - b.aw AS win_edge,
     ((a.at + 1 - b.act) / 2 + (a.act + 1 - b.at) / 2) / 2 - 0.5 AS side_edge
-  FROM adj b JOIN adj a USING (brand) WHERE a.nation = 0 AND b.nation <> 0
+  FROM adj b JOIN adj a USING (brand) WHERE a.nation = (SELECT min(nation) FROM sums) AND b.nation <> (SELECT min(nation) FROM sums)
 ), ranked AS (
   SELECT opponent, brand, us_rounds, opp_rounds, round(score, 6) AS score, CASE WHEN score IS NULL THEN 'no-data' WHEN score >= 0.1 THEN 'pick' WHEN score <= -0.1 THEN 'ban' ELSE 'neutral' END AS band
-  FROM (SELECT *, least(us_rounds, opp_rounds) / (least(us_rounds, opp_rounds) + 250.0::DOUBLE) * (0.5::DOUBLE * rating_edge / 0.03::DOUBLE + 0.3::DOUBLE * win_edge / 0.05::DOUBLE + 0.2::DOUBLE * side_edge / 0.05::DOUBLE) AS score FROM edges)
+  FROM (SELECT *, {SCORE_SQL.format(us='us_rounds', opp='opp_rounds', rating='rating_edge', win='win_edge', side='side_edge')} AS score FROM edges)
 )"""
 VERDICT_SQL = f"""{RANKING_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY opponent ORDER BY score DESC NULLS LAST, brand) AS k FROM ranked),
 picks AS (SELECT opponent, brand AS pick FROM p WHERE k = 1), rest AS (SELECT * FROM p WHERE k > 1),
@@ -32,9 +34,10 @@ left_ AS (SELECT rest.*, row_number() OVER (PARTITION BY opponent ORDER BY k) AS
 verdict AS (SELECT opponent, pick, ban, (SELECT brand FROM left_ l WHERE l.opponent = picks.opponent AND r = 1) AS reserve_1, (SELECT brand FROM left_ l WHERE l.opponent = picks.opponent AND r = 2) AS reserve_2 FROM picks JOIN bans USING (opponent))"""
 
 
-def signal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signal_edges(spark: SparkSession, sf_dir: str, us: Column | None = None) -> DataFrame:
     """The nation x brand table has as many rows as nations times brands, whatever the number of facts."""
-    return ranking.signal_edges(ranking.adjusted(nation_brand_sums(spark, sf_dir), "nation", "brand"), "nation", "brand", 0)
+    sums = nation_brand_sums(spark, sf_dir)
+    return ranking.signal_edges(ranking.adjusted(sums, "nation", "brand"), "nation", "brand", ours(spark, sf_dir) if us is None else us)
 
 
 def rounded_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,16 +97,25 @@ def clash_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.clashes(ranking.verdicts(rank, "brand"), ranking.mirrored(rank, "brand"), "brand")
 
 
+FORTH = SCORE_SQL.format(us="us_rounds", opp="opp_rounds", rating="rating_edge", win="win_edge", side="side_edge")
+BACK = SCORE_SQL.format(us="b.rounds", opp="a.rounds", rating="(b.ar - a.ar)", win="(b.aw - a.aw)", side="(((b.at + 1 - a.act) / 2 + (b.act + 1 - a.at) / 2) / 2 - 0.5)")
+
+
 @query(
     "antisymmetry_check",
-    f"WITH {RANKING_SQL} SELECT count(*) AS pairs, CAST(0 AS BIGINT) AS broken FROM ranked",
+    f"""WITH {RANKING_SQL}, forth AS (SELECT opponent, brand, {FORTH} AS score FROM edges),
+    back AS (SELECT b.nation AS opponent, brand, {BACK} AS score FROM adj b JOIN adj a USING (brand) WHERE a.nation = (SELECT min(nation) FROM sums) AND b.nation <> (SELECT min(nation) FROM sums))
+    SELECT count(*) AS pairs, count(CASE WHEN NOT coalesce(abs(f.score + b.score) <= 1e-9, f.score IS NULL AND b.score IS NULL) THEN 1 END) AS broken FROM forth f FULL JOIN back b ON f.opponent = b.opponent AND f.brand = b.brand""",
 )
 def antisymmetry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mirrored score must be the negated one."""
-    rank = rounded_ranking(spark, sf_dir)
-    mirror = ranking.mirrored(rank, "brand").select("opponent", "brand", F.col("score").alias("theirs"))
-    both = rank.join(mirror, ["opponent", "brand"])
-    return both.agg(F.count("*").alias("pairs"), F.count_if(F.abs(F.col("score") + F.col("theirs")) > 1e-9).alias("broken"))
+    """Every opponent ranked once more as us, against us: its scores must be the negated ones."""
+    table_ = ranking.adjusted(nation_brand_sums(spark, sf_dir), "nation", "brand")
+    return ranking.asymmetries(table_, "nation", "brand", ours(spark, sf_dir))
+
+
+@query("mean_across", f"WITH {RANKING_SQL}, m AS (SELECT brand, round(avg(score), 6) AS mean FROM ranked GROUP BY 1) SELECT brand, mean, row_number() OVER (ORDER BY mean DESC NULLS LAST, brand) AS place FROM m")
+def mean_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.mean_across(rounded_ranking(spark, sf_dir), "brand")
 
 
 EVIDENCE_SQL = f"""{RANKING_SQL}, evidence AS (

@@ -1,4 +1,4 @@
-"""Retrieval queries. Query sets: the benchmark items' first words, and the vectors whose id is divisible by 100, each against all rows."""
+"""Retrieval queries. Query sets: the benchmark items, and the vectors and documents whose id is divisible by 100, each against all rows."""
 
 from __future__ import annotations
 
@@ -13,15 +13,18 @@ WORDS_SQL = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}
 #: The stated query sets and channels in SQL.
 BM25_SQL = """{q} terms AS (SELECT DISTINCT qid, unnest(CASE WHEN len(list_filter(w, lambda t: length(t) >= 2)) > 0 THEN list_filter(w, lambda t: length(t) >= 2) ELSE w END) AS term FROM asked),
 words AS (SELECT id, {words} AS w FROM corpus), stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM words),
-postings AS (SELECT id, len AS n_words, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+postings AS (SELECT id, len AS n_words, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest({grams}) AS term FROM words) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
 dfs AS (SELECT term, greatest(ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 1e-6::DOUBLE) AS idf FROM postings, stats GROUP BY term, n),
 bm AS (SELECT qid, id, round(CAST(sum(CAST(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n_words / mean)) AS DECIMAL(24,12))) AS DOUBLE), 9) AS score FROM postings JOIN terms USING (term) JOIN dfs USING (term), stats GROUP BY qid, id),
 bm_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm)"""
-ITEMS_SQL = "asked AS (SELECT item_id AS qid, (" + WORDS_SQL.format("text") + ")[1:6] AS w FROM benchmark), corpus AS (SELECT doc_id AS id, text FROM documents),"
+PHRASES_SQL = r"list_distinct(list_filter(list_transform(string_split_regex(coalesce({0}, ''), '\s+'), lambda t: array_to_string(list_filter(string_split_regex(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda u: u <> ''), ' ')), lambda p: p <> ''))"
+ITEMS_SQL = "asked AS (SELECT item_id AS qid, " + PHRASES_SQL.format("text") + " AS w FROM benchmark), corpus AS (SELECT doc_id AS id, text FROM documents),"
+#: Runs of up to {n} words, for phrases.
+GRAMS_SQL = "flatten(list_transform(range(1, {n} + 1), lambda k: list_transform(range(1, greatest(len(w) - k + 1, 0) + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))))"
 KNN_SQL = """cosines AS (SELECT q.vec_id AS qid, v.vec_id AS id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings q, {v} v WHERE q.vec_id % 100 = 0),
 knn AS (SELECT *, round(1 - sqrt(greatest(2 - 2 * cosine, 0)) / 2, 6) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM cosines)"""
 PLAIN_KNN = KNN_SQL.format(v="embeddings")
-BENCH_BM25 = BM25_SQL.format(q=ITEMS_SQL, words=WORDS_SQL.format("text"))
+BENCH_BM25 = BM25_SQL.format(q=ITEMS_SQL, words=WORDS_SQL.format("text"), grams=GRAMS_SQL.format(n=6))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +40,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first six tokens of every benchmark item as a search."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(retrieval.tokens(F.col("text")), 1, 6), " ").alias("text"))
+    """Every whole benchmark item as a search."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 @query("bm25_search", f"WITH {BENCH_BM25} SELECT qid, id, round(score, 6) AS score, rank FROM bm_ranked WHERE rank <= 10")
@@ -46,6 +49,18 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(item_queries(spark, sf_dir), corpus(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
+PAIRS_OF_WORDS = ITEMS_SQL.replace("asked AS", "single AS").replace(", corpus AS", ", asked AS (SELECT qid, list_distinct(list_transform(range(1, len(w) // 2 + 1), lambda i: concat(w[2 * i - 1], ' ', w[2 * i]))) AS w FROM (SELECT item_id AS qid, " + WORDS_SQL.format("text") + " AS w FROM benchmark)), corpus AS")
+
+
+@query("bm25_phrases", f"WITH {BM25_SQL.format(q=PAIRS_OF_WORDS, words=WORDS_SQL.format('text'), grams=GRAMS_SQL.format(n=2))} SELECT qid, id, round(score, 6) AS score, rank FROM bm_ranked WHERE rank <= 10")
+def bm25_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's words two by two, joined by a hyphen, so that each pair is a phrase; a last odd word goes."""
+    words = retrieval.tokens(F.col("text"))
+    pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size("w") / 2).cast("int")), lambda i: F.concat_ws("-", F.get("w", i * 2 - 2), F.get("w", i * 2 - 1)))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words.alias("w")).where(F.size("w") >= 2).select("qid", F.array_join(pairs, " ").alias("text"))
+    return retrieval.bm25(asked, corpus(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
 @query("knn_topk", f"WITH {PLAIN_KNN} SELECT qid, id, cosine, similarity, rank FROM knn WHERE rank <= 10")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.knn(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 10)
@@ -54,33 +69,80 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 FUSED_SQL = """fused AS (SELECT coalesce(v.qid, b.qid) AS qid, coalesce(v.id, b.id) AS id, v.rank AS vec_rank, b.rank AS bm25_rank, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS fused
   FROM (SELECT * FROM knn WHERE rank <= 50 AND qid IN (SELECT qid FROM asked)) v FULL JOIN (SELECT * FROM bm_ranked WHERE rank <= 50) b ON v.qid = b.qid AND v.id = b.id),
 fused_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, vec_rank NULLS LAST, bm25_rank NULLS LAST, id) AS rank FROM fused)"""
-DOC_QUERIES_SQL = "asked AS (SELECT doc_id AS qid, (" + WORDS_SQL.format("text") + ")[1:6] AS w FROM documents JOIN embeddings ON vec_id = doc_id WHERE vec_id % 100 = 0), corpus AS (SELECT doc_id AS id, text FROM documents),"
-DOC_BM25 = BM25_SQL.format(q=DOC_QUERIES_SQL, words=WORDS_SQL.format("text"))
+DOC_QUERIES_SQL = "asked AS (SELECT doc_id AS qid, " + WORDS_SQL.format("text") + " AS w FROM documents JOIN embeddings ON vec_id = doc_id WHERE vec_id % 100 = 0), corpus AS (SELECT doc_id AS id, text FROM documents),"
+DOC_BM25 = BM25_SQL.format(q=DOC_QUERIES_SQL, words=WORDS_SQL.format("text"), grams="w")
 
 
 def document_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts and vectors of the documents whose id is divisible by 100: the first six tokens are the search."""
+    """Whole texts and vectors of the documents whose id is divisible by 100, against all rows."""
     docs = corpus(spark, sf_dir).where("id % 100 = 0")
-    return vector_queries(spark, sf_dir).join(docs.withColumnRenamed("id", "qid"), "qid").select("qid", F.array_join(F.slice(retrieval.tokens(F.col("text")), 1, 6), " ").alias("text"), "vector")
+    return vector_queries(spark, sf_dir).join(docs.withColumnRenamed("id", "qid"), "qid").select("qid", "text", "vector")
 
 
 @query("rrf_fusion", f"WITH {DOC_BM25}, {PLAIN_KNN}, {FUSED_SQL} SELECT qid, id, vec_rank, bm25_rank, fused, rank FROM fused_ranked WHERE rank <= 10")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = document_queries(spark, sf_dir)
-    vec, lexical = retrieval.knn(asked, vectors(spark, sf_dir), 50), retrieval.bm25(asked, corpus(spark, sf_dir), 50)
+    vec, lexical = retrieval.knn(asked, vectors(spark, sf_dir), 50), retrieval.bm25(asked, corpus(spark, sf_dir), 50, phrases=False)
     return retrieval.fuse([("vec", vec, 1.0), ("bm25", lexical, 1.0)])
 
 
 HYBRID_KNN = KNN_SQL.format(v="(SELECT e.* FROM embeddings e JOIN documents ON doc_id = vec_id WHERE lang = 'en')")
-HYBRID_BM25 = DOC_BM25.replace("bm_ranked AS (SELECT *, row_number()", "bm_kept AS (SELECT bm.* FROM bm JOIN documents ON doc_id = id JOIN embeddings ON vec_id = id WHERE lang = 'en'), bm_ranked AS (SELECT *, row_number()").replace("rank FROM bm)", "rank FROM bm_kept)")
-HYBRID_BM25 = HYBRID_BM25.replace("corpus AS (SELECT doc_id AS id, text FROM documents)", "corpus AS (SELECT doc_id AS id, text FROM documents JOIN embeddings ON vec_id = doc_id)")
+HYBRID_BM25 = DOC_BM25.replace("bm_ranked AS (SELECT *, row_number()", "bm_kept AS (SELECT bm.* FROM bm JOIN documents ON doc_id = id WHERE lang = 'en'), bm_ranked AS (SELECT *, row_number()").replace("rank FROM bm)", "rank FROM bm_kept)")
+
+
+def hybrid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with a vector where there is one; three in a row stand for a file, and days follow from the ids."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    days = F.when(F.col("id") % 3 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 365).cast("int")))
+    return docs.join(vectors(spark, sf_dir).drop("label"), "id", "left").withColumns({"file": F.expr("id div 3"), "line": F.col("id") % 3, "day": days})
 
 
 @query("hybrid_search", f"WITH {HYBRID_BM25}, {HYBRID_KNN}, {FUSED_SQL} SELECT qid, id, vec_rank, bm25_rank, fused, rank FROM fused_ranked WHERE rank <= 10")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both channels over the English documents that have a vector, filtered before ranking."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang").join(vectors(spark, sf_dir).drop("label"), "id")
-    return retrieval.hybrid(document_queries(spark, sf_dir), docs, keep=F.col("lang") == "en")
+    """Both channels over all English documents, with or without a vector, filtered before ranking."""
+    return retrieval.hybrid(document_queries(spark, sf_dir), hybrid_documents(spark, sf_dir), keep=F.col("lang") == "en", phrases=False)
+
+
+FULL_SQL = f"""{HYBRID_BM25}, {HYBRID_KNN}, {FUSED_SQL}, flinks AS (SELECT DISTINCT doc_id // 3 AS src, doc_id // 6 AS dst FROM documents WHERE doc_id // 3 <> doc_id // 6),
+both_ways AS (SELECT src AS node, dst AS other FROM flinks UNION SELECT dst, src FROM flinks),
+first_files AS (SELECT qid, id // 3 AS node, min(rank) AS r FROM fused_ranked GROUP BY ALL), seeds AS (SELECT qid, node FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY r, node) AS k FROM first_files) WHERE k <= 5),
+reached AS (SELECT qid, other AS node, count(DISTINCT node) AS weight FROM both_ways JOIN seeds USING (node) GROUP BY qid, other), fresh AS (SELECT * FROM reached WHERE (qid, node) NOT IN (SELECT (qid, node) FROM seeds)),
+chunk AS (SELECT doc_id // 3 AS node, arg_min(doc_id, doc_id) AS id FROM documents WHERE lang = 'en' GROUP BY 1),
+graph AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, node) AS rank FROM fresh JOIN chunk USING (node)),
+every AS (SELECT qid, id, max(vec_rank) AS vec_rank, max(bm25_rank) AS bm25_rank, max(graph_rank) AS graph_rank FROM (
+  SELECT qid, id, rank AS vec_rank, NULL AS bm25_rank, NULL AS graph_rank FROM knn WHERE rank <= 50 AND qid IN (SELECT qid FROM asked) UNION ALL SELECT qid, id, NULL, rank, NULL FROM bm_ranked WHERE rank <= 50 UNION ALL SELECT qid, id, NULL, NULL, rank FROM graph WHERE rank <= 50) GROUP BY qid, id),
+scored AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + vec_rank), 0) + coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(0.5::DOUBLE / (60 + graph_rank), 0), 9) AS f FROM every),
+boosted AS (SELECT qid, id, vec_rank, bm25_rank, graph_rank, round(CASE WHEN id % 3 = 0 THEN f ELSE f * (1 + 0.3::DOUBLE * pow(0.5::DOUBLE, greatest(date_diff('day', DATE '2024-01-01' + CAST(id % 365 AS INTEGER), DATE '2024-12-01'), 0) / 180.0::DOUBLE)) END, 9) AS fused FROM scored),
+full_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, id) AS rank FROM boosted)"""
+
+
+def full_hybrid(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    docs = hybrid_documents(spark, sf_dir)
+    file_links = docs.select(F.col("file").alias("src"), F.expr("id div 6").alias("dst")).where("src <> dst").distinct()
+    return retrieval.hybrid(document_queries(spark, sf_dir), docs, file_links, k=k, keep=F.col("lang") == "en", recency=("day", "2024-12-01"), file="file", line="line", phrases=False)
+
+
+@query("hybrid_full", f"WITH {FULL_SQL} SELECT qid, id, vec_rank, bm25_rank, graph_rank, round(fused, 7) AS fused FROM full_ranked WHERE rank <= 10")
+def hybrid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, vectors, links between files and dates together; files are three documents in a row, each linked to the one of half its number."""
+    return full_hybrid(spark, sf_dir).select("qid", "id", "vec_rank", "bm25_rank", "graph_rank", F.round("fused", 7).alias("fused"))
+
+
+@query("result_compaction", f"WITH {FULL_SQL} SELECT qid, rank AS place, id AS file, round(fused, 6) AS fused, vec_rank, bm25_rank FROM full_ranked WHERE rank <= 5")
+def result_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.compacted(full_hybrid(spark, sf_dir), "id")
+
+
+@query(
+    "rerank_head",
+    f"""WITH {BENCH_BM25}, h AS (SELECT bm_ranked.qid, bm_ranked.id, rank, length(substring(coalesce(corpus.text, ''), 1, 512)) % 97 AS s FROM bm_ranked JOIN corpus USING (id) WHERE rank <= 30)
+    SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank > 20, CASE WHEN rank <= 20 THEN s END DESC NULLS LAST, rank) AS rank FROM h""",
+)
+def rerank_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty hits of every item, the first twenty in order of a stand-in for a model: the passage's length by 97."""
+    asked, docs = item_queries(spark, sf_dir), corpus(spark, sf_dir)
+    hits = retrieval.bm25(asked, docs, 30).select("qid", "id", "rank")
+    return retrieval.reranked(hits, asked, docs.withColumn("text", F.coalesce("text", F.lit(""))), lambda q, p: F.length(p) % 97)
 
 
 LINKS_SQL = "links AS (SELECT DISTINCT concat('s', l_suppkey) AS src, concat('p', l_partkey) AS dst FROM lineitem)"
@@ -105,25 +167,38 @@ def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "graph_orphans",
-    """WITH l AS (SELECT DISTINCT concat('s', l_suppkey) AS src, concat('p', l_partkey) AS dst FROM lineitem WHERE l_quantity >= 50), n AS (SELECT concat('p', p_partkey) AS node FROM part UNION ALL SELECT concat('s', s_suppkey) FROM supplier)
-    SELECT node, (SELECT count(*) FROM l WHERE dst = node) AS n_in, (SELECT count(*) FROM l WHERE src = node) AS n_out, node NOT IN (SELECT src FROM l UNION SELECT dst FROM l) AS orphan FROM n""",
+    """WITH l AS (SELECT concat('o', o_orderkey) AS src, concat('c', o_custkey) AS dst FROM orders), n AS (SELECT concat('c', c_custkey) AS node FROM customer UNION ALL SELECT concat('o', o_orderkey) FROM orders),
+    i AS (SELECT dst AS node, count(*) AS n_in FROM l GROUP BY 1), o AS (SELECT src AS node, count(*) AS n_out FROM l GROUP BY 1)
+    SELECT node, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out, n_in IS NULL AND n_out IS NULL AS orphan FROM n LEFT JOIN i USING (node) LEFT JOIN o USING (node)""",
 )
 def graph_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node")).unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node")))
-    return retrieval.degrees(nodes, links(spark, sf_dir, "l_quantity >= 50"))
+    """Orders point to their customers; a customer without orders is an orphan."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    order, customer = F.concat(F.lit("o"), "o_orderkey"), F.concat(F.lit("c"), "o_custkey")
+    nodes = customers.select(F.concat(F.lit("c"), "c_custkey").alias("node")).unionByName(orders.select(order.alias("node")))
+    return retrieval.degrees(nodes, orders.select(order.alias("src"), customer.alias("dst")))
+
+
+@query("graph_edges", f"WITH {LINKS_SQL} SELECT src, dst FROM links WHERE src IN (SELECT concat('s', s_suppkey) FROM supplier WHERE s_acctbal > 0) AND dst IN (SELECT concat('p', p_partkey) FROM part)")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between known nodes: parts, and suppliers with a positive balance."""
+    suppliers, parts = table(spark, sf_dir, "supplier").where("s_acctbal > 0"), table(spark, sf_dir, "part")
+    nodes = suppliers.select(F.concat(F.lit("s"), "s_suppkey").alias("node")).unionByName(parts.select(F.concat(F.lit("p"), "p_partkey").alias("node")))
+    return retrieval.known_edges(nodes, links(spark, sf_dir))
 
 
 @query(
     "graph_reachability",
-    """WITH RECURSIVE e AS (SELECT concat('n', s_nationkey) AS src, concat('s', s_suppkey) AS dst FROM supplier UNION ALL SELECT DISTINCT concat('s', l_suppkey), concat('p', l_partkey) FROM lineitem WHERE l_quantity >= 50 UNION ALL SELECT DISTINCT concat('p', l_partkey), concat('s', l_suppkey) FROM lineitem WHERE l_quantity >= 50),
-    r AS (SELECT 'n0' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 12) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""",
+    """WITH RECURSIVE e AS (SELECT concat('n', s_nationkey) AS src, concat('s', s_suppkey) AS dst FROM supplier UNION ALL SELECT DISTINCT concat('s', l_suppkey), concat('p', l_partkey) FROM lineitem UNION ALL SELECT DISTINCT concat('p', l_partkey), concat('s', l_suppkey) FROM lineitem),
+    r AS (SELECT concat('n', min(s_nationkey)) AS node, 0 AS depth FROM supplier UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 12) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""",
 )
 def graph_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From nation 0 to its suppliers, their parts, and other suppliers of these."""
-    owned = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst"))
-    sold = links(spark, sf_dir, "l_quantity >= 50")
+    """From the least nation with suppliers to these, their parts, and other suppliers of these, until none comes up; the SQL's bound is far beyond."""
+    suppliers = table(spark, sf_dir, "supplier")
+    owned = suppliers.select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst"))
+    sold = links(spark, sf_dir)
     edges = owned.unionByName(sold).unionByName(sold.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return retrieval.reachable(spark.createDataFrame([("n0",)], "node string"), edges, rounds=12)
+    return retrieval.reachable(suppliers.agg(F.concat(F.lit("n"), F.min("s_nationkey")).alias("node")), edges)
 
 
 @query("temporal_asof_filter", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 7 <> 0 AND CAST(o_orderdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-06-30'")
@@ -172,6 +247,17 @@ def best_match_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.best_match(pairs, "label", 0.35)
 
 
+@query(
+    "consolidation",
+    f"""WITH {PAIRS_SQL.format(op='<')}, d AS (SELECT vec_id AS id, vec_id // 10 AS file, CASE WHEN vec_id % 3 <> 0 THEN CAST(vec_id % 50 AS INTEGER) END AS day FROM embeddings)
+    SELECT a, b, round(cosine, 3) AS cosine, x.file AS file_a, y.file AS file_b, CASE WHEN x.day > y.day THEN 'A' WHEN x.day < y.day THEN 'B' END AS fresher FROM pairs JOIN d x ON x.id = a JOIN d y ON y.id = b WHERE cosine >= 0.35 AND x.file <> y.file ORDER BY round(cosine, 3) DESC, a, b LIMIT 40""",
+)
+def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty closest pairs of vectors of different files (ten in a row), and which is the newer; 0.35 stands for 0.9 as before."""
+    chunks = vectors(spark, sf_dir).select("id", F.expr("id div 10").alias("file"), F.when(F.col("id") % 3 != 0, (F.col("id") % 50).cast("int")).alias("day"))
+    return retrieval.consolidated(retrieval.similar_pairs(vectors(spark, sf_dir), 0.35), chunks, 0.35)
+
+
 @query(
     "suggest_links",
     f"""WITH {PAIRS_SQL.format(op='<>')}, h AS (SELECT a AS chunk, a // 10 AS file, b // 10 AS other, max(cosine) AS s FROM pairs WHERE cosine >= 0.25 AND a // 10 <> b // 10 GROUP BY ALL),
@@ -255,3 +341,29 @@ def collective_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = hits.where("rank >= 2").select("qid", (F.col("rank") - 1).alias("rank"), (F.col("label") % 3).alias("category"), (F.col("id") % 4).alias("provider"))
     expected = vector_queries(spark, sf_dir).select("qid", F.lit(1).alias("category"), (F.col("qid") % 3).alias("provider"))
     return retrieval.collective_pass(hits, expected)
+
+
+@query(
+    "citation_support",
+    f"""WITH {PLAIN_KNN}, b AS (SELECT qid AS claim, id // 10 AS file, max(similarity) AS best FROM knn WHERE rank <= 50 GROUP BY ALL)
+    SELECT claim, file, best, CASE WHEN best >= 0.46 THEN 'strong' WHEN best >= 0.43 THEN 'weak' ELSE 'none' END AS band FROM b""",
+)
+def citation_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims are the stated vectors, files ten vectors in a row; bands are lower than the defaults, as the vectors are far apart."""
+    from proofgrid.operators import texts
+
+    near = retrieval.knn(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 50)
+    return texts.support(near.select(F.col("qid").alias("claim"), F.expr("id div 10").alias("file"), "similarity"), 0.46, 0.43)
+
+
+@query(
+    "probe_relevance",
+    f"""WITH {PLAIN_KNN}, h AS (SELECT qid, rank AS place, concat('file-', id // 10) AS file, concat('Cat', label % 3) AS category, concat('prov', id % 4) AS provider FROM knn JOIN embeddings ON vec_id = id WHERE rank <= 20)
+    SELECT qid, min(CASE WHEN CASE WHEN qid % 200 = 0 THEN contains(file, '-1') OR contains(file, '-2') ELSE category = 'Cat1' AND provider IN ('prov2', 'prov3') END THEN place END) AS first FROM h GROUP BY qid""",
+)
+def probe_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other probe names files, the rest a category and providers that must stand on one card."""
+    hits = retrieval.knn(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 20).join(vectors(spark, sf_dir).select("id", "label"), "id")
+    cards = hits.select("qid", F.col("rank").alias("place"), F.concat(F.lit("file-"), F.expr("id div 10")).alias("file"), F.concat(F.lit("Cat"), F.col("label") % 3).alias("category"), F.concat(F.lit("prov"), F.col("id") % 4).alias("provider"))
+    probes = vector_queries(spark, sf_dir).select("qid", F.when(F.col("qid") % 200 == 0, "FILE-1|file-2").alias("expect_file"), F.lit("cat1").alias("expect_category"), F.lit("prov2|PROV3").alias("expect_provider"))
+    return retrieval.first_relevant(cards, probes)

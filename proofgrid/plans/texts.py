@@ -159,3 +159,69 @@ def meta_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("lang IS NOT NULL")
     fields = F.map_filter(F.create_map(F.lit("size"), F.when(F.col("n_chars") > 1000, F.col("n_chars").cast("string")), F.lit("other"), F.lit("x"), F.lit("lang"), F.col("lang")), lambda k, v: v.isNotNull())
     return docs.select("doc_id", texts.meta_hint(fields, ["lang", "date", "size"]).alias("hint"))
+
+
+#: The lines of the documents as cited claims: a label by the line's number, the line without marks, a citation, and an example that is none.
+CITED_SQL = """l AS (SELECT doc_id AS id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS place, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+cited AS (SELECT id, place, concat('layer', place % 3, '/f', place % 5, '.md') AS target, place % 4 AS line_no, CASE place % 4 WHEN 0 THEN 'FACT' WHEN 1 THEN 'INFERENCE' WHEN 3 THEN 'DECISION' END AS label,
+  trim(translate(line, '`<>~[]:' || chr(9) || chr(13), '         '), ' ') AS claim FROM l),
+gate AS (SELECT *, CASE WHEN place % 3 = 2 OR place % 3 = 1 AND place % 5 = 4 THEN 'missing-file' WHEN place % 3 = 1 THEN 'layer-not-allowed' WHEN line_no IN (0, 3) THEN 'line-empty-or-out-of-range' END AS reason FROM cited)"""
+
+
+def cited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = lambda i, n: (i % n).cast("string")
+    label = lambda i: F.when(i % 4 == 0, "FACT: ").when(i % 4 == 1, "INFERENCE: ").when(i % 4 == 3, "DECISION: ").otherwise("")
+    plain = lambda line: F.translate(line, "`<>~[]:\t\r", "         ")
+    cited = lambda line, i: F.concat(label(i), F.lit("`[source: an/example.md]` "), plain(line), F.lit(" [source: /layer"), remainder(i, 3), F.lit("/f"), remainder(i, 5), F.lit(".md:"), remainder(i, 4), F.lit("]"))
+    return documents(spark, sf_dir).where("text IS NOT NULL").select("id", F.array_join(F.transform(F.split("text", "\n"), cited), "\n").alias("text"))
+
+
+def cited_files(spark: SparkSession) -> DataFrame:
+    """Nine files of two layers, two lines each."""
+    rows = [(f"layer{a}/f{b}.md", f"layer{a}", 2) for a in (0, 1) for b in range(5) if (a, b) != (1, 4)]
+    return spark.createDataFrame(rows, "target string, layer string, n_lines int")
+
+
+def gated_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts.gated(texts.citations(cited_documents(spark, sf_dir)), cited_files(spark), ["layer0"])
+
+
+@query("citations_gate", f"WITH {CITED_SQL} SELECT id, place, target, line_no AS line, reason FROM gate")
+def citations_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_citations(spark, sf_dir).select("id", "place", "target", "line", "reason")
+
+
+@query("citation_claims", f"WITH {CITED_SQL} SELECT id, place, label, ltrim(rtrim(substring(concat('`[source: an/example.md]` ', claim), 1, 200), ' '), ' ') AS claim FROM cited")
+def citation_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands before each citation; examples in code do not count as citations but stay in the claim."""
+    found = texts.citation_spans(cited_documents(spark, sf_dir))
+    return found.select("id", "place", "label", F.trim(F.regexp_replace("claim", "` +", "` ")).alias("claim"))
+
+
+@query(
+    "citation_critique",
+    f"""WITH {CITED_SQL}, b AS (SELECT *, CASE place % 3 WHEN 0 THEN CASE WHEN id % 2 = 0 THEN 'weak' ELSE 'strong' END END AS band FROM gate)
+    SELECT id, place, 'error' AS severity, reason, CASE reason WHEN 'missing-file' THEN 'fix-path' WHEN 'layer-not-allowed' THEN 're-cite' ELSE 'fix-line' END AS action FROM b WHERE reason IS NOT NULL
+    UNION ALL SELECT id, place, 'warn', 'weak-support-weak', 'downgrade-or-recite' FROM b WHERE reason IS NULL AND label = 'FACT' AND band = 'weak'""",
+)
+def citation_critique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return critique_items(spark, sf_dir).select("id", F.col("citation").cast("int").alias("place"), "severity", "reason", "action")
+
+
+def critique_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Critique of all citations, each named by its place; even ids read as weakly supported."""
+    labels = texts.citation_spans(cited_documents(spark, sf_dir)).select("id", "place", "label")
+    judged = gated_citations(spark, sf_dir).join(labels, ["id", "place"]).withColumn("band", F.when(F.col("id") % 2 == 0, "weak").otherwise("strong"))
+    return texts.critique(judged.withColumn("citation", F.col("place").cast("string")))
+
+
+@query(
+    "corpus_scan",
+    f"""WITH {CITED_SQL}, c AS (SELECT id, count(CASE WHEN reason IS NOT NULL THEN 1 END) AS e, count(CASE WHEN reason IS NULL AND label = 'FACT' AND id % 2 = 0 THEN 1 END) AS w FROM gate GROUP BY id),
+    d AS (SELECT doc_id AS id, doc_id % 10 = 3 AS x FROM documents WHERE text IS NOT NULL)
+    SELECT count(CASE WHEN NOT x THEN 1 END) AS files, count(CASE WHEN NOT x AND e > 0 THEN 1 END) AS failed, CAST(coalesce(sum(CASE WHEN NOT x THEN e END), 0) AS BIGINT) AS errors, CAST(coalesce(sum(CASE WHEN NOT x THEN w END), 0) AS BIGINT) AS warns, count(CASE WHEN x THEN 1 END) AS exempt FROM d LEFT JOIN c USING (id)""",
+)
+def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents but those whose id ends in 3, which are exempt."""
+    docs = documents(spark, sf_dir).where("text IS NOT NULL").select("id")
+    return texts.corpus_scan(docs, critique_items(spark, sf_dir), F.col("id") % 10 == 3)

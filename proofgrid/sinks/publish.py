@@ -11,7 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from proofgrid.functions.columns import row_hash
 from proofgrid.operators.order import chain_digest, hash_tree, positions
+from proofgrid.sinks.storage import exists, put_text, staged
 
 ROWS, GZIP_BYTES = 2000, 512_000
 
@@ -65,27 +67,89 @@ def oversized(spark: SparkSession, folder: str, name: str, most: int = GZIP_BYTE
     return files.where(F.col("length") >= most).select("path", F.col("length").alias("bytes"))
 
 
-def publish(spark: SparkSession, df: DataFrame, folder: str, name: str, keys: Sequence[str], checks: Sequence[Callable[[DataFrame], DataFrame]] = (), rows: int = ROWS) -> str:
-    """Checks, writes and points: the data go to folder/<version>/, then folder/current.json names it. Returns the version.
+def manifest_digest(manifest: DataFrame) -> str:
+    """SHA-256 over the manifest's rows in order of shards: what the pointer pins."""
+    line = F.concat_ws("|", "path", F.col("count").cast("string"), "sha256")
+    return chain_digest(manifest.withColumn("_d", F.sha2(line, 256)), "shard", "_d").first().digest
 
-    Every check must return no rows, else nothing is pointed to. A version that is there already is not written again, and the
-    pointer is replaced last, so a reader sees the old data or the new.
-    """
-    from proofgrid.sinks.storage import exists, put_text
 
+def damaged_shards(data: DataFrame, manifest: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """shard, reason (missing, unexpected, count or content) for shards of data (with `shard`) that are not what the manifest says."""
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in columns])
+    lists = data.select("shard", F.struct(*keys).alias("k"), line.alias("line")).groupBy("shard").agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
+    held = lists.select(F.col("shard").cast("long").alias("shard"), "_n", F.sha2(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), 256).alias("_sha"))
+    both = manifest.select(F.col("shard").cast("long").alias("shard"), "count", "sha256").join(held, "shard", "full")
+    reason = F.when(F.col("_n").isNull(), "missing").when(F.col("sha256").isNull(), "unexpected").when(F.col("_n") != F.col("count"), "count").when(F.col("_sha") != F.col("sha256"), "content")
+    return both.select("shard", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def contract_faults(manifest: DataFrame, index: DataFrame, fields: Sequence[str], dataset: str = r"[a-z][a-z0-9_]*", key: str = r"[A-Za-z0-9_-]{1,64}") -> DataFrame:
+    """rule, item of all that a manifest (dataset, path, count, sha256) and its index (dataset, field, key, path) break.
+
+    Paths are plain names of shards and stand once, hashes and counts have their form, indexed fields are on the list, keys have a plain
+    form, and an index names only paths of its own dataset.
+    """
+    broken = {
+        "dataset-name": ~F.col("dataset").rlike(f"^{dataset}$"), "unsafe-path": ~F.col("path").rlike(rf"^{dataset}-[0-9]{{3,}}\.json$"),
+        "bad-count": F.col("count") < 0, "bad-sha256": ~F.coalesce(F.col("sha256"), F.lit("")).rlike("^[0-9a-f]{64}$"),
+    }
+    rules = lambda checks, df, item: df.select(F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(name)) for name, c in checks.items()]))).alias("rule"), item.alias("item"))
+    own = rules(broken, manifest, F.col("path"))
+    repeated = manifest.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated-path").alias("rule"), F.col("path").alias("item"))
+    entry = F.concat_ws(":", "field", "key")
+    indexed = rules({"unknown-field": ~F.col("field").isin(*fields), "bad-key": ~F.col("key").rlike(f"^{key}$")}, index, entry)
+    lost = index.join(manifest.select("dataset", "path").distinct(), ["dataset", "path"], "left_anti").select(F.lit("unknown-path").alias("rule"), F.col("path").alias("item")).distinct()
+    return own.unionByName(repeated).unionByName(indexed).unionByName(lost)
+
+
+def index_differences(index: DataFrame, sharded: DataFrame, name: str, fields: Sequence[str]) -> DataFrame:
+    """dataset, field, key, path, side: entries that only the index or only the data have, the index being built anew from the data."""
+    columns = ["dataset", "field", "key", "path"]
+    tagged = index.select(*columns, F.lit(1).alias("i"), F.lit(0).alias("d")).unionByName(detail_index(sharded, name, fields).select(*columns, F.lit(0).alias("i"), F.lit(1).alias("d")))
+    both = tagged.groupBy(*columns).agg(F.max("i").alias("i"), F.max("d").alias("d")).where("i <> d")
+    return both.select(*columns, F.when(F.col("i") == 1, "index").otherwise("data").alias("side"))
+
+
+def same_content(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: n_left, n_right, same: whether two tables hold the same rows in any order, by their digests; what a rebuilt table is held to."""
+    a, b = (hash_tree(df.select(row_hash(*columns).alias("h")), "h").select(F.col("n").alias(f"n_{side}"), F.col("digest").alias(f"d_{side}")) for side, df in (("left", left), ("right", right)))
+    return a.crossJoin(b).select("n_left", "n_right", (F.col("d_left") == F.col("d_right")).alias("same"))  # a row each
+
+
+def publish(spark: SparkSession, df: DataFrame, folder: str, name: str, keys: Sequence[str], checks: Sequence[Callable[[DataFrame], DataFrame]] = (), rows: int = ROWS, most: int = GZIP_BYTES) -> str:
+    """Checks, writes, reads back and points: the data go to folder/<version>/, then folder/current.json names it. Returns the version.
+
+    Every check must return no rows, else nothing is pointed to. Shards are halved until every file is smaller than `most`. What was
+    written is read again and held to the manifest, whose digest the pointer pins. A version that is there already is not written again,
+    and the pointer is replaced last, so a reader sees the old data or the new.
+    """
     for check in checks:
         if not check(df).isEmpty():
             raise ValueError(f"check {getattr(check, '__name__', check)} of {name} failed")
-    manifest = shard_manifest(df, name, keys, df.columns, rows)
-    version = version_of(manifest).first().version
-    base = f"{folder}/{version}"
-    if not exists(spark, f"{base}/manifest/_SUCCESS"):
+    while True:
+        manifest = staged(shard_manifest(df, name, keys, df.columns, rows), "manifest")
+        version = version_of(manifest).first().version
+        base = f"{folder}/{version}"
+        if exists(spark, f"{base}/manifest/_SUCCESS"):
+            break
         write_dataset(df, base, name, keys, rows)
-        manifest.write.mode("overwrite").json(f"{base}/manifest")
-    put_text(spark, f"{folder}/current.json", json.dumps({"schemaVersion": 1, "root": version, "dataset": name}))
+        large = halved(oversized(spark, base, name, most), most - 1).agg(F.max("pieces").alias("pieces")).first().pieces
+        if large is None or rows == 1:
+            back = spark.read.schema(f"{_ddl(df)}, shard long").json(f"{base}/{name}")
+            if not damaged_shards(back, manifest, keys, df.columns).isEmpty():
+                raise OSError(f"{base} does not hold what was written")
+            manifest.write.mode("overwrite").json(f"{base}/manifest")
+            break
+        rows = max(1, rows // max(2, large))
+    pointer = {"schemaVersion": 1, "root": version, "dataset": name, "manifestSha256": manifest_digest(manifest), "keys": list(keys), "schema": _ddl(df), "columns": df.columns}
+    put_text(spark, f"{folder}/current.json", json.dumps(pointer))
     return version
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def upserted(existing: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of existing whose key has not changed, and all of changed."""
     return existing.join(changed.select(*keys).distinct(), list(keys), "left_anti").unionByName(changed)

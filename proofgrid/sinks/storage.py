@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where none is set (tests)."""
+    """The folder that spark.checkpoint.dir names, which the driver and all executors share; on a local master without one, a temporary folder."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='proofgrid-')}")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='proofgrid-')}")
     return sc.getCheckpointDir()
 
 
@@ -35,16 +38,18 @@ def exists(spark: SparkSession, uri: str) -> bool:
 
 
 def put_text(spark: SparkSession, uri: str, text: str) -> None:
-    """Writes a small file beside its place and moves it there, so that readers never see half of it."""
+    """Writes a small file beside its place and renames it over what is there, in one step of the file system: readers see the old text or the new."""
     path, store = _path(spark, uri)
     part, _ = _path(spark, f"{uri}.{uuid.uuid4().hex}")
     out = store.create(part, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    if store.exists(path):
-        store.delete(path, False)
-    if not store.rename(part, path):
-        raise OSError(f"{uri} could not be replaced")
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    over = sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    whole = store.makeQualified(path)
+    hadoop.FileContext.getFileContext(whole.toUri(), sc._jsc.hadoopConfiguration()).rename(store.makeQualified(part), whole, over)
 
 
 def get_text(spark: SparkSession, uri: str) -> str:

@@ -77,22 +77,39 @@ def request_plan(keys: DataFrame, endpoints: Sequence[tuple[str, str]]) -> DataF
     return each.select("name", "id", F.replace("template", F.lit("{id}"), F.url_encode("id")).alias("path"))
 
 
-def published(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
-    """The dataset that folder/current.json points to."""
+def published(spark: SparkSession, folder: str, schema: str | None = None, verify: bool = True) -> DataFrame:
+    """The dataset that folder/current.json points to.
+
+    With verify, the manifest must have the digest that the pointer pins and every shard the rows and the hash that the manifest
+    says, else a ValueError names what is damaged; that reads the data once more.
+    """
+    from proofgrid.sinks import publish
     from proofgrid.sinks.storage import get_text
 
     pointer = json.loads(get_text(spark, f"{folder}/current.json"))
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.json(f"{folder}/{pointer['root']}/{pointer['dataset']}")
+    if pointer.get("schemaVersion") != 1:
+        raise ValueError(f"{folder}/current.json has an unknown schema")
+    base = f"{folder}/{pointer['root']}"
+    data = spark.read.schema(schema or f"{pointer['schema']}, shard long").json(f"{base}/{pointer['dataset']}")
+    if verify:
+        manifest = spark.read.schema("dataset string, shard long, path string, count long, sha256 string").json(f"{base}/manifest")
+        if publish.manifest_digest(manifest) != pointer["manifestSha256"]:
+            raise ValueError(f"the manifest of {base} is not the one pointed to")
+        whole = spark.read.schema(f"{pointer['schema']}, shard long").json(f"{base}/{pointer['dataset']}")
+        bad = publish.damaged_shards(whole, manifest, pointer["keys"], pointer["columns"]).limit(5).collect()
+        if bad:
+            raise ValueError(f"damaged shards in {base}: {[tuple(r) for r in bad]}")
+    return data
 
 
 def published_keys(spark: SparkSession, folder: str, index: DataFrame, field: str, key: str, schema: str | None = None) -> DataFrame:
-    """Rows of one key: the index names the shards, and only their files are read; a key of more than 1000 shards is a filter only."""
-    paths = [r.path for r in index.where((F.col("field") == field) & (F.col("key") == str(key))).select("path").distinct().limit(1001).collect()]
-    shards = sorted({int(p.rsplit("-", 1)[1].split(".")[0]) for p in paths})
-    data = published(spark, folder, schema)
-    found = data.where(F.col(field).cast("string") == str(key)) if shards else data.limit(0)
-    return found.where(F.col("shard").isin(shards)) if len(shards) <= 1000 else found
+    """Rows of one key: the index names the shards, and only their files are read, however many they are.
+
+    The shards reach the scan as the keys of a join with the partition column, which prunes files when the query runs.
+    """
+    named = index.where((F.col("field") == field) & (F.col("key") == str(key))).select(F.regexp_extract("path", r"-([0-9]+)\.[^-]*$", 1).cast("long").alias("shard")).distinct()
+    data = published(spark, folder, schema, verify=False)
+    return data.join(F.broadcast(named), "shard", "left_semi").where(F.col(field).cast("string") == str(key))  # a row a shard of one key
 
 
 def eval_cases(files: DataFrame) -> DataFrame:
@@ -101,3 +118,14 @@ def eval_cases(files: DataFrame) -> DataFrame:
     parts = F.slice(F.split(F.concat(F.lit("\n"), "m.body"), r"\n# "), F.lit(2), F.lit(1 << 30))
     entry = lambda p: F.struct(F.trim(F.regexp_extract(p, r"^([^\n]*)", 1)).alias("key"), F.btrim(F.when(F.contains(p, F.lit("\n")), F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise(""), F.lit(" \t\r\n")).alias("value"))
     return parsed.select("path", "m.fields", F.map_from_entries(F.transform(parts, entry)).alias("sections"))
+
+
+def interpolated(cases: DataFrame, files: DataFrame, column: str = "text") -> DataFrame:
+    """cases (path, text) with every {{file:name}} replaced by that file's text (files: path, text); unknown names stay as they are."""
+    pattern = r"\{\{file:\s*([^}]+?)\s*\}\}"
+    names = cases.select("path", F.posexplode(F.regexp_extract_all(column, F.lit(pattern), 1)).alias("at", "name"))
+    found = names.join(files.select(F.col("path").alias("name"), F.col("text").alias("t")), "name", "left")
+    texts = found.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name", "t"))), lambda x: F.coalesce(x["t"], F.concat(F.lit("{{file:"), x["name"], F.lit("}}")))).alias("_t"))
+    gaps = F.split(column, pattern, -1)
+    whole = F.array_join(F.zip_with(gaps, F.concat("_t", F.array(F.lit(""))), lambda g, t: F.concat(g, t)), "")
+    return cases.join(texts, "path", "left").withColumn(column, F.when(F.col("_t").isNull(), F.col(column)).otherwise(whole)).drop("_t")

@@ -9,6 +9,8 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Queries whose right answer on these tables is that nothing is wrong.
+MAY_BE_EMPTY: set[str] = set()
 NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline")
 
 
@@ -30,12 +32,15 @@ def normal(rows, columns):
 def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     want = duck.execute(entry.oracle_sql()[name])
-    columns = [d[0] for d in want.description]
-    assert normal([tuple(r) for r in df.collect()], df.columns) == normal(want.fetchall(), columns)
+    columns, rows = [d[0] for d in want.description], want.fetchall()
+    assert rows or name in MAY_BE_EMPTY  # two empty tables prove nothing
+    assert normal([tuple(r) for r in df.collect()], df.columns) == normal(rows, columns)
 
 
-def test_entry_runs(spark):
-    assert entry.entry(spark).count() == 24
+def test_entry_runs(spark, duck):
+    """A verdict for every nation with facts but the least one."""
+    nations = duck.execute("SELECT count(DISTINCT s_nationkey) FROM supplier JOIN lineitem ON l_suppkey = s_suppkey").fetchone()[0]
+    assert entry.entry(spark).count() == nations - 1 > 0
 
 
 def test_queries_without_sql_have_rows(spark):

@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from proofgrid.sinks import publish
@@ -23,6 +24,36 @@ def test_publish_and_read_back(spark, tmp_path, rows):
     assert publish.oversized(spark, f"{folder}/{version}", "things", most=1).count() == 3
 
 
+def test_shards_are_halved_until_they_are_small(spark, tmp_path, rows):
+    df = spark.range(400).select("id", F.sha2(F.col("id").cast("string"), 256).alias("noise"))
+    folder = f"file://{tmp_path}/small"
+    version = publish.publish(spark, df, folder, "noise", ["id"], rows=400, most=6000)
+    assert publish.oversized(spark, f"{folder}/{version}", "noise", most=6000).isEmpty() and readers.published(spark, folder).select("shard").distinct().count() > 3
+
+
+def test_damage_is_found_on_read(spark, tmp_path):
+    folder = f"file://{tmp_path}/hurt"
+    version = publish.publish(spark, spark.range(30).select("id", F.lit("x").alias("v")), folder, "d", ["id"], rows=10)
+    assert readers.published(spark, folder).count() == 30
+    spark.range(10, 12).select("id", F.lit("x").alias("v")).write.mode("overwrite").option("compression", "gzip").json(f"{folder}/{version}/d/shard=1")
+    with pytest.raises(ValueError, match="damaged shards"):
+        readers.published(spark, folder)
+    assert readers.published(spark, folder, verify=False).count() == 22
+    spark.createDataFrame([("d", 0, "d-000.json", 10, "00")], "dataset string, shard long, path string, count long, sha256 string").write.mode("overwrite").json(f"{folder}/{version}/manifest")
+    with pytest.raises(ValueError, match="manifest"):
+        readers.published(spark, folder)
+
+
+def test_log_days_and_interpolation(spark, tmp_path, rows):
+    entries = spark.sql("select timestamp'2024-01-01 10:00' t, 1 k union all select timestamp'2024-01-02 10:00', 2")
+    publish.append_log(entries, f"{tmp_path}/log", "t")
+    publish.append_log(entries, f"{tmp_path}/log", "t")
+    assert spark.read.json(f"{tmp_path}/log").groupBy("day").count().count() == 2 and spark.read.json(f"{tmp_path}/log").count() == 4
+    cases = spark.createDataFrame([("a", "x {{file: f.md }} y {{file:none}}{{file:f.md}}"), ("b", "plain"), ("c", None)], "path string, text string")
+    files = spark.createDataFrame([("f.md", "F")], "path string, text string")
+    assert rows(readers.interpolated(cases, files), "path", "text") == [("a", "x F y {{file:none}}F"), ("b", "plain"), ("c", None)]
+
+
 def test_a_failed_check_leaves_the_pointer(spark, tmp_path):
     df = spark.range(5)
     try:

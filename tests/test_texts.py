@@ -45,6 +45,31 @@ def test_html(spark):
     assert got[0].t == "# T\nA **b** [l](/u) <&lt;\n- i" and got[1].t is None and got[1].p == ""
 
 
+def test_html_with_attributes_lists_code_and_entities(spark):
+    html = '<h4 class="x">T</h4><ol><li>a</li><li>b</li></ol><ul><li>c</li></ul><pre>x\n y</pre><strong id="1">s</strong> <A class=q HREF=\'/u\'>l</A> &mdash;&#33;&#8212;<blockquote>q</blockquote>'
+    got = spark.createDataFrame([(html,)], "h string").select(texts.html_text(F.col("h")).alias("t")).first().t
+    assert got == "#### T\n1. a\n1. b\n- c\n```\nx\n y\n```\n**s** [l](/u) \u2014!&#8212;\n> q"
+
+
+def test_masks_keep_places_and_spans_lead_to_claims(spark):
+    text = "FACT: a `[source: no]` b [source: x.md:3] and\nINFERENCE: c [source: y.md]"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
+    masked = {r.id: r.m for r in docs.select("id", texts.masked(F.col("text")).alias("m")).collect()}
+    assert len(masked[1]) == len(text) and "no" not in masked[1] and masked[2] is None and masked[3] == ""
+    found = [tuple(r) for r in texts.citation_spans(docs).orderBy("place").collect()]
+    at = [text.index("[source: x"), text.index("[source: y")]
+    assert found == [(1, 0, "x.md:3", at[0], at[0] + len("[source: x.md:3]"), "FACT", "a `[source: no]` b"), (1, 1, "y.md", at[1], len(text), "INFERENCE", "c")]
+
+
+def test_critique_and_scan(spark, rows):
+    judged = spark.createDataFrame([(1, "a", "missing-file", "FACT", None), (1, "b", None, "FACT", "weak"), (2, "c", None, "FACT", "strong"), (3, "d", None, None, "none")], "id int, citation string, reason string, label string, band string")
+    uncovered = spark.createDataFrame([(2, 1), (3, 0)], "id int, n int")
+    items = texts.critique(judged, uncovered)
+    assert rows(items, "id", "severity", "reason", "action") == [(1, "error", "missing-file", "fix-path"), (1, "warn", "weak-support-weak", "downgrade-or-recite"), (2, "error", "uncited-claim", "add-citation")]
+    docs = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id int")
+    assert texts.corpus_scan(docs, items, F.col("id") == 2).first().asDict() == {"files": 3, "failed": 1, "errors": 1, "warns": 1, "exempt": 1}
+
+
 def test_graders(spark):
     cases = spark.createDataFrame([(1, "the CAUSE and FIX"), (2, None)], "id int, o string")
     assert [r.passed for r in texts.grade_contains(cases, "o", ["CAUSE"], ["nope"]).orderBy("id").collect()] == [True, False]
