@@ -12,19 +12,19 @@ from proofgrid.session import table
 WORDS_SQL = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 #: The stated query sets and channels in SQL.
 BM25_SQL = """{q} terms AS (SELECT DISTINCT qid, unnest(CASE WHEN len(list_filter(w, lambda t: length(t) >= 2)) > 0 THEN list_filter(w, lambda t: length(t) >= 2) ELSE w END) AS term FROM asked),
-words AS (SELECT id, {words} AS w FROM corpus), stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM words),
+words AS (SELECT id, {words} AS w, (SELECT max(len(string_split(term, ' '))) FROM terms) AS most FROM corpus), stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM words),
 postings AS (SELECT id, len AS n_words, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest({grams}) AS term FROM words) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
 dfs AS (SELECT term, greatest(ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 1e-6::DOUBLE) AS idf FROM postings, stats GROUP BY term, n),
 bm AS (SELECT qid, id, round(CAST(sum(CAST(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n_words / mean)) AS DECIMAL(24,12))) AS DOUBLE), 9) AS score FROM postings JOIN terms USING (term) JOIN dfs USING (term), stats GROUP BY qid, id),
 bm_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm)"""
 PHRASES_SQL = r"list_distinct(list_filter(list_transform(string_split_regex(coalesce({0}, ''), '\s+'), lambda t: array_to_string(list_filter(string_split_regex(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda u: u <> ''), ' ')), lambda p: p <> ''))"
 ITEMS_SQL = "asked AS (SELECT item_id AS qid, " + PHRASES_SQL.format("text") + " AS w FROM benchmark), corpus AS (SELECT doc_id AS id, text FROM documents),"
-#: Runs of up to {n} words, for phrases.
-GRAMS_SQL = "flatten(list_transform(range(1, {n} + 1), lambda k: list_transform(range(1, greatest(len(w) - k + 1, 0) + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))))"
+#: Runs of as many words as the longest phrase has, and shorter ones.
+GRAMS_SQL = "CASE WHEN most = 1 THEN w ELSE flatten(list_transform(range(1, most + 1), lambda k: list_transform(range(1, greatest(len(w) - k + 1, 0) + 1), lambda i: array_to_string(w[i:i + k - 1], ' ')))) END"
 KNN_SQL = """cosines AS (SELECT q.vec_id AS qid, v.vec_id AS id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings q, {v} v WHERE q.vec_id % 100 = 0),
 knn AS (SELECT *, round(1 - sqrt(greatest(2 - 2 * cosine, 0)) / 2, 6) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM cosines)"""
 PLAIN_KNN = KNN_SQL.format(v="embeddings")
-BENCH_BM25 = BM25_SQL.format(q=ITEMS_SQL, words=WORDS_SQL.format("text"), grams=GRAMS_SQL.format(n=6))
+BENCH_BM25 = BM25_SQL.format(q=ITEMS_SQL, words=WORDS_SQL.format("text"), grams=GRAMS_SQL)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS_OF_WORDS = ITEMS_SQL.replace("asked AS", "single AS").replace(", corpus AS", ", asked AS (SELECT qid, list_distinct(list_transform(range(1, len(w) // 2 + 1), lambda i: concat(w[2 * i - 1], ' ', w[2 * i]))) AS w FROM (SELECT item_id AS qid, " + WORDS_SQL.format("text") + " AS w FROM benchmark)), corpus AS")
 
 
-@query("bm25_phrases", f"WITH {BM25_SQL.format(q=PAIRS_OF_WORDS, words=WORDS_SQL.format('text'), grams=GRAMS_SQL.format(n=2))} SELECT qid, id, round(score, 6) AS score, rank FROM bm_ranked WHERE rank <= 10")
+@query("bm25_phrases", f"WITH {BM25_SQL.format(q=PAIRS_OF_WORDS, words=WORDS_SQL.format('text'), grams=GRAMS_SQL)} SELECT qid, id, round(score, 6) AS score, rank FROM bm_ranked WHERE rank <= 10")
 def bm25_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's words two by two, joined by a hyphen, so that each pair is a phrase; a last odd word goes."""
     words = retrieval.tokens(F.col("text"))
