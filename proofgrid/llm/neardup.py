@@ -5,13 +5,14 @@ agree on it only if they share those k-mers in the same order: it follows edit s
 follows the bag of k-mers. Texts that agree on any of `SKETCHES` are candidates; two are linked if the word edit
 distance is at most (1 - threshold) of the longer text. Classes are the components of the links.
 
-Equal texts are merged first. Candidates come in two steps, so that a group of thousands of copies never yields all of
-its pairs: every bucket's members meet its least member; then, only in buckets that still hold several components,
-members of different components meet, sifted by a bound on the edit distance from word-count sketches.
-
-Edits spread over a text can leave no k-mer whole, but never few word pairs: a link at 0.8 of n words keeps at least 0.6 n - 1
-of its n - 1 pairs wherever the edits lie. So a third step sketches word pairs (`PAIR_SKETCHES`; one pick, not three, where
-the texts are short) and lets those of different components meet in the same way.
+Equal texts are merged first. Candidates come in steps, so that a group of thousands of copies never yields all of its pairs:
+every bucket's members meet its least member; then, only in buckets that still hold several components, members of different
+components meet within tasks, sifted by bounds on the edit distance from counts of words and word pairs, aligned where
+they lie, and only links that join two components come out.
+
+Edits spread over a text can leave no k-mer whole, but never few shorter ones: a link at 0.8 of n words keeps at least 0.4 n - 2
+of its word triples and 0.6 n - 1 of its word pairs wherever the edits lie. So a third step sketches triples, or pairs where
+the texts are short (`SHORT_KMERS`), and lets those of different components meet in the same way.
 """
 
 from __future__ import annotations
@@ -28,10 +29,14 @@ from proofgrid.llm.common import Memo, in_arrow, kept, likely_members, materiali
 from proofgrid.llm.components import connected_components
 
 WORDS, PICKS, SKETCHES, THRESHOLD = 5, 2, 40, 0.8
-#: Word-count sketch: bins of one byte, which also fold into fewer for a first look; members of a bucket that a task compares at once.
-BINS, COARSE, CHUNK = 1024, 128, 4096
-#: Sketches of word pairs: (pairs picked, sketches) for texts of FEW words and more, and for shorter ones.
-PAIR_SKETCHES, FEW_SKETCHES, FEW = (3, 96), (1, 24), 40
+#: Bins of the counts that sift pairs (half for words, half for word pairs), which also fold into fewer for a first look.
+BINS, COARSE = 1024, 128
+#: Members and words of a bucket that a task compares with as many others at once; larger buckets are dealt into such chunks.
+CHUNK, CHUNK_WORDS = 4096, 1 << 21
+#: Keys with MANY rows or more in a sample of one in SAMPLE texts are counted by partial sums; any other's rows fit one task.
+SAMPLE, MANY = 256, 16
+#: Short k-mers of texts of FEW words and more, and of shorter ones: (words, picks, sketches).
+SHORT_KMERS, SHORTER, FEW = (3, 2, 80), (2, 1, 24), 40
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -87,13 +92,13 @@ def order_sketches(hashes: np.ndarray, k: int = WORDS, picks: int = PICKS, sketc
     return out
 
 
-def pair_sketches(hashes: np.ndarray, k: int, threshold: float) -> np.ndarray:
-    """The word-pair sketches of a text of k words or more: two texts that may be linked have those of short texts both, or those of long ones."""
+def short_sketches(hashes: np.ndarray, k: int, threshold: float) -> np.ndarray:
+    """The sketches of short k-mers of a text of k words or more: two texts that may be linked have those of long texts both, or those of short ones."""
     n, out = len(hashes), [np.zeros(0, np.uint64)]
     if n >= max(k, FEW):
-        out.append(order_sketches(hashes, 2, *PAIR_SKETCHES))
+        out.append(order_sketches(hashes, *SHORT_KMERS))
     if k <= n and n * threshold <= FEW:
-        out.append(mix(order_sketches(hashes, 2, *FEW_SKETCHES)))
+        out.append(mix(order_sketches(hashes, *SHORTER)))
     return np.concatenate(out)
 
 
@@ -102,30 +107,26 @@ def sketch_in_tasks(k: int, picks: int, sketches: int, threshold: float) -> Call
         import xxhash
 
         for batch in batches:
-            counts, digests, keys, pair_keys = [], [], [], []
+            counts, digests, keys, short_keys = [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = text.lower().split()
                 hashes = hashed_words(words)
                 counts.append(len(words))
                 digests.append(xxhash.xxh128_hexdigest(" ".join(words).encode("utf-8", "replace")))
                 keys.append(order_sketches(hashes, k, picks, sketches).view(np.int64))
-                pair_keys.append(pair_sketches(hashes, k, threshold).view(np.int64))
+                short_keys.append(short_sketches(hashes, k, threshold).view(np.int64))
             longs = pa.list_(pa.int64())
-            arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(keys, longs), pa.array(pair_keys, longs)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "digest", "keys", "pair_keys"])
+            arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(keys, longs), pa.array(short_keys, longs)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "digest", "keys", "short_keys"])
 
     return run
 
 
-def count_words_in_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word-count sketches: each word adds one to the bin of its hash, up to 255."""
+def hash_words_in_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text as 32-bit hashes, packed."""
     for batch in batches:
-        counts, bags = [], []
-        for text in batch.column("text").to_pylist():
-            hashes = hashed_words(text.lower().split())
-            counts.append(len(hashes))
-            bags.append(np.minimum(np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(bags, pa.binary())], names=["rep", "n_words", "bag"])
+        packed = [hashed_words(text.lower().split()).astype(np.uint32).tobytes() for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["rep", "words"])
 
 
 def banded_distance(a: list, b: list, most: int) -> int | None:
@@ -193,41 +194,70 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return in_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), verify_in_tasks(threshold), "a bigint, b bigint")
 
 
-def sift(rows: list[dict], threshold: float, low: int, high: int) -> Iterator[tuple[int, int]]:
-    """Pairs of a bucket's members that differ in component and may be similar by length and word counts.
+def counts_of(words: np.ndarray) -> np.ndarray:
+    """Words and word pairs counted in bins of their hashes: an edit changes at most 2 counts of words and 4 of pairs by one."""
+    half = BINS // 2
+    pairs = mix(words[:-1].astype(np.uint64) << np.uint64(32) | words[1:]) if len(words) > 1 else np.zeros(0, np.uint64)
+    return np.concatenate([np.bincount((w & np.uint64(half - 1)).astype(np.int64), minlength=half) for w in (words.astype(np.uint64), pairs)]).astype(np.int32)
+
+
+def side_by_side(keys: list[list[int]]) -> np.ndarray:
+    """Key lists as rows whose columns compare; of short k-mers a text has those of long texts, those of short ones, or both.
 
-    low and high are the two chunks that meet; within one chunk each pair is met once. A pair that shares several buckets
-    comes out of the first of them only.
+    What a text lacks is filled with a number of its own, which no other row has.
     """
-    n = np.array([r["n_words"] for r in rows], np.int64)
-    part = np.array([r["part"] for r in rows])
-    ids, group = np.array([r["rep"] for r in rows]), np.array([r["c"] for r in rows])
-    bags = np.frombuffer(b"".join(r["bag"] for r in rows), np.uint8).reshape(len(rows), BINS).astype(np.int16)
-    keys, here = np.array([r["keys"] for r in rows], np.int64), rows[0]["key"]
-    folded = bags.reshape(len(rows), -1, COARSE).sum(axis=1, dtype=np.int16)
+    long, short = SHORT_KMERS[2], SHORTER[2]
+    if len({len(k) for k in keys}) == 1:
+        return np.array(keys, np.int64)
+    out = np.repeat(np.arange(len(keys))[:, None], long + short, axis=1)
+    for row, k in enumerate(keys):
+        at = slice(long, None) if len(k) == short else slice(0, len(k))
+        out[row, at] = k
+    return out
+
+
+def met_links(rows: list[dict], threshold: float) -> Iterator[tuple[int, int]]:
+    """Links (class, class) between a bucket's members of two chunks, or of one chunk among themselves, if low and high are one.
+
+    Only members of classes not joined yet are compared, so no more links come out than there are classes. A pair that
+    shares several buckets of `keys` is compared in the first of them only, and not at all if it shares one of `before`, in which it has
+    been compared before.
+    """
+    low, high, here = rows[0]["low"], rows[0]["high"], rows[0]["key"]
+    part, group = np.array([r["part"] for r in rows]), np.array([r["c"] for r in rows])
+    words = [np.frombuffer(r["words"], np.uint32) for r in rows]
+    n = np.array([len(w) for w in words])
+    counts = np.stack([counts_of(w) for w in words])
+    folded = counts.reshape(len(rows), -1, BINS // COARSE).sum(axis=2)
+    keys = side_by_side([r["keys"] for r in rows])
+    before = None if rows[0]["before"] is None else np.array([r["before"] for r in rows], np.int64)
+    classes, half = group.copy(), BINS // 2
     left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
     for i in left:
         others = right[right > i] if low == high else right
         others = others[group[others] != group[i]]
-        most = (1 - threshold) * np.maximum(n[others], n[i]) + 1e-9
-        # words that one text has beyond the other's: at least as many must go as come in excess on the larger side
-        for sketch in (None, folded, bags):
-            if not len(others):
-                break
-            if sketch is None:
-                near = np.abs(n[others] - n[i]) <= most
-            else:
-                apart = np.abs(sketch[others] - sketch[i]).sum(axis=1, dtype=np.int32)
-                near = (apart + np.abs(n[others] - n[i])) / 2 <= most
-            others, most = others[near], most[near]
+        most = ((1 - threshold) * np.maximum(n[others], n[i]) + 1e-9).astype(np.int64)
+        near = np.abs(n[others] - n[i]) <= most
+        others, most = others[near], most[near]
+        for sketch in (folded, counts):
+            if len(others):
+                apart, middle = np.abs(sketch[others] - sketch[i]), sketch.shape[1] // 2
+                near = (apart[:, :middle].sum(axis=1) <= 2 * most) & (apart[:, middle:].sum(axis=1) <= 4 * most)
+                others, most = others[near], most[near]
+        if len(others):
+            mine = keys[i, (keys[others] == keys[i]).argmax(axis=1)] == here
+            if before is not None:
+                mine &= ~(before[others] == before[i]).any(axis=1)
+            others, most = others[mine], most[mine]
         if len(others):
-            first = (keys[others] == keys[i]).argmax(axis=1)
-            others = others[keys[i, first] == here]
-        for k in others:
-            yield min(ids[i], ids[k]), max(ids[i], ids[k])
+            one = words[i].tolist()
+            for k, at_most in zip(others.tolist(), most.tolist()):
+                if group[k] != group[i] and banded_distance(one, words[k].tolist(), at_most) is not None:
+                    yield classes[i], classes[k]
+                    group[group == group[k]] = group[i]
 
 
-def sift_in_tasks(threshold: float) -> Callable:
+def meet_in_tasks(threshold: float) -> Callable:
     """Takes rows sorted by (key, low, high), one run of rows a meeting of two chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +266,7 @@ def sift_in_tasks(threshold: float) -> Callable:
 
         def flush() -> None:
             if len(held) > 1:
-                found.update(sift(held, threshold, held[0]["low"], held[0]["high"]))
+                found.update((min(p), max(p)) for p in met_links(held, threshold))
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -255,21 +285,47 @@ def sift_in_tasks(threshold: float) -> Callable:
 
 def pairs_batch(found: set) -> pa.RecordBatch:
     pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    return pa.RecordBatch.from_pydict({"s": pa.array(pairs[:, 0]), "t": pa.array(pairs[:, 1])})
 
 
-def meetings(grouped: DataFrame) -> DataFrame:
-    """Members of buckets (key, rep, c, size) dealt to the meetings of chunks: with part, low and high."""
-    order = Window.partitionBy("key").orderBy("rep")
-    parts = grouped.withColumn("part", F.floor((F.row_number().over(order) - 1) / CHUNK).cast("int"))
-    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / CHUNK).cast("int"))))
+def meetings(members: DataFrame) -> DataFrame:
+    """Members of buckets (key, rep, c, size, n_words, total words) dealt by hash to the meetings of chunks: key, rep, c, part, low, high."""
+    n = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("total") / CHUNK_WORDS)).cast("int")
+    parts = members.withColumn("n", n).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return materialize(parts.select("key", "rep", "c", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")), "meetings")
 
 
-def sifted(counted: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of the members that meet and may be similar; counted: what meetings() gives with n_words, bag, keys."""
-    dealt = counted.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return in_arrow(dealt.select("key", "rep", "c", "part", "low", "high", "n_words", "bag", "keys"), sift_in_tasks(threshold), "a bigint, b bigint").distinct()
+def bridges(parts: DataFrame, docs: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """Classes (s, t) that a link joins, from what meetings() gives; docs: doc_id, text; keys: rep, the keys of all its buckets, and those of an earlier step."""
+    members = parts.select("rep").distinct()
+    words = in_arrow(likely_members(docs, "doc_id", members, "rep"), hash_words_in_tasks, "rep bigint, words binary")
+    each = words.groupBy("rep").agg(F.first("words").alias("words")).join(likely_members(keys, "rep", members, "rep"), "rep")
+    full = parts.join(each, "rep")
+    dealt = full.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return materialize(in_arrow(dealt.select("key", "rep", "c", "part", "low", "high", "words", "keys", "before"), meet_in_tasks(threshold), "s bigint, t bigint").distinct(), "bridges")
+
+
+def with_totals(texts: DataFrame, keys: str, totals: dict[str, Callable], more: dict[str, Callable] | None = None) -> DataFrame:
+    """Rows (key, rep and the other columns of texts) of each of the `keys` of each text, with `totals` of all rows of a key.
+
+    totals: name -> a function from aggregate-to-column, given F's aggregates over the key. Rows of frequent keys get them from
+    partial sums and a join, so that no task sees all of them; those of others from a window, so they are shuffled once. `more`: further
+    columns for the latter by a window of the key in order of n_words; null for the former.
+    """
+    exploded = lambda df: df.select(F.explode(keys).alias("key"), *[c for c in texts.columns if c != keys])
+    more = more or {}
+    sampled = exploded(texts.where(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(SAMPLE)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
+    frequent = materialize(sampled.where(F.col("n") >= MANY).select("key", F.lit(True).alias("frequent")), "frequent")
+    whole, ordered = Window.partitionBy("key"), Window.partitionBy("key").orderBy("n_words")
+    windowed = lambda df: df.withColumns({**{name: f().over(whole) for name, f in totals.items()}, **{name: f(ordered) for name, f in more.items()}})
+    rows = exploded(texts)
+    if frequent.isEmpty():
+        return windowed(rows)
+    marked = rows.join(frequent, "key", "left")
+    rare, hot = marked.where("frequent IS NULL").drop("frequent"), marked.where("frequent").drop("frequent")
+    summed = materialize(hot.groupBy("key").agg(*[f().alias(name) for name, f in totals.items()]), "totals")
+    return windowed(rare).unionByName(hot.join(summed, "key"), allowMissingColumns=True)
 
 
 def near_duplicates(
@@ -278,56 +334,39 @@ def near_duplicates(
     """Returns doc_id, class_id (least doc_id of the class), kept (whether the row is the one that stays) for every row of docs.
 
     Words are lower-cased and cut at white space. Null texts and texts without words are equal texts of one class;
-    texts of fewer than k words are one k-mer, so only equal ones meet; rows that repeat a doc_id share a class and one of them is kept; a
-    null doc_id gets its class but no link of its own and is kept only if the whole class has none; an empty table gives no rows.
-    Ids are integers; of rows that repeat a doc_id any text may link it. Shuffled: sketch keys (8 bytes a sketch), and the texts of colliding rows;
-    a filter of fixed size picks these where the texts lie. Of word pairs only the buckets travel on in which texts of different classes
-    and like lengths meet.
+    texts of fewer than k words are one k-mer, so only equal ones meet; very long texts are compared whole; rows that repeat a doc_id share
+    a class and one of them is kept; a null doc_id gets its class but no link of its own and is kept only if the whole class has none; an
+    empty table gives no rows; other columns are not read. Ids are integers; of rows that repeat a doc_id any text may link it. Shuffled: sketch
+    keys (8 bytes a sketch), and the texts of colliding rows; a filter of fixed size picks these where the texts lie. Of short k-mers
+    only the buckets travel on in which texts of different classes and like lengths meet.
     """
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketched = materialize(in_arrow(narrow, sketch_in_tasks(k, picks, sketches, threshold), "doc_id bigint, n_words bigint, digest string, keys array<bigint>, pair_keys array<bigint>"), "sketches")
-    firsts = [F.first(c).alias(c) for c in ("n_words", "keys", "pair_keys")]
+    sketched = materialize(in_arrow(narrow, sketch_in_tasks(k, picks, sketches, threshold), "doc_id bigint, n_words bigint, digest string, keys array<bigint>, short_keys array<bigint>"), "sketches")
+    firsts = [F.first(c).alias(c) for c in ("n_words", "keys", "short_keys")]
     reps = materialize(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), *firsts), "representatives")
-    rows = reps.where("rep IS NOT NULL").select(F.explode("keys").alias("key"), "rep")
-    bucket = Window.partitionBy("key")
-    met = rows.withColumns({"leader": F.min("rep").over(bucket), "size": F.count("*").over(bucket)}).where("size > 1")
-    met = materialize(met, "buckets")
+    named = reps.where("rep IS NOT NULL")
+    count = {"size": lambda: F.count("*"), "total": lambda: F.sum("n_words")}
+    met = materialize(with_totals(named.select("rep", "n_words", "keys"), "keys", {"leader": lambda: F.min("rep"), **count}).where("size > 1"), "buckets")
     stars = materialize(met.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     texts = materialize(likely_members(narrow, "doc_id", met.select("rep").distinct(), "rep"), "texts")
-    links = materialize(verified(stars, texts, threshold), "links")
-    classes = connected_components(links)
-
-    grouped = met.join(classes.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    mixed = grouped.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
-    parts = meetings(grouped.join(mixed, "key", "left_semi"))
-    members = parts.select("rep").distinct()
-    bags = in_arrow(likely_members(texts, "doc_id", members, "rep"), count_words_in_tasks, "rep bigint, n_words bigint, bag binary")
-    counted = parts.join(bags, "rep").join(likely_members(reps.select("rep", "keys"), "rep", members, "rep"), "rep").where(F.array_contains("keys", F.col("key")))
-    more = materialize(sifted(counted, threshold).join(stars, ["a", "b"], "left_anti"), "pairs")
-    again = materialize(verified(more, texts, threshold), "links")
-    # the second links join classes, not texts
+    classes = connected_components(materialize(verified(stars, texts, threshold), "links"))
     first = classes.withColumnRenamed("c", "class")
-    of = lambda end: F.coalesce("class", end)
-    bridges = again.join(first.withColumnRenamed("v", "a"), "a", "left").select(of("a").alias("s"), "b").join(first.withColumnRenamed("v", "b"), "b", "left").select("s", of("b").alias("t"))
-    merged = connected_components(bridges, "s", "t").select(F.col("v").alias("class"), F.col("c").alias("whole"))
 
-    known = reps.join(first.withColumnRenamed("v", "rep"), "rep", "left").select(*reps.columns, of("rep").alias("class"))
-    known = materialize(known.join(merged, "class", "left").select(*reps.columns, F.coalesce("whole", "class").alias("c")), "classes")
+    grouped = met.join(first.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("class", "rep")).drop("class")
+    mixed = grouped.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
+    found = bridges(meetings(grouped.join(mixed, "key", "left_semi")), texts, named.select("rep", "keys", F.lit(None).cast("array<bigint>").alias("before")), threshold)
+    merged = connected_components(found, "s", "t").select(F.col("v").alias("class"), F.col("c").alias("whole"))
+    known = reps.join(first.withColumnRenamed("v", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    known = materialize(known.join(merged, "class", "left").select("digest", "rep", "n_words", "keys", "short_keys", F.coalesce("whole", "class").alias("c")), "classes")
 
-    # word pairs: only buckets in which classes meet, and only members that have another of like length beside them
-    rows = known.where("rep IS NOT NULL").select(F.explode("pair_keys").alias("key"), "rep", "c", "n_words")
-    by_length = Window.partitionBy("key").orderBy("n_words")
+    # short k-mers: only buckets in which classes meet, and only members that have another of like length beside them
     like = lambda less, n: less >= n * threshold - 1e-6
-    beside = F.coalesce(like(F.lag("n_words").over(by_length), F.col("n_words")), F.lit(False)) | F.coalesce(like(F.col("n_words"), F.lead("n_words").over(by_length)), F.lit(False))
-    rows = rows.withColumns({"beside": beside, "least": F.min("c").over(bucket), "most": F.max("c").over(bucket)}).where("beside AND least <> most")
-    parts = meetings(rows.select("key", "rep", "c").withColumn("size", F.count("*").over(bucket)))
-    bags = in_arrow(likely_members(narrow, "doc_id", parts.select("rep").distinct(), "rep"), count_words_in_tasks, "rep bigint, n_words bigint, bag binary")
-    counted = parts.join(bags, "rep").withColumn("keys", F.array("key"))
-    last = materialize(sifted(counted, threshold).join(stars.unionByName(more), ["a", "b"], "left_anti"), "pairs")
-    ends = last.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    late = materialize(verified(last, likely_members(narrow, "doc_id", ends, "rep"), threshold), "links")
-    in_class = lambda end, name: known.where("rep IS NOT NULL").select(F.col("rep").alias(end), F.col("c").alias(name)).distinct()
-    merged = connected_components(late.join(in_class("a", "s"), "a").join(in_class("b", "t"), "b"), "s", "t").select(F.col("v").alias("c"), F.col("c").alias("whole"))
+    n_words = F.col("n_words")
+    beside = {"below": lambda w: like(F.lag("n_words").over(w), n_words), "above": lambda w: like(n_words, F.lead("n_words").over(w)), "seen": lambda w: F.lit(True)}
+    rows = with_totals(known.where("rep IS NOT NULL").select("rep", "c", "n_words", "short_keys"), "short_keys", {"least": lambda: F.min("c"), "most": lambda: F.max("c"), **count}, beside)
+    rows = rows.where("least <> most AND (seen IS NULL OR coalesce(below, false) OR coalesce(above, false))")
+    late = bridges(meetings(rows), narrow, known.where("rep IS NOT NULL").select("rep", F.col("short_keys").alias("keys"), F.col("keys").alias("before")), threshold)
+    merged = connected_components(late, "s", "t").select(F.col("v").alias("c"), F.col("c").alias("whole"))
     named = known.join(merged, "c", "left").select("digest", F.coalesce("whole", "c").alias("class_id"))
     copies = sketched.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
     first = F.row_number().over(Window.partitionBy("class_id", "doc_id").orderBy(F.lit(0))) == 1
