@@ -102,8 +102,8 @@ def priority_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", C.priority_date(own, F.lit("2001-02-29"), F.when(key % 2 == 0, "2000-02-29")).alias("day"))
 
 
-@query("opposite_signs", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, sign(a.s_acctbal) <> sign(b.s_acctbal) AND (abs(a.s_acctbal) >= 500 OR abs(b.s_acctbal) >= 500) AS differ FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1")
-def opposite_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("sign_conflicts", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, sign(a.s_acctbal) <> sign(b.s_acctbal) AND (abs(a.s_acctbal) >= 500 OR abs(b.s_acctbal) >= 500) AS differ FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1")
+def sign_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's balance against the next one's."""
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("x"))
     following = suppliers.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y"))
