@@ -1,8 +1,9 @@
 """Token counts and token ids of whole texts, by a tokenizers-library vocabulary.
 
 The vocabulary's pre-tokenizer drops white space, so no token spans a space or line break: there (and before full-width marks)
-long texts are cut into segments. Segments are packed into batches of about equal bytes, and a batch goes through the library's
-batch encoder in one call; only lengths leave the function. `WordEncoder` gives the ids of words by a bounded memo.
+long texts are cut into segments. Segments are packed into batches of about equal bytes; the words of a batch that are new to the
+worker go through the library's batch encoder in one call, and a bounded memo keeps their lengths, the only thing that leaves the
+function. `WordEncoder` gives the ids of words by a bounded memo.
 """
 
 from __future__ import annotations
@@ -112,13 +113,46 @@ def batch_encoder(path: str) -> Callable:
     return mine["batch", path]
 
 
+class WordLengths(dict):
+    """Words to their numbers of tokens, of at most about 2 * cap words; words of over `longest` characters stay for their batch only."""
+
+    def __init__(self, encode: Callable, cap: int = 200_000, longest: int = 64):
+        super().__init__()
+        self.encode, self.cap, self.longest, self.old = encode, cap, longest, {}
+
+    def learn(self, found: set[str]) -> list[str]:
+        """Makes sure that all of these words are here, by one call of the batch encoder; returns those that are not to stay."""
+        if len(self) > self.cap:
+            self.old = dict(self)
+            self.clear()
+        new = [w for w in found if w not in self]
+        parts = {w: WordEncoder.simpler(w) or (w,) for w in new if w}
+        asked = list({p for ps in parts.values() for p in ps} - self.keys())
+        for p in [p for p in asked if p in self.old]:
+            self[p] = self.old[p]
+        asked = [p for p in asked if p not in self]
+        self.update(zip(asked, map(len, self.encode(asked, add_special_tokens=False))))
+        self.update({w: sum(self[p] for p in ps) for w, ps in parts.items()})
+        if "" in found:
+            self[""] = 0
+        return [w for w in (*asked, *new) if len(w) > self.longest]
+
+
 def count_in_tasks(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = batch_encoder(path)
+        mine = kept(__name__)
+        if ("lengths", path) not in mine:
+            mine["lengths", path] = WordLengths(batch_encoder(path))
+        lengths = mine["lengths", path]
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             for rows, parts in balanced(batch.column("text").to_pylist()):
-                np.add.at(n, rows, [len(e) for e in encode(parts, add_special_tokens=False)])
+                cut = [words(p) for p in parts]
+                passing = lengths.learn(set().union(*cut))
+                for row, found in zip(rows, cut):
+                    n[row] += sum(map(lengths.__getitem__, found))
+                for w in passing:
+                    lengths.pop(w, None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
