@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import alignment, bpe, contamination, fingerprints, neardup, quality, search, secrets, sequences, sharding, tokens, urls
+from proofgrid.llm import alignment, bpe, contamination, fingerprints, neardup, quality, search, secrets, sequences, sharding, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,8 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN it
 @register
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+@register
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
