@@ -15,6 +15,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import Memo, in_arrow, kept, materialize
+from proofgrid.llm.common import in_arrow, kept, materialize
 
-#: Text bytes of a block, whose distinct groups share a dictionary, and words that a worker remembers for each generation.
-BLOCK_BYTES, WORDS, LONGEST = 8 << 20, 150_000, 64
+#: Text bytes of a block, whose distinct groups share a dictionary; words that a worker remembers for each generation, of what length; words encoded together.
+BLOCK_BYTES, WORDS, LONGEST, TOGETHER = 8 << 20, 150_000, 64, 1000
 #: Places where a text may be cut, and words that may stand between two of them.
 CUT = re.compile(r" (?=[\w!-~])(?<=[\w!-~] )")
 WHOLE = re.compile(r"[\w!-~](?:.*[\w!-~])?", re.DOTALL)
@@ -80,15 +81,16 @@ class Pair:
 
 
 class Groups:
-    """Distinct groups by number, and words by their groups; a word is (packed numbers, key text), or None if its bytes are not those of the text."""
+    """Distinct groups by number, and words by their groups; a word is (packed numbers, key text), or (None, None) if its tokens' bytes are others."""
 
     def __init__(self, pair: Pair):
         self.pair = pair
         self.number: dict[bytes, int] = {}
         self.keys: list[bytes] = []
         self.sizes: list[tuple[int, int]] = []
-        self.words: dict[str, tuple[bytes, bytes] | None] = {}
-        self.old: dict[str, tuple[bytes, bytes] | None] = {}
+        self.words: dict[str, tuple[bytes | None, bytes | None]] = {}
+        self.old: dict[str, tuple[bytes | None, bytes | None]] = {}
+        self.loose: set[str] = set()  # known words that may not stand between two cuts
 
     def renew(self) -> None:
         """Between blocks: words unused for a whole generation go; a dictionary that has grown large goes as a whole."""
@@ -96,6 +98,7 @@ class Groups:
             self.__init__(self.pair)
         elif len(self.words) > WORDS:
             self.old, self.words = self.words, {}
+            self.loose &= self.old.keys()
 
     def intern(self, a: np.ndarray, b: np.ndarray) -> int:
         raw = a.tobytes() + b"|" + b.tobytes()
@@ -116,16 +119,19 @@ class Groups:
                 new.append(w)
         if not new:
             return []
-        ids_a, ids_b = self.pair.encode(new)
-        good = []
-        for k, (w, a, b) in enumerate(zip(new, ids_a, ids_b)):
-            raw = f" {w}".encode()
-            if b"".join(map(self.pair.bytes_b.__getitem__, b)) == raw and b"".join(map(self.pair.bytes_a.__getitem__, a)) == raw:
-                good.append(k)
-            else:
-                self.words[w] = None
-        if good:
-            flat_a, flat_b = (np.concatenate([np.array(ids[k], np.int64) for k in good]) for ids in (ids_a, ids_b))
+        new.sort(key=self.loose.__contains__)  # those that may stand between cuts first: they are encoded many in one text
+        n_loose = sum(w in self.loose for w in new)
+        tight, raws, names = new[: len(new) - n_loose], [f" {w}".encode() for w in new], new
+        texts = [" ".join(tight[k : k + TOGETHER]) for k in range(0, len(tight), TOGETHER)] + new[len(tight) :]
+        ids_a, ids_b = self.pair.encode(texts)
+        spelled = lambda spelling, ids: b"".join(map(spelling.__getitem__, chain.from_iterable(ids)))
+        if not spelled(self.pair.bytes_a, ids_a) == b"".join(raws) == spelled(self.pair.bytes_b, ids_b):  # some word is not what its tokens say
+            ids_a, ids_b = self.pair.encode(new)
+            good = [k for k, raw in enumerate(raws) if spelled(self.pair.bytes_a, ids_a[k : k + 1]) == raw == spelled(self.pair.bytes_b, ids_b[k : k + 1])]
+            self.words.update(dict.fromkeys(set(new) - {new[k] for k in good}, (None, None)))
+            ids_a, ids_b, raws, names = ([x[k] for k in good] for x in (ids_a, ids_b, raws, new))
+        if names:
+            flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
             ends_a, ends_b = np.cumsum(self.pair.len_a[flat_a]), np.cumsum(self.pair.len_b[flat_b])  # all words one after another: the same bytes on both sides
             common, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
             to_a, to_b = at_a + 1, at_b + 1
@@ -137,19 +143,26 @@ class Groups:
             numbers[single] = np.array(known, np.int32)[back] if len(known) else 0
             for k in np.flatnonzero(~single).tolist():
                 numbers[k] = self.intern(flat_a[from_a[k] : to_a[k]], flat_b[from_b[k] : to_b[k]])
-            sizes = np.cumsum([len(f" {new[k]}".encode()) for k in good])
-            ends = (np.searchsorted(common, sizes) + 1).tolist()
-            listed, start = numbers.tolist(), 0
-            for k, end in zip(good, ends):
-                self.words[new[k]] = numbers[start:end].tobytes(), b";".join([self.keys[g] for g in listed[start:end]])
+            ends = (np.searchsorted(common, np.cumsum([len(r) for r in raws])) + 1).tolist()
+            keys, packed, start = list(map(self.keys.__getitem__, numbers.tolist())), numbers.tobytes(), 0
+            for name, end in zip(names, ends):
+                self.words[name] = packed[4 * start : 4 * end], b";".join(keys[start:end])
                 start = end
         return [w for w in new if len(w) > LONGEST]
 
+    def cut(self, texts: list[str | None]) -> tuple[list[list[str]], list[str]]:
+        """Each text as words with one space between any two, all of them known; and the words that are too long to be kept.
 
-def cut_words(text: str, whole: dict) -> list[str]:
-    """The text cut where no token can span; one space stands between any two words. whole: a memo of words that may stand between two cuts."""
-    words = text.split(" ")
-    return words if all(map(whole.__getitem__, words)) else CUT.split(text)
+        A text is taken apart at its spaces; where a word so found may not stand between two cuts, the text is cut at the safe places only.
+        """
+        parts = [t.split(" ") if t else [] for t in texts]
+        fresh = set().union(*parts) - self.words.keys() - self.old.keys()
+        self.loose.update(w for w in fresh if WHOLE.fullmatch(w) is None)
+        for k, words in enumerate(parts):
+            if not self.loose.isdisjoint(words):
+                parts[k] = CUT.split(texts[k])
+                self.loose.update(w for w in (parts[k][0], parts[k][-1]) if WHOLE.fullmatch(w) is None)
+        return parts, self.learn(set().union(*parts))
 
 
 class Block:
@@ -186,7 +199,6 @@ def group_in_tasks(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair.of(path_a, path_b)
         groups = kept(__name__).setdefault("groups", Groups(pair))
-        whole = kept(__name__).setdefault("whole", Memo(lambda w: WHOLE.fullmatch(w) is not None, WORDS, LONGEST))
         block, number, kind = Block(), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, None
         for batch in batches:
             kind = batch.column("doc_id").type
@@ -196,12 +208,11 @@ def group_in_tasks(path_a: str, path_b: str):
                 while end < len(texts) and (end == start or size < BLOCK_BYTES // 4):
                     size += len(texts[end] or "")
                     end += 1
-                cut = [cut_words(t, whole) if t else [] for t in texts[start:end]]
-                passing = groups.learn(set().union(*cut))
+                cut, passing = groups.cut(texts[start:end])
                 known = np.array(groups.sizes, np.int64).reshape(-1, 2)
                 for words in cut:
                     found = list(map(groups.words.__getitem__, words))
-                    if not found or None in found:
+                    if not found or (None, None) in found:
                         block.docs.append(NOTHING)
                         continue
                     flat = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
