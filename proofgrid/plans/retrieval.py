@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.operators import retrieval
+from proofgrid.operators import neighbours, retrieval
 from proofgrid.plans.registry import query
 from proofgrid.session import table
 
@@ -232,8 +232,33 @@ PAIRS_SQL = "pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_produ
 
 @query("near_duplicate_pairs", f"WITH {PAIRS_SQL.format(op='<')} SELECT a, b, cosine FROM pairs WHERE cosine >= 0.4")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact and over all vectors; these data have no pair near the default of 0.9, so 0.4 is asked for."""
-    return retrieval.similar_pairs(vectors(spark, sf_dir), 0.4)
+    """Over all vectors; these data have no pair near the default of 0.9, so 0.4 is asked for."""
+    return neighbours.near_pairs(vectors(spark, sf_dir), 0.4, recall=0.99)
+
+
+COPIES_SQL = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), m AS (SELECT vec_id, list_transform(list_zip(e, list_reverse(e)), lambda p: 3 * p[1] + p[2]) AS e FROM v),
+copies AS (SELECT vec_id * 2 + 1 AS id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM m), originals AS (SELECT vec_id * 2 AS id, e FROM v)"""
+
+
+def originals_and_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every vector under an even id, and under the odd one after it a near copy: three parts of it and one of it read backwards, at unit length."""
+    known = vectors(spark, sf_dir).select(F.col("id") * 2, F.transform("vector", lambda x: x.cast("double")).alias("vector")).toDF("id", "vector")
+    mixed = known.select(F.col("id") + 1, F.zip_with("vector", F.reverse("vector"), lambda x, y: 3 * x + y).alias("v")).toDF("id", "v")
+    return known, mixed.select("id", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))).alias("vector"))
+
+
+@query("near_copies", f"WITH {COPIES_SQL}, every AS (SELECT * FROM originals UNION ALL SELECT * FROM copies), p AS (SELECT x.id AS a, y.id AS b, list_dot_product(x.e, y.e) AS c FROM every x JOIN every y ON x.id < y.id) SELECT a, b, round(round(c, 6), 5) AS cosine FROM p WHERE round(c, 6) >= 0.9")
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates at the default threshold of 0.9 among all vectors and a near copy of each, met in hyperplane buckets."""
+    known, copies = originals_and_copies(spark, sf_dir)
+    return neighbours.near_pairs(known.unionByName(copies), 0.9, recall=0.99).withColumn("cosine", F.round("cosine", 5))
+
+
+@query("nearest_originals", f"WITH {COPIES_SQL}, r AS (SELECT x.id AS qid, y.id AS id, round(list_dot_product(x.e, y.e), 6) AS c FROM copies x, originals y) SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, id) AS rank FROM r) WHERE rank <= 1")
+def nearest_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest original of each near copy: as many queries as rows, met in hyperplane buckets with probes."""
+    known, copies = originals_and_copies(spark, sf_dir)
+    return neighbours.near_neighbours(copies.withColumnRenamed("id", "qid"), known, 1, recall=0.99).select("qid", "id", "rank")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -243,7 +268,7 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 @query("best_match_per_doc", f"WITH {PAIRS_SQL.format(op='<>')}, m AS (SELECT *, row_number() OVER (PARTITION BY a, label ORDER BY cosine DESC, b) AS k FROM pairs WHERE cosine >= 0.35) SELECT a, label, b, cosine FROM m WHERE k = 1")
 def best_match_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = vectors(spark, sf_dir).select(F.col("id").alias("b"), "label")
-    pairs = both_ways(retrieval.similar_pairs(vectors(spark, sf_dir), 0.35)).join(labels, "b")
+    pairs = both_ways(neighbours.near_pairs(vectors(spark, sf_dir), 0.35, recall=0.99)).join(labels, "b")
     return retrieval.best_match(pairs, "label", 0.35)
 
 
@@ -255,7 +280,7 @@ def best_match_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forty closest pairs of vectors of different files (ten in a row), and which is the newer; 0.35 stands for 0.9 as before."""
     chunks = vectors(spark, sf_dir).select("id", F.expr("id div 10").alias("file"), F.when(F.col("id") % 3 != 0, (F.col("id") % 50).cast("int")).alias("day"))
-    return retrieval.consolidated(retrieval.similar_pairs(vectors(spark, sf_dir), 0.35), chunks, 0.35)
+    return retrieval.consolidated(neighbours.near_pairs(vectors(spark, sf_dir), 0.35, recall=0.99), chunks, 0.35)
 
 
 @query(
@@ -267,7 +292,7 @@ def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suggest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten vectors in a row stand for a file, and neighbouring files are linked already."""
     file = lambda c: F.expr(f"{c} div 10")
-    pairs = both_ways(retrieval.similar_pairs(vectors(spark, sf_dir), 0.25))
+    pairs = both_ways(neighbours.near_pairs(vectors(spark, sf_dir), 0.25, recall=0.99))
     hits = pairs.select(F.col("a").alias("chunk"), file("a").alias("file"), file("b").alias("other"), F.col("cosine").alias("similarity"))
     chunks = vectors(spark, sf_dir).select("id", file("id").alias("file"))
     known = chunks.select(F.col("file").alias("src"), (F.col("file") + 1).alias("dst")).distinct()
