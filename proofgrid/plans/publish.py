@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from proofgrid.operators import quality
 from proofgrid.plans.registry import query
 from proofgrid.session import table
-from proofgrid.sinks import publish
+from proofgrid.sinks import dataset, publish
 from proofgrid.sinks.storage import shared_folder
 from proofgrid.streaming import logs
 
@@ -129,3 +129,29 @@ def streamed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = logs.event_stream(spark, sf_dir, schema, glob="events.parquet")
     return logs.run_available(logs.windowed_kinds(stream, "ts", "event_type", "value"), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+
+
+@query(
+    "published_tables",
+    """SELECT 'nation' AS dataset, count(*) AS rows, CAST(ceil(count(*) / 2000) AS BIGINT) AS shards, CAST(sum(n_nationkey) AS BIGINT) AS keys FROM nation
+    UNION ALL SELECT 'customer', count(*), CAST(ceil(count(*) / 2000) AS BIGINT), CAST(sum(c_custkey) AS BIGINT) FROM customer UNION ALL SELECT 'orders', count(*), CAST(ceil(count(*) / 2000) AS BIGINT), CAST(sum(o_orderkey) AS BIGINT) FROM orders""",
+)
+def published_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables that refer to each other, published in one commit after the checks across them, and read back by it."""
+    folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    tables = {name: (table(spark, sf_dir, name).select(*columns), columns[:1]) for name, columns in (("nation", ["n_nationkey", "n_name"]), ("customer", ["c_custkey", "c_nationkey"]), ("orders", ["o_orderkey", "o_custkey", "o_orderstatus"]))}
+    references = [dataset.Reference("customer", ("c_nationkey",), "nation", ("n_nationkey",)), dataset.Reference("orders", ("o_custkey",), "customer", ("c_custkey",))]
+    number = dataset.publish_tables(spark, tables, folder, references)
+    held, shards = dataset.read_tables(spark, folder, number), dataset.shards(spark, folder, number).groupBy("dataset").agg(F.count("*").alias("shards"))
+    sums = None
+    for name, (_, keys) in tables.items():
+        part = held[name].agg(F.count("*").alias("rows"), F.sum(keys[0]).alias("keys")).select(F.lit(name).alias("dataset"), "rows", "keys")
+        sums = part if sums is None else sums.unionByName(part)
+    return sums.join(shards, "dataset").select("dataset", "rows", "shards", "keys")
+
+
+@query("lost_references", "SELECT 'orders' AS child, 'o_custkey' AS columns, CAST(o_custkey AS VARCHAR) AS key FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY o_custkey")
+def lost_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What would stop a publication of all orders with the customers of one segment only."""
+    customers = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+    return dataset.orphans({"orders": table(spark, sf_dir, "orders"), "customer": customers}, [dataset.Reference("orders", ("o_custkey",), "customer", ("c_custkey",))])

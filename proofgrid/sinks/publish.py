@@ -134,7 +134,9 @@ def publish(spark: SparkSession, df: DataFrame, folder: str, name: str, keys: Se
             break
         write_dataset(df, base, name, keys, rows)
         large = halved(oversized(spark, base, name, most), most - 1).agg(F.max("pieces").alias("pieces")).first().pieces
-        if large is None or rows == 1:
+        if large is not None and rows == 1:
+            raise ValueError(f"a row of {name} is larger than {most} bytes")
+        if large is None:
             back = spark.read.schema(f"{_ddl(df)}, shard long").json(f"{base}/{name}")
             if not damaged_shards(back, manifest, keys, df.columns).isEmpty():
                 raise OSError(f"{base} does not hold what was written")
@@ -180,7 +182,7 @@ def halved(manifest: DataFrame, limit: int, size: str = "bytes") -> DataFrame:
     return manifest.withColumn("pieces", F.pow(F.lit(2), F.greatest(F.ceil(F.log2(F.col(size) / F.lit(limit))), F.lit(0))).cast("long"))
 
 
-def latest_rows(log: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
-    """The latest row of each key: what an append-only table means."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(at))
+def latest_rows(log: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str] | None = None) -> DataFrame:
+    """The latest row of each key: what an append-only table means. Rows of one time are told apart by `ties` (all other columns, if not given), the greatest first."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(at), *[F.desc(c) for c in (ties if ties is not None else sorted(set(log.columns) - {*keys, at}))])
     return log.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
