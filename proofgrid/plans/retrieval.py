@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.operators import neighbours, retrieval
+from proofgrid.operators import lexical_index, neighbours, retrieval
 from proofgrid.plans.registry import query
 from proofgrid.session import table
+from proofgrid.sinks.storage import shared_folder
 
 WORDS_SQL = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 #: The stated query sets and channels in SQL.
@@ -392,3 +395,16 @@ def probe_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = hits.select("qid", F.col("rank").alias("place"), F.concat(F.lit("file-"), F.expr("id div 10")).alias("file"), F.concat(F.lit("Cat"), F.col("label") % 3).alias("category"), F.concat(F.lit("prov"), F.col("id") % 4).alias("provider"))
     probes = vector_queries(spark, sf_dir).select("qid", F.when(F.col("qid") % 200 == 0, "FILE-1|file-2").alias("expect_file"), F.lit("cat1").alias("expect_category"), F.lit("prov2|PROV3").alias("expect_provider"))
     return retrieval.first_relevant(cards, probes)
+
+
+INDEX_SQL = BM25_SQL.format(q="asked AS (SELECT item_id AS qid, " + WORDS_SQL.format("text") + " AS w FROM benchmark), corpus AS (SELECT doc_id AS id, text FROM documents WHERE (doc_id // 3) % 7 <> 3),", words=WORDS_SQL.format("text"), grams="w")
+
+
+@query("indexed_search", f"WITH {INDEX_SQL} SELECT qid, id, round(score, 6) AS score, rank FROM bm_ranked WHERE rank <= 10")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items searched in a kept index: built with wrong texts in every fifth file, then updated with the right ones and purged of every seventh."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    docs = corpus(spark, sf_dir).withColumn("file", F.expr("id div 3"))
+    lexical_index.update(spark, folder, docs.withColumn("text", F.when(F.col("file") % 5 == 0, F.reverse("text")).otherwise(F.col("text"))))
+    lexical_index.update(spark, folder, docs.where("file % 5 = 0 AND file % 7 <> 3"), purge=docs.where("file % 7 = 3").select("file"))
+    return lexical_index.search(spark, folder, item_queries(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
