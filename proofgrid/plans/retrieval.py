@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.operators import lexical_index, neighbours, retrieval
+from proofgrid.operators import embedding, lexical_index, neighbours, retrieval
 from proofgrid.plans.registry import query
 from proofgrid.session import table
-from proofgrid.sinks.storage import shared_folder
+from proofgrid.sinks.storage import shared_folder, staged
 
 WORDS_SQL = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 #: The stated query sets and channels in SQL.
@@ -250,11 +250,11 @@ def originals_and_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
     return known, mixed.select("id", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))).alias("vector"))
 
 
-@query("near_copies", f"WITH {COPIES_SQL}, every AS (SELECT * FROM originals UNION ALL SELECT * FROM copies), p AS (SELECT x.id AS a, y.id AS b, list_dot_product(x.e, y.e) AS c FROM every x JOIN every y ON x.id < y.id) SELECT a, b, round(round(c, 6), 5) AS cosine FROM p WHERE round(c, 6) >= 0.9")
+@query("near_copies", f"WITH {COPIES_SQL}, every AS (SELECT * FROM originals UNION ALL SELECT * FROM copies), p AS (SELECT x.id AS a, y.id AS b, list_dot_product(x.e, y.e) AS c FROM every x JOIN every y ON x.id < y.id) SELECT a, b, round(c, 6) AS cosine FROM p WHERE round(c, 6) >= 0.9")
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates at the default threshold of 0.9 among all vectors and a near copy of each, met in hyperplane buckets."""
     known, copies = originals_and_copies(spark, sf_dir)
-    return neighbours.near_pairs(known.unionByName(copies), 0.9, recall=0.99).withColumn("cosine", F.round("cosine", 5))
+    return neighbours.near_pairs(known.unionByName(copies), 0.9, recall=0.99)
 
 
 @query("nearest_originals", f"WITH {COPIES_SQL}, r AS (SELECT x.id AS qid, y.id AS id, round(list_dot_product(x.e, y.e), 6) AS c FROM copies x, originals y) SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, id) AS rank FROM r) WHERE rank <= 1")
@@ -408,3 +408,21 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexical_index.update(spark, folder, docs.withColumn("text", F.when(F.col("file") % 5 == 0, F.reverse("text")).otherwise(F.col("text"))))
     lexical_index.update(spark, folder, docs.where("file % 5 = 0 AND file % 7 <> 3"), purge=docs.where("file % 7 = 3").select("file"))
     return lexical_index.search(spark, folder, item_queries(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
+VECTORS_SQL = """w AS (SELECT doc_id AS id, """ + WORDS_SQL.format("text") + """ AS w FROM documents), f AS (SELECT id, unnest(list_concat(w, list_transform(list_filter(w, lambda t: length(t) > 5), lambda t: concat('~', t[1:5])))) AS f FROM w),
+t AS (SELECT id, f, count(*) AS n, md5(f) AS h FROM f GROUP BY id, f), d AS (SELECT h[1:5] AS b, count(DISTINCT id) AS df FROM t GROUP BY 1),
+p AS (SELECT id, (1 + ln(n::DOUBLE)) * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)::DOUBLE) + 1) AS v, h FROM t JOIN d ON h[1:5] = b),
+s AS (SELECT id, h[7 + 2 * i:8 + 2 * i] AS dim, sum(CASE WHEN h[17 + i:17 + i] IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 0.5::DOUBLE * v ELSE -0.5::DOUBLE * v END) AS x FROM p, range(4) AS u(i) GROUP BY ALL),
+n AS (SELECT id, sqrt(sum(x * x)) AS norm FROM s GROUP BY id), c AS (SELECT q.id AS qid, o.id AS id, sum(q.x * o.x) AS c FROM s q JOIN s o USING (dim) WHERE q.id % 100 = 0 GROUP BY ALL),
+r AS (SELECT qid, c.id, round(c / (x.norm * y.norm), 6) AS cosine FROM c JOIN n x ON x.id = qid JOIN n y ON y.id = c.id)"""
+
+
+@query("text_neighbours", f"WITH {VECTORS_SQL} SELECT qid, id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM r) WHERE rank <= 5")
+def text_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents nearest to each document whose id is divisible by 100, by vectors made of their whole texts."""
+    docs = corpus(spark, sf_dir)
+    known = embedding.embed(docs, embedding.Weights.fit(docs)).select("id", "vector")
+    known = staged(known, "vectors")
+    near = retrieval.knn(known.where("id % 100 = 0").withColumnRenamed("id", "qid"), known, 5)
+    return near.select("qid", "id", "cosine", "rank")
