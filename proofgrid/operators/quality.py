@@ -5,15 +5,17 @@ Rules are columns of one scan: however many are asked for, a table is read once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from proofgrid.functions.columns import row_hash, strict_date
 from proofgrid.operators.order import hash_tree
-from proofgrid.sinks.storage import staged
+from proofgrid.session import ship_package
 
 
 def inner_fact_dim(facts: DataFrame, dimension: DataFrame, key: str, *keep: str) -> DataFrame:
@@ -245,47 +247,81 @@ def merged_payload(df: DataFrame, payload: str, schema: str, drop: Sequence[str]
     return parsed.select(*own, *[F.col(f"_p.{f}").alias(f) for f in extra])
 
 
-def _opened(value: Column) -> Column:
-    """The members of a JSON object or the numbered items of an array as a map; null for anything else."""
-    text = F.ltrim(value)
-    items = F.from_json(F.when(text.startswith("["), value), "array<string>")
-    named = F.map_from_entries(F.transform(items, lambda x, i: F.struct(i.cast("string").alias("name"), x.alias("v"))))
-    return F.coalesce(F.from_json(F.when(text.startswith("{"), value), "map<string,string>"), named)
+class Number(str):
+    """A JSON number as it is written."""
+
+
+class Members(list):
+    """The members of a JSON object, repeated names among them."""
+
+
+def json_walk(text: str) -> list[tuple[str, str, str | None]]:
+    """(path, type, value) of every node of a JSON text, the root under an empty path; none if the text is not JSON.
+
+    Types are those that are written: object, array, string, integer, number, boolean, null. A string is a string whatever stands in it. Numbers keep
+    their spelling; objects and arrays have no value. A text nested beyond what the parser can follow is one node of type too-deep.
+    """
+    try:
+        root = json.loads(text, object_pairs_hook=Members, parse_int=Number, parse_float=Number, parse_constant=Number)
+    except RecursionError:
+        return [("", "too-deep", None)]
+    except ValueError:
+        return []
+    out, todo = [], [("", root)]
+    while todo:
+        path, x = todo.pop()
+        if isinstance(x, list):
+            members = x if isinstance(x, Members) else enumerate(x)
+            out.append((path, "object" if isinstance(x, Members) else "array", None))
+            todo += [(f"{path}.{name}" if path else str(name), v) for name, v in members]
+        elif isinstance(x, Number):
+            out.append((path, "integer" if x.lstrip("-").isdigit() else "number", str(x)))
+        elif isinstance(x, str):
+            out.append((path, "string", x.encode("utf-8", "replace").decode()))
+        else:
+            out.append((path, "null", None) if x is None else (path, "boolean", str(x).lower()))
+    return out
 
 
 def json_nodes(df: DataFrame, key: str, json: str) -> DataFrame:
-    """key, path, kind (object, array or leaf), value of every node of JSON texts at any depth but the roots, with JVM functions only.
+    """key, path, type, value of every node of JSON texts at any depth, the root under an empty path; texts that are null or no JSON have none.
 
-    An array's items have their index from 0 as name; a text that is itself an object or array is opened like one. A level is opened a
-    round and written once, so no round opens the levels above it again; only whether any object or array is left reaches the driver.
+    Each text is parsed and walked once, in Arrow batches; an array's items have their index from 0 as name.
     """
-    level, levels = df.select(key, F.lit("").alias("path"), F.col(json).alias("value")), []
-    while True:
-        at = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
-        found = level.select(key, at.alias("at"), F.explode(_opened(F.col("value"))).alias("name", "v")).select(key, F.concat("at", "name").alias("path"), F.col("v").alias("value"))
-        open_ = _opened(F.col("value")).isNotNull()
-        kind = F.when(open_ & F.ltrim("value").startswith("{"), "object").when(open_, "array").otherwise("leaf")
-        levels.append(staged(found.select(key, "path", kind.alias("kind"), "value"), "json"))
-        level = levels[-1].where("kind <> 'leaf'")
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
+    ship_package(df.sparkSession)
+    schema = StructType([StructField(key, df.schema[key].dataType), StructField("path", StringType()), StructField("type", StringType()), StructField("value", StringType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows, found = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                nodes = json_walk(text)
+                rows += [row] * len(nodes)
+                found += nodes
+            columns = [pa.array([n[k] for n in found], pa.string()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], names=schema.names)
+
+    return df.where(F.col(json).isNotNull()).select(F.col(key), F.col(json).alias("_json")).mapInArrow(run, schema)
 
 
 def json_leaves(df: DataFrame, key: str, json: str) -> DataFrame:
     """key, path, type, value of every leaf of JSON texts at any depth; empty objects and arrays have none."""
-    kind = F.when(F.col("value").isNull(), "null").when(F.col("value").rlike("^-?[0-9]+$"), "integer").when(F.col("value").try_cast("double").isNotNull(), "number").when(F.col("value").isin("true", "false"), "boolean").otherwise("string")
-    return json_nodes(df, key, json).where("kind = 'leaf'").select(key, "path", kind.alias("type"), "value")
+    return json_nodes(df, key, json).where("type NOT IN ('object', 'array')")
 
 
 def json_assertions(df: DataFrame, key: str, json: str, ids: str, form: str) -> DataFrame:
-    """key, fullness, not_finite, bad_ids of every row: nodes with the root, numbers beyond a double, ids that are no text of the form.
+    """key, fullness, not_finite, bad_ids of every row: nodes with the root, numbers beyond a double, ids that are no string of the form.
 
-    An id is a leaf under a member whose name matches `ids`, or an item of a list under it.
+    An id is a leaf under a member whose name matches `ids`, or an item of a list under it; a number never is one, however it looks.
+    A text that is null or no JSON counts as a root alone.
     """
-    nodes = json_nodes(df, key, json)
-    leaf, value = F.col("kind") == "leaf", F.col("value")
-    number = leaf & value.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
-    is_id = leaf & F.col("path").rlike(rf"(^|\.)({ids})(\.[0-9]+)?$")
-    counts = nodes.groupBy(key).agg(F.count("*").alias("n"), F.count_if(leaf & value.isin("Infinity", "-Infinity", "NaN") | number & (F.abs(value.try_cast("double")) == float("inf"))).alias("not_finite"), F.count_if(is_id & ~value.rlike(f"^{form}$")).alias("bad_ids"))
-    zero = F.lit(0).cast("bigint")
-    return df.select(key).join(counts, key, "left").select(key, (F.coalesce("n", zero) + 1).alias("fullness"), F.coalesce("not_finite", zero).alias("not_finite"), F.coalesce("bad_ids", zero).alias("bad_ids"))
+    nodes, value = json_nodes(df, key, json), F.col("value")
+    number = F.col("type").isin("integer", "number")
+    is_id = ~F.col("type").isin("object", "array") & F.col("path").rlike(rf"(^|\.)({ids})(\.[0-9]+)?$")
+    double = value.try_cast("double")
+    bad_number = number & (double.isNull() | F.isnan(double) | (F.abs(double) == float("inf")))
+    counts = nodes.groupBy(key).agg(F.count("*").alias("n"), F.count_if(bad_number).alias("not_finite"), F.count_if(is_id & ~((F.col("type") == "string") & value.rlike(f"^{form}$"))).alias("bad_ids"))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    return df.select(key).join(counts, key, "left").select(key, F.coalesce("n", one).alias("fullness"), F.coalesce("not_finite", zero).alias("not_finite"), F.coalesce("bad_ids", zero).alias("bad_ids"))

@@ -401,6 +401,34 @@ def closure_with_paths(roots: DataFrame, links: DataFrame, rounds: int | None =
     return seen
 
 
+def closure_by_kind(roots: DataFrame, edges: DataFrame, moves: dict[tuple[str, str], str], start: str, accept: Sequence[str] | None = None, rounds: int | None = None) -> DataFrame:
+    """node, state, depth, path of every node that the roots (node) lead to along edges (src, dst, kind) in an order of kinds that a machine allows.
+
+    moves maps (state, kind) to the next state; an edge whose kind has no move from a node's state is not followed from there. A node may be
+    reached in several states: each is a row, with a shortest path (array of kind and node, from the root on, which has no kind), the least by
+    text among these. accept keeps rows of these states only. Each round joins the newest (node, state) pairs only, and goes on until none
+    comes up; if some still come up after a stated number of rounds, a ValueError says so.
+    """
+    cut = lambda df: staged(df, "reached")
+    machine = F.array(*[F.struct(F.lit(s).alias("state"), F.lit(k).alias("kind"), F.lit(t).alias("next")) for (s, k), t in moves.items()])
+    known = edges.select("src", "dst", "kind").distinct()
+    steps = cut(known.select("*", F.inline(F.filter(machine, lambda m: m["kind"] == F.col("kind"))).alias("state", "_kind", "next")).drop("_kind"))
+    step = lambda kind, node: F.array(F.struct(kind.cast("string").alias("kind"), node.alias("node")))
+    fresh = cut(roots.select("node").distinct().select("node", F.lit(start).alias("state"), F.lit(0).alias("depth"), step(F.lit(None), F.col("node")).alias("path")))
+    seen = fresh
+    for depth in count(1):
+        met = fresh.select(F.col("node").alias("src"), "state", "path").join(steps, ["src", "state"])
+        met = met.join(seen.select(F.col("node").alias("dst"), F.col("state").alias("next")), ["dst", "next"], "left_anti")
+        best = F.min(F.concat("path", step(F.col("kind"), F.col("dst"))))
+        fresh = cut(met.groupBy(F.col("dst").alias("node"), F.col("next").alias("state")).agg(best.alias("path")).select("node", "state", F.lit(depth).alias("depth"), "path"))
+        if fresh.isEmpty():
+            break
+        if rounds is not None and depth > rounds:
+            raise ValueError(f"nodes still come up after {rounds} rounds")
+        seen = cut(seen.unionByName(fresh))
+    return seen if accept is None else seen.where(F.col("state").isin(*accept))
+
+
 def evaluate(ranked: DataFrame, relevant: DataFrame, probes: DataFrame, ks: Sequence[int] = (3, 5)) -> DataFrame:
     """A row a category and one for all ('overall'): probes, recall_at_k, mrr over probes (qid, category).
 

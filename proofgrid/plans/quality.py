@@ -173,6 +173,23 @@ def json_leaf_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.groupBy("path", "type").agg(F.count("*").alias("n"), F.sum(F.col("value").try_cast("bigint")).alias("total"))
 
 
+TYPED_SQL = """d AS (SELECT event_id, concat('{"user": "', user_id, '", "n": ', event_id, ', "x": ', event_id, '.5, "like": "[1, 2]", "none": null, "own": ', props, ', "list": [', event_id % 2 = 0, ', "true", {"id": ', user_id, '}, []], "text": "a\\u0041"}') AS j FROM events),
+t AS (SELECT replace(replace(replace(fullkey, '$.', ''), '$', ''), '[', '.') AS path, type, CASE WHEN type IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE json_extract_string(atom, '$') END AS value FROM d, json_tree(j))"""
+
+
+@query(
+    "json_typed_nodes",
+    f"""WITH {TYPED_SQL} SELECT replace(path, ']', '') AS path, CASE type WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' ELSE lower(type) END AS type,
+    count(*) AS n, count(DISTINCT value) AS n_values, min(value) AS least FROM t GROUP BY ALL""",
+)
+def json_typed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a document an event by path and by the type that is written: numbers and lists within strings are strings."""
+    even = F.when(F.col("event_id") % 2 == 0, "true").otherwise("false")
+    text = F.format_string('{"user": "%d", "n": %d, "x": %d.5, "like": "[1, 2]", "none": null, "own": %s, "list": [%s, "true", {"id": %d}, []], "text": "a\\u0041"}', "user_id", "event_id", "event_id", "props", even, "user_id")
+    nodes = quality.json_nodes(table(spark, sf_dir, "events").select("event_id", text.alias("j")), "event_id", "j")
+    return nodes.groupBy("path", "type").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"), F.min("value").alias("least"))
+
+
 @query(
     "json_assertions",
     """WITH e AS (SELECT event_id, value FROM events) SELECT event_id, 5 AS fullness, CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS not_finite, CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS bad_ids FROM e""",

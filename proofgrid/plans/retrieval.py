@@ -204,6 +204,27 @@ def graph_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.reachable(suppliers.agg(F.concat(F.lit("n"), F.min("s_nationkey")).alias("node")), edges)
 
 
+@query(
+    "closure_by_kind",
+    """WITH RECURSIVE e AS (SELECT concat('n', s_nationkey) AS src, concat('s', s_suppkey) AS dst, 'export' AS kind FROM supplier UNION ALL SELECT DISTINCT concat('s', l_suppkey), concat('p', l_partkey), 'reexport' FROM lineitem
+      UNION ALL SELECT DISTINCT concat('p', l_partkey), concat('o', l_orderkey), 'import' FROM lineitem UNION ALL SELECT concat('c', o_custkey), concat('o', o_orderkey), 'export' FROM orders UNION ALL SELECT concat('o', o_orderkey), concat('c', o_custkey), 'reexport' FROM orders),
+    m AS (SELECT * FROM (VALUES ('local', 'export', 'local'), ('local', 'reexport', 'through'), ('through', 'import', 'bound')) AS v(state, kind, next)),
+    r AS (SELECT concat('n', min(s_nationkey)) AS node, 'local' AS state, 0 AS depth FROM supplier UNION SELECT e.dst, m.next, depth + 1 FROM r JOIN e ON e.src = r.node JOIN m ON m.state = r.state AND m.kind = e.kind WHERE depth < 12)
+    SELECT node, state, CAST(min(depth) AS INTEGER) AS depth, CAST(min(depth) + 1 AS INTEGER) AS steps FROM r GROUP BY node, state""",
+)
+def closure_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the least nation along exports, then one re-export, then one import: its suppliers, their parts, and orders of these, but not the orders' customers."""
+    suppliers, orders = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "orders")
+    edge = lambda df, src, dst, kind: df.select(F.concat(F.lit(src[0]), src[1]).alias("src"), F.concat(F.lit(dst[0]), dst[1]).alias("dst"), F.lit(kind).alias("kind"))
+    nation, supplier, part, order, customer = ("n", "s_nationkey"), ("s", "s_suppkey"), ("p", "l_partkey"), ("o", "o_orderkey"), ("c", "o_custkey")
+    items = table(spark, sf_dir, "lineitem")
+    edges = edge(suppliers, nation, supplier, "export").unionByName(edge(items, ("s", "l_suppkey"), part, "reexport")).unionByName(edge(items, part, ("o", "l_orderkey"), "import"))
+    edges = edges.unionByName(edge(orders, customer, order, "export")).unionByName(edge(orders, order, customer, "reexport"))
+    roots = suppliers.agg(F.concat(F.lit("n"), F.min("s_nationkey")).alias("node"))
+    found = retrieval.closure_by_kind(roots, edges, {("local", "export"): "local", ("local", "reexport"): "through", ("through", "import"): "bound"}, "local")
+    return found.select("node", "state", "depth", F.size("path").alias("steps"))
+
+
 @query("temporal_asof_filter", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 7 <> 0 AND CAST(o_orderdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-06-30'")
 def temporal_asof_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh order reads as undated and goes, as there is a bound."""

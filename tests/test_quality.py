@@ -89,3 +89,15 @@ def test_empty_tables(spark, n):
     df = spark.createDataFrame([(1, "a")][:n], "k int, v string")
     assert quality.duplicates(df, ["k"]).count() == 0 and quality.fingerprint(df, ["k", "v"], "t").count() == n
     assert quality.profile(df, "t", ["k"]).first().row_count == n
+
+
+def test_json_types_are_those_written(spark, rows):
+    """Strings that look like numbers, lists or constants are strings; an id that is a number is malformed."""
+    found = [(1, '{"a": "123", "c": "true", "d": "[1]", "e": "NaN", "n": 1e3, "m": -7, "z": null, "dup": 1, "dup": "2"}'), (2, '{"id": 7656, "ids": ["76", 5, "x6"], "f": "1e999", "g": 1e999, "h": NaN}'), (3, "7"), (4, "[" * 100_000), (5, "{"), (6, None), (7, "[]")]
+    df = spark.createDataFrame(found, "id int, j string").withColumn("path", F.lit("clash")).withColumn("type", F.lit("clash"))
+    leaves = rows(quality.json_leaves(df, "id", "j"))
+    want = [("a", "string", "123"), ("c", "string", "true"), ("d", "string", "[1]"), ("dup", "integer", "1"), ("dup", "string", "2"), ("e", "string", "NaN"), ("m", "integer", "-7"), ("n", "number", "1e3"), ("z", "null", None)]
+    assert sorted((r[1:] for r in leaves if r[0] == 1), key=str) == sorted(want, key=str)
+    assert [r[1:] for r in leaves if r[0] in (3, 4)] == [("", "integer", "7"), ("", "too-deep", None)]
+    assert rows(quality.json_assertions(df, "id", "j", "ids?", "[0-9]{2}")) == [(1, 10, 0, 0), (2, 9, 2, 3), (3, 1, 0, 0), (4, 1, 0, 0), (5, 1, 0, 0), (6, 1, 0, 0), (7, 1, 0, 0)]
+    assert quality.json_nodes(df.limit(0), "id", "j").count() == 0
