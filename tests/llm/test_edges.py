@@ -298,3 +298,95 @@ def test_frequent_keys_take_the_other_path_to_the_same_classes(spark, monkeypatc
     from tests_brute import all_pairs
 
     assert got == other == all_pairs(rows, 0.8)
+
+
+def gz(x):
+    return gzip.compress(x if isinstance(x, bytes) else x.encode(), mtime=0)
+
+
+def zstd(x):
+    import zstandard
+
+    return zstandard.ZstdCompressor().compress(x if isinstance(x, bytes) else x.encode())
+
+
+INDENTED = "\n".join("    " + line for line in base64.encodebytes(gz(SECRET + " ".join(map(str, range(300))))).decode().split("\n") if line)
+LAYERED = {
+    "after a header": b64(gz(b"header text, of some length: " + gz(SECRET))), "at an odd place of a stream in a stream": b64(zlib.compress(b"\x00\x01x" * 77 + bz2.compress(b"pad" * 999 + gz(b"\xff" * 5 + gz(SECRET) + b"tail")))),
+    "second member": b64(gz(gz("nothing here") + gz(SECRET))), "over two members": b64(gz(SECRET[:20]) + gz(SECRET[20:])), "members within": b64(gz(gz("a " + SECRET[:20]) + gz(SECRET[20:]))),
+    "second frame": b64(zstd(zstd("nothing") + zstd(SECRET))), "xz in zstd": b64(zstd(b"\x00lead" + lzma.compress(SECRET.encode()))), "literal breaks": base64.encodebytes(gz(SECRET + " ".join(map(str, range(300))))).decode().replace("\n", "\\n"),
+    "json": base64.encodebytes(zlib.compress((SECRET + " ".join(map(str, range(400)))).encode())).decode().replace("\n", "\\r\\n").replace("/", "\\/"), "indented": INDENTED, "braces": "".join(f"\\u{{{ord(c):x}}}" for c in SECRET),
+    "long": "".join(f"\\U{ord(c):08x}" for c in SECRET), "percent u": "".join(f"%u{ord(c):04x}" for c in SECRET), "far into a stream": b64(zlib.compress(bytes(range(256)) * 9000 + gz(SECRET))),
+}
+
+
+@pytest.mark.parametrize("name", LAYERED)
+def test_secrets_at_any_place_of_any_stream_are_found(name):
+    from proofgrid.llm.secrets import scan
+
+    text = f"é😀 before {LAYERED[name]} ; after"
+    base, every, _, beyond = scan(text)
+    start = text.index(LAYERED[name])
+    assert not beyond and any(kind == 0 and start <= a and b <= start + len(LAYERED[name]) for a, kind, b in set(every) - set(base))
+
+
+def test_every_offset_of_every_layer_against_plain_recursion():
+    """Random nestings of gzip, zlib and bzip2 at random places; what a plain version that tries every offset of every layer finds is found."""
+    from proofgrid.llm.secrets import scan
+
+    draw = random.Random(21)
+    packs = gz, lambda x: zlib.compress(x if isinstance(x, bytes) else x.encode()), lambda x: bz2.compress(x if isinstance(x, bytes) else x.encode())
+
+    def holds(raw, depth=0):
+        if re.search(rb"token=[a-z0-9]{12}", raw):
+            return True
+        for i in range(len(raw)):
+            for open_ in (lambda x: zlib.decompressobj(47).decompress(x), lambda x: bz2.BZ2Decompressor().decompress(x)):
+                try:
+                    inner = open_(raw[i:])
+                except Exception:
+                    continue
+                if inner and inner != raw and depth < 6 and holds(inner, depth + 1):
+                    return True
+        return False
+
+    for k in range(30):
+        data = b"say token=abcdefghijkl now" if k % 3 else b"say nothing at all, ever"
+        for _ in range(draw.randint(1, 4)):
+            data = bytes(draw.choices(range(256), k=draw.randint(0, 40))) + draw.choice(packs)(data) + bytes(draw.choices(range(256), k=draw.randint(0, 9)))
+        _, every, _, beyond = scan("x " + b64(data) + " y")
+        assert not beyond and bool(every) == holds(data) == bool(k % 3)
+
+
+def test_marks_without_data_cost_little():
+    """Ten million characters of base64 that decode to marks of compressed data only, and to members one after another."""
+    import time
+
+    from proofgrid.llm.secrets import scan
+
+    for data in (b"\x78\x9c" * 3_750_000, b"\x1f\x8b\x08" * 2_500_000, gz("a") * 300_000):
+        start = time.process_time()
+        _, _, _, beyond = scan("x " + b64(data))
+        assert time.process_time() - start < 30 and (not beyond or data[:3] == data[3:6])
+
+
+def test_streams_deeper_than_the_bound_are_marked():
+    from proofgrid.llm import secrets
+
+    data = SECRET.encode()
+    for _ in range(secrets.DEPTH - 1):
+        data = bz2.compress(data)
+    assert secrets.scan(b64(data))[1] and not secrets.scan(b64(data))[3]
+    for _ in range(3):
+        data = bz2.compress(data)
+    assert secrets.scan(b64(data))[3]
+
+
+def test_streams_that_can_be_read_along_many_ways_are_read_once():
+    """Stored blocks show what they hold also from without, so each level can be entered twice: 2^30 ways if all were taken."""
+    from proofgrid.llm import secrets
+
+    data = SECRET.encode()
+    for _ in range(30):
+        data = zlib.compress(data, 0)
+    assert [k for _, k, _ in secrets.scan(b64(data))[1]] == [0] and not secrets.scan(b64(data))[3]
