@@ -10,6 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from proofgrid.session import ship_package
 from proofgrid.sinks.storage import shared_folder
@@ -129,7 +130,7 @@ def let_go(owner: str) -> None:
         pa.default_memory_pool().release_unused()
 
 
-def in_arrow(df: DataFrame, fn, schema: str, owner: str | None = None) -> DataFrame:
+def in_arrow(df: DataFrame, fn, schema: str | StructType, owner: str | None = None) -> DataFrame:
     """df.mapInArrow, with this package at hand on the executors; a task first frees what other operators keep there.
 
     owner names the module whose memos the function uses, if that is not its own.

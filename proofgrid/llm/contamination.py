@@ -191,11 +191,13 @@ def find_contamination(
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs whose `text` holds no window of an item, with all their columns; null texts stay, repeated rows are each judged.
+    """The rows of docs whose `text` holds no window of an item, with all their columns, however named; null texts stay, repeated rows are each judged.
+
+    Texts of any length are scanned whole; an empty table gives no rows.
 
     Narrow: a row is judged where it stands. More than one block of items means a written table after each.
     """
-    sc, schema = docs.sparkSession.sparkContext, docs.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    sc, schema = docs.sparkSession.sparkContext, docs.schema
     for n, block in blocks_of(benchmark, item_col, item_text_col, block_bytes):
         docs = in_arrow(docs, scan_in_tasks(sc.broadcast(block), uuid.uuid4().hex, window, "clean"), schema)
         docs = docs if n == 1 else materialize(docs, "clean")

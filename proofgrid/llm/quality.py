@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from proofgrid.llm.common import in_arrow, likely_members, materialize
 
@@ -52,15 +53,15 @@ def measure_in_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.ListArray.from_arrays(ends, pa.array(found))], names=[*names, "statistics"])
 
 
-def columns_of(df: DataFrame, but: str) -> str:
-    """The columns of df but one, as a schema."""
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != but)
+def columns_of(df: DataFrame, but: str, *more: StructField) -> StructType:
+    """The columns of df but one, and more, as a schema."""
+    return StructType([*[f for f in df.schema if f.name != but], *more])
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, the columns to keep and the array of statistics of every row; a null text is empty."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return in_arrow(narrow, measure_in_tasks, f"{columns_of(narrow, 'text')}, statistics array<double>")
+    return in_arrow(narrow, measure_in_tasks, columns_of(narrow, "text", StructField("statistics", ArrayType(DoubleType()))))
 
 
 @dataclass
@@ -203,7 +204,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     measured = materialize(measure(docs, id_col, text_col, keep), "statistics")
     model = learnt(measured.select("doc_id", "statistics"), labels, id_col, label_col)
-    scored = in_arrow(measured, score_in_tasks(model), f"{columns_of(measured, 'statistics')}, score double")
+    scored = in_arrow(measured, score_in_tasks(model), columns_of(measured, "statistics", StructField("score", DoubleType())))
     held_out = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *keep)
 
@@ -219,7 +220,7 @@ def select_in_tasks(model: Model, text_col: str, least: float) -> Callable:
 
 
 def good_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
-    """The rows of docs that classify() predicts as 1, with all their columns; each row is judged where it stands, with or without an id.
+    """The rows of docs that classify() predicts as 1, with all their columns, however named; each row is judged where it stands, with or without an id.
 
     The statistics of labelled documents are found in one scan, all texts are scored in another: counting twice costs less than a
     shuffle of whole texts to their scores. Nulls, repeats and empty tables are as in classify.

@@ -25,6 +25,8 @@ BITS = 5
 FILE_BYTES, MOST_FILES = 32 << 20, 100_000
 #: The total order of rows: the curve, the id, and what tells apart rows that agree in both.
 KEY = ("_curve", "_id", "_r1", "_r2")
+#: Names that sharding uses beside them; columns of docs that have one come back under it.
+OWN = (*KEY, "_file", "_at", "_size")
 
 
 def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
@@ -155,10 +157,13 @@ def shard_documents(
     rows of one curve index and id are told apart by row_key, two numbers that together name a row of docs and never change, such as a
     hash of its file's path and its place there. Without row_key, docs is written once to number its rows. Null dimensions are on
     the lowest level and a null doc_id comes first; a null text has no bytes; an empty table gives no rows. Files of a shard are cut
-    every file_bytes of text (one long text may exceed it). Columns of docs named shard or slot come back as given_shard and given_slot.
+    every file_bytes of text (one long text may exceed it). Columns of docs named shard or slot come back as given_shard and given_slot, all others under their names.
     One narrow sort of keys and sizes, then one shuffle of whole rows straight to their files.
     """
     spark = docs.sparkSession
+    clashing = {c: f"given {c}" for c in docs.columns if c.lower() in OWN}
+    docs, dimensions = docs.withColumnsRenamed(clashing), tuple(clashing.get(d, d) for d in dimensions)
+    id_col, text_col, clashing = clashing.get(id_col, id_col), clashing.get(text_col, text_col), {v: c for c, v in clashing.items()}
     if row_key is None:
         docs = materialize(docs.withColumn("_r2", F.monotonically_increasing_id()), "numbered")
         row_key = (F.lit(0).cast("bigint"), F.col("_r2"))
@@ -168,9 +173,9 @@ def shard_documents(
     keyed = with_curve(docs, [f"given_{d}" if d in ("shard", "slot") else d for d in dimensions if f"given_{d}" in docs.columns or d in docs.columns], bits)
     keyed = keyed.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
     cuts = file_cuts(keyed.select(*KEY, (F.coalesce(F.octet_length(text_col), F.lit(0)) + 64).cast("bigint").alias("_size")), n_shards, file_bytes)
-    plain = [c for c in docs.columns if c not in KEY]
+    plain = [f"`{c}`" for c in docs.columns if c not in KEY]
     if not cuts:
-        return docs.select(*plain).limit(0).withColumn("slot", F.lit(0).cast("long")).withColumn("shard", F.lit(0))
+        return docs.select(*plain).withColumnsRenamed(clashing).limit(0).withColumn("slot", F.lit(0).cast("long")).withColumn("shard", F.lit(0))
     firsts: dict[int, int] = {}
     for rank, shard, *_ in cuts:
         firsts.setdefault(shard, rank)
@@ -178,7 +183,7 @@ def shard_documents(
     shared = spark.sparkContext.broadcast((columns, np.array([c[1] for c in cuts], np.int32), np.array([c[0] - firsts[c[1]] for c in cuts], np.int64)))
     filed = keyed.withColumn("_file", file_of(shared)(*KEY)).repartitionById(len(cuts), "_file").sortWithinPartitions(*KEY)
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = filed.withColumn("_at", place_of(shared)("_file", position)).select(*plain, F.col("_at.slot").alias("slot"), F.col("_at.shard").alias("shard"))
+    placed = filed.withColumn("_at", place_of(shared)("_file", position)).select(*plain, F.col("_at.slot").alias("slot"), F.col("_at.shard").alias("shard")).withColumnsRenamed(clashing)
     placed.write.partitionBy("shard").parquet(folder)
     return spark.read.schema(T.StructType([*placed.drop("shard").schema.fields, T.StructField("shard", T.IntegerType())])).parquet(folder)
 

@@ -119,22 +119,31 @@ def with_statistics(judged: DataFrame, statistics: DataFrame) -> DataFrame:
     return judged
 
 
+def sampled(labelled: DataFrame, most: int) -> DataFrame:
+    """The features, label and weight of about `most` distinct labelled URLs, those of the least 64-bit hashes; the weight is how many rows have the URL.
+
+    The share is one of distinct URLs, so a URL in a third of all rows is one row here, and it is compared as a double, so it never comes to nothing.
+    """
+    distinct = labelled.agg(F.approx_count_distinct("url", 0.02)).first()[0]
+    place = F.xxhash64("url", F.lit(5)).cast("double") / 2.0**64 + 0.5
+    few = labelled.where(place < most / max(distinct, 1))
+    return few.groupBy("url", "label").agg(F.count("*").cast("double").alias("weight"), *[F.max(f).alias(f) for f in FEATURES]).drop("url")
+
+
 def fit(labelled: DataFrame, kinds: dict[int, int], most: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 7):
-    """Fits boosted trees to rows with features and a label of 0 or 1; kinds: how many rows have each label.
+    """Fits boosted trees to rows with url, features and a label of 0 or 1; kinds: how many rows have each label.
 
-    Learns from a bounded sample of about `most` rows, by hash of the URL, written once; every tree level reads only that. Returns
+    Learns from a bounded sample of about `most` distinct URLs with their weights, written once; every tree level reads only that. Returns
     None if the labels have fewer than two kinds.
     """
     if not all(kinds.get(k) for k in (0, 1)):
         return None
-    share = min(1.0, most / sum(kinds.values()))
-    sample = labelled if share == 1.0 else labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = materialize(sample.select(*FEATURES, F.col("label").cast("double").alias("label")), "url-sample")
+    sample = materialize(sampled(labelled, most).select(*FEATURES, F.col("label").cast("double").alias("label"), "weight"), "url-sample")
     if sample.select("label").distinct().count() < 2:
         return None
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
-    rows = assembler.transform(sample).select("features", "label").coalesce(4)  # of about `most` rows
-    trained = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32, stepSize=0.2, cacheNodeIds=False).fit(rows)
+    rows = assembler.transform(sample).select("features", "label", "weight").coalesce(4)  # of about `most` rows
+    trained = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32, stepSize=0.2, cacheNodeIds=False, weightCol="weight").fit(rows)
     return PipelineModel([assembler, trained])
 
 
@@ -144,8 +153,8 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     Null URLs and URLs without :// have an empty host and path, fit no rule, and are judged by the trees like others; URLs of any length
     are read whole. Of rules that fit the longest wins; repeated rows get the same verdict; an empty table gives no rows. The trees learn
     from label_col (1: block, 0: allow, null: unknown) or, without it, from the rules' verdicts; if these are of one kind only
-    (or none), the rest get that kind (or allow). Only the id, URL and label columns are read, so other names do not matter. Three scans: slot
-    counts, a sample of at most about `most` labelled rows, and scores, a map with two joins to tables of bounded size.
+    (or none), the rest get that kind (or allow). Only the id, URL and label columns are read, so other names do not matter. Four scans: slot
+    counts, the number of labelled URLs, a sample of about `most` of these, and scores, a map with two joins to tables of bounded size.
     """
     given = F.lit(None).cast("int") if label_col is None else F.col(label_col).cast("int")
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), given.alias("given"))
