@@ -22,56 +22,59 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with _row, a number that no two rows share; written, so that every scan sees the same ones. Rows that have it keep it."""
-    return docs if "_row" in docs.columns else materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column of a name that it lacks, a number that no two rows share; written, so that every scan sees the same ones."""
+    name, known = "_row", {c.lower() for c in docs.columns}
+    while name in known:
+        name += "_"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier takes for good ones; learns from the labels of the documents given.
 
-    Every row is judged by its own text where it stands: null and empty texts are scored like others, rows without a doc_id or with a
+    Every row is judged by its own text where it stands, with all its columns, however named: null and empty texts are scored like others, rows without a doc_id or with a
     repeated one too, texts of any length are measured whole; an empty table gives no rows.
     """
-    return quality.good_rows(docs, _table(spark, sf_dir, "labels")).select(*docs.columns)
+    return quality.good_rows(docs, _table(spark, sf_dir, "labels")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each class of near copies, one of the least doc_id; a row without doc_id only if the class has no other.
 
-    Rows are numbered, so rows that repeat a doc_id are judged one by one; null texts and texts without words are one class; an
+    Rows are numbered, so rows that repeat a doc_id are judged one by one; texts of any length are compared whole; columns stay, however named; null texts and texts without words are one class; an
     empty table gives no rows.
     """
-    rows = numbered(docs)
-    classes = neardup.near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "class_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    kept = rows.select("_row", "doc_id").join(classes, "_row").groupBy("class_id").agg(first.alias("first")).select("first._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows, row = numbered(docs)
+    classes = neardup.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias(row), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))
+    kept = rows.select(row, "doc_id").join(classes, row).groupBy("class_id").agg(first.alias("first")).select(f"first.{row}")
+    return rows.join(kept, row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item.
 
-    Every row is judged by its own text where it stands: null and empty texts stay, rows without a doc_id or with a repeated one are
+    Every row is judged by its own whole text where it stands, with all its columns, however named: null and empty texts stay, rows without a doc_id or with a repeated one are
     judged like others; an empty table gives no rows.
     """
-    return contamination.without_contamination(docs, _table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return contamination.without_contamination(docs, _table(spark, sf_dir, "benchmark")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret, plain or wrapped, by a mark, with n_chars of the new text; every document stays.
 
     Held back are only rows that wrap more than can be unwrapped (see secrets.find_secrets: too_large). Null texts stay null with a null
-    n_chars; rows without a doc_id or with a repeated one are rewritten like others; an empty table gives no rows.
+    n_chars, texts of any length are rewritten whole, columns stay, however named; rows without a doc_id or with a repeated one are rewritten like others; an empty table gives no rows.
     """
     scanned = secrets.rewrite(docs, MARK)
-    return scanned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return scanned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes every text: doc_id, source, n_tokens, ids.
 
-    Null and empty texts have no ids; rows without a doc_id or with a repeated one are encoded like others; an empty table gives no rows.
+    Only doc_id, source and text are read, texts of any length whole. Null and empty texts have no ids; rows without a doc_id or with a repeated one are encoded like others; an empty table gives no rows.
     """
     import public_tokenizers
 
