@@ -4,6 +4,7 @@
     folder/postings/gen=<g>/slot=<s> a block a term and range: ids, counts and lengths of its documents, the most occurrences, the least length
     folder/terms/gen=<g>/slot=<s>    by how much the generation changes the number of documents of a term
     folder/dead/gen=<g>/             documents of earlier generations that the generation takes out
+    folder/touched/gen=<g>/          files that the generation replaces or takes out, and any further tables by file that a caller keeps beside them
     folder/commits/<number>.json     the generations in force, and the numbers of documents and words
 
 An update writes a generation and then a commit, a file that must not be there yet, so of two writers one is told that it is stale and a
@@ -18,6 +19,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,12 +66,26 @@ def live_docs(spark: SparkSession, folder: str, said: dict | None = None) -> Dat
     return parts(spark, folder, said, "docs", DOCS).join(dead(spark, folder, said).withColumnRenamed("in_gen", "gen"), ["gen", "id"], "left_anti")
 
 
-def write_generation(spark: SparkSession, folder: str, counted: DataFrame, gone: DataFrame | None) -> tuple[str, dict]:
-    """Writes a generation of counted documents (id, file, n_words, terms, tfs) and of what it takes out; its name and its numbers."""
+def live(spark: SparkSession, folder: str, name: str, said: dict | None = None) -> DataFrame:
+    """The rows of a further table that was given to updates: of each file those of the last generation that touched it."""
+    said = state(spark, folder) if said is None else said
+    schema = said.get("tables", {}).get(name)
+    if schema is None:
+        raise ValueError(f"{folder} keeps no table {name}")
+    order = F.array_position(F.array(*[F.lit(g) for g in said["generations"]]), F.col("gen"))
+    last = parts(spark, folder, said, "touched", "file string").groupBy("file").agg(F.max_by("gen", order).alias("gen"))
+    return parts(spark, folder, said, name, schema).join(last, ["file", "gen"], "left_semi").drop("gen")
+
+
+def write_generation(spark: SparkSession, folder: str, counted: DataFrame, gone: DataFrame | None, touched: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[str, dict]:
+    """Writes a generation of counted documents (id, file, n_words, terms, tfs), of what it takes out and of further tables; its name and its numbers."""
     gen = uuid.uuid4().hex
     at = lambda name: f"{folder}/{name}/gen={gen}"
     cut = positions(counted, ["file", "id"], "_at").withColumn("range", F.floor(F.col("_at") / WIDTH).cast("long")).select(*[c.split()[0] for c in DOCS.split(", ")])
     cut.write.parquet(at("docs"))
+    touched.select("file").distinct().write.parquet(at("touched"))
+    for name, df in tables.items():
+        df.write.parquet(at(name))
     docs = spark.read.schema(DOCS).parquet(at("docs"))
     each = docs.select("id", "n_words", "range", F.inline(F.arrays_zip("terms", "tfs"))).toDF("id", "n_words", "range", "term", "tf")
     block = each.groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "n_words"))).alias("p"))  # WIDTH documents at most
@@ -88,21 +104,25 @@ def write_generation(spark: SparkSession, folder: str, counted: DataFrame, gone:
     return gen, {"n_docs": n - less, "n_words": words - fewer}
 
 
-def commit(spark: SparkSession, folder: str, said: dict, generations: list[str], n_docs: int, n_words: int, batch: int | None) -> int:
+def commit(spark: SparkSession, folder: str, said: dict, generations: list[str], n_docs: int, n_words: int, batch: int | None, tables: Mapping[str, DataFrame]) -> int:
     number = said["number"] + 1
+    schemas = said.get("tables", {}) | {name: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) for name, df in tables.items()}
     batches = said.get("batch") if batch is None else batch
-    text = json.dumps({"number": number, "generations": generations, "n_docs": n_docs, "n_words": n_words, "batch": batches, "at": time.time()})
+    text = json.dumps({"number": number, "generations": generations, "n_docs": n_docs, "n_words": n_words, "batch": batches, "tables": schemas, "at": time.time()})
     if not put_new(spark, f"{folder}/commits/{number:012d}.json", text):
         raise StaleWrite(f"{folder} has moved on from commit {said['number']}")
     return number
 
 
-def update(spark: SparkSession, folder: str, docs: DataFrame, purge: DataFrame | None = None, batch: int | None = None) -> int:
+def update(spark: SparkSession, folder: str, docs: DataFrame, purge: DataFrame | None = None, batch: int | None = None, tables: Mapping[str, DataFrame] | None = None) -> int:
     """Puts documents (id, file, text) in: all that the index holds of their files goes, as does all of the files (file) to purge. The commit's number.
 
-    Null texts have no terms but count as documents. batch is kept with the commit, for writers that must not apply a batch twice.
+    Null texts have no terms but count as documents. batch is kept with the commit, for writers that must not apply a batch twice. tables are
+    further tables by name, each with a column file (string), replaced by file like the documents; the same ones with each update.
     """
-    said = state(spark, folder)
+    said, tables = state(spark, folder), tables or {}
+    files = docs.select(F.col("file").cast("string").alias("file"))
+    files = staged((files if purge is None else files.unionByName(purge.select(F.col("file").cast("string").alias("file")))).distinct(), "files")
     words = tokens(F.col("text"))
     named = docs.select("id", F.col("file").cast("string").alias("file"), words.alias("w")).select("id", "file", F.size("w").alias("n_words"), "w")
     flat = named.select("id", "file", "n_words", F.explode_outer("w").alias("term")).groupBy("id", "file", "n_words", "term").agg(F.count("*").cast("int").alias("tf"))
@@ -110,18 +130,20 @@ def update(spark: SparkSession, folder: str, docs: DataFrame, purge: DataFrame |
     counted = staged(counted.select("id", "file", "n_words", F.col("p.term").alias("terms"), F.col("p.tf").alias("tfs")), "counted")
     gone = None
     if said["generations"]:
-        files = docs.select(F.col("file").cast("string").alias("file"))
-        files = files if purge is None else files.unionByName(purge.select(F.col("file").cast("string").alias("file")))
-        gone = staged(live_docs(spark, folder, said).join(files.distinct(), "file", "left_semi"), "gone")
-    gen, change = write_generation(spark, folder, counted, gone)
-    return commit(spark, folder, said, [*said["generations"], gen], said["n_docs"] + change["n_docs"], said["n_words"] + change["n_words"], batch)
+        gone = staged(live_docs(spark, folder, said).join(files, "file", "left_semi"), "gone")
+    gen, change = write_generation(spark, folder, counted, gone, files, tables)
+    return commit(spark, folder, said, [*said["generations"], gen], said["n_docs"] + change["n_docs"], said["n_words"] + change["n_words"], batch, tables)
 
 
 def compact(spark: SparkSession, folder: str) -> int:
     """All live documents as one generation, from what the index holds; results do not change."""
     said = state(spark, folder)
-    gen, made = write_generation(spark, folder, live_docs(spark, folder, said).drop("gen", "range"), None)
-    return commit(spark, folder, said, [gen], made["n_docs"], made["n_words"], None)
+    docs, tables = live_docs(spark, folder, said).drop("gen", "range"), {name: live(spark, folder, name, said) for name in said.get("tables", {})}
+    files = docs.select("file")
+    for df in tables.values():
+        files = files.unionByName(df.select("file"))
+    gen, made = write_generation(spark, folder, docs, None, files, tables)
+    return commit(spark, folder, said, [gen], made["n_docs"], made["n_words"], None, tables)
 
 
 def sweep(spark: SparkSession, folder: str, keep: int = 2, grace: float = 86_400) -> list[str]:
@@ -129,7 +151,7 @@ def sweep(spark: SparkSession, folder: str, keep: int = 2, grace: float = 86_400
     last = head(spark, folder)
     named = {g for n in range(max(1, last - keep + 1), last + 1) for g in state(spark, folder, n)["generations"]}
     gone = []
-    for name in ("docs", "postings", "terms", "dead"):
+    for name in ("docs", "postings", "terms", "dead", "touched", *state(spark, folder).get("tables", {})):
         for gen, at in names(spark, f"{folder}/{name}"):
             if gen.removeprefix("gen=") not in named and time.time() - max([at, *[t for _, t in names(spark, f"{folder}/{name}/{gen}")]]) >= grace:
                 remove(spark, f"{folder}/{name}/{gen}")
