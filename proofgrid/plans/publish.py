@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from proofgrid.operators import quality
 from proofgrid.plans.registry import query
 from proofgrid.session import table
-from proofgrid.sinks import dataset, publish
+from proofgrid.sinks import dataset, difference, publish
 from proofgrid.sinks.storage import shared_folder
 from proofgrid.streaming import logs
 
@@ -155,3 +155,20 @@ def lost_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What would stop a publication of all orders with the customers of one segment only."""
     customers = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
     return dataset.orphans({"orders": table(spark, sf_dir, "orders"), "customer": customers}, [dataset.Reference("orders", ("o_custkey",), "customer", ("c_custkey",))])
+
+
+@query(
+    "rebuild_differences",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 1 THEN 'missing' WHEN o_orderkey % 1000 = 2 THEN 'different' ELSE 'unexpected' END AS state FROM (
+      SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 IN (1, 2) UNION ALL SELECT -o_orderkey FROM orders WHERE o_orderkey % 1000 = 3)""",
+)
+def rebuild_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kept table held to one built again that lacks some orders, has others twice under a new key, and some with another customer."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    kind = F.col("o_orderkey") % 1000
+    other = orders.where(kind != 1).withColumn("o_custkey", F.when(kind == 2, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    other = other.unionByName(orders.where(kind == 3).withColumn("o_orderkey", -F.col("o_orderkey")))
+    folder = f"{shared_folder(spark)}/trees-{uuid.uuid4().hex}"
+    difference.keep_tree(orders, ["o_orderkey"], f"{folder}/kept", depth=3)
+    difference.keep_tree(other, ["o_orderkey"], f"{folder}/again", depth=3)
+    return difference.differing_rows(spark, f"{folder}/kept", f"{folder}/again")
