@@ -55,7 +55,7 @@ def test_of_two_writers_one_is_told_that_it_is_stale(spark, folder):
     assert D.publish_tables(spark, child(spark, 40), folder, parent=seen) == 2
     with pytest.raises(D.StaleWrite):
         D.publish_tables(spark, child(spark, 50), folder, parent=seen)
-    assert D.read_child(spark, folder)["child"].count() == 40
+    assert D.read_tables(spark, folder)["child"].count() == 40
     assert D.publish_tables(spark, child(spark, 50), folder, parent=2) == 3
 
 
@@ -67,7 +67,7 @@ def test_writers_that_meet_at_the_last_step(spark, folder, monkeypatch):
     with pytest.raises(D.StaleWrite):
         D.publish_tables(spark, child(spark, 50), folder)
     monkeypatch.undo()
-    assert D.head(spark, folder) == 2 and D.read_child(spark, folder)["child"].count() == 40
+    assert D.head(spark, folder) == 2 and D.read_tables(spark, folder)["child"].count() == 40
 
 
 def test_a_writer_that_dies_between_the_phases_changes_nothing_and_is_swept(spark, folder, monkeypatch):
@@ -80,10 +80,10 @@ def test_a_writer_that_dies_between_the_phases_changes_nothing_and_is_swept(spar
         m.setattr(D, "put_new", dies)
         with pytest.raises(KeyboardInterrupt):
             D.publish_tables(spark, child(spark, 60), folder)
-    assert D.head(spark, folder) == 1 and D.read_child(spark, folder)["child"].count() == 25
+    assert D.head(spark, folder) == 1 and D.read_tables(spark, folder)["child"].count() == 25
     assert len(names(spark, f"{folder}/data")) == 2 and D.sweep(spark, folder) == []  # too young
-    assert len(D.sweep(spark, folder, grace=0)) == 1 and D.read_child(spark, folder)["child"].count() == 25
-    assert D.publish_tables(spark, child(spark, 60), folder) == 2 and D.read_child(spark, folder)["child"].count() == 60
+    assert len(D.sweep(spark, folder, grace=0)) == 1 and D.read_tables(spark, folder)["child"].count() == 25
+    assert D.publish_tables(spark, child(spark, 60), folder) == 2 and D.read_tables(spark, folder)["child"].count() == 60
 
 
 def test_a_half_written_version_is_written_again(spark, folder, monkeypatch):
@@ -91,14 +91,14 @@ def test_a_half_written_version_is_written_again(spark, folder, monkeypatch):
         m.setattr(D.publish, "damaged_shards", lambda *_: spark.range(1))
         with pytest.raises(OSError):
             D.publish_tables(spark, child(spark), folder)
-    assert D.publish_tables(spark, child(spark), folder) == 1 and D.read_child(spark, folder)["child"].count() == 25
+    assert D.publish_tables(spark, child(spark), folder) == 1 and D.read_tables(spark, folder)["child"].count() == 25
 
 
 def test_sweep_keeps_the_last_commits(spark, folder):
     for n in (10, 20, 30):
         D.publish_tables(spark, child(spark, n), folder)
     gone = D.sweep(spark, folder, keep=2, grace=0)
-    assert gone == [D.commit_of(spark, folder, 1)["root"]] and [D.read_child(spark, folder, k)["child"].count() for k in (2, 3)] == [20, 30]
+    assert gone == [D.commit_of(spark, folder, 1)["root"]] and [D.read_tables(spark, folder, k)["child"].count() for k in (2, 3)] == [20, 30]
 
 
 def test_damage_is_found_on_read_and_rows_too_large_are_refused(spark, folder):
@@ -106,13 +106,13 @@ def test_damage_is_found_on_read_and_rows_too_large_are_refused(spark, folder):
     version = D.commit_of(spark, folder, 1)["root"]
     spark.range(10, 12).select("id", F.lit(1).alias("p")).write.mode("overwrite").option("compression", "gzip").json(f"{folder}/data/{version}/child/shard=1")
     with pytest.raises(ValueError, match="damaged shards of child"):
-        D.read_child(spark, folder)
-    assert D.read_child(spark, folder, verify=False)["child"].count() == 17
+        D.read_tables(spark, folder)
+    assert D.read_tables(spark, folder, verify=False)["child"].count() == 17
     noise = spark.range(3).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(200)), lambda k: F.sha2((k + F.col("id")).cast("string"), 256)), "").alias("x"))
     with pytest.raises(ValueError, match="larger than"):
         D.publish_tables(spark, {"noise": (noise, ["id"])}, folder, most=3000)
     with pytest.raises(FileNotFoundError):
-        D.read_child(spark, f"{folder}-none")
+        D.read_tables(spark, f"{folder}-none")
 
 
 def test_a_new_file_is_written_once(spark, tmp_path):
