@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from proofgrid.operators import quality
 from proofgrid.plans.registry import query
+from proofgrid.plans.retrieval import COPIES_SQL, originals_and_copies
 from proofgrid.session import table
-from proofgrid.sinks import dataset, difference, publish
+from proofgrid.sinks import dataset, difference, gate, publish
 from proofgrid.sinks.storage import shared_folder
 from proofgrid.streaming import logs
 
@@ -172,3 +173,30 @@ def rebuild_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     difference.keep_tree(orders, ["o_orderkey"], f"{folder}/kept", depth=3)
     difference.keep_tree(other, ["o_orderkey"], f"{folder}/again", depth=3)
     return difference.differing_rows(spark, f"{folder}/kept", f"{folder}/again")
+
+
+@query(
+    "gated_append",
+    f"""WITH {COPIES_SQL}, near AS (SELECT o.id // 2 AS vec_id FROM originals o JOIN copies c ON c.id = o.id + 1 WHERE round(list_dot_product(o.e, c.e), 6) >= 0.9),
+    k AS (SELECT vec_id, vec_id % 6 AS k, vec_id IN (SELECT vec_id FROM near) AS twin FROM embeddings)
+    SELECT vec_id, CASE WHEN k IN (0, 3) THEN 'already-stored' WHEN k = 4 THEN 'layer-not-lower' WHEN k = 5 THEN 'no-citation' ELSE 'accepted' END AS verdict, CAST(1 AS BIGINT) AS cards FROM k WHERE NOT (k IN (1, 2) AND NOT twin)
+    UNION ALL SELECT vec_id, CASE WHEN k < 4 AND twin THEN 'near-copy' ELSE 'accepted' END, CASE WHEN k IN (1, 2) AND NOT twin THEN 2 ELSE 1 END FROM k""",
+)
+def gated_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards from the documents with the vectors and their near copies, through the gate twice: every third original first, then all at once.
+
+    Of the originals left, those with a remainder by six of 4 cite their own layer and those of 5 nothing; the others and their copies keep each other
+    out, whichever comes first. Accepted ones are read back from the committed store. No two originals of these data are near each other.
+    """
+    known, copies = originals_and_copies(spark, sf_dir)
+    both = known.unionByName(copies).withColumn("vec_id", F.expr("id DIV 2"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.translate("text", "`<>~[]:", "       ").alias("text"))
+    cited = F.when((F.col("id") % 2 == 1) | (F.col("vec_id") % 6 < 4), " [source: /low/a.md:1]").when(F.col("vec_id") % 6 == 4, " [source: /high/b.md]").otherwise("")
+    cards = both.join(docs, "vec_id", "left").select("id", "vec_id", F.concat(F.lit("q"), F.col("id").cast("string")).alias("question"), F.concat(F.coalesce("text", F.lit("")), cited).alias("answer"), "vector")
+    files = spark.createDataFrame([("low/a.md", "low", 1), ("high/b.md", "high", 1)], "target string, layer string, n_lines int")
+    folder, rules = f"{shared_folder(spark)}/gated-{uuid.uuid4().hex}", gate.Rules(("low", "high"), "high")
+    gate.append(spark, cards.where("id % 2 = 0 AND vec_id % 3 = 0"), folder, files, rules, "2024-05-01")
+    offered, refused, number = gate.append(spark, cards, folder, files, rules, "2024-05-02")
+    kept = gate.stored_cards(spark, folder, number).select("card", F.lit("accepted").alias("kept"))
+    judged = offered.select("card", "question").join(refused.select("card", "reason"), "card", "left").join(kept, "card", "left")
+    return judged.groupBy(F.expr("CAST(substring(question, 2) AS BIGINT) DIV 2").alias("vec_id"), F.coalesce("reason", "kept", F.lit("lost")).alias("verdict")).agg(F.count("*").alias("cards"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.operators import embedding, lexical_index, neighbours, retrieval
+from proofgrid.operators import embedding, lexical_index, neighbours, reranking, retrieval
 from proofgrid.plans.registry import query
 from proofgrid.session import table
 from proofgrid.sinks.storage import shared_folder, staged
@@ -151,6 +151,23 @@ def rerank_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINKS_SQL = "links AS (SELECT DISTINCT concat('s', l_suppkey) AS src, concat('p', l_partkey) AS dst FROM lineitem)"
 
 
+@query("learned_rerank")
+def learned_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the first twenty hits of held-out items (remainder 1 of the hash by three) stand before and after a ranker learned from the other items.
+
+    The labelled documents are searched, and those labelled as good are graded higher; a learned score has no SQL twin.
+    """
+    judged = table(spark, sf_dir, "labels").where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("grade"))
+    asked, docs = item_queries(spark, sf_dir), corpus(spark, sf_dir).join(judged.select("id"), "id", "left_semi")
+    hits = staged(retrieval.bm25(asked, docs, 20).select("qid", "id", "rank"), "hits")
+    grades = hits.select("qid", "id").join(judged, "id")
+    held = F.crc32(F.col("qid").cast("string").cast("binary")) % 3 == 1
+    ranker = reranking.fit(hits.where(~held), asked, docs, grades)
+    good, probes = grades.where("grade = 1").select("qid", F.col("id").alias("file")), asked.where(held).select("qid", F.lit("items").alias("category"))
+    found = lambda h, name: retrieval.evaluate(h.select("qid", F.col("id").alias("file"), F.col("rank").alias("place")), good, probes, (1, 3)).where("category = 'overall'").select(F.lit(name).alias("order"), "probes", "recall_at_1", "recall_at_3", "mrr")
+    return found(hits.where(held), "lexical").unionByName(found(retrieval.reranked(hits.where(held), asked, docs, ranker), "learned"))
+
+
 def links(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataFrame:
     """Supplier to part, once for each pair."""
     items = table(spark, sf_dir, "lineitem").where(condition)

@@ -44,5 +44,5 @@ def test_entry_runs(spark, duck):
 
 
 def test_queries_without_sql_have_rows(spark):
-    for name in ("path_resolve", "chunk_markdown", "html_to_markdown"):
+    for name in ("path_resolve", "chunk_markdown", "html_to_markdown", "learned_rerank"):
         assert entry.queries()[name](spark, DATA).count() > 0
