@@ -206,17 +206,35 @@ BLOCKS = {**{f"\n{'#' * k} ": f"h{k}" for k in range(1, 7)}, "\n- ": "li", "\n>
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "\u2014", "ndash": "\u2013", "hellip": "\u2026", "laquo": "\u00ab", "raquo": "\u00bb", "copy": "\u00a9"}
 
 
-def html_text(html: Column) -> Column:
+def character(entity: Column) -> Column:
+    """The character that &#38; or &#x26; names; what names none (controls, halves of pairs, beyond Unicode) stays as it is."""
+    digits = F.regexp_extract(entity, "(?i)^&#x?([0-9a-f]+);$", 1)
+    point = F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    real = point.isin(9, 10, 13) | point.between(32, 126) | point.between(160, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+    return let(point, lambda p: F.when(real, F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32")).otherwise(entity))
+
+
+def numbered_items(html: Column, item: str) -> Column:
+    """HTML whose list items stand as `1. ` where the innermost open list is ordered; other items stay. item: pattern of the tag."""
+    pieces = F.split(html, r"(?is)(?=</?[ou]l[\s>])", -1)
+    opened = lambda s, p: F.when(p.rlike(r"(?i)^<ol"), F.concat(s, F.lit("o"))).when(p.rlike(r"(?i)^<ul"), F.concat(s, F.lit("u"))).when(p.rlike(r"(?i)^</[ou]l"), F.left(s, F.length(s) - 1)).otherwise(s)
+    step = lambda at, p: let(opened(at["open"], p), lambda s: F.struct(s.alias("open"), F.array_append(at["lists"], F.right(s, F.lit(1))).alias("lists")))
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("lists"))
+    kinds = F.aggregate(pieces, start, step, lambda at: at["lists"])
+    return F.array_join(F.zip_with(pieces, kinds, lambda p, k: F.when(k == "o", F.regexp_replace(p, item, "\n1. ")).otherwise(p)), "")
+
+
+def html_text(html: Column, every_entity: bool = False) -> Column:
     """Readable text of HTML as Markdown: marks for emphasis, code, links, headings, items and quotes, tags stripped, entities decoded.
 
-    Tags may have attributes and any case; an ordered list's items are numbered 1. as Markdown counts them; code blocks keep their lines.
+    Tags may have attributes and any case; items whose innermost list is ordered are numbered 1. as Markdown counts them; code blocks keep their lines.
+    Numeric entities are decoded within ASCII if decimal; with every_entity, all that name a character are, hexadecimal ones too.
     """
     tag = lambda names: rf"(?is)<(?:{names})(?:\s[^>]*)?>"
     end = lambda names: rf"(?is)</(?:{names})\s*>"
     out = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "")
     out = F.regexp_replace(F.regexp_replace(out, tag("pre"), "\n```\n"), end("pre"), "\n```\n")
-    items = F.split(out, r"(?is)(?=<ol[\s>])|(?<=</ol>)", -1)
-    out = F.array_join(F.transform(items, lambda part: F.when(part.rlike(r"(?is)^<ol[\s>]"), F.regexp_replace(part, tag("li"), "\n1. ")).otherwise(part)), "")
+    out = F.when(out.rlike(r"(?i)<ol[\s>]"), numbered_items(out, tag("li"))).otherwise(out)
     out = F.regexp_replace(out, r"""(?is)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""", "[$2]($1)")
     for mark, names in INLINE.items():
         out = F.regexp_replace(F.regexp_replace(out, tag(names), mark), end(names), mark)
@@ -226,9 +244,9 @@ def html_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"(?s)<[^>]+>", "")
     for name, to in ENTITIES.items():
         out = F.replace(out, F.lit(f"&{name};"), F.lit(to))
-    character = lambda c: F.when(c.cast("int").between(32, 126), F.chr(c.cast("int"))).otherwise(F.concat(F.lit("&#"), c, F.lit(";")))
-    found = lambda t: F.concat(F.transform(F.regexp_extract_all(t, F.lit("&#([0-9]{1,6});"), 1), character), F.array(F.lit("")))
-    out = let(out, lambda t: F.array_join(F.zip_with(F.split(t, "&#[0-9]{1,6};", -1), found(t), lambda gap, c: F.concat(gap, c)), ""))
+    entity = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});" if every_entity else "&#0{0,4}(?:3[2-9]|[4-9][0-9]|1[01][0-9]|12[0-6]);"
+    found = lambda t: F.concat(F.transform(F.regexp_extract_all(t, F.lit(f"({entity})"), 1), character), F.array(F.lit("")))
+    out = let(out, lambda t: F.array_join(F.zip_with(F.split(t, entity, -1), found(t), lambda gap, c: F.concat(gap, c)), ""))
     out = F.replace(out, F.lit("&amp;"), F.lit("&"))
     return F.btrim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n\s*\n+", "\n"), F.lit(" \n"))
 

@@ -77,11 +77,11 @@ def request_plan(keys: DataFrame, endpoints: Sequence[tuple[str, str]]) -> DataF
     return each.select("name", "id", F.replace("template", F.lit("{id}"), F.url_encode("id")).alias("path"))
 
 
-def published(spark: SparkSession, folder: str, schema: str | None = None, verify: bool = True) -> DataFrame:
-    """The dataset that folder/current.json points to.
+def published(spark: SparkSession, folder: str, schema: str | None = None, verify: bool = True, shards: DataFrame | None = None) -> DataFrame:
+    """The dataset that folder/current.json points to, or its rows in some shards (a column shard), whose files only are read then.
 
-    With verify, the manifest must have the digest that the pointer pins and every shard the rows and the hash that the manifest
-    says, else a ValueError names what is damaged; that reads the data once more.
+    With verify, the manifest must have the digest that the pointer pins and every shard read the rows and the hash that the manifest
+    says, else a ValueError names what is damaged; that reads these data once more.
     """
     from proofgrid.sinks import publish
     from proofgrid.sinks.storage import get_text
@@ -90,26 +90,26 @@ def published(spark: SparkSession, folder: str, schema: str | None = None, verif
     if pointer.get("schemaVersion") != 1:
         raise ValueError(f"{folder}/current.json has an unknown schema")
     base = f"{folder}/{pointer['root']}"
-    data = spark.read.schema(schema or f"{pointer['schema']}, shard long").json(f"{base}/{pointer['dataset']}")
+    within = lambda df: df if shards is None else df.join(shards.select("shard").distinct(), "shard", "left_semi")
+    data = within(spark.read.schema(schema or f"{pointer['schema']}, shard long").json(f"{base}/{pointer['dataset']}"))
     if verify:
         manifest = spark.read.schema("dataset string, shard long, path string, count long, sha256 string").json(f"{base}/manifest")
         if publish.manifest_digest(manifest) != pointer["manifestSha256"]:
             raise ValueError(f"the manifest of {base} is not the one pointed to")
-        whole = spark.read.schema(f"{pointer['schema']}, shard long").json(f"{base}/{pointer['dataset']}")
-        bad = publish.damaged_shards(whole, manifest, pointer["keys"], pointer["columns"]).limit(5).collect()
+        whole = within(spark.read.schema(f"{pointer['schema']}, shard long").json(f"{base}/{pointer['dataset']}"))
+        bad = publish.damaged_shards(whole, within(manifest), pointer["keys"], pointer["columns"]).limit(5).collect()
         if bad:
             raise ValueError(f"damaged shards in {base}: {[tuple(r) for r in bad]}")
     return data
 
 
-def published_keys(spark: SparkSession, folder: str, index: DataFrame, field: str, key: str, schema: str | None = None) -> DataFrame:
-    """Rows of one key: the index names the shards, and only their files are read, however many they are.
+def published_keys(spark: SparkSession, folder: str, index: DataFrame, field: str, key: str, schema: str | None = None, verify: bool = True) -> DataFrame:
+    """Rows of one key: the index names the shards, and only their files are read and verified, however many they are.
 
     The shards reach the scan as the keys of a join with the partition column, which prunes files when the query runs.
     """
-    named = index.where((F.col("field") == field) & (F.col("key") == str(key))).select(F.regexp_extract("path", r"-([0-9]+)\.[^-]*$", 1).cast("long").alias("shard")).distinct()
-    data = published(spark, folder, schema, verify=False)
-    return data.join(F.broadcast(named), "shard", "left_semi").where(F.col(field).cast("string") == str(key))  # a row a shard of one key
+    named = index.where((F.col("field") == field) & (F.col("key") == str(key))).select(F.regexp_extract("path", r"-([0-9]+)\.[^-]*$", 1).cast("long").alias("shard"))
+    return published(spark, folder, schema, verify, named).where(F.col(field).cast("string") == str(key))
 
 
 def eval_cases(files: DataFrame) -> DataFrame:

@@ -39,6 +39,10 @@ def test_damage_is_found_on_read(spark, tmp_path):
     with pytest.raises(ValueError, match="damaged shards"):
         readers.published(spark, folder)
     assert readers.published(spark, folder, verify=False).count() == 22
+    index = publish.detail_index(publish.in_shards(spark.range(30), ["id"], 10), "d", ["id"])
+    assert readers.published_keys(spark, folder, index, "id", 25).count() == 1  # its shard is whole
+    with pytest.raises(ValueError, match="damaged shards"):
+        readers.published_keys(spark, folder, index, "id", 11)
     spark.createDataFrame([("d", 0, "d-000.json", 10, "00")], "dataset string, shard long, path string, count long, sha256 string").write.mode("overwrite").json(f"{folder}/{version}/manifest")
     with pytest.raises(ValueError, match="manifest"):
         readers.published(spark, folder)

@@ -93,3 +93,15 @@ def test_next_or_last_and_run_summary(spark):
     runs = spark.createDataFrame([("a", True, None, 1, 1), ("a", False, None, 1, 1), ("b", False, "x", None, 2)], "s string, passed boolean, error string, tokens_in long, tokens_out long")
     found = {r.s: (r.total, r.passed, r.failed, r.errored, r.pass_rate, r.tokens_in) for r in oplog.run_summary(runs, "s").collect()}
     assert found == {"a": (2, 1, 1, 0, 0.5, 2), "b": (1, 0, 0, 1, 0.0, 0), None: (3, 1, 1, 1, pytest.approx(0.333333), 2)}
+
+
+def test_entities_and_nested_lists(spark):
+    pages = {
+        "&#1078; &#8212; x": "ж — x",
+        "&#x436;&#X1F600; &#128512;": "ж😀 😀",
+        "&#55296; &#7; &#9999999; &#38;lt; &amp;#65; &#1": "&#55296; &#7; &#9999999; &lt; &#65; &#1",
+        "<ol><li>a<ul><li>b</li></ul></li><li>c</li></ol><ul><li>d<OL type=a><li>e</OL><li>f</ul>": "1. a\n- b\n1. c\n- d\n1. e\n- f",
+        "</ul><li>x<ol><li>y": "- x\n1. y",
+    }
+    df = spark.createDataFrame([(h,) for h in pages], "h string")
+    assert {r[0]: r[1] for r in df.select("h", texts.html_text(F.col("h"), every_entity=True)).collect()} == pages
