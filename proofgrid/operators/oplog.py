@@ -84,7 +84,10 @@ def reflect_candidates(traces: DataFrame, skill: str, least: int = 5) -> DataFra
     return traces.groupBy(skill).agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed")).where((F.col("cases") >= least) & (F.col("passed") < F.col("cases")))
 
 
-def size_guard(changes: DataFrame, old: str, new: str, most: float = 30.0) -> DataFrame:
-    """Adds removed_percent (half up) and warn where more than `most` percent of the old size is gone."""
-    removed = F.coalesce(half_up(ratio(F.greatest(F.col(old) - F.col(new), F.lit(0)), F.col(old)) * 100), F.lit(0.0))
-    return changes.withColumn("removed_percent", removed).withColumn("warn", F.col("removed_percent") > most)
+def size_guard(changes: DataFrame, old: str, new: str, most: float = 30.0, empty: float = 0.0) -> DataFrame:
+    """Adds removed_percent (half up) and warn where more than `most` percent of the old size is gone.
+
+    `empty` is the percentage where the old size is 0; NaN, no percentage at all, counts as more than any. Without an old size both are null.
+    """
+    removed = half_up(ratio(F.greatest(F.col(old) - F.col(new), F.lit(0)), F.col(old)) * 100)
+    return changes.withColumn("removed_percent", F.when(F.col(old) == 0, F.lit(float(empty))).otherwise(removed)).withColumn("warn", F.col("removed_percent") > most)
