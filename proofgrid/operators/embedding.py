@@ -24,6 +24,8 @@ from proofgrid.sinks.storage import staged
 from proofgrid.sources.readers import front_matter, markdown, related
 
 SIZE, BUCKET_DIGITS, HANDS, STEM = 256, 5, 4, 5
+#: Texts that are Python objects at once, and features whose places a task remembers.
+AT_ONCE, KNOWN = 128, 50_000
 
 
 def features(text: Column) -> Column:
@@ -71,12 +73,12 @@ def embed(docs: DataFrame, weights: Weights, text_col: str = "text") -> DataFram
         import pyarrow as pa
 
         idf, known = shared.value, {}
-        for batch in batches:
+        for batch in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             rows, dims, values = [], [], []
             for row, found in enumerate(batch.column("_features").to_pylist()):
                 for feature, n in Counter(found).items():
                     if feature not in known:
-                        if len(known) > 200_000:
+                        if len(known) > KNOWN:
                             known.clear()
                         known[feature] = placed(feature)
                     b, at, signs = known[feature]
