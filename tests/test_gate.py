@@ -113,3 +113,7 @@ def test_empty_batch_and_repeated_cards(spark, files, tmp_path):
     twice = spark.createDataFrame([("q", "[source: /raw/a.md]", unit(1)), ("q", "[source: /raw/a.md]", None)], CARDS).withColumn("path", F.lit("x"))
     offered, refused, number = gate.append(spark, twice, folder, files, replace(RULES, near=0.95), "2024-05-01")
     assert offered.count() == 1 and refused.isEmpty() and number == 1
+
+
+def test_the_gate_looks_at_every_pair_unless_told_otherwise():
+    assert gate.Rules(("low", "high"), "high").recall == 1
