@@ -19,13 +19,15 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from proofgrid.operators import retrieval
 from proofgrid.operators.order import positions
-from proofgrid.operators.retrieval import K1, B, query_terms, tokens, top_k
+from proofgrid.operators.retrieval import K1, B, best_in_block, codes_of, placed, query_terms, tokens, top_k
+from proofgrid.session import ship_package
 from proofgrid.sinks.dataset import StaleWrite, head
 from proofgrid.sinks.storage import get_text, names, put_new, remove, staged
 
@@ -77,8 +79,46 @@ def live(spark: SparkSession, folder: str, name: str, said: dict | None = None)
     return parts(spark, folder, said, name, schema).join(last, ["file", "gen"], "left_semi").drop("gen")
 
 
+def counted_in_tasks(batches: Iterator) -> Iterator:
+    """The distinct words of each document (id, file, n_words, w) in order, and how often they stand there."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        lists, n = batch.column("w"), batch.num_rows
+        terms, code = codes_of(lists.flatten())
+        place = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        cells, tf = np.unique(place * max(1, len(terms)) + code, return_counts=True)
+        rows, code = np.divmod(cells.astype(np.int64), max(1, len(terms)))
+        ends = pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (terms.take(pa.array(code)), pa.array(tf, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("file"), batch.column("n_words"), *lists], names=["id", "file", "n_words", "terms", "tfs"])
+
+
+def blocks_of_range(table):
+    """The postings of one range of documents (id, n_words, range, terms, tfs): a row a term, its documents in order of id."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = table.column("terms").combine_chunks()
+    terms, code = codes_of(lists.flatten())
+    place = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    ids, lens = table.column("id").to_numpy()[place], table.column("n_words").to_numpy()[place]
+    tf = table.column("tfs").combine_chunks().flatten().to_numpy()
+    order = np.lexsort((ids, code))
+    ids, lens, tf, code = ids[order], lens[order], tf[order], code[order]
+    starts = np.searchsorted(code, np.arange(len(terms)))
+    ends = pa.array(np.append(starts, len(code)), pa.int32())
+    listed = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids, tf, lens)]
+    n, most, least = (np.diff(ends.to_numpy()), np.maximum.reduceat(tf, starts), np.minimum.reduceat(lens, starts)) if len(terms) else ([], [], [])
+    return pa.Table.from_arrays([terms, pa.repeat(table.column("range")[0], len(terms)), *listed, *[pa.array(x, pa.int32()) for x in (n, most, least)]], names=["term", "range", "ids", "tfs", "lens", "n", "max_tf", "min_len"])
+
+
 def write_generation(spark: SparkSession, folder: str, counted: DataFrame, gone: DataFrame | None, touched: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[str, dict]:
     """Writes a generation of counted documents (id, file, n_words, terms, tfs), of what it takes out and of further tables; its name and its numbers."""
+    ship_package(spark)
     gen = uuid.uuid4().hex
     at = lambda name: f"{folder}/{name}/gen={gen}"
     cut = positions(counted, ["file", "id"], "_at").withColumn("range", F.floor(F.col("_at") / WIDTH).cast("long")).select(*[c.split()[0] for c in DOCS.split(", ")])
@@ -87,9 +127,7 @@ def write_generation(spark: SparkSession, folder: str, counted: DataFrame, gone:
     for name, df in tables.items():
         df.write.parquet(at(name))
     docs = spark.read.schema(DOCS).parquet(at("docs"))
-    each = docs.select("id", "n_words", "range", F.inline(F.arrays_zip("terms", "tfs"))).toDF("id", "n_words", "range", "term", "tf")
-    block = each.groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "n_words"))).alias("p"))  # WIDTH documents at most
-    block = block.select("term", "range", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.n_words").alias("lens"), F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.n_words").alias("min_len"), slot_of("term").alias("slot"))
+    block = docs.select("id", "n_words", "range", "terms", "tfs").groupBy("range").applyInArrow(blocks_of_range, POSTINGS).withColumn("slot", slot_of("term"))  # about WIDTH documents each
     block.repartition("slot", F.expr("range div 256")).sortWithinPartitions("slot", "term", "range").write.partitionBy("slot").parquet(at("postings"))
     changes = spark.read.schema(f"{POSTINGS}, slot int").parquet(at("postings")).select("term", F.col("n").cast("long").alias("df"))
     if gone is not None:
@@ -125,9 +163,13 @@ def update(spark: SparkSession, folder: str, docs: DataFrame, purge: DataFrame |
     files = staged((files if purge is None else files.unionByName(purge.select(F.col("file").cast("string").alias("file")))).distinct(), "files")
     words = tokens(F.col("text"))
     named = docs.select("id", F.col("file").cast("string").alias("file"), words.alias("w")).select("id", "file", F.size("w").alias("n_words"), "w")
-    flat = named.select("id", "file", "n_words", F.explode_outer("w").alias("term")).groupBy("id", "file", "n_words", "term").agg(F.count("*").cast("int").alias("tf"))
-    counted = flat.groupBy("id", "file", "n_words").agg(F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))).alias("p"))
-    counted = staged(counted.select("id", "file", "n_words", F.col("p.term").alias("terms"), F.col("p.tf").alias("tfs")), "counted")
+    ship_package(spark)
+    counted = staged(named.mapInArrow(counted_in_tasks, f"id {docs.schema['id'].dataType.simpleString()}, file string, n_words int, terms array<string>, tfs array<int>"), "counted")
+    if not counted.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # what stands under one id, file and length counts together
+        each = counted.select("id", "file", "n_words", F.inline_outer(F.arrays_zip("terms", "tfs"))).toDF("id", "file", "n_words", "term", "tf")
+        flat = each.groupBy("id", "file", "n_words", "term").agg(F.sum("tf").cast("int").alias("tf"))
+        counted = flat.groupBy("id", "file", "n_words").agg(F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))).alias("p"))
+        counted = staged(counted.select("id", "file", "n_words", F.col("p.term").alias("terms"), F.col("p.tf").alias("tfs")), "counted")
     gone = None
     if said["generations"]:
         gone = staged(live_docs(spark, folder, said).join(files, "file", "left_semi"), "gone")
@@ -199,15 +241,63 @@ class Search:
             sums = sums.join(self.keep.select("id").distinct(), "id", "left_semi")
         return sums.select("qid", "id", F.round(F.col("s").cast("double"), 9).alias("score"))
 
+    def best(self, chosen: DataFrame) -> DataFrame:
+        """scored, but of each range only what may be among the k best of a query; the postings of a range and the queries that chose it meet in one task."""
+        import numpy as np
+
+        if not 0 < self.weights.count() <= retrieval.ASKED:
+            return self.scored(chosen)
+        ship_package(self.spark)
+        pairs, qid = self.weights.select("qid", "term", "idf").toArrow(), self.weights.schema["qid"].dataType.simpleString()
+        (terms, t), (qids, q) = codes_of(pairs.column("term")), codes_of(pairs.column("qid"))
+        idf = np.zeros(len(terms))
+        idf[t] = pairs.column("idf").to_numpy()
+        searched = self.spark.sparkContext.broadcast((terms, t, idf, qids, q))
+        k, k1, b, mean = self.k, self.k1, self.b, float(self.mean)
+
+        def run(table):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            terms, t, idf, qids, q = searched.value
+            held, asked, alive = (table.filter(pc.equal(table.column("kind"), kind)) for kind in range(3))
+            mine = np.zeros(len(qids), bool)
+            mine[pc.index_in(asked.column("qid").combine_chunks(), qids).to_numpy(zero_copy_only=False)] = True
+            code = pc.index_in(held.column("term").combine_chunks().cast(terms.type), terms).to_numpy(zero_copy_only=False)
+            n = pc.list_value_length(held.column("ids").combine_chunks()).to_numpy(zero_copy_only=False)
+            ids, tf, lens = (held.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "tfs", "lens"))
+            term = np.repeat(code, n)
+            there = np.isin(ids, alive.column("ids").combine_chunks().flatten().to_numpy())
+            ids, tf, lens, term = ids[there], tf[there], lens[there], term[there].astype(np.int64)
+            w = np.rint(idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens / mean)) * 1e12).astype(np.int64)
+            few, place = np.unique(ids, return_inverse=True)
+            local = np.cumsum(mine) - 1
+            at, d, s = best_in_block(local[q[mine[q]]], t[mine[q]], place, term, w, int(mine.sum()), few, k)
+            return pa.table({"qid": qids.take(pa.array(np.flatnonzero(mine)[at])), "id": pa.array(few[d], pa.int64()), "s": pa.array(s, pa.int64())})
+
+        spans = chosen.select("gen", "range").distinct()
+        held = self.of_terms("postings", f"{POSTINGS}, slot int").join(self.weights.select("term").distinct(), "term", "left_semi").join(spans, ["gen", "range"], "left_semi")
+        docs = parts(self.spark, self.folder, self.said, "docs", DOCS).select("gen", "id", "range").join(spans, ["gen", "range"], "left_semi")
+        docs = docs.join(dead(self.spark, self.folder, self.said).withColumnRenamed("in_gen", "gen"), ["gen", "id"], "left_anti")
+        if self.keep is not None:
+            docs = docs.join(self.keep.select("id").distinct(), "id", "left_semi")
+        alive = docs.groupBy("gen", "range").agg(F.collect_list("id").alias("ids"))  # about WIDTH
+        sides = [held.select("gen", "range", "term", "ids", "tfs", "lens"), chosen.select("gen", "range", "qid"), alive]
+        union = sides[0].withColumn("kind", F.lit(0))
+        for kind, side in ((1, sides[1]), (2, sides[2])):
+            union = union.unionByName(side.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+        found = placed(union.groupBy("gen", "range").applyInArrow(run, f"qid {qid}, id long, s long"))
+        return found.select("qid", "id", F.round(F.col("s").cast("double"), 9).alias("score"))
+
     def run(self) -> DataFrame:
         """qid, id, score, rank of the k best."""
         every = staged(self.ranges(), "ranges")
         order = Window.partitionBy("qid").orderBy(F.desc("reach"), "gen", "range")
         first = staged(every.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= PROMISING).drop("_n"), "first")
-        sure = staged(top_k(self.scored(first), "score", self.k), "sure")
+        sure = staged(top_k(self.best(first), "score", self.k), "sure")
         floors = sure.where(F.col("rank") == self.k).select("qid", F.col("score").alias("least"))
         self.rest = staged(every.join(first.select("qid", "gen", "range"), ["qid", "gen", "range"], "left_anti").join(floors, "qid", "left").where(F.col("least").isNull() | (F.col("reach") + SLACK >= F.col("least"))), "rest")
-        return top_k(sure.drop("rank").unionByName(self.scored(self.rest)), "score", self.k)
+        return top_k(sure.drop("rank").unionByName(self.best(self.rest)), "score", self.k)
 
 
 def search(spark: SparkSession, folder: str, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, keep: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from proofgrid.operators import lexical_index as L
 from proofgrid.operators import retrieval as R
@@ -97,3 +98,15 @@ def test_an_empty_index_and_empty_updates(spark, folder, asked):
     L.update(spark, folder, frame(spark, {1: ("a", "w1")}))
     L.update(spark, folder, frame(spark, {2: ("b", None)}), purge=spark.createDataFrame([("a",)], "file string"))
     assert L.search(spark, folder, asked).count() == 0 and L.state(spark, folder)["n_docs"] == 1
+
+
+def test_ranges_are_scored_in_one_task_each(spark, rows, folder, monkeypatch):
+    monkeypatch.setattr(L, "WIDTH", 16)
+    docs = spark.createDataFrame([(i, i // 3, None if i % 11 == 0 else " ".join(f"w{(i * j) % 13}" for j in range(i % 9))) for i in range(90)] + [(5, 1, "w1 w1 w2 w3 w4"), (5, 1, "w1 w1 w2 w3 w4")], "id long, file long, text string")  # an id comes three times
+    L.update(spark, folder, docs)
+    L.update(spark, folder, docs.where("file % 4 = 1 AND id <> 5").withColumn("text", F.lit("w1 w2 new")), purge=spark.createDataFrame([(7,)], "file long"))
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 1} w{q + 1} new") for q in range(6)], "qid long, text string")
+    found = L.Search(spark, folder, asked, 4, keep=docs.where("id % 5 > 0").select("id"))
+    best = found.best(found.ranges())
+    assert "FlatMapGroups" in best._jdf.queryExecution().toString()
+    assert rows(L.top_k(best, "score", 4)) == rows(L.top_k(found.scored(found.ranges()), "score", 4)) == rows(found.run()) != []
