@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.functions.columns import first_sentence, slug, snippet
+from proofgrid.functions.columns import citation_line, citation_target, first_sentence, slug, snippet
 from proofgrid.operators import texts
 from proofgrid.operators.order import positions
 from proofgrid.plans.registry import query
@@ -210,8 +210,9 @@ def citation_critique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def critique_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Critique of all citations, each named by its place; even ids read as weakly supported."""
-    labels = texts.citation_spans(cited_documents(spark, sf_dir)).select("id", "place", "label")
-    judged = gated_citations(spark, sf_dir).join(labels, ["id", "place"]).withColumn("band", F.when(F.col("id") % 2 == 0, "weak").otherwise("strong"))
+    spans = texts.citation_spans(cited_documents(spark, sf_dir)).select("id", "place", "label", "citation")
+    cited = spans.withColumns({"target": citation_target(F.col("citation")), "line": citation_line(F.col("citation"))})
+    judged = texts.gated(cited, cited_files(spark), ["layer0"]).withColumn("band", F.when(F.col("id") % 2 == 0, "weak").otherwise("strong"))
     return texts.critique(judged.withColumn("citation", F.col("place").cast("string")))
 
 

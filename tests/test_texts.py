@@ -105,3 +105,10 @@ def test_entities_and_nested_lists(spark):
     }
     df = spark.createDataFrame([(h,) for h in pages], "h string")
     assert {r[0]: r[1] for r in df.select("h", texts.html_text(F.col("h"), every_entity=True)).collect()} == pages
+
+
+def test_a_critique_of_citations_reads_the_texts_once(spark):
+    from proofgrid.plans.texts import critique_items
+
+    plan = critique_items(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1
