@@ -7,7 +7,7 @@ distance is at most (1 - threshold) of the longer text. Classes are the componen
 
 Equal texts are merged first. Candidates come in steps, so that a group of thousands of copies never yields all of its pairs:
 every bucket's members meet its least member; then, only in buckets that still hold several components, members of different
-components meet within tasks, sifted by bounds on the edit distance from counts of words and word pairs, aligned where
+components meet within tasks, all buckets of one least member at once, sifted by bounds on the edit distance from counts of words and word pairs, aligned where
 they lie, and only links that join two components come out.
 
 Edits spread over a text can leave no k-mer whole, but never few shorter ones: a link at 0.8 of n words keeps at least 0.4 n - 2
@@ -217,13 +217,13 @@ def side_by_side(keys: list[list[int]]) -> np.ndarray:
 
 
 def met_links(rows: list[dict], threshold: float) -> Iterator[tuple[int, int]]:
-    """Links (class, class) between a bucket's members of two chunks, or of one chunk among themselves, if low and high are one.
+    """Links (class, class) between members of two chunks, or of one chunk among themselves, if low and high are one; the buckets of one leader meet at once.
 
     Only members of classes not joined yet are compared, so no more links come out than there are classes. A pair that
     shares several buckets of `keys` is compared in the first of them only, and not at all if it shares one of `before`, in which it has
-    been compared before.
+    been compared before. Buckets of the same members, as near copies have, are gone through once and not one by one.
     """
-    low, high, here = rows[0]["low"], rows[0]["high"], rows[0]["key"]
+    low, high = rows[0]["low"], rows[0]["high"]
     part, group = np.array([r["part"] for r in rows]), np.array([r["c"] for r in rows])
     words = [np.frombuffer(r["words"], np.uint32) for r in rows]
     n = np.array([len(w) for w in words])
@@ -231,34 +231,43 @@ def met_links(rows: list[dict], threshold: float) -> Iterator[tuple[int, int]]:
     folded = counts.reshape(len(rows), -1, BINS // COARSE).sum(axis=2)
     keys = side_by_side([r["keys"] for r in rows])
     before = None if rows[0]["before"] is None else np.array([r["before"] for r in rows], np.int64)
-    classes, half = group.copy(), BINS // 2
-    left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
-    for i in left:
-        others = right[right > i] if low == high else right
-        others = others[group[others] != group[i]]
-        most = ((1 - threshold) * np.maximum(n[others], n[i]) + 1e-9).astype(np.int64)
-        near = np.abs(n[others] - n[i]) <= most
-        others, most = others[near], most[near]
-        for sketch in (folded, counts):
+    classes = group.copy()
+    at = np.repeat(np.arange(len(rows)), [len(r["here"]) for r in rows])
+    here, bucket = np.unique(np.concatenate([r["here"] for r in rows]).astype(np.int64), return_inverse=True)
+    in_order = np.argsort(bucket, kind="stable")
+    buckets = np.split(at[in_order], np.cumsum(np.bincount(bucket))[:-1])
+    known = [here[k : k + 1] for k in range(len(here))]
+    if sum(len(b) ** 2 for b in buckets) >= len(rows) ** 2:
+        buckets, known = [np.arange(len(rows))], [here]
+    for among, of in zip(buckets, known):
+        left, right = among[part[among] == low], among[part[among] == high]
+        for i in left:
+            others = right[right > i] if low == high else right
+            others = others[group[others] != group[i]]
+            most = ((1 - threshold) * np.maximum(n[others], n[i]) + 1e-9).astype(np.int64)
+            near = np.abs(n[others] - n[i]) <= most
+            others, most = others[near], most[near]
+            for sketch in (folded, counts):
+                if len(others):
+                    apart, middle = np.abs(sketch[others] - sketch[i]), sketch.shape[1] // 2
+                    near = (apart[:, :middle].sum(axis=1) <= 2 * most) & (apart[:, middle:].sum(axis=1) <= 4 * most)
+                    others, most = others[near], most[near]
             if len(others):
-                apart, middle = np.abs(sketch[others] - sketch[i]), sketch.shape[1] // 2
-                near = (apart[:, :middle].sum(axis=1) <= 2 * most) & (apart[:, middle:].sum(axis=1) <= 4 * most)
-                others, most = others[near], most[near]
-        if len(others):
-            mine = keys[i, (keys[others] == keys[i]).argmax(axis=1)] == here
-            if before is not None:
-                mine &= ~(before[others] == before[i]).any(axis=1)
-            others, most = others[mine], most[mine]
-        if len(others):
-            one = words[i].tolist()
-            for k, at_most in zip(others.tolist(), most.tolist()):
-                if group[k] != group[i] and banded_distance(one, words[k].tolist(), at_most) is not None:
-                    yield classes[i], classes[k]
-                    group[group == group[k]] = group[i]
+                shared = keys[others] == keys[i]
+                mine = shared.any(axis=1) & np.isin(keys[i, shared.argmax(axis=1)], of)
+                if before is not None:
+                    mine &= ~(before[others] == before[i]).any(axis=1)
+                others, most = others[mine], most[mine]
+            if len(others):
+                one = words[i].tolist()
+                for k, at_most in zip(others.tolist(), most.tolist()):
+                    if group[k] != group[i] and banded_distance(one, words[k].tolist(), at_most) is not None:
+                        yield classes[i], classes[k]
+                        group[group == group[k]] = group[i]
 
 
 def meet_in_tasks(threshold: float) -> Callable:
-    """Takes rows sorted by (key, low, high), one run of rows a meeting of two chunks."""
+    """Takes rows sorted by (leader, low, high), one run of rows a meeting of two chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -270,7 +279,7 @@ def meet_in_tasks(threshold: float) -> Callable:
 
         for batch in batches:
             for row in batch.to_pylist():
-                if held and (row["key"], row["low"], row["high"]) != (held[0]["key"], held[0]["low"], held[0]["high"]):
+                if held and (row["leader"], row["low"], row["high"]) != (held[0]["leader"], held[0]["low"], held[0]["high"]):
                     flush()
                     held = []
                 held.append(row)
@@ -289,11 +298,17 @@ def pairs_batch(found: set) -> pa.RecordBatch:
 
 
 def meetings(members: DataFrame) -> DataFrame:
-    """Members of buckets (key, rep, c, size, n_words, total words) dealt by hash to the meetings of chunks: key, rep, c, part, low, high."""
-    n = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("total") / CHUNK_WORDS)).cast("int")
-    parts = members.withColumn("n", n).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    """Members of buckets (key, leader, rep, c, n_words) dealt by hash to the meetings of chunks: leader, rep, c, here, part, low, high.
+
+    Buckets of one leader meet at once: near copies share most of their buckets, so a member is one row with the keys `here`, not a row a bucket.
+    Only leaders of more than a chunk are joined back, at most one in CHUNK members or CHUNK_WORDS words.
+    """
+    met = materialize(members.groupBy("leader", "rep").agg(F.first("c").alias("c"), F.first("n_words").alias("n_words"), F.collect_set("key").alias("here")), "members")
+    n = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_words") / CHUNK_WORDS)).cast("int")
+    large = met.groupBy("leader").agg(n.alias("n")).where("n > 1")
+    parts = met.join(F.broadcast(large), "leader", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return materialize(parts.select("key", "rep", "c", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")), "meetings")
+    return materialize(parts.select("leader", "rep", "c", "here", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")), "meetings")
 
 
 def bridges(parts: DataFrame, docs: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
@@ -302,8 +317,8 @@ def bridges(parts: DataFrame, docs: DataFrame, keys: DataFrame, threshold: float
     words = in_arrow(likely_members(docs, "doc_id", members, "rep"), hash_words_in_tasks, "rep bigint, words binary")
     each = words.groupBy("rep").agg(F.first("words").alias("words")).join(likely_members(keys, "rep", members, "rep"), "rep")
     full = parts.join(each, "rep")
-    dealt = full.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return materialize(in_arrow(dealt.select("key", "rep", "c", "part", "low", "high", "words", "keys", "before"), meet_in_tasks(threshold), "s bigint, t bigint").distinct(), "bridges")
+    dealt = full.repartition("leader", "low", "high").sortWithinPartitions("leader", "low", "high")
+    return materialize(in_arrow(dealt.select("leader", "rep", "c", "here", "part", "low", "high", "words", "keys", "before"), meet_in_tasks(threshold), "s bigint, t bigint").distinct(), "bridges")
 
 
 def with_totals(texts: DataFrame, keys: str, totals: dict[str, Callable], more: dict[str, Callable] | None = None) -> DataFrame:
@@ -345,8 +360,8 @@ def near_duplicates(
     firsts = [F.first(c).alias(c) for c in ("n_words", "keys", "short_keys")]
     reps = materialize(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), *firsts), "representatives")
     named = reps.where("rep IS NOT NULL")
-    count = {"size": lambda: F.count("*"), "total": lambda: F.sum("n_words")}
-    met = materialize(with_totals(named.select("rep", "n_words", "keys"), "keys", {"leader": lambda: F.min("rep"), **count}).where("size > 1"), "buckets")
+    leader = {"leader": lambda: F.min("rep")}
+    met = materialize(with_totals(named.select("rep", "n_words", "keys"), "keys", {**leader, "size": lambda: F.count("*")}).where("size > 1").drop("size"), "buckets")
     stars = materialize(met.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     texts = materialize(likely_members(narrow, "doc_id", met.select("rep").distinct(), "rep"), "texts")
     classes = connected_components(materialize(verified(stars, texts, threshold), "links"))
@@ -363,7 +378,7 @@ def near_duplicates(
     like = lambda less, n: less >= n * threshold - 1e-6
     n_words = F.col("n_words")
     beside = {"below": lambda w: like(F.lag("n_words").over(w), n_words), "above": lambda w: like(n_words, F.lead("n_words").over(w)), "seen": lambda w: F.lit(True)}
-    rows = with_totals(known.where("rep IS NOT NULL").select("rep", "c", "n_words", "short_keys"), "short_keys", {"least": lambda: F.min("c"), "most": lambda: F.max("c"), **count}, beside)
+    rows = with_totals(known.where("rep IS NOT NULL").select("rep", "c", "n_words", "short_keys"), "short_keys", {"least": lambda: F.min("c"), "most": lambda: F.max("c"), **leader}, beside)
     rows = rows.where("least <> most AND (seen IS NULL OR coalesce(below, false) OR coalesce(above, false))")
     late = bridges(meetings(rows), narrow, known.where("rep IS NOT NULL").select("rep", F.col("short_keys").alias("keys"), F.col("keys").alias("before")), threshold)
     merged = connected_components(late, "s", "t").select(F.col("v").alias("c"), F.col("c").alias("whole"))

@@ -390,3 +390,19 @@ def test_streams_that_can_be_read_along_many_ways_are_read_once():
     for _ in range(30):
         data = zlib.compress(data, 0)
     assert [k for _, k, _ in secrets.scan(b64(data))[1]] == [0] and not secrets.scan(b64(data))[3]
+
+
+def test_members_of_many_shared_buckets_meet_once(spark, monkeypatch):
+    """Texts of one frame with differing passages share most of their buckets; a text is a row a leader there, and links are those of each bucket by itself."""
+    from proofgrid.llm import neardup
+
+    rng = random.Random(17)
+    frame = [f"w{i}" for i in range(100)]
+    texts = [[*frame[:at], *(f"x{rng.random()}" for _ in range(30)), *frame[at + 30 :]] for at in (rng.randrange(70) for _ in range(40))]
+    texts += [[*t[:50], "other", *t[51:]] for t in texts[:5]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen, bridges = [], neardup.bridges
+    monkeypatch.setattr(neardup, "bridges", lambda parts, *more: seen.append(parts.count()) or bridges(parts, *more))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert all(got[40 + i] == got[i] for i in range(5))
+    assert len(texts) <= seen[0] <= 8 * len(texts)
