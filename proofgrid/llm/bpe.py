@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from proofgrid.llm.common import in_arrow, kept
 
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
+#: Rows of an Arrow batch whose ids a task holds at once.
+ROWS = 2048
 #: Characters of the longest unit that a memo keeps after its block, so that the memos are bounded in bytes.
 KEEP = 64
 
@@ -130,12 +132,12 @@ class Replay:
 
 
 class Coder:
-    """Units of text to values made of their ids, with a memo of two generations of at most about `cap` units each.
+    """Units of text to values made of their ids, with a memo of two generations of at most `cap` units each (or one block's, if those are more).
 
     Units and pieces of over KEEP characters are kept for their block only.
     """
 
-    def __init__(self, path: str, pattern: str, form: Callable[[Replay, list[int]], object], cap: int = 200_000):
+    def __init__(self, path: str, pattern: str, form: Callable[[Replay, list[int]], object], cap: int = 100_000):
         import regex
 
         self.replay, self.find, self.safe, self.form, self.cap = Replay(load_ranks(path)), regex.compile(pattern).findall, regex.compile(r"(?<=\S) (?=\S)"), form, cap
@@ -193,7 +195,7 @@ class Coder:
 
     def learn(self, units: set) -> None:
         """Makes sure that the memo holds these units."""
-        if len(self.memo) > self.cap:
+        if len(self.memo) + len(units) > self.cap:
             self.old, self.memo = self.memo, {}
         memo, old, new = self.memo, self.old, []
         for u in units:
@@ -212,7 +214,7 @@ class Coder:
 
     def pieces(self, wanted: set[str]) -> dict[str, list[int]]:
         """Ids of these pieces, by a memo of their own: many new units are a known piece beside another mark."""
-        if len(self.known) > self.cap:
+        if len(self.known) + len(wanted) > self.cap:
             self.known_old, self.known = self.known, {}
         known, old, new = self.known, self.known_old, []
         for p in wanted:
@@ -274,10 +276,16 @@ def as_text(replay: Replay, ids: list[int]) -> tuple[bytes, bytes]:
     return " ".join(map(str, ids)).encode(), replay.decode(ids)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode_in_tasks(path: str, pattern: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(path, pattern, as_ids)
-        for batch in batches:
+        for batch in in_slices(batches):
             packed = [b"".join(b"".join(r) for r in runs) for runs in coder.texts(batch.column("text").to_pylist())]
             ends = np.cumsum([0] + [len(p) // 4 for p in packed])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
@@ -300,7 +308,7 @@ def decode_in_tasks(path: str) -> Callable:
 def digest_in_tasks(path: str, pattern: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(path, pattern, as_text)
-        for batch in batches:
+        for batch in in_slices(batches):
             counts, ids_sha, text_sha = [], [], []
             for runs in coder.texts(batch.column("text").to_pylist()):
                 listed, decoded, n = hashlib.sha256(), hashlib.sha256(), 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -121,13 +122,16 @@ def kept(owner: str) -> dict:
 
 
 def let_go(owner: str) -> None:
-    """Frees what other operators have kept in this worker, which Spark uses again for any task that comes."""
+    """Frees what other operators have kept in this worker, which Spark uses again for any task that comes, and gives free memory back to the system."""
     others = [k for k in _KEPT if k != owner]
     for k in others:
         del _KEPT[k]
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
+    trimmed = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trimmed is not None:
+        trimmed(0)
 
 
 def in_arrow(df: DataFrame, fn, schema: str | StructType, owner: str | None = None) -> DataFrame:
