@@ -117,3 +117,31 @@ def test_empty_batch_and_repeated_cards(spark, files, tmp_path):
 
 def test_the_gate_looks_at_every_pair_unless_told_otherwise():
     assert gate.Rules(("low", "high"), "high").recall == 1
+
+
+def test_a_family_keeps_only_its_own_near_copies_out(spark, files, tmp_path):
+    folder, text = f"file://{tmp_path}/store", "[source: /raw/a.md]"
+    rules = replace(RULES, family="substring_index(question, ' ', 1)")
+    gate.append(spark, spark.createDataFrame([("a one", text, unit(1)), ("b one", text, unit(1, 0.1))], CARDS), folder, files, rules, "2024-05-01")
+    batch = [("a two", text, unit(1, 0.1)), ("a far", text, unit(0, 1)), ("c one", text, unit(1)), ("c two", text, unit(1, 0.1)), ("d", text, unit(0, 1, 0.1)), ("d none", text, None)]
+    offered, refused, number = gate.append(spark, spark.createDataFrame(batch, CARDS), folder, files, rules, "2024-05-02")
+    got = reasons(offered, refused)
+    assert {("a two", "near-copy"), ("a far", None), ("d", None), ("d none", None)} <= got
+    assert len(got & {("c one", "near-copy"), ("c two", "near-copy")}) == len(got & {("c one", None), ("c two", None)}) == 1
+    assert number == 2 and gate.stored_cards(spark, folder, 2).count() == 6
+
+
+def test_query_equals_its_sql_where_originals_are_near_each_other(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(3, 64))
+    vectors = [(v / np.linalg.norm(v)).tolist() for v in (base[i % 3] + 0.01 * rng.normal(size=64) for i in range(24))]
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = [(r["vec_id"], r["verdict"], r["cards"]) for r in entry.queries()["gated_append"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(entry.oracle_sql()["gated_append"]).fetchall())

@@ -106,3 +106,20 @@ def test_projections_follow_the_law(spark):
     way = N.Plan(6, 1, 3, 0.0, 0.0)
     looked, own = N.looked_into(x, way)[:, 0], N.codes(y, way)[0]
     assert (looked == own).any(axis=1).mean() == pytest.approx(N.met(6, 3, 0.8), abs=0.1)
+
+
+def test_pairs_within_families_are_all_of_them(spark):
+    """A family of many blocks beside small ones and rows of none; one table with itself and two with each other."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3, 8))[rng.integers(0, 3, 400)] + 0.1 * rng.normal(size=(400, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    family = [None if i % 40 == 0 else "hot" if i % 2 else str(i // 6) for i in range(400)]
+    rows = spark.createDataFrame([(i, v[i].tolist(), family[i]) for i in range(400)] + [(900, None, "hot")], "id long, vector array<double>, family string")
+    near = np.round(v @ v.T, 6) >= 0.9
+    want = {(a, b) for a in range(400) for b in range(400) if near[a, b] and family[a] == family[b]}
+    for block in (16, 4096):
+        found = [(r.a, r.b) for r in N.near_pairs_within(rows, 0.9, block=block).collect()]
+        assert len(found) == len(set(found)) and set(found) == {(a, b) for a, b in want if a < b}
+        found = [(r.a, r.b) for r in N.near_pairs_within(rows.where("id % 3 = 0"), 0.9, others=rows.where("id % 3 > 0"), block=block).collect()]
+        assert len(found) == len(set(found)) and set(found) == {(a, b) for a, b in want if a % 3 == 0 and b % 3 > 0}
+    assert N.near_pairs_within(rows.limit(0), 0.9).count() == 0
