@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,33 @@ def test_texts_that_are_alike_are_near(spark):
     assert v[1] @ v[6] == pytest.approx(1) and v[1] @ v[2] > 0.4 > abs(v[1] @ v[8])
 
 
+def test_fitting_reads_each_text_once(spark):
+    docs, seen = spark.createDataFrame(TEXTS, "id long, text string").repartition(2), spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    E.Weights.fit(docs.mapInArrow(through, docs.schema))
+    assert seen.value == len(TEXTS)
+
+
+def test_features_are_counted_in_pieces_as_in_whole_texts(monkeypatch):
+    """Pieces of few bytes, texts longer than a piece, repeated words and stems, characters that only a later Unicode calls letters."""
+    texts = pa.array(["", "mirror mirrors mirrors a", "...", "x" * 50, "a\u0870b ñandúes", "mirrored"])
+    monkeypatch.setattr(E, "AT_ONCE", 20)
+    got, rows, sizes = Counter(), 0, []
+    for batch in E.pieces(pa.RecordBatch.from_pydict({"_text": texts})):
+        row, code, n, features = E.counted(batch.column("_text"))
+        names = features.to_pylist()
+        got.update({(rows + int(r), names[c]): int(x) for r, c, x in zip(row, code, n)})
+        rows += batch.num_rows
+        sizes.append(batch.num_rows)
+    assert rows == len(texts) and max(sizes) < 3
+    assert got == {(1, "mirror"): 1, (1, "mirrors"): 2, (1, "a"): 1, (1, "~mirro"): 3, (3, "x" * 50): 1, (3, "~xxxxx"): 1, (4, "a\u0870b"): 1, (4, "ñandúes"): 1, (4, "~ñandú"): 1, (5, "mirrored"): 1, (5, "~mirro"): 1}
+
+
 TOPICS = ["economy rounds rifles", "smoke grenades lineups", "veto strategy pools", "roster signing transfer", "crosshair mouse settings", "demo review notes", "travel visa schedule", "sponsor contract terms"]
 
 
