@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofgrid.sinks import dataset as D
-from proofgrid.sinks.storage import get_text, names, put_new
+from proofgrid.sinks.storage import get_text, names, put_new, shared_folder
 
 REFERENCES = [D.Reference("child", ("p",), "parent", ("id",))]
 
@@ -118,3 +118,11 @@ def test_damage_is_found_on_read_and_rows_too_large_are_refused(spark, folder):
 def test_a_new_file_is_written_once(spark, tmp_path):
     uri = f"file://{tmp_path}/c/1.json"
     assert put_new(spark, uri, "a") and not put_new(spark, uri, "b") and get_text(spark, uri) == "a" and [n for n, _ in names(spark, f"file://{tmp_path}/c")] == ["1.json"]
+
+
+def test_a_table_is_sorted_once_however_often_its_shards_are_halved(spark, folder, rows):
+    ordered = lambda: {n for n, _ in names(spark, shared_folder(spark)) if n.startswith("ordered-")}
+    df, before = spark.range(400).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text")), ordered()
+    D.publish_tables(spark, {"texts": (df, ["id"])}, folder, rows=400, most=8000)
+    assert len(ordered() - before) == 1 and D.shards(spark, folder).count() > 2
+    assert rows(D.read_tables(spark, folder)["texts"], "id", "text") == rows(df)
